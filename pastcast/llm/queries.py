@@ -1,0 +1,22 @@
+"""Registered queries of the operators in this package, and the SQL that states them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pastcast.llm import minhash
+from pastcast.session import table
+
+
+def op3_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document under links of 5-word shingle similarity >= 0.8."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_dartminhash": op3_dartminhash,
+}
+
+ORACLES: dict[str, str] = {}
