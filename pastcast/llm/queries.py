@@ -5,10 +5,97 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pastcast.llm import minhash
+from pastcast.llm import chat, decontaminate, minhash, sharding, toxicity, url_filter
 from pastcast.session import table
 
+#: Fixed values of the rule list.
+RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def held_out(doc_id: str = "doc_id") -> F.Column:
+    """Rows that no model of the registered queries learns from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, label, text) of the labelled documents that are not held out; labels are a small table beside the texts."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", label).filter(F.col(label).isNotNull() & ~held_out())
+    return docs.select("doc_id", "text").join(labels, "doc_id")
+
+
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(labelled(spark, docs, sf_dir, "toxic"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias("spans"))
+
+
+def op2_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url by the rule list."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.UrlFilter.fit(pages, RULES).judge(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP2_SQL = """
+WITH rules(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+m AS (SELECT p.page_id, p.host, p.path, r.host || r.path AS rule, r.verdict,
+  row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
+  FROM p LEFT JOIN rules r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1
+"""
+
+
+def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 of all documents, equal texts together as far as row quotas allow."""
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op6_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document holds at least 0.8 of the 5-word shingles."""
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT least(5, len(w)) AS size FROM b WHERE len(w) > 0),
+bg AS (SELECT DISTINCT item_id, least(5, len(w)) AS size, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dg AS (SELECT DISTINCT doc_id, size, array_to_string(w[i:i + size - 1], ' ') AS g
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, s WHERE len(w) >= size)),
+n AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id)
+SELECT doc_id, item_id, any_value(n) AS n_shingles, count(*) AS n_found, count(*)::DOUBLE / any_value(n) AS containment
+FROM dg JOIN bg USING (size, g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n)
+"""
+
+
+def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered in parts of 256 turns."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+OP8_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
+h AS (SELECT *, string_agg(coalesce('+' || role, '-') || chr(1) || coalesce('+' || text, '-'), chr(2)) OVER (PARTITION BY conv_id ORDER BY pos) AS key FROM p),
+f AS (SELECT key, min(conv_id) AS conv_id FROM h WHERE pos = n GROUP BY key),
+k AS (SELECT conv_id FROM f WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.pos < h.n AND h.key = f.key))
+SELECT conv_id, ((pos - 1) // 256)::INT AS part, any_value(n) AS n_turns,
+  string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY pos) AS text
+FROM p WHERE conv_id IN (SELECT conv_id FROM k) GROUP BY ALL
+"""
+
 
 def op3_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document under links of 5-word shingle similarity >= 0.8."""
@@ -16,7 +103,16 @@ def op3_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_crf_toxicity": op1_crf_toxicity,
+    "op2_bloom_cascade": op2_bloom_cascade,
     "op3_dartminhash": op3_dartminhash,
+    "op4_label_propagation": op4_label_propagation,
+    "op6_containment": op6_containment,
+    "op8_snapshot_collapse": op8_snapshot_collapse,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_bloom_cascade": OP2_SQL,
+    "op6_containment": OP6_SQL,
+    "op8_snapshot_collapse": OP8_SQL,
+}
