@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -49,3 +50,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_fields(df: DataFrame, ddl: str) -> StructType:
+    """The schema of df and further fields given as DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
