@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pastcast.llm.bloom import bounded
 from pastcast.llm.graph import components
 from pastcast.llm.tokens import hashes, mix, pieces, shingles, split
 from pastcast.session import ship, stored
@@ -64,86 +66,138 @@ def signatures(doc: np.ndarray, strip: np.ndarray, share: np.ndarray, n: int, k:
     return out
 
 
+def _elements(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple]:
+    """(batch, texts, owner and hash of every unit strip, its filled share)."""
+    for batch, texts in pieces(batches, "t"):
+        words = split(texts)
+        yield batch, texts, *cells(*weighted(*shingles(hashes(texts, words), words, shingle)))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("exact"), F.col(text_col).alias("t"))
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = 20, rows: int = 6, shingle: int = 5) -> DataFrame:
-    """(id, exact, n, elements, band): per row a 128-bit text key, element count, 32-bit element hashes and band keys.
+    """(id, exact, n, band, sig): per row a 128-bit text key, its number of elements, band keys and 4 bits of each signature value.
 
     Elements are shingles of ``shingle`` words weighted by how often the text holds them: the j-th
-    occurrence of a shingle is an element of its own. A text without words has no elements.
+    occurrence of a shingle is an element of its own. A text without words has no band keys.
     """
+    k = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "t"):
-            words = split(texts)
-            doc, element, weight = weighted(*shingles(hashes(texts, words), words, shingle))
-            doc, strip, share = cells(doc, element, weight)
-            sig = signatures(doc, strip, share, texts.n, bands * rows).reshape(texts.n, bands, rows)
-            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (texts.n, bands)).copy()
+        for batch, texts, doc, strip, share in _elements(batches, shingle):
+            n = texts.n
+            values = signatures(doc, strip, share, n, k)
+            sig = values.reshape(n, bands, rows)
+            key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
             for r in range(rows):
                 key = mix(key * _C + sig[:, :, r])
-            count = np.bincount(doc, minlength=texts.n)
-            key_offsets = np.concatenate(([0], np.cumsum(np.where(count > 0, bands, 0)))).astype(np.int32)
-            offsets = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+            nibbles = np.zeros((n, -(-k // 16) * 16), np.uint64)
+            nibbles[:, :k] = values & np.uint64(15)
+            packed = np.bitwise_or.reduce(nibbles.reshape(n, -1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2)
+            count = np.bincount(doc, minlength=n)
+            offsets = np.concatenate(([0], np.cumsum(np.where(count > 0, bands, 0)))).astype(np.int32)
+            sig_offsets = (np.arange(n + 1) * packed.shape[1]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
                     pa.array(count.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array((mix(strip + _C) >> np.uint64(32)).astype(np.uint32).view(np.int32))),
-                    pa.ListArray.from_arrays(pa.array(key_offsets), pa.array(key[count > 0].reshape(-1).view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[count > 0].reshape(-1).view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(sig_offsets), pa.array(packed.reshape(-1).view(np.int64))),
                 ],
-                ["id", "exact", "n", "elements", "band"],
+                ["id", "exact", "n", "band", "sig"],
             )
 
     ship(docs.sparkSession)
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("exact"), F.col(text_col).alias("t"))
-    return rows_in.mapInArrow(run, "id long, exact string, n int, elements array<int>, band array<long>")
+    return _keyed(docs, id_col, text_col).mapInArrow(run, "id long, exact string, n int, band array<long>, sig array<long>")
 
 
-def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """(u, v) of candidate pairs whose weighted Jaccard similarity is at least the threshold, exactly."""
-    one = elements.select(F.col("id").alias("u"), F.col("elements").alias("eu"))
-    two = elements.select(F.col("id").alias("v"), F.col("elements").alias("ev"))
-    both = F.size(F.array_intersect("eu", "ev"))
-    return pairs.join(two, "v").join(one, "u").withColumn("both", both).filter(F.col("both") >= threshold * (F.size("eu") + F.size("ev") - F.col("both"))).select("u", "v")
+def elements(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, elements) of the rows whose (id, exact) are wanted: distinct 32-bit hashes of all elements.
+
+    A Bloom filter of bounded size keeps most other texts out of the scan's Python step; a join decides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts, doc, strip, _ in _elements(batches, shingle):
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=texts.n)))).astype(np.int32)
+            values = pa.array((mix(strip + _C) >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "exact", "elements"])
+
+    ship(docs.sparkSession)
+    sieve = bounded(wanted.select(F.col("id").alias("key")), wanted.count())
+    rows = _keyed(docs, id_col, text_col).filter(sieve.might_hold(F.col("id")))
+    return rows.mapInArrow(run, "id long, exact string, elements array<int>").join(wanted, ["id", "exact"], "left_semi").dropDuplicates(["id"]).select("id", F.array_distinct("elements").alias("elements"))
+
+
+def _similarity(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(u, v, s): the exact weighted Jaccard similarity of each pair."""
+    one = sets.select(F.col("id").alias("u"), F.col("elements").alias("eu"))
+    two = sets.select(F.col("id").alias("v"), F.col("elements").alias("ev"))
+    met = pairs.join(two, "v").join(one, "u").withColumn("both", F.size(F.array_intersect("eu", "ev")))
+    return met.select("u", "v", (F.col("both") / (F.size("eu") + F.size("ev") - F.col("both"))).alias("s"))
+
+
+def _agreeing(a: Column, b: Column, k: int) -> Column:
+    """How many of the k 4-bit signature values agree."""
+    ones, total = F.lit(0x1111111111111111), F.lit(0)
+    for i in range(-(-k // 16)):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(ones))
+    return k - total
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 20, rows: int = 6) -> DataFrame:
     """(id, component_id, kept): the class of each row under links of weighted shingle similarity >= threshold.
 
-    Equal texts are one class member from the start. Distinct texts that agree on a band are candidates:
-    in each bucket all members meet the most connected one; members of a bucket that are still in different
-    classes then meet each other, so no candidate link between classes is left out and members of one class
-    are not paired again. Every link is verified on the full element sets. ``component_id`` is the smallest id of the
-    class. Null texts are alone; texts without words are linked to equal texts only; rows that repeat an id and its text
-    give one row; rows whose id is null can't be named and have none. With 20 bands of 6, a pair at 0.8 becomes a candidate with probability 0.998.
+    Equal texts are one class member from the start. Distinct texts that agree on a band are candidates.
+    In each bucket all members first meet the one that shares most buckets, and their similarity to it is computed exactly.
+    Members of a bucket that are still in different classes then meet each other, unless
+    sizes, the triangle inequality for their distances to that pivot, or the signatures rule a link out; no
+    candidate link between classes is capped, and members of one class are not paired again. Every link is verified on the full
+    element sets. ``component_id`` is the smallest id of the class; ``kept`` marks its row.
+
+    Null texts are alone; texts without words are linked to equal texts only; rows that repeat an id and its text
+    give one row; rows whose id is null can't be named and have none. With 20 bands of 6, a pair at 0.8 becomes a candidate
+    with probability 0.998, and its signatures then agree enough with probability 0.9998.
     """
+    k = bands * rows
+    share = threshold + (1 - threshold) / 16
+    least = math.floor(k * share - 3.6 * math.sqrt(k * share * (1 - share)))
     made = stored(sketch(docs, id_col, text_col, bands, rows))
-    copies = made.filter("exact is not null and id is not null").groupBy("exact").agg(F.min("id").alias("rep"))
-    member = made.select("id", "exact").filter("id is not null").distinct().join(copies, "exact", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    reps = made.join(copies, (made.id == copies.rep) & (made.exact == copies.exact), "left_semi").dropDuplicates(["id"])
-    reps = stored(reps.select("id", "n", "elements", "band"))
-    band = reps.select("id", "n", F.explode("band").alias("band"))
+    copies = made.filter("exact is not null and id is not null").groupBy("exact").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("band").alias("band"), F.first("sig").alias("sig"))
+    reps = stored(copies.groupBy("rep").agg(F.min_by(F.struct("exact", "n", "band", "sig"), "exact").alias("x")).select(F.col("rep").alias("id"), "x.*"))
+    band = reps.select("id", F.explode("band").alias("band"))
     full = band.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     inside = stored(band.join(full, "band"))
     weight = inside.groupBy("id").agg(F.sum("size").alias("weight"))
-    inside = inside.join(weight, "id")
-    pivot = inside.groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"), "n")).alias("top"))
-    similar = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
-    seen = inside.join(pivot, "band").select("band", "id", "n", (-F.col("top.low")).alias("pivot"), F.col("top.n").alias("pn"))
-    seen = stored(seen)
-    elements = reps.select("id", "elements").join(seen.select("id").distinct(), "id", "left_semi")
-    elements = stored(elements)
+    member = stored(weight.join(reps.drop("band"), "id"))
+    pivot = inside.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"))).alias("top"))
+    seen = stored(inside.join(pivot, "band").select("band", "id", (-F.col("top.low")).alias("pivot")))
+    sets = stored(elements(docs, member.select("id", "exact"), id_col, text_col))
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
-    tried = stored(seen.filter(F.col("id") != F.col("pivot")).filter(similar(F.col("n"), F.col("pn"))).select(*pair("id", "pivot")).distinct())
-    links = stored(_verified(tried, elements, threshold))
-    label = components(links).withColumnRenamed("node", "id")
-    placed = stored(seen.join(label, "id", "left").withColumn("label", F.coalesce("component", "id")).select("band", "id", "n", "label"))
-    split_up = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
-    open_ = placed.join(split_up, "band", "left_semi")
-    a, b = (open_.select("band", *[F.col(c).alias(c + s) for c in ("id", "n", "label")]) for s in "ab")
-    rest = a.join(b, "band").filter("ida < idb and labela <> labelb").filter(similar(F.col("na"), F.col("nb")))
+    tried = stored(_similarity(seen.filter(F.col("id") != F.col("pivot")).select(*pair("id", "pivot")).distinct(), sets))
+    label = components(tried.filter(F.col("s") >= threshold)).withColumnRenamed("node", "id")
+    placed = seen.withColumns({"u": F.least("id", "pivot"), "v": F.greatest("id", "pivot")}).join(tried, ["u", "v"], "left").join(label, "id", "left")
+    placed = stored(placed.select("band", "id", F.coalesce("s", F.lit(1.0)).alias("s"), F.coalesce("component", "id").alias("label")))
+    apart = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("band")
+    open_ = placed.join(apart, "band", "left_semi").join(member.select("id", "n", "sig"), "id")
+    a, b = (open_.select("band", *[F.col(c).alias(c + x) for c in ("id", "s", "label", "n", "sig")]) for x in "ab")
+    likely = (
+        (F.col("ida") < F.col("idb"))
+        & (F.col("labela") != F.col("labelb"))
+        & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+        & (F.abs(F.col("sa") - F.col("sb")) <= 1 - threshold + 1e-9)
+        & (_agreeing(F.col("siga"), F.col("sigb"), k) >= least)
+    )
+    rest = a.alias("a").join(b.alias("b"), (F.col("a.band") == F.col("b.band")) & likely)
     rest = rest.select(*pair("ida", "idb")).distinct().join(tried, ["u", "v"], "left_anti")
-    more = stored(_verified(rest, elements, threshold))
-    joined = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).union(more)).withColumnRenamed("node", "rep")
-    classed = member.join(joined, "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
+    more = _similarity(rest, sets).filter(F.col("s") >= threshold).select("u", "v")
+    joined = components(label.select(F.col("id").alias("u"), F.col("component").alias("v")).union(stored(more))).withColumnRenamed("node", "rep")
+    owner = made.select("id", "exact").filter("id is not null").distinct().join(copies.select("exact", "rep"), "exact", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    classed = owner.join(joined, "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
     return classed.withColumn("kept", F.col("id") == F.col("component_id"))

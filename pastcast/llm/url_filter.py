@@ -8,47 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pastcast.llm.bloom import Level, exact_size
 from pastcast.session import stored
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-@dataclass(frozen=True)
-class Level:
-    """One Bloom filter: its bits as 64-bit words, hash count and seed."""
-
-    words: tuple[int, ...]
-    bits: int
-    probes: int
-    seed: int
-
-    def might_hold(self, key: Column) -> Column:
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folds to a literal
-        out = F.lit(True)
-        for at in positions(key, self.bits, self.probes, self.seed):
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
-            out = out & (F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return out
-
-
-def positions(key: Column, bits: int, probes: int, seed: int) -> list[Column]:
-    one = F.pmod(F.xxhash64(key, F.lit(2 * seed)), F.lit(bits))
-    two = F.pmod(F.xxhash64(key, F.lit(2 * seed + 1)), F.lit(bits))
-    return [(one + j * two) % bits for j in range(probes)]
-
-
-def _level(keys: DataFrame, count: int, rate: float, seed: int, max_bits: int) -> Level:
-    probes = max(1, math.ceil(-math.log2(rate)))
-    bits = 64 * max(1, math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64))
-    if bits > max_bits:
-        raise ValueError(f"a cascade level needs {bits} bits; at most {max_bits} are sent with a plan")
-    at = keys.select(F.explode(F.array(*positions(F.col("key"), bits, probes, seed))).alias("at"))
-    word = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("b"))
-    got = {r.w: r.b for r in word.collect()}  # at most max_bits / 64 rows
-    return Level(tuple(got.get(w, 0) for w in range(bits // 64)), bits, probes, seed)
-
-
-def build(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 26) -> list[Level]:
+def build(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 22) -> list[Level]:
     """Levels for distinct listed keys against all other keys of the universe (both have one column ``key``).
 
     Level 1 encodes the listed keys, level 2 the other keys that level 1 takes for listed, level 3 the
@@ -62,7 +28,7 @@ def build(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 26) -> li
     outside, levels = universe.select("key").filter("key is not null").join(inside, "key", "left_anti"), []
     while n:
         rate = min(0.5, max(2**-30, math.sqrt(0.5) * n / max(total, 1))) if not levels else 0.5
-        levels.append(_level(inside, n, rate, len(levels) + 1, max_bits))
+        levels.append(exact_size(inside, n, rate, len(levels) + 1, max_bits))
         wrong = stored(outside.filter(levels[-1].might_hold(F.col("key"))))
         inside, outside, n = wrong, inside, wrong.count()
     return levels
