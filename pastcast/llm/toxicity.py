@@ -11,8 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pastcast.llm.quality import picked
 from pastcast.llm.tokens import FOLD, Texts, Words, hashes, mix, pieces, split
-from pastcast.session import ship, stored
+from pastcast.session import ship, stored, with_fields
 
 _GRAM = np.uint64(0x9E3779B97F4A7C15)
 _NEWLINE = 10
@@ -130,16 +131,6 @@ class Crf:
         return 1 / (1 + np.exp(-np.clip(x @ self.map, -30, 30)))
 
 
-def sample(labelled: DataFrame, label: str, most: int, key: str = "doc_id") -> DataFrame:
-    """About ``most`` rows of each label at most, by a hash of the key; a filter, without shuffling texts."""
-    sizes = {r[label]: r["n"] for r in labelled.groupBy(label).agg(F.count("*").alias("n")).collect() if r[label] is not None}
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    want = F.lit(False)
-    for value, n in sizes.items():
-        want = want | ((F.col(label) == value) & (part < min(1.0, most / n)))
-    return labelled.filter(want)
-
-
 def _counts(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = np.zeros((2, buckets), np.int64)
@@ -219,44 +210,51 @@ def _fit_chain(rows: pa.Table, buckets: int, steps: int, ridge: float) -> tuple[
     return x[:buckets], x[buckets:].reshape(2, 2)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton steps for ridge logistic regression; the first column isn't penalised."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Newton steps for weighted ridge logistic regression; the first column isn't penalised."""
     w, pen = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     pen[0, 0] = 1e-3
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + pen, x.T @ (p - y) + pen @ w)
+        w = w - np.linalg.solve((x * (weight * (p * (1 - p) + 1e-6))[:, None]).T @ x + pen, x.T @ (weight * (p - y)) + pen @ w)
     return w
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", most: int = 6000, buckets: int = 1 << 18, steps: int = 60) -> Crf:
-    """Fits on rows (key, text, toxic in 0, 1), of which about ``most`` of each label are used, picked by a hash of the key.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", most: int = 6000, buckets: int = 1 << 18, steps: int = 60) -> Crf:
+    """Fits on about ``most`` documents of each label, picked by a hash of the key; labels has (key, label in 0, 1).
 
+    The picked keys, bounded by ``most``, are broadcast to the documents.
     Words of toxic texts are labelled first: a byte run that at least three toxic texts hold, and that is twenty times as
     frequent in toxic as in clean texts (half an occurrence added), marks its words. A chain is then fitted to at most four
     windows of 25 words of each text, and a logistic map to the marginals of the same texts. The driver receives
-    windows and three numbers a text, never whole texts.
+    windows and three numbers a text, never whole texts. The map weighs texts by how common their label is among all
+    labels. Without labels of both kinds every score is the smoothed share of label 1, below a half.
     """
-    spark = labelled.sparkSession
+    spark = docs.sparkSession
     ship(spark)
-    picked = stored(sample(labelled.select(F.col(key), "toxic", "text").filter("toxic in (0, 1) and text is not null"), "toxic", most, key).select("text", "toxic", key))
-    size = {r.toxic: r.n for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    some, sizes = picked(labels, label, most, key)
+    rows = docs.select(key, F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(some), key)
+    picked_docs = stored(rows.select("text", F.col(label).cast("int").alias("toxic"), key))
+    size = {r.toxic: r.n for r in picked_docs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    none = np.array([np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 1.5)), 0.0, 0.0, 0.0])
     if len(size) < 2:
-        raise ValueError("labels of both kinds are needed")
+        return Crf(np.zeros(1, np.float32), np.zeros((2, 2)), np.minimum(none, -1e-6))
     n0, n1 = size[0], size[1]
-    counted = picked.select("text", "toxic").mapInArrow(_counts(buckets), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = picked_docs.select("text", "toxic").mapInArrow(_counts(buckets), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     marked = counted.filter(F.col("toxic") >= 3).filter((F.col("toxic") / n1) > 20 * (F.col("clean") + 0.5) / n0)
     odds = np.full(buckets, -1.0, np.float32)
     for r in marked.collect():  # at most one row per bucket
         odds[r.bucket] = 1.0
     shared = spark.sparkContext.broadcast(odds)
-    rows = picked.select("text", "toxic").mapInArrow(lambda b: _windows(buckets, shared.value, 4, 12)(b), "feats array<int>, sizes array<int>, labels array<int>").toArrow()
+    rows = picked_docs.select("text", "toxic").mapInArrow(lambda b: _windows(buckets, shared.value, 4, 12)(b), "feats array<int>, sizes array<int>, labels array<int>").toArrow()
+    if not rows.num_rows:
+        return Crf(np.zeros(1, np.float32), np.zeros((2, 2)), np.minimum(none, -1e-6))
     weights, trans = _fit_chain(rows, buckets, steps, 1e-4)
     model = Crf(weights.astype(np.float32), trans, np.array([0.0, 1.0, 0.0, 0.0]))
-    seen = score(picked.select(F.col(key), "text", "toxic"), model, keep=("toxic",), raw=True).select("raw", "toxic").toArrow()
+    seen = score(picked_docs.select(F.col(key), "text", "toxic"), model, keep=("toxic",), raw=True).select("raw", "toxic").toArrow()
     x = np.stack(seen.column(0).to_numpy())
     y = seen.column(1).to_numpy().astype(float)
-    model.map = logistic(x, y)
+    model.map = logistic(x, y, np.where(y == 1, sizes[1] / n1, sizes[0] / n0))
     return model
 
 
@@ -292,6 +290,5 @@ def score(docs: DataFrame, model: Crf, text_col: str = "text", keep: tuple[str,
                 names.append("raw")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = dict(docs.select(*keep).dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, spans array<struct<start:int,end:int,p:double>>" + ", raw array<double>" * raw
+    schema = with_fields(docs.select(*keep), "score double, spans array<struct<start:int,end:int,p:double>>" + ", raw array<double>" * raw)
     return docs.select(*keep, F.col(text_col).alias("_t")).mapInArrow(run, schema)
