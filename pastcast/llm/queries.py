@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastcast.llm import chat, decontaminate, minhash, sharding, toxicity, url_filter
+from pastcast.llm import chat, decontaminate, embedding_dedup, minhash, quality, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
 from pastcast.session import table
 
 #: Fixed values of the rule list.
@@ -20,21 +20,27 @@ RULES = [
 ]
 
 
+def tokenizer() -> str:
+    """Path of the vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     """Rows that no model of the registered queries learns from."""
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
 
-def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str) -> DataFrame:
-    """(doc_id, label, text) of the labelled documents that are not held out; labels are a small table beside the texts."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", label).filter(F.col(label).isNotNull() & ~held_out())
-    return docs.select("doc_id", "text").join(labels, "doc_id")
+def learned(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
+    """(doc_id, label) of the rows that models may learn from."""
+    return table(spark, sf_dir, "labels").select("doc_id", label).filter(~held_out())
 
 
 def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(labelled(spark, docs, sf_dir, "toxic"))
+    model = toxicity.fit(docs, learned(spark, sf_dir, "toxic"))
     out = toxicity.score(docs, model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))).alias("spans"))
 
@@ -85,6 +91,21 @@ def op8_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op5_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document and whether it is above 4096, from its prefix table."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("text", F.lit("")).alias("text"))
+    out = token_counts.budgets(rows.select(F.struct("doc_id", "n_bytes").alias("row"), "text"), tokenizer(), (4096,), "row")
+    return out.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), F.col("cuts")[0]["bytes"].cast("long").alias("bytes_within"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document with an end id, and their decoding, as digests."""
+    out = sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer())
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 OP8_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, count(*) OVER (PARTITION BY conv_id) AS n FROM t),
@@ -102,13 +123,29 @@ def op3_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.fit(docs, learned(spark, sf_dir, "quality")))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors of equal labels at cosine 0.98."""
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_toxicity": op1_crf_toxicity,
     "op2_bloom_cascade": op2_bloom_cascade,
     "op3_dartminhash": op3_dartminhash,
     "op4_label_propagation": op4_label_propagation,
+    "op5_prefix_counts": op5_prefix_counts,
     "op6_containment": op6_containment,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_snapshot_collapse": op8_snapshot_collapse,
+    "op9_neighbour_votes": op9_neighbour_votes,
+    "op10_product_quantisation": op10_product_quantisation,
 }
 
 ORACLES: dict[str, str] = {
