@@ -1 +1,7 @@
-"""plans of the library."""
+"""Registered queries, one module per part of the library."""
+
+from pastcast.plans import warehouse
+
+_MODULES = [warehouse]
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
