@@ -151,14 +151,21 @@ def _agreeing(a: Column, b: Column, k: int) -> Column:
     return k - total
 
 
+def _shareable(sets: DataFrame) -> DataFrame:
+    """(id, n, m): how many elements each set has, and how many of them some other set has too: no overlap is larger than m."""
+    rows = sets.select("id", F.explode("elements").alias("e"))
+    alone = rows.groupBy("e").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    return sets.select("id", F.size("elements").alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("m"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, bands: int = 20, rows: int = 6) -> DataFrame:
     """(id, component_id, kept): the class of each row under links of weighted shingle similarity >= threshold.
 
     Equal texts are one class member from the start. Distinct texts that agree on a band are candidates.
     In each bucket all members first meet the one that shares most buckets, and their similarity to it is computed exactly.
     Members of a bucket that are still in different classes then meet each other, unless
-    sizes, the triangle inequality for their distances to that pivot, or the signatures rule a link out; no
-    candidate link between classes is capped, and members of one class are not paired again. Every link is verified on the full
+    the elements that others share with each, the triangle inequality for their distances to that pivot, or the signatures
+    rule a link out; no candidate link between classes is capped, and members of one class are not paired again. Every link is verified on the full
     element sets. ``component_id`` is the smallest id of the class; ``kept`` marks its row.
 
     Null texts are alone; texts without words are linked to equal texts only; rows that repeat an id and its text
@@ -185,12 +192,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = seen.withColumns({"u": F.least("id", "pivot"), "v": F.greatest("id", "pivot")}).join(tried, ["u", "v"], "left").join(label, "id", "left")
     placed = stored(placed.select("band", "id", F.coalesce("s", F.lit(1.0)).alias("s"), F.coalesce("component", "id").alias("label")))
     apart = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("band")
-    open_ = placed.join(apart, "band", "left_semi").join(member.select("id", "n", "sig"), "id")
-    a, b = (open_.select("band", *[F.col(c).alias(c + x) for c in ("id", "s", "label", "n", "sig")]) for x in "ab")
+    open_ = stored(placed.join(apart, "band", "left_semi"))
+    open_ = open_.join(_shareable(sets.join(open_.select("id").distinct(), "id", "left_semi")), "id").join(member.select("id", "sig"), "id")
+    a, b = (open_.select("band", *[F.col(c).alias(c + x) for c in ("id", "s", "label", "n", "m", "sig")]) for x in "ab")
     likely = (
         (F.col("ida") < F.col("idb"))
         & (F.col("labela") != F.col("labelb"))
-        & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+        & (F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6)
         & (F.abs(F.col("sa") - F.col("sb")) <= 1 - threshold + 1e-9)
         & (_agreeing(F.col("siga"), F.col("sigb"), k) >= least)
     )
