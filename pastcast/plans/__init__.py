@@ -1,7 +1,7 @@
 """Registered queries, one module per part of the library."""
 
-from pastcast.plans import warehouse
+from pastcast.plans import features, search, warehouse
 
-_MODULES = [warehouse]
+_MODULES = [search, warehouse, features]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -8,23 +8,12 @@ from pyspark.sql import functions as F
 from pastcast.functions.common import micros, rounded
 from pastcast.operators import candles, warehouse
 from pastcast.plans.data import BARS, PANEL, SERIES, daily_bars, day, event_series, panel
+from pastcast.plans.registry import registry
 from pastcast.session import table
 from pastcast.sources import bars as bars_io
 from pastcast.sources import series as series_io
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that states it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = registry()
 
 
 @query("SELECT event_type AS series_id, epoch_us(ts) AS us, value FROM events")
