@@ -34,7 +34,7 @@ def features(texts: Texts, words: Words, buckets: int) -> tuple[np.ndarray, np.n
         h = h * np.uint64(0x100000001B3) + data[n : n + len(h)] + np.uint64(1)
         if n >= 2:
             grams.append((left > n, h + np.uint64(n * 0xD6E8FEB86659FD93 % 2**64)))
-    count = sum(np.maximum(size - n, 0) for n in (2, 3, 4)) + 1
+    count = sum(np.maximum(size - n, 0) for n in (2, 3, 4)) + 2
     first = np.concatenate(([0], np.cumsum(count)))
     out = np.zeros(first[-1], np.int64)
     at = first[:-1].copy()
@@ -43,7 +43,7 @@ def features(texts: Texts, words: Words, buckets: int) -> tuple[np.ndarray, np.n
         out[np.repeat(at - (np.cumsum(made) - made), made) + np.arange(made.sum())] = (mix(g[ok]) % np.uint64(buckets)).astype(np.int64)
         at += made
     out[at] = (mix(hashes(texts, words) ^ _GRAM) % np.uint64(buckets)).astype(np.int64)
-    return out, first
+    return out, first  # the last feature of a word is bucket 0: what holds for any word
 
 
 def chains(texts: Texts, words: Words) -> np.ndarray:
@@ -168,7 +168,7 @@ def _windows(buckets: int, odds: np.ndarray, most: int, reach: int):
             order = np.argsort(words.doc[at], kind="stable")
             at = at[order]
             turn = np.arange(len(at)) - np.searchsorted(words.doc[at], words.doc[at])
-            at = at[turn < most]
+            at = at[turn < most + (y[words.doc[at]] == 0)]
             lo = np.maximum(at - reach, line[chain[at]])
             hi = np.minimum(at + reach + 1, line[chain[at] + 1])
             feats = [bucket[first[a] : first[b]].astype(np.int32) for a, b in zip(lo, hi, strict=True)]
@@ -182,7 +182,7 @@ def _windows(buckets: int, odds: np.ndarray, most: int, reach: int):
 
 def _fit_chain(rows: pa.Table, buckets: int, steps: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood by Adam on the labelled windows."""
-    bucket, size, y = (rows.column(k).combine_chunks().flatten().to_numpy() for k in range(3))
+    bucket, size, y = (rows.column(k).combine_chunks().flatten().to_numpy() for k in range(3))  # 32-bit; the driver holds little else
     at = np.concatenate(([0], np.cumsum(size)))
     first = np.concatenate(([0], np.cumsum(rows.column(2).combine_chunks().value_lengths().to_numpy())))
     inner = np.ones(len(y), bool)
@@ -192,9 +192,10 @@ def _fit_chain(rows: pa.Table, buckets: int, steps: int, ridge: float) -> tuple[
     np.add.at(seen, (y[pairs - 1], y[pairs]), 1)
     x = np.zeros(buckets + 4)
     x[buckets:] = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True)).reshape(-1)
+    x[0] = -5.0  # a word is clean unless its own features say otherwise, unseen words too
     m, v = np.zeros_like(x), np.zeros_like(x)
     for k in range(1, steps + 1):
-        e, trans = np.add.reduceat(x[:buckets][bucket], at[:-1]), x[buckets:].reshape(2, 2)
+        e, trans = np.add.reduceat(x[:buckets].astype(np.float32)[bucket], at[:-1]).astype(np.float64), x[buckets:].reshape(2, 2)
         f, b = forward_backward(e, first, trans)
         p = 1 / (1 + np.exp(-np.clip(f + b, -50, 50)))
         ahead = (b + e)[pairs]
@@ -202,9 +203,10 @@ def _fit_chain(rows: pa.Table, buckets: int, steps: int, ridge: float) -> tuple[
         joint = np.exp(whole - whole.max(axis=0))
         joint = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
         g = np.zeros_like(x)
-        g[:buckets] = np.bincount(bucket, weights=np.repeat(p - y, size), minlength=buckets)
+        g[:buckets] = np.bincount(bucket, weights=np.repeat((p - y).astype(np.float32), size), minlength=buckets)
         g[buckets:] = (joint - seen).reshape(-1)
-        g = g / len(y) * 50 + ridge * x
+        g = g / len(y) * 50
+        g[1:] += ridge * x[1:]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x -= 0.15 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-6)
     return x[:buckets], x[buckets:].reshape(2, 2)
@@ -220,13 +222,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", most: int = 6000, buckets: int = 1 << 18, steps: int = 60) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", most: int = 4000, buckets: int = 1 << 18, steps: int = 60) -> Crf:
     """Fits on about ``most`` documents of each label, picked by a hash of the key; labels has (key, label in 0, 1).
 
     The picked keys, bounded by ``most``, are broadcast to the documents.
     Words of toxic texts are labelled first: a byte run that at least three toxic texts hold, and that is twenty times as
-    frequent in toxic as in clean texts (half an occurrence added), marks its words. A chain is then fitted to at most four
-    windows of 25 words of each text, and a logistic map to the marginals of the same texts. The driver receives
+    frequent in toxic as in clean texts (half an occurrence added), marks its words. A chain is then fitted to at most two
+    windows of 21 words of each toxic and three of each clean text, and a logistic map to the marginals of the same texts. The driver receives
     windows and three numbers a text, never whole texts. The map weighs texts by how common their label is among all
     labels. Without labels of both kinds every score is the smoothed share of label 1, below a half.
     """
@@ -246,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     for r in marked.collect():  # at most one row per bucket
         odds[r.bucket] = 1.0
     shared = spark.sparkContext.broadcast(odds)
-    rows = picked_docs.select("text", "toxic").mapInArrow(lambda b: _windows(buckets, shared.value, 4, 12)(b), "feats array<int>, sizes array<int>, labels array<int>").toArrow()
+    rows = picked_docs.select("text", "toxic").mapInArrow(lambda b: _windows(buckets, shared.value, 2, 10)(b), "feats array<int>, sizes array<int>, labels array<int>").toArrow()
     if not rows.num_rows:
         return Crf(np.zeros(1, np.float32), np.zeros((2, 2)), np.minimum(none, -1e-6))
     weights, trans = _fit_chain(rows, buckets, steps, 1e-4)
