@@ -185,3 +185,30 @@ def differing(runs: DataFrame, left: int, right: int) -> DataFrame:
 def latest(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last entry of each key."""
     return entries.groupBy(key).agg(F.max_by(F.struct(*[c for c in entries.columns if c != key]), F.struct(*order)).alias("e")).select(key, "e.*")
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component) of undirected edges (u, v): each round nodes take the smallest label around them, then their label's label.
+
+    Labels are a table per round; a hub's neighbours are aggregated before the shuffle and never gathered.
+    """
+    both = checkpointed(edges.select("u", "v").union(edges.select("v", "u")).filter("u is not null and v is not null").distinct())
+    label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component")))
+    for _ in range(max_rounds):
+        near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("component").alias("m"))
+        low = label.join(near, label.node == near.u).select("node", F.least("component", "m").alias("component"))
+        jump = low.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        new = checkpointed(low.join(jump, F.col("component") == F.col("_n")).select("node", F.least("component", "_c").alias("component")))
+        if new.join(label, ["node", "component"], "left_anti").isEmpty():
+            return new
+        label = new
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def autocorrelation(rows: DataFrame, lags: list[int]) -> DataFrame:
+    """(series_id, lag, acf) about the series mean, by frames that reach the longest lag."""
+    stats = rows.groupBy("series_id").agg(F.avg("value").alias("m"), (F.var_pop("value") * F.count("*")).alias("v"))
+    w = in_chunk()
+    back = framed(rows, {f"l{k}": F.lag("value", k).over(w) for k in lags}, before=max(lags)).join(stats, "series_id")
+    item = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), ((F.col("value") - F.col("m")) * (F.col(f"l{k}") - F.col("m"))).alias("p")) for k in lags]))
+    return back.select("series_id", "v", item.alias("i")).groupBy("series_id", "i.lag").agg((F.sum("i.p") / F.first("v")).alias("acf"))

@@ -81,11 +81,12 @@ def _scores(windows: np.ndarray, queries: np.ndarray, parts: int, alphabet: int,
     return score, corr
 
 
-def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, methods: dict[str, float], stride: int = 1, ahead: int = 0, parts: int = 16, alphabet: int = 8, size: int = CHUNK) -> DataFrame:
+def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, methods: dict[str, float], stride: int = 1, ahead: int = 0, parts: int = 16, alphabet: int = 8, size: int = CHUNK, own: bool = False) -> DataFrame:
     """(query_id, series_id, start, score, correlation): per query the ``keep`` best windows of each stretch.
 
     queries: (query_id, series_id, q_start, cut, values), at most MAX_QUERIES rows, which are broadcast after a count. A window that overlaps the
-    query's own span, or that reaches beyond ``cut`` on the query's series, is no candidate; ``ahead`` values must follow it.
+    query's own span, or that with the ``ahead`` values after it reaches beyond ``cut`` on the query's series, is no candidate; ``ahead`` values
+    must follow it. With own, only the query's series is searched.
     One pass over stretches of positions serves all queries; windows are views and are never turned into rows.
     """
     spark = rows.sparkSession
@@ -114,7 +115,9 @@ def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, metho
                 for k in range(0, len(at), 1024):
                     score, corr = _scores(view[at[k : k + 1024]], z, parts, alphabet, methods)
                     first = start[k : k + 1024][:, None]
-                    bad = mine[None] & (((first < begun + width) & (first + width > begun)) | (first + width > cut))
+                    bad = mine[None] & (((first < begun + width) & (first + width > begun)) | (first + width + ahead > cut))
+                    if own:
+                        bad = bad | ~mine[None]
                     score[bad] = -1
                     out.append((score, corr))
                 score, corr = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])

@@ -1,0 +1,126 @@
+"""Walk-forward trials, their cones and outcomes; banded warping distances."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from pastcast.operators import projection, search
+from pastcast.operators.windows import windows
+from pastcast.session import ship
+
+
+def positions(rows: DataFrame, width: int, ahead: int, stride: int) -> DataFrame:
+    """(query_id, series_id, q_start, cut, values): trial windows at multiples of the stride that leave three widths before and ``ahead`` values after.
+
+    The look-back ends where the query begins: ``cut`` is its start.
+    """
+    end = rows.groupBy("series_id").agg((F.max("pos") + 1).alias("n"))
+    w = windows(rows, width, stride).join(end, "series_id").filter((F.col("start") >= 3 * width) & (F.col("start") <= F.col("n") - width - ahead))
+    return w.select(F.concat_ws("@", "series_id", F.col("start").cast("string")).alias("query_id"), "series_id", F.col("start").alias("q_start"), F.col("start").alias("cut"), "values")
+
+
+def walk_forward(rows: DataFrame, trials: DataFrame, width: int, bars: int, k: int, methods: dict[str, float]) -> DataFrame:
+    """(query_id, bar, pct, value, actual, n_matches): the cone of each trial from matches in its series before it, beside what happened.
+
+    One pass over the series serves all trials. A trial without matches, or with a zero anchor, has no rows.
+    """
+    found = search.candidates(rows, trials, width, k, methods, ahead=bars, own=True)
+    best = search.top(found, k).select("query_id", "rank", F.col("score").alias("weight"), "series_id", (F.col("start") + width).alias("end"))
+    cone = projection.cone(projection.forward_paths(best, rows, bars), ["query_id"])
+    real = projection.forward_paths(trials.select("query_id", "series_id", (F.col("q_start") + width).alias("end")), rows, bars).select("query_id", "bar", F.col("ret").alias("actual"))
+    return cone.join(real, ["query_id", "bar"]).join(best.groupBy("query_id").agg(F.count("*").alias("n_matches")), "query_id")
+
+
+def bar_calibration(trial_bars: DataFrame) -> DataFrame:
+    """(pct, error): mean over bars of the distance between how often the outcome lies below a curve and its level."""
+    per = trial_bars.groupBy("pct", "bar").agg(F.avg((F.col("actual") <= F.col("value")).cast("double")).alias("below"))
+    return per.groupBy("pct").agg(F.avg(F.abs(F.col("below") - F.col("pct") / 100)).alias("error"))
+
+
+def terminal(trial_bars: DataFrame, bars: int) -> DataFrame:
+    """(query_id, actual, p10, p50, p90): the last bar of each trial."""
+    last = trial_bars.filter(F.col("bar") == bars - 1)
+    return last.groupBy("query_id").agg(F.first("actual").alias("actual"), *[F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"p{p}") for p in (10, 50, 90)])
+
+
+def retrieval_metrics(found: DataFrame) -> DataFrame:
+    """(arm, n, correlation, calibration_error, hit_rate) from trials (arm, mean_match, actual, p10, p90); a flat side or fewer than three give 0."""
+    flat = (F.count("*") < 3) | (F.stddev_pop("mean_match") == 0) | (F.stddev_pop("actual") == 0)
+    return found.groupBy("arm").agg(
+        F.count("*").alias("n"), F.when(flat, 0.0).otherwise(F.corr("mean_match", "actual")).alias("correlation"), F.abs(F.avg(F.col("actual").between(F.col("p10"), F.col("p90")).cast("double")) - 0.8).alias("calibration_error"), F.avg((F.signum("mean_match") == F.signum("actual")).cast("double")).alias("hit_rate")
+    )
+
+
+def trust(groups: DataFrame) -> DataFrame:
+    """Adds trust in 0 to 1 from n, mae, mean, sd and regime_share: sample size .35, calibration .25, agreement .15, regime .25."""
+    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    agree = F.when(F.col("mean") == 0, 0.0).otherwise(1 / (1 + F.col("sd") / F.abs("mean")))
+    return groups.withColumn("trust", 0.35 * F.col("n") / (F.col("n") + 5) + 0.25 * clip(1 - F.col("mae") / 0.3) + 0.15 * agree + 0.25 * clip(F.col("regime_share")))
+
+
+def warping_distances(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Banded warping distances of the rows of a and b (equal shapes): all pairs of rows advance together along the table's rows.
+
+    A cell (i, j) is inside the band when abs(i - j) < radius, and always on the diagonal.
+    """
+    n, m = a.shape
+    before = np.full((n, m + 1), np.inf)
+    before[:, 0] = 0
+    for i in range(m):
+        now = np.full((n, m + 1), np.inf)
+        for j in range(max(0, i - max(radius, 1) + 1), min(m, i + max(radius, 1))):
+            now[:, j + 1] = (a[:, i] - b[:, j]) ** 2 + np.minimum(np.minimum(before[:, j], before[:, j + 1]), now[:, j])
+        before = now
+    return np.sqrt(before[:, m])
+
+
+def with_warping(pairs: DataFrame, a: str, b: str, radius: int | None = None) -> DataFrame:
+    """Adds dtw = exp(-distance / length) of two array columns of one length, z-scored; the band's default is a tenth of the length."""
+    ship(pairs.sparkSession)
+
+    @F.pandas_udf("double")
+    def score(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in columns:
+            out, size = np.zeros(len(x)), x.map(len).to_numpy()
+            for m in np.unique(size):
+                at = np.flatnonzero(size == m)
+                p, q = (np.stack(s.iloc[at].to_list()).astype(float) for s in (x, y))
+                p, q = ((v - v.mean(axis=1, keepdims=True)) / np.where(v.std(axis=1, keepdims=True) == 0, 1, v.std(axis=1, keepdims=True)) for v in (p, q))
+                out[at] = np.exp(-warping_distances(p, q, radius or max(1, m // 10)) / m)
+            yield pd.Series(out)
+
+    return pairs.withColumn("dtw", score(a, b))
+
+
+def without_overlaps(found: DataFrame, k: int, share: float = 0.5) -> DataFrame:
+    """Best first, a match is dropped when it overlaps one that is kept by more than the share of its own length; at most k per query.
+
+    found: (query_id, source, start, end, score), a few hundred rows per query.
+    """
+    schema = found.schema
+
+    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple] = []
+        for row in pdf.sort_values(["score", "source", "start"], ascending=[False, True, True]).itertuples():
+            if len(kept) < k and all(min(row.end, o.end) - max(row.start, o.start) <= share * (row.end - row.start) for o in kept):
+                kept.append(row)
+        return pdf.loc[[r.Index for r in kept]]
+
+    return found.groupBy("query_id").applyInPandas(greedy, schema)
+
+
+def latest_regimes(rows: DataFrame, last: int = 60) -> DataFrame:
+    """(series_id, values) of each series' last bars, for a regime snapshot."""
+    q = search.last_windows(rows, last)
+    return q.select("series_id", "values")
+
+
+def ranked_generators(scores: DataFrame) -> DataFrame:
+    """Adds place: rows with an error last, then fidelity downwards, utility gap upwards, name."""
+    w = Window.orderBy(F.col("error").isNotNull(), F.desc("fidelity"), F.asc("gap"), "name")  # one row per generator
+    return scores.withColumn("place", F.row_number().over(w))

@@ -120,3 +120,30 @@ def test_bar_table_keeps_the_last_arrival(spark):
     t(row(2.0), 1)
     t(row(9.0), 1)
     assert [r.close for r in spark.read.parquet(t.path).collect()] == [2.0]
+
+
+def test_warping_matches_brute_force():
+    from pastcast.operators.trials import warping_distances
+
+    rng = np.random.default_rng(0)
+    a, b = rng.normal(size=(20, 12)), rng.normal(size=(20, 12))
+
+    def brute(x, y, r):
+        d = np.full((13, 13), np.inf)
+        d[0, 0] = 0
+        for i in range(12):
+            for j in range(12):
+                if abs(i - j) < r:
+                    d[i + 1, j + 1] = (x[i] - y[j]) ** 2 + min(d[i, j], d[i, j + 1], d[i + 1, j])
+        return np.sqrt(d[12, 12])
+
+    for r in (1, 3, 12):
+        assert np.allclose(warping_distances(a, b, r), [brute(x, y, r) for x, y in zip(a, b, strict=True)])
+
+
+def test_overlaps_go_best_first(spark):
+    from pastcast.operators.trials import without_overlaps
+
+    rows = [("q", "s", 0, 10, 0.9), ("q", "s", 4, 14, 0.8), ("q", "s", 6, 16, 0.7), ("q", "t", 30, 40, 0.1)]
+    got = without_overlaps(spark.createDataFrame(rows, "query_id string, source string, start long, end long, score double"), 2).collect()
+    assert sorted(r.start for r in got) == [0, 6]
