@@ -1,7 +1,7 @@
 """Registered queries, one module per part of the library."""
 
-from pastcast.plans import evaluation, features, search, streams, trials, warehouse
+from pastcast.plans import copies, evaluation, features, search, streams, trials, warehouse
 
-_MODULES = [search, warehouse, features, evaluation, streams, trials]
+_MODULES = [search, warehouse, features, evaluation, streams, trials, copies]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
