@@ -13,8 +13,14 @@ from pyspark.sql.types import StructType
 _shipped: set[str] = set()
 
 
+#: Rows of an Arrow batch at most: texts of several kB each must fit in a task's share of memory, on both sides of the pipe.
+ARROW_ROWS = 1500
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of every executor, once per application."""
+    """Send this package to the Python workers of every executor, once per application, and bound Arrow batches of texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
