@@ -37,7 +37,7 @@ def cone(paths: DataFrame, keys: list[str], weight: str = "weight", value: str =
     """
     group = [*keys, "bar"]
     w = Window.partitionBy(*group)
-    order = w.orderBy(value, "_id")
+    order = w.orderBy(value, weight, "_id")
     rows = paths.withColumn("_id", F.xxhash64(*[c for c in paths.columns if c not in group])).withColumns({"_t": F.sum(weight).over(w), "_n": F.count("*").over(w)})
     rows = rows.withColumn("_w", F.when(F.col("_t") > 0, F.col(weight) / F.col("_t")).otherwise(1 / F.col("_n")))
     rows = rows.withColumn("_c", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w") / 2)
