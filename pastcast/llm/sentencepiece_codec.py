@@ -20,16 +20,28 @@ class Codec:
 
     def __init__(self, m: Model) -> None:
         self.model = m
+        self.packed = [self._pack(ids, t) if t else b"" for ids, t in zip(m.ids, m.tokens, strict=True)]
         self.pairs = Remembered(self._pairs)
 
     def _pairs(self, text: str) -> bytes:
         """(id, source bytes) of a stretch in which each character but an escaped space stands for itself."""
-        out, at = [], 0
-        for ids, n in self.model.encoded(text):
-            size = len(text[at : at + n].replace(SPACE, " ").encode("utf-8", "replace"))
-            out += [(i, 1) for i in ids] if len(ids) == size else [*((i, 0) for i in ids[:-1]), (ids[-1], size)]
-            at += n
-        return np.array(out, dtype="<i4").tobytes()
+        m, at, out = self.model, len(text), []
+        last, length = m.prefixes(text), m.length
+        while at:
+            t = last[at]
+            if t:
+                out.append(self.packed[t])
+                at -= length[t]
+            else:
+                at -= 1
+                out.append(self._pack(m.ids_of(text[at]), text[at]))
+        return b"".join(reversed(out))
+
+    @staticmethod
+    def _pack(ids: list[int], token: str) -> bytes:
+        size = len(token.replace(SPACE, " ").encode("utf-8", "replace"))
+        pairs = [(i, 1) for i in ids] if len(ids) == size else [*((i, 0) for i in ids[:-1]), (ids[-1], size)]
+        return np.array(pairs, dtype="<i4").tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first byte, end byte); the bytes are those of the source text."""

@@ -120,7 +120,7 @@ class Model:
 
     def _join(self, key: int) -> bool:
         """Whether two neighbouring tokens, packed into the key, keep the border between them."""
-        if len(self.joins) >= 500_000:
+        if len(self.joins) >= 300_000:
             self.joins.clear()
         left, right = self.tokens[key // self.count], self.tokens[key % self.count]
         ok = self.joins[key] = self.merged(left + right) == ([left, right] if left else [right])
@@ -238,7 +238,7 @@ class Model:
 class Remembered(dict):
     """Values of short stretches, made when first asked for; full at ``most``."""
 
-    def __init__(self, make, most: int = 300_000) -> None:
+    def __init__(self, make, most: int = 150_000) -> None:
         self.make, self.most = make, most
 
     def __missing__(self, key: str):

@@ -111,10 +111,10 @@ class Crf:
     def marginals(self, texts: Texts) -> tuple[Words, np.ndarray]:
         words = split(texts)
         emission = np.zeros(len(words.start))
-        for at in range(0, len(emission), 1 << 16):
-            some = Words(words.start[at : at + (1 << 16)], words.end[at : at + (1 << 16)], words.doc, words.first)
+        for at in range(0, len(emission), 1 << 15):
+            some = Words(words.start[at : at + (1 << 15)], words.end[at : at + (1 << 15)], words.doc, words.first)
             bucket, first = features(texts, some, self.buckets)
-            emission[at : at + (1 << 16)] = np.add.reduceat(self.weights[bucket], first[:-1])
+            emission[at : at + (1 << 15)] = np.add.reduceat(self.weights[bucket], first[:-1])
         f, b = forward_backward(emission, chains(texts, words), self.trans)
         return words, 1 / (1 + np.exp(-np.clip(f + b, -50, 50)))
 
@@ -272,7 +272,7 @@ def score(docs: DataFrame, model: Crf, text_col: str = "text", keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = Crf(*shared.value)
-        for batch, texts in pieces(batches, "_t", 4 << 20):
+        for batch, texts in pieces(batches, "_t", 2 << 20):
             words, p = crf.marginals(texts)
             x = crf.summary(words, p, texts.n)
             on = np.flatnonzero(p >= span_at)
