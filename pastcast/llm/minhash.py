@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = band.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     inside = stored(band.join(full, "band"))
     weight = inside.groupBy("id").agg(F.sum("size").alias("weight"))
-    member = stored(weight.join(reps.drop("band"), "id"))
+    member = stored(weight.join(reps.withColumnRenamed("band", "all"), "id"))
     pivot = inside.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", (-F.col("id")).alias("low"))).alias("top"))
     seen = stored(inside.join(pivot, "band").select("band", "id", (-F.col("top.low")).alias("pivot")))
     sets = stored(elements(docs, member.select("id", "exact"), id_col, text_col))
@@ -193,14 +193,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = stored(placed.select("band", "id", F.coalesce("s", F.lit(1.0)).alias("s"), F.coalesce("component", "id").alias("label")))
     apart = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi and size > 2").select("band")
     open_ = stored(placed.join(apart, "band", "left_semi"))
-    open_ = open_.join(_shareable(sets.join(open_.select("id").distinct(), "id", "left_semi")), "id").join(member.select("id", "sig"), "id")
-    a, b = (open_.select("band", *[F.col(c).alias(c + x) for c in ("id", "s", "label", "n", "m", "sig")]) for x in "ab")
+    open_ = open_.join(_shareable(sets.join(open_.select("id").distinct(), "id", "left_semi")), "id").join(member.select("id", "sig", "all"), "id")
+    a, b = (open_.select("band", *[F.col(c).alias(c + x) for c in ("id", "s", "label", "n", "m", "sig", "all")]) for x in "ab")
     likely = (
         (F.col("ida") < F.col("idb"))
         & (F.col("labela") != F.col("labelb"))
         & (F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-6)
         & (F.abs(F.col("sa") - F.col("sb")) <= 1 - threshold + 1e-9)
         & (_agreeing(F.col("siga"), F.col("sigb"), k) >= least)
+        & (F.array_min(F.array_intersect("alla", "allb")) == F.col("a.band"))  # a pair comes from the first band it shares
     )
     rest = a.alias("a").join(b.alias("b"), (F.col("a.band") == F.col("b.band")) & likely)
     rest = rest.select(*pair("ida", "idb")).distinct().join(tried, ["u", "v"], "left_anti")
