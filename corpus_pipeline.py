@@ -46,9 +46,9 @@ def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text with an end id, and the bytes of the text that each stands for."""
-    out = sentencepiece_codec.encode_documents(docs, tokenizer(), decode=False)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends")
+    """Ids of every text with an end id, the bytes of the text that each stands for, and the text that the ids decode to."""
+    out = sentencepiece_codec.encode_documents(docs, tokenizer())
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "starts", "ends", "decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

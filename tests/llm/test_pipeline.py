@@ -4,7 +4,7 @@ import corpus_pipeline as cp
 import numpy as np
 from pyspark.sql import functions as F
 
-from pastcast.llm import decontaminate, minhash, queries
+from pastcast.llm import decontaminate, minhash, queries, sentencepiece_codec
 
 
 def test_stages(spark, sf_dir):
@@ -40,3 +40,13 @@ def test_clean_documents_stay(spark, sf_dir):
     left = {r.doc_id for r in cp.good_quality(spark, docs, sf_dir).collect()}
     assert np.mean([k in left for k in good]) > 0.97
     assert queries.QUERIES
+
+
+def test_tokens_are_decoded(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(9001, None, "en", "s", 0), (9002, "", "en", "s", 0), (9003, "caf\u00e9  \u2581 \ufb01n", "en", "s", 0)], docs.schema)
+    m = sentencepiece_codec.codec(open(queries.tokenizer(), "rb").read())
+    rows = cp.tokens(spark, docs.union(odd), sf_dir).collect()
+    assert len(rows) == 43 and all(r.decoded == m.decode(list(r.ids)) for r in rows)
+    assert {r.doc_id: r.decoded for r in rows}[9002] == ""
+    assert sum(len(r.decoded) > 20 for r in rows) > 30
