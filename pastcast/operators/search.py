@@ -16,7 +16,8 @@ from pastcast.session import ship
 
 #: Fixed weights of the scoring methods.
 WEIGHTS = {"bempedelis_r2": 0.20, "bempedelis_smoothness": 0.10, "koopman": 0.20, "wavelet_spectrum": 0.15, "emd": 0.10, "tda": 0.08, "dtw": 0.07, "pearson_warped": 0.05, "transfer_entropy": 0.05}
-MAX_QUERIES = 10_000
+#: Queries that are broadcast at most, and those of a block beyond that.
+MAX_QUERIES, BLOCK = 10_000, 100
 
 
 def breakpoints(alphabet: int) -> list[float]:
@@ -81,28 +82,35 @@ def _scores(windows: np.ndarray, queries: np.ndarray, parts: int, alphabet: int,
     return score, corr
 
 
-def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, methods: dict[str, float], stride: int = 1, ahead: int = 0, parts: int = 16, alphabet: int = 8, size: int = CHUNK, own: bool = False) -> DataFrame:
+def _packed(some: list, width: int) -> tuple:
+    """Queries as arrays: z-scored values, ids, series, starts, cuts."""
+    q = np.array([r["values"] for r in some], dtype=float).reshape(len(some), width)
+    d = q.std(axis=1, keepdims=True)
+    q = np.divide(q - q.mean(axis=1, keepdims=True), d, out=np.zeros_like(q), where=d > 1e-10)
+    return q, [r["query_id"] for r in some], [r["series_id"] for r in some], np.array([r["q_start"] for r in some], dtype=np.int64), np.array([r["cut"] for r in some], dtype=np.int64)
+
+
+def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, methods: dict[str, float], stride: int = 1, ahead: int = 0, parts: int = 16, alphabet: int = 8, size: int = CHUNK, own: bool = False, most: int = MAX_QUERIES) -> DataFrame:
     """(query_id, series_id, start, score, correlation): per query the ``keep`` best windows of each stretch.
 
-    queries: (query_id, series_id, q_start, cut, values), at most MAX_QUERIES rows, which are broadcast after a count. A window that overlaps the
-    query's own span, or that with the ``ahead`` values after it reaches beyond ``cut`` on the query's series, is no candidate; ``ahead`` values
-    must follow it. With own, only the query's series is searched.
-    One pass over stretches of positions serves all queries; windows are views and are never turned into rows.
+    queries: (query_id, series_id, q_start, cut, values), any number. A window that overlaps the query's own span, or that with the
+    ``ahead`` values after it reaches beyond ``cut`` on the query's series, is no candidate; ``ahead`` values must follow it. With own,
+    only the query's series is searched.
+    Up to ``most`` queries are broadcast after a count, and one pass over stretches of positions serves all. More are dealt by hash into
+    blocks, and each stretch meets each block. Windows are views and are never turned into rows.
     """
     spark = rows.sparkSession
     ship(spark)
-    some = queries.limit(MAX_QUERIES + 1).collect()
-    if len(some) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; split the query set")
-    q = np.array([r["values"] for r in some], dtype=float).reshape(len(some), width)
-    d = q.std(axis=1, keepdims=True)
-    q = np.divide(q - q.mean(axis=1, keepdims=True), d, out=np.zeros_like(q), where=d > 1e-10)
-    shared = spark.sparkContext.broadcast((q, [r["query_id"] for r in some], [r["series_id"] for r in some], np.array([r["q_start"] for r in some], dtype=np.int64), np.array([r["cut"] for r in some], dtype=np.int64)))
+    queries = queries.select("query_id", "series_id", "q_start", "cut", "values")
+    some = queries.limit(most + 1).collect()
+    blocked = len(some) > most
+    shared = spark.sparkContext.broadcast(None if blocked else _packed(some, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, ids, series, begun, cut = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                z, ids, series, begun, cut = _packed(row["_q"], width) if blocked else shared.value
                 values = np.array(row["values"])
                 n = min(row["size"], len(values) - width - ahead + 1)
                 if n <= 0 or not len(ids):
@@ -129,7 +137,12 @@ def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, metho
                     ["query_id", "series_id", "start", "score", "correlation"],
                 )
 
-    return chunk_arrays(rows, width + ahead, size, stride).mapInArrow(run, "query_id string, series_id string, start long, score double, correlation double")
+    stretches = chunk_arrays(rows, width + ahead, size, stride)
+    if blocked:
+        deal = F.pmod(F.xxhash64("query_id", "series_id", "q_start"), F.lit(-(-queries.count() // min(most, BLOCK))))
+        packs = queries.groupBy(*["series_id"] * own, deal.alias("_b")).agg(F.collect_list(F.struct(*queries.columns)).alias("_q")).drop("_b")  # about BLOCK queries at most
+        stretches = stretches.join(packs, "series_id") if own else stretches.crossJoin(packs)
+    return stretches.mapInArrow(run, "query_id string, series_id string, start long, score double, correlation double")
 
 
 def top(found: DataFrame, k: int, *keys: str, score: str = "score") -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pastcast.operators import candles, regimes, search, warehouse, windows
+from pastcast.operators import candles, regimes, relations, search, warehouse, windows
 from pastcast.plans.streams import ticks
 from pastcast.sources import bars, series
 from pastcast.streaming import jobs
@@ -147,3 +147,26 @@ def test_overlaps_go_best_first(spark):
     rows = [("q", "s", 0, 10, 0.9), ("q", "s", 4, 14, 0.8), ("q", "s", 6, 16, 0.7), ("q", "t", 30, 40, 0.1)]
     got = without_overlaps(spark.createDataFrame(rows, "query_id string, source string, start long, end long, score double"), 2).collect()
     assert sorted(r.start for r in got) == [0, 6]
+
+
+def test_any_number_of_queries(spark, walk):
+    s = walk.union(line(spark, np.cumsum(np.random.default_rng(8).normal(size=300)) + 50, "b"))
+    q = windows.windows(s, 40, 20).select(F.concat_ws("@", "series_id", "start").alias("query_id"), "series_id", F.col("start").alias("q_start"), (F.col("start") + 700).alias("cut"), "values")
+    key = lambda df: sorted((r.query_id, r.rank, r.series_id, r.start, round(r.score, 9)) for r in df.collect())
+    for own in (False, True):
+        want = key(search.analogues(s, q, 40, 3, size=64, own=own))
+        assert key(search.analogues(s, q, 40, 3, size=64, own=own, most=7)) == want and len({w[0] for w in want}) > 50
+
+
+def test_nearest_of_many_queries(spark):
+    x = np.random.default_rng(5).normal(size=(1500, 4))
+    x[700] = x[3]
+    v = spark.createDataFrame([(k, [float(y) for y in r]) for k, r in enumerate(x)], "id long, vec array<double>")
+    got = {}
+    for r in relations.nearest(v, v.filter("id < 1100").select(F.col("id").alias("query_id"), "vec"), 3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.id))
+    z = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(z @ z.T, 9)
+    np.fill_diagonal(c, -2)
+    want = {k: [(i + 1, int(j)) for i, j in enumerate(np.lexsort((np.arange(1500), -c[k]))[:3])] for k in range(1100)}
+    assert {k: sorted(g) for k, g in got.items()} == want
