@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pastcast.operators import candles, regimes, relations, search, warehouse, windows
+from pastcast.operators import candles, copies, regimes, relations, search, warehouse, windows
 from pastcast.plans.streams import ticks
 from pastcast.sources import bars, series
 from pastcast.streaming import jobs
@@ -170,3 +170,15 @@ def test_nearest_of_many_queries(spark):
     np.fill_diagonal(c, -2)
     want = {k: [(i + 1, int(j)) for i, j in enumerate(np.lexsort((np.arange(1500), -c[k]))[:3])] for k in range(1100)}
     assert {k: sorted(g) for k, g in got.items()} == want
+
+
+def test_paired_bootstrap_draws_with_replacement(spark):
+    rng = np.random.default_rng(11)
+    x = {"a": rng.normal(0.05, 1, 500), "b": rng.exponential(1, 401) - 1}
+    rows = spark.createDataFrame([(i, k, float(v)) for i, d in x.items() for k, v in enumerate(d)], "id string, k long, delta double")
+    for r in copies.paired_bootstrap(rows).collect():
+        d = x[r.id]
+        want = np.quantile([rng.choice(d, len(d)).mean() for _ in range(4000)], [0.025, 0.975])
+        assert r.mean == pytest.approx(d.mean()) and r.low < r.mean < r.high
+        assert r.high - r.low == pytest.approx(want[1] - want[0], rel=0.25)
+        assert 0 < r.p <= 1
