@@ -59,8 +59,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(d == 0, 0.0).otherwise(pair_sum(a, b) / d)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """(query_id, id, similarity, rank): the k most similar rows (id, vec) of each query (query_id, vec), itself left out.
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 1000, digits: int = 12) -> DataFrame:
+    """(query_id, id, similarity, rank): the k most similar rows (id, vec) of each query (query_id, vec), itself left out; ties of so many ``digits`` by id.
 
     Any number of queries: up to ``block`` are broadcast. More are dealt by hash into blocks of about that many, and the rows
     into parts; each part meets each block in one task, which keeps its k best per query, and those are ranked again.
@@ -68,13 +68,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> D
     n = queries.count()
     if n <= block:
         met = rows.crossJoin(F.broadcast(queries.select("query_id", F.col("vec").alias("_q"))))
-        return _most_similar(met, k, "query_id")
+        return _most_similar(met, k, digits, "query_id")
     blocks = -(-n // block)
     parts = max(-(-rows.count() // (20 * block)), 1)
     place = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     q = queries.select("query_id", F.col("vec").alias("_q"), place("query_id", blocks).alias("_b")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     r = rows.select("id", "vec", place("id", parts).alias("_p")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    best = _most_similar(r.join(q, ["_p", "_b"]), k, "query_id", "_p")
+    best = _most_similar(r.join(q, ["_p", "_b"]), k, digits, "query_id", "_p")
     return best.drop("rank").withColumn("rank", _place("query_id")).filter(F.col("rank") <= k)
 
 
@@ -82,9 +82,9 @@ def _place(*keys: str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), "id"))
 
 
-def _most_similar(met: DataFrame, k: int, *keys: str) -> DataFrame:
+def _most_similar(met: DataFrame, k: int, digits: int, *keys: str) -> DataFrame:
     """The k best of the pairs (id, vec, query_id, _q) per key; each task ranks its rows before the shuffle through the window's group limit."""
-    pairs = met.filter(F.col("id") != F.col("query_id")).select("id", *keys, F.round(cosine(F.col("vec"), F.col("_q")), 12).alias("similarity"))
+    pairs = met.filter(F.col("id") != F.col("query_id")).select("id", *keys, F.round(cosine(F.col("vec"), F.col("_q")), digits).alias("similarity"))
     return pairs.withColumn("rank", _place(*keys)).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
 
 

@@ -171,11 +171,28 @@ def e2_nearest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH a AS (SELECT event_id AS anchor, ts AS t FROM events WHERE event_id % 500 = 0) SELECT anchor, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM a JOIN events ON abs(epoch_us(ts) - epoch_us(t)) <= 2 * 86400000000 GROUP BY 1""")
 def e3_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _around(spark, sf_dir, 500)
+
+
+def _around(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
     v = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("ts"))
-    a = v.filter("id % 500 = 0").select(F.col("id").alias("anchor"), "ts")
+    a = v.filter(F.col("id") % every == 0).select(F.col("id").alias("anchor"), "ts")
     return rel.around(v, a, 2).groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+@query(ORACLES["e2_nearest_events"].replace("id < 10", "id % 100 = 0"))
+def e2_nearest_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar events of every hundredth id."""
+    v = event_vectors(spark, sf_dir)
+    out = rel.nearest(v, v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vec"), 5, digits=9)
+    return out.select("query_id", "id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
+@query(ORACLES["e3_around"].replace("event_id % 500 = 0", "event_id % 100 = 0"))
+def e3_around_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _around(spark, sf_dir, 100)
+
+
 _Q4 = [0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.5, 0.5, 0.4, 0.2]
 
 

@@ -50,14 +50,22 @@ def m10_analogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_WINS} SELECT series_id, start, array_to_string(word, '') AS word FROM w WHERE start % 20 = 0""")
 def m1_sax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = windows.normalised(windows.windows(event_series(spark, sf_dir), WIDTH, 20), "zscore")
+    return _words(spark, sf_dir, 20)
+
+
+def _words(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
+    w = windows.normalised(windows.windows(event_series(spark, sf_dir), WIDTH, stride), "zscore")
     return w.select("series_id", "start", F.array_join(search.sax(F.col("normal"), WIDTH).cast("array<string>"), "").alias("word"))
 
 
 @query(f"""WITH {_WINS} SELECT c.series_id, c.start, q.series_id AS query_id, round(sqrt({WIDTH} / 16.0) * sqrt({_GAP}), 6) AS mindist, round(exp(-sqrt({WIDTH} / 16.0) * sqrt({_GAP}) / {WIDTH}), 6) AS score FROM w c JOIN q ON c.start % 20 = 0""")
 def m2_mindist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mindists(spark, sf_dir, 20)
+
+
+def _mindists(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
     s = event_series(spark, sf_dir)
-    w = windows.normalised(windows.windows(s, WIDTH, 20), "zscore").select("series_id", "start", search.sax(F.col("normal"), WIDTH).alias("a"))
+    w = windows.normalised(windows.windows(s, WIDTH, stride), "zscore").select("series_id", "start", search.sax(F.col("normal"), WIDTH).alias("a"))
     q = windows.normalised(search.last_windows(s, WIDTH), "zscore").select("query_id", search.sax(F.col("normal"), WIDTH).alias("b"))
     d = w.crossJoin(F.broadcast(q)).withColumn("d", search.mindist(F.col("a"), F.col("b"), WIDTH))  # a stated query set of one row per series
     return d.select("series_id", "start", "query_id", F.round("d", 6).alias("mindist"), F.round(F.exp(-F.col("d") / WIDTH), 6).alias("score"))
@@ -72,12 +80,32 @@ def m3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_WINS}, p AS (SELECT c.series_id, c.start, q.series_id AS query_id, list_inner_product(c.z, q.z) / {WIDTH} AS corr FROM w c JOIN q USING (series_id) WHERE c.start % 20 = 0) SELECT series_id, start, round((corr + 1) / 2, 6) AS score FROM p""")
 def m4_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _correlations(spark, sf_dir, 20)
+
+
+def _correlations(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
     s = event_series(spark, sf_dir)
-    w = windows.windows(s, WIDTH, 20).join(search.last_windows(s, WIDTH).select("series_id", F.col("values").alias("q")), "series_id")
+    w = windows.windows(s, WIDTH, stride).join(search.last_windows(s, WIDTH).select("series_id", F.col("values").alias("q")), "series_id")
     c = search.correlation(F.col("values"), F.col("q"))
     return w.select("series_id", "start", F.round(F.when(c.isNull(), 0.0).otherwise((c + 1) / 2), 6).alias("score"))
 
 
+@query(ORACLES["m1_sax"].replace(" WHERE start % 20 = 0", ""))
+def m1_sax_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every window."""
+    return _words(spark, sf_dir, 1)
+
+
+@query(ORACLES["m2_mindist"].replace("c.start % 20 = 0", "true"))
+def m2_mindist_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mindists(spark, sf_dir, 1)
+
+
+@query(ORACLES["m4_pearson"].replace(" WHERE c.start % 20 = 0", ""))
+def m4_pearson_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _correlations(spark, sf_dir, 1)
+
+
 _FAKE = "(event_id * {a} % 1000) / 999.0"
 _SC = ", ".join(f"{_FAKE.format(a=a)} AS {k}" for k, a in {"koopman": 7, "wavelet_spectrum": 13, "dtw": 17, "pearson_warped": 29, "transfer_entropy": 31}.items())
 
