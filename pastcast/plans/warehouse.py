@@ -141,6 +141,14 @@ _SLICES = """s AS (SELECT o_custkey % 1000 AS id, o_orderdate AS "start", o_orde
   d AS (SELECT id, min("start") AS "start", max("end") AS "end" FROM s GROUP BY id), p AS (SELECT o_orderkey AS pair_id, o_custkey % 1200 AS l, o_orderkey % 1000 AS r FROM orders WHERE o_orderkey % 5 = 0)"""
 
 
+def _slices(o: DataFrame) -> DataFrame:
+    start = F.col("o_orderdate").cast("timestamp_ntz")
+    return o.filter("o_orderkey % 3 = 0").select(
+        (F.col("o_custkey") % 1000).alias("id"), start.alias("start"), (start + F.make_dt_interval(F.col("o_orderkey") % 9 - 2)).alias("end"), F.when(F.col("o_orderkey") % 11 == 0, "odd").otherwise(F.col("o_orderstatus")).alias("regime_class"),
+        F.when(F.col("o_orderkey") % 7 == 0, "deprecated").otherwise("live").alias("status"), F.when(F.col("o_orderkey") % 14 == 0, "x").alias("successor_id"),
+    )
+
+
 @query(f"""WITH {_SLICES}, ps AS (
   SELECT id, 'duplicate id' AS problem FROM s GROUP BY id HAVING count(*) > 1
   UNION ALL SELECT id, 'start not before end' FROM s WHERE "start" >= "end" UNION ALL SELECT id, 'end in the future' FROM s WHERE "end" > TIMESTAMP '2000-01-01'
@@ -148,16 +156,23 @@ _SLICES = """s AS (SELECT o_custkey % 1000 AS id, o_orderdate AS "start", o_orde
   SELECT problem, count(*) AS n, sum(id)::BIGINT AS ids FROM ps GROUP BY 1""")
 def w8_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    start = F.col("o_orderdate").cast("timestamp_ntz")
-    s = o.filter("o_orderkey % 3 = 0").select(
-        (F.col("o_custkey") % 1000).alias("id"), start.alias("start"), (start + F.make_dt_interval(F.col("o_orderkey") % 9 - 2)).alias("end"), F.when(F.col("o_orderkey") % 11 == 0, "odd").otherwise(F.col("o_orderstatus")).alias("regime_class"),
-        F.when(F.col("o_orderkey") % 7 == 0, "deprecated").otherwise("live").alias("status"), F.when(F.col("o_orderkey") % 14 == 0, "x").alias("successor_id"),
-    )
+    s = _slices(o)
     none = o.filter("false").select(F.lit("").alias("pair_id"), F.lit(0).alias("left_id"), F.lit(0).alias("right_id"))
     out = warehouse.slice_problems(s, none, ["F", "O", "P"], F.lit("2000-01-01").cast("timestamp_ntz"))
     return out.groupBy("problem").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids"))
 
 
+@query(f"""WITH {_SLICES}, x AS (SELECT pair_id, a.id AS l, b.id AS r, greatest(a."start", b."start") > least(a."end", b."end") AS apart FROM p LEFT JOIN d a ON a.id = p.l LEFT JOIN d b ON b.id = p.r)
+  SELECT pair_id, CASE WHEN l IS NULL OR r IS NULL THEN 'dangling pair' ELSE 'pair does not overlap' END AS problem FROM x WHERE l IS NULL OR r IS NULL OR apart""")
+def w8_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that dangle or don't overlap, over the whole span of each slice id."""
+    o = table(spark, sf_dir, "orders")
+    d = _slices(o).groupBy("id").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumns({"regime_class": F.lit("F"), "status": F.lit("live"), "successor_id": F.lit(None).cast("string")})
+    pairs = o.filter("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("pair_id"), (F.col("o_custkey") % 1200).alias("left_id"), (F.col("o_orderkey") % 1000).alias("right_id"))
+    out = warehouse.slice_problems(d, pairs, ["F"], F.lit("2000-01-01").cast("timestamp_ntz"))
+    return out.filter(F.col("problem").isin("dangling pair", "pair does not overlap")).select(F.col("id").cast("long").alias("pair_id"), "problem")
+
+
 @query("""SELECT p_name || p_partkey AS name, CASE WHEN p_size % 4 = 0 THEN 'hourly' WHEN p_size % 4 = 1 THEN 'daily' WHEN p_size % 4 = 2 THEN '2h' ELSE 'unknown' END AS frequency FROM part p
   WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)""")
 def w9_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
