@@ -44,7 +44,7 @@ def matches(spark: SparkSession, sf_dir: str, methods: dict[str, float] = TIER,
 
 @query(f"""WITH {_MATCHES} SELECT query_id, rank, series_id, start, round(score, 6) AS score, round(corr, 6) + 0.0 AS correlation FROM m""")
 def m10_analogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search itself: windows, SAX, profile and Pearson scores, self-exclusion and two-stage top k."""
+    """The search itself: windows, SAX, profile and Pearson scores, self-exclusion and two-stage top k (M3, M4, M6, M11); of M10 without scales, DTW, rerank and confidence."""
     return matches(spark, sf_dir)[1].select("query_id", "rank", "series_id", "start", F.round("score", 6).alias("score"), rounded("correlation").alias("correlation"))
 
 
