@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Bits of one array of a filter at most; a larger filter has several, and a key's hash picks one.
+ARRAY_BITS = 1 << 20
+
+
 @dataclass(frozen=True)
 class Level:
     """One Bloom filter: its bits as 64-bit words, hash count and seed."""
@@ -19,10 +23,14 @@ class Level:
     seed: int
 
     def might_hold(self, key: Column) -> Column:
-        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folds to a literal
+        size = ARRAY_BITS // 64
+        parts = [self.words[k : k + size] for k in range(0, len(self.words), size)]
+        texts = [F.split(F.lit(",".join(map(str, part))), ",").cast("array<bigint>") for part in parts]  # fold to literals
+        words = F.array(*texts) if len(texts) > 1 else texts[0]
         out = F.lit(True)
         for at in positions(key, self.bits, self.probes, self.seed):
-            word = F.get(words, F.shiftright(at, 6).cast("int"))
+            place = F.shiftright(at, 6).cast("int")
+            word = F.get(F.get(words, F.floor(place / size).cast("int")), place % size) if len(texts) > 1 else F.get(words, place)
             out = out & (F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return out
 
@@ -42,12 +50,14 @@ def fill(keys: DataFrame, bits: int, probes: int, seed: int) -> Level:
     return Level(tuple(got.get(w, 0) for w in range(bits // 64)), bits, probes, seed)
 
 
-def exact_size(keys: DataFrame, count: int, rate: float, seed: int, max_bits: int) -> Level:
-    """A filter of the rate asked for; ValueError if it needs more than max_bits."""
-    bits = 64 * max(1, math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64))
-    if bits > max_bits:
-        raise ValueError(f"a filter of {count} keys needs {bits} bits; at most {max_bits} are sent with a plan")
-    return fill(keys, bits, max(1, math.ceil(-math.log2(rate))), seed)
+def bits_for(count: int, rate: float) -> int:
+    """Bits of a filter of so many keys with a share ``rate`` of false answers."""
+    return 64 * max(1, math.ceil(count * -math.log(rate) / math.log(2) ** 2 / 64))
+
+
+def exact_size(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
+    """A filter of the rate asked for."""
+    return fill(keys, bits_for(count, rate), max(1, math.ceil(-math.log2(rate))), seed)
 
 
 def bounded(keys: DataFrame, count: int, max_bits: int = 1 << 22, seed: int = 1) -> Level:

@@ -8,27 +8,33 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pastcast.llm.bloom import Level, exact_size
+from pastcast.llm.bloom import Level, bits_for, exact_size
 from pastcast.session import stored
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bits that all levels of one cascade may take in a plan (1 MB, each probe has a copy); a longer list is asked by an exact join.
+PLAN_BITS = 1 << 23
 
 
-def build(listed: DataFrame, universe: DataFrame, max_bits: int = 1 << 22) -> list[Level]:
+def build(listed: DataFrame, universe: DataFrame, plan_bits: int | None = None) -> list[Level] | None:
     """Levels for distinct listed keys against all other keys of the universe (both have one column ``key``).
 
     Level 1 encodes the listed keys, level 2 the other keys that level 1 takes for listed, level 3 the
     listed keys that level 2 takes for others, and so on until none is mistaken; every key of the
     universe is then answered exactly. Level 1's rate is about the listed share of the universe, so each
     later level is no larger than the list; the build makes one pass over the universe.
-    Null keys are ignored; an empty list gives no levels.
+    Null keys are ignored; an empty list gives no levels; None if the levels would take more than ``plan_bits``.
     """
     inside = stored(listed.filter("key is not null").select("key").distinct())
     n, total = inside.count(), universe.count()
     outside, levels = universe.select("key").filter("key is not null").join(inside, "key", "left_anti"), []
+    left = PLAN_BITS if plan_bits is None else plan_bits
     while n:
         rate = min(0.5, max(2**-30, math.sqrt(0.5) * n / max(total, 1))) if not levels else 0.5
-        levels.append(exact_size(inside, n, rate, len(levels) + 1, max_bits))
+        left -= bits_for(n, rate)
+        if left < 0:
+            return None
+        levels.append(exact_size(inside, n, rate, len(levels) + 1))
         wrong = stored(outside.filter(levels[-1].might_hold(F.col("key"))))
         inside, outside, n = wrong, inside, wrong.count()
     return levels
@@ -50,11 +56,15 @@ def with_parts(pages: DataFrame, url_col: str = "url") -> DataFrame:
 
 @dataclass
 class UrlFilter:
-    """Cascades per verdict, and the host label counts and path lengths that occur in the rules."""
+    """Cascades per verdict, and the host label counts and path lengths that occur in the rules.
+
+    ``listed`` (kind, key) is set in place of the cascades where they would be too large for a plan.
+    """
 
     cascades: dict[str, list[Level]]
     labels: list[int]
     lengths: list[int]
+    listed: DataFrame | None = None
 
     @staticmethod
     def keys(labels: list[int], lengths: list[int]) -> list[Column]:
@@ -66,26 +76,43 @@ class UrlFilter:
         return out
 
     @classmethod
-    def fit(cls, pages: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url") -> UrlFilter:
-        """rules: (verdict, host, path), as a list that the caller holds; universe: all keys of all urls."""
+    def fit(cls, pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]], url_col: str = "url") -> UrlFilter:
+        """rules: (verdict, host, path), a DataFrame of any size or a list; universe: all keys of all urls.
+
+        The driver receives the distinct label counts and path lengths of the rules, and the levels' bits. Rules with a
+        null part are ignored.
+        """
         spark = pages.sparkSession
-        listed = spark.createDataFrame([(v, h + p) for v, h, p in rules], "verdict string, key string")
-        labels, lengths = sorted({h.count(".") + 1 for _, h, _ in rules}), sorted({len(p) for _, _, p in rules})
+        if not isinstance(rules, DataFrame):
+            rules = spark.createDataFrame(rules, "verdict string, host string, path string")
+        rules = rules.select("verdict", "host", "path").dropna()
+        listed = stored(rules.select("verdict", F.concat("host", "path").alias("key")).distinct())
+        shape = rules.select((F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1).alias("a"), F.length("path").alias("b"))
+        labels, lengths = (sorted(r[0] for r in shape.select(c).distinct().toLocalIterator()) for c in "ab")
         universe = with_parts(pages.select(url_col), url_col).select(F.explode(F.array_compact(F.array(*cls.keys(labels, lengths)))).alias("key"))
         universe = stored(universe.union(listed.select("key")).distinct())
-        return cls({v: build(listed.filter(F.col("verdict") == v), universe) for v in ("block", "allow")}, labels, lengths)
+        cascades = {v: build(listed.filter(F.col("verdict") == v), universe) for v in ("block", "allow")}
+        if None in cascades.values():
+            return cls({}, labels, lengths, listed.groupBy("key").agg(F.max("verdict").alias("kind")))  # block is above allow
+        return cls(cascades, labels, lengths)
 
     def judge(self, pages: DataFrame, url_col: str = "url") -> DataFrame:
         """Adds host, path, rule and verdict.
 
         A rule fits its host and all subdomains if the path starts with the rule's; the longest rule (host
         and path together) wins, block before allow for one key in both lists. A url that fits no rule has a null
-        rule and is allowed: no key of it is listed. No join; each row asks for (label counts x path lengths) keys.
-        Repeated rows each keep their row; null or malformed urls are allowed.
+        rule and is allowed: no key of it is listed. No join; each row asks for (label counts x path lengths) keys. Only lists
+        beyond PLAN_BITS are joined: the distinct urls' keys with the list, and the urls found with the pages.
+        Repeated rows each keep their row; null or malformed urls are allowed; an empty table gives no rows; columns of pages
+        named host, path, rule or verdict are replaced.
         """
         clash = [c for c in pages.columns if c in ("host", "path", "rule", "verdict")]
         rows = with_parts(pages.drop(*clash), url_col)
         keys = self.keys(self.labels, self.lengths)
+        if self.listed is not None:
+            asked = rows.select("host", "path").distinct().select("host", "path", F.explode(F.array_compact(F.array(*keys))).alias("key"))
+            met = asked.join(self.listed, "key").groupBy("host", "path").agg(F.max(F.struct(F.length("key").alias("n"), F.col("key").alias("rule"), F.col("kind").alias("verdict"))).alias("b"))
+            return rows.join(met.select("host", "path", "b.rule", "b.verdict"), ["host", "path"], "left").select(*rows.columns, "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
         names = [f"_k{k}" for k in range(len(keys))]
         rows = rows.withColumns(dict(zip(names, keys, strict=True)))
         found = []
