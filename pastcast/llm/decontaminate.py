@@ -43,31 +43,39 @@ def index(items: DataFrame, id_col: str = "item_id", text_col: str = "text", thr
     return rows.withColumn("sketch", F.transform(F.slice(ordered, F.lit(1), keep), lambda x: x.g)).drop("w")
 
 
-def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, shingle: int = 5, item_col: str = "item_id", exact: bool = False) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment): items of which a document holds at least the threshold of shingles.
 
-    Every run of words of every text is looked up among the sketch values; a hit is verified on the full shingle sets
-    at once, while the document's words are at hand. The sketches are broadcast when they are at most BROADCAST_ROWS, else
-    joined by shuffle. Null or empty texts and items hold nothing; repeated rows count once.
+    Every run of words of every text is looked up among the sketch values. A text and an item that share one are a candidate once,
+    however many values they share, and are verified on the full shingle sets. The sketches are broadcast when they are at
+    most BROADCAST_ROWS, and the words of a candidate's text are then at hand; else hits are joined by shuffle and find their
+    texts again by id and digest, null ids too. Both ways give the same rows.
+
+    Null or empty texts and items hold nothing; repeated rows count once, and so do rows of one id whose texts hold the same share;
+    documents with a null id have rows with a null doc_id; items with a null id likewise; empty tables give no rows; other columns are
+    ignored, whatever their names. With ``exact`` a further column has the digest of the text that holds the item.
     """
-    found = stored(index(items, threshold=threshold, shingle=shingle))
+    found = stored(index(items, item_col, threshold=threshold, shingle=shingle))
     sketch = found.select("item_id", "size", F.explode("sketch").alias("gram"))
     small = sketch.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda x: x)
-    rows = docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_col).alias("t"), words(text_col).alias("w"))
     out = None
     for size in sorted(r.size for r in found.select(F.col("size")).distinct().toLocalIterator()):  # 1 to shingle
-        runs = rows.filter(F.size("w") >= size).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("at"))
-        runs = runs.select("doc_id", "w", _gram("w", F.col("at"), size).alias("gram"))
+        runs = rows.filter(F.size("w") >= size).select("doc_id", "t", "w", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("at"))
+        runs = runs.select("doc_id", "t", "w", _gram("w", F.col("at"), size).alias("gram"))
         mine = sketch.filter(F.col("size") == size).select("item_id", "gram")
         if small:
-            hits = runs.join(hint(mine), "gram").select("doc_id", "item_id", "w")
+            hits = runs.join(hint(mine), "gram").select("doc_id", "t", "item_id", "w").dropDuplicates(["doc_id", "t", "item_id"])
         else:
-            hits = runs.select("doc_id", "gram").join(mine, "gram").select("doc_id", "item_id").distinct().join(rows, "doc_id")
-        grams = hint(found.filter(F.col("size") == size).select("item_id", F.col("grams"), "n"))
-        hits = hits.join(grams, "item_id").select("doc_id", "item_id", "n", F.size(F.array_intersect("grams", _grams("w", size))).alias("n_found"))
+            met = runs.select("doc_id", "t", "gram").join(mine, "gram").select("doc_id", "t", "item_id").distinct()
+            same = (F.col("a.t") == F.col("b.t")) & F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))
+            hits = met.alias("a").join(rows.alias("b"), same).select("a.doc_id", "a.t", "item_id", "w").dropDuplicates(["doc_id", "t", "item_id"])
+        grams = found.filter(F.col("size") == size).select(F.col("item_id").alias("_item"), "grams", "n")
+        hits = hits.join(hint(grams), F.col("item_id").eqNullSafe(F.col("_item")))
+        hits = hits.select("doc_id", *["t"] * exact, "item_id", "n", F.size(F.array_intersect("grams", _grams("w", size))).alias("n_found"))
         out = hits if out is None else out.union(hits)
     if out is None:
-        out = rows.filter("false").select("doc_id", F.lit(0).alias("item_id"), F.lit(0).alias("n"), F.lit(0).alias("n_found"))
+        out = rows.filter("false").select("doc_id", *["t"] * exact, F.lit(None).cast(items.schema[item_col].dataType).alias("item_id"), F.lit(0).alias("n"), F.lit(0).alias("n_found"))
     out = out.filter(F.col("n_found") >= threshold * F.col("n")).distinct()
-    return out.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n_found").cast("long"), (F.col("n_found") / F.col("n")).alias("containment"))
+    return out.select("doc_id", *[F.col("t").alias("exact")] * exact, "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n_found").cast("long"), (F.col("n_found") / F.col("n")).alias("containment"))
