@@ -7,28 +7,26 @@ from pyspark.sql import functions as F
 
 from pastcast.session import checkpointed, stored
 
-_RANK_ROWS = 20_000
+#: Rows of a window at most, about; and large groups that are broadcast at most: those with more than 1 / _HOT of all rows.
+_RANK_ROWS, _HOT = 20_000, 5_000
 
 
-def ranked(rows: DataFrame, key: list[str], by: str, name: str, total: int, together: str | None = None) -> DataFrame:
-    """Adds a gapless rank from 0 inside each key, ordered by hashed bucket, then ``by``.
+def ranked(rows: DataFrame, key: list[str], bucket: Column, by: list[str], name: str) -> DataFrame:
+    """Adds a gapless rank from 0 inside each key, ordered by bucket, then ``by``.
 
-    Rows that agree on ``together`` stay in one stretch of buckets.
-
-    Buckets grow in number with the table so that a window sees about _RANK_ROWS rows, however
-    many rows one key has; bucket offsets are a window over one row per key and bucket.
+    A window sees one bucket of a key; bucket offsets are a window over one row per key and bucket.
     """
-    buckets = max(1, total // _RANK_ROWS)
-    bucket = F.pmod(F.xxhash64(by), F.lit(buckets))
-    if together:
-        bucket = F.pmod(F.xxhash64(together), F.lit(buckets)) * 8 + F.pmod(F.xxhash64(by), F.lit(8))
-    rows = rows.withColumn("_k", bucket.cast("long"))
+    rows = rows.withColumn("_k", bucket)
     size = rows.groupBy(*key, "_k").agg(F.count("*").alias("_n"))
     size = size.withColumn("_skip", F.sum("_n").over(Window.partitionBy(*key).orderBy("_k")) - F.col("_n")).drop("_n")
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key, "_k").orderBy(by)) - 1)
+    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key, "_k").orderBy(*by)) - 1)
     return rows.join(size, [*key, "_k"]).withColumn(name, F.col("_r") + F.col("_skip")).drop("_k", "_r", "_skip")
 
 
+def _hashed(by: str, buckets: int | Column) -> Column:
+    return F.pmod(F.xxhash64(by, F.lit(2)), buckets if isinstance(buckets, Column) else F.lit(buckets)).cast("long")
+
+
 def _step(cells: DataFrame, room: DataFrame, shards: int, turn: int) -> DataFrame:
     """One round: every (group, shard) cell wants to go to the shard where most of its group is.
 
@@ -67,43 +65,64 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
 
     Documents with equal texts are linked. Linked documents begin in the shard of their id's hash; in each round they move
     to where most of their group is, as far as quotas allow (balanced label propagation). The state is one row per
-    group and shard, never one per document, so a group with a third of all rows is ``shards`` rows. What ends up above
-    a shard's quota, and unlinked documents, fill the shards exactly. A group larger than a quota is cut.
+    group and shard, never one per document, so a group with a third of all rows is ``shards`` rows. While they move, a shard may
+    hold an eighth more than its quota. What ends up above the quota then fills the shards that have room, group after group, and unlinked
+    documents fill the rest exactly: a shard's ends may cut a group each, and a group larger than a quota is cut.
     ``slot`` counts from 0 in each shard. Null texts have size 8, a null checksum and no links; empty texts are linked
-    with each other; repeated rows each get a slot; an empty table gives no rows.
+    with each other; repeated rows each get a slot; an empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
     size = F.coalesce(F.octet_length(F.col(text_col)).cast("long"), F.lit(0)) + 8
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.encode(F.col(text_col), "UTF-8")).alias("text_crc32"), F.md5(text_col).alias("g"))
-    copies = F.count("*").alias("copies")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
-    groups = rows.filter("g is not null").groupBy("g").agg(copies).filter("copies > 1").select("g")
-    linked = stored(rows.join(groups, "g", "left_semi"))
-    single = rows.join(groups, "g", "left_anti")
     total = rows.count()
+    large = max(1, total // _HOT)  # about _HOT groups at most have more rows
+    step, buckets = min(large, _RANK_ROWS), max(1, total // _RANK_ROWS)
+    groups = stored(rows.filter("g is not null").groupBy("g").agg(F.count("*").alias("copies")).filter("copies > 1"))
+    hot = groups.filter(F.col("copies") > large)
+    # a large group's rows meet its row by broadcast, all others by shuffle
+    rows = rows.join(F.broadcast(hot.select("g", F.col("copies").alias("many"))), "g", "left")
+    calm = rows.filter("many is null").join(groups.filter(F.col("copies") <= large), "g", "left")
+    linked = stored(calm.filter("copies is not null").unionByName(rows.filter("many is not null").withColumn("copies", F.col("many"))))
+    single = calm.filter("copies is null")
     quotas = [total // shards + (k < total % shards) for k in range(shards)]
     spark = docs.sparkSession
-    room = spark.createDataFrame(list(enumerate(quotas)), "to int, quota long")
+    room = spark.createDataFrame([(k, q + q // 8 + 1) for k, q in enumerate(quotas)], "to int, quota long")  # some play, which the last step takes back
     cells = checkpointed(linked.groupBy("g", F.pmod(F.xxhash64("doc_id", "row"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("rows")))
     for turn in range(1, rounds + 1):
         cells = _step(cells, room, shards, turn)
     # a group's documents take its cells in turn
     cells = cells.withColumn("end", F.sum("rows").over(Window.partitionBy("g").orderBy("shard")))
-    ends = cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("ends"))  # at most one entry per shard
-    placed = ranked(linked, ["g"], "row", "rank", total).join(ends, "g")
-    placed = placed.withColumn("shard", F.get(F.col("ends.shard"), _by_ends(F.col("rank"), F.col("ends.end")))).drop("rank", "ends")
+    ends = stored(cells.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("ends")))  # at most one entry per shard
+    placed = ranked(linked, ["g"], _hashed("row", F.ceil(F.col("copies") / step)), ["row"], "rank")
+    placed = placed.filter("many is null").join(ends, "g").unionByName(placed.filter("many is not null").join(F.broadcast(ends.join(F.broadcast(hot.select("g")), "g", "left_semi")), "g"))
+    placed = placed.withColumn("shard", F.get(F.col("ends.shard"), _by_ends(F.col("rank"), F.col("ends.end"))))
     quota = F.get(F.array(*[F.lit(q) for q in quotas]), F.col("shard"))
     # whole groups keep their place first: those above the quota are the last by a hash of the group
-    placed = stored(ranked(placed, ["shard"], "row", "at", total, together="g"))
+    whole = F.struct(F.lit(0).alias("kind"), _hashed("g", buckets).alias("hash"), F.when(F.col("many").isNull(), F.lit("")).otherwise(F.col("g")).alias("g"), F.floor(F.col("rank") / step).alias("stretch"))
+    placed = stored(ranked(placed.withColumn("bucket", whole), ["shard"], F.col("bucket"), ["g", "row"], "at"))
     stay = placed.filter(F.col("at") < quota).select("doc_id", "size", "text_crc32", "row", "shard", F.col("at").alias("slot"))
-    loose = placed.filter(F.col("at") >= quota).select("doc_id", "size", "text_crc32", "row").union(single.select("doc_id", "size", "text_crc32", "row"))
+    loose = placed.filter(F.col("at") >= quota).select("doc_id", "size", "text_crc32", "g", "row", "bucket")
+    one = F.struct(F.lit(1).alias("kind"), _hashed("row", buckets).alias("hash"), F.lit("").alias("g"), F.lit(0).cast("long").alias("stretch"))
+    loose = loose.union(single.select("doc_id", "size", "text_crc32", "g", "row", one.alias("bucket")))  # groups first, each in one stretch
     held = {r.shard: r.n for r in stay.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # one row per shard
     upto, sums = 0, []
     for k in range(shards):
         upto += quotas[k] - held.get(k, 0)
         sums.append(upto)
     fill = F.array(*[F.lit(x).cast("long") for x in sums])
-    loose = ranked(loose.withColumn("_one", F.lit(0)), ["_one"], "row", "rank", total).withColumn("shard", _by_ends(F.col("rank"), fill))
+    loose = ranked(loose.withColumn("_one", F.lit(0)), ["_one"], F.col("bucket"), ["g", "row"], "rank").withColumn("shard", _by_ends(F.col("rank"), fill))
     skip = F.get(F.array(*[F.lit(held.get(k, 0) - (sums[k - 1] if k else 0)).cast("long") for k in range(shards)]), F.col("shard"))
     loose = loose.select("doc_id", "size", "text_crc32", "row", "shard", (F.col("rank") + skip).alias("slot"))
     out = stay.unionByName(loose)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut(placed: DataFrame, group: str = "text_crc32") -> DataFrame:
+    """One row (groups, split, links, cut): groups of linked documents, those in more than one shard, all links, and links across shards.
+
+    Counts come from one row per (group, shard); rows of a null group have no links.
+    """
+    cell = placed.filter(F.col(group).isNotNull()).groupBy(group, "size", "shard").agg(F.count("*").alias("c"))
+    g = cell.groupBy(group, "size").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count("*").alias("shards")).filter("n > 1")
+    return g.agg(F.count("*").alias("groups"), F.count_if(F.col("shards") > 1).alias("split"), (F.sum(F.col("n") * (F.col("n") - 1)) / 2).cast("long").alias("links"), (F.sum(F.col("n") * F.col("n") - F.col("q")) / 2).cast("long").alias("cut"))
