@@ -71,7 +71,7 @@ class Neighbours:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def vote(self, x: np.ndarray, k: int = 25, block: int = 512) -> np.ndarray:
-        """Share of label 1 among the k nearest by exact cosine, weighted by its fourth power; the prior for empty texts."""
+        """Share of label 1 among the k nearest by exact cosine, weighted by its fourth power; all that tie with the k-th count; the prior for empty texts."""
         out = np.full(len(x), self.prior)
         k = min(k, len(self.labels))
         if not k:
@@ -81,9 +81,14 @@ class Neighbours:
             cosine = self.project(some) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
             w = np.maximum(np.take_along_axis(cosine, near, axis=1), 0) ** 4 * self.weights[near]
-            total = w.sum(axis=1)
+            total, good = w.sum(axis=1), (w * self.labels[near]).sum(axis=1)
+            last = np.take_along_axis(cosine, near, axis=1).min(axis=1)
+            tied = cosine >= last[:, None]
+            for i in np.flatnonzero(tied.sum(axis=1) > k):
+                every = np.maximum(cosine[i, tied[i]], 0) ** 4 * self.weights[tied[i]]
+                total[i], good[i] = every.sum(), (every * self.labels[tied[i]]).sum()
             ok = (total > 0) & some.any(axis=1)
-            out[at : at + block][ok] = ((w * self.labels[near]).sum(axis=1) + 0.5 * self.prior * self.weights.min())[ok] / (total + 0.5 * self.weights.min())[ok]
+            out[at : at + block][ok] = (good + 0.5 * self.prior * self.weights.min())[ok] / (total + 0.5 * self.weights.min())[ok]
         return out
 
 
@@ -101,14 +106,14 @@ def picked(labels: DataFrame, label: str, most: int, key: str = "doc_id") -> tup
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text_col: str = "text", most: int = 3000, dims: int = 48) -> Neighbours:
     """Fits on about ``most`` documents of each label, picked by a hash of the key; labels has (key, label in 0, 1).
 
-    The picked keys, bounded by ``most``, are broadcast to the documents. Their term rows (TERMS numbers each) come to the driver, which finds
+    The picked keys, bounded by ``most``, are broadcast to the documents; of rows that repeat a key one counts. Their term rows (TERMS numbers each) come to the driver, which finds
     the latent space from their singular vectors. Votes weigh a label by how common it is among all labels. Without labels
     of both kinds every score is the share of label 1, smoothed by one label of each kind.
     """
     spark = docs.sparkSession
     ship(spark)
     some, sizes = picked(labels, label, most, key)
-    rows = docs.select(key, F.col(text_col).alias("_t")).join(F.broadcast(some), key).select("_t", F.col(label).cast("int").alias("y"))
+    rows = docs.select(key, F.col(text_col).alias("_t")).join(F.broadcast(some), key).groupBy(key, F.col(label).cast("int").alias("y")).agg(F.min("_t").alias("_t")).select("_t", "y")  # a key names one text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, "_t"):
@@ -135,7 +140,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
 
 def score(docs: DataFrame, model: Neighbours, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, score) of every text: exact cosines to all labelled vectors, in blocks. Null and empty texts get the share of label 1."""
+    """(key, score) of every text: exact cosines to all labelled vectors, in blocks.
+
+    Null and empty texts get the share of label 1; repeated rows each have a row; an empty table gives none; columns of docs other
+    than the key and the text are ignored.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -148,62 +148,59 @@ def _counts(buckets: int):
     return run
 
 
-def _windows(buckets: int, odds: np.ndarray, most: int, reach: int):
-    """Labelled windows of words: around marked words of toxic texts, and at hashed places of clean ones."""
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(words, chains, toxic) of each whole text: the hash of each word, the number of words of each line."""
+    for batch, texts in pieces(batches, "text", 1 << 19):
+        words = split(texts)
+        line = chains(texts, words)
+        size = np.diff(line)
+        head = words.doc[line[:-1]] if len(size) else np.zeros(0, np.int64)
+        ends = np.searchsorted(head, np.arange(texts.n + 1)).astype(np.int32)
+        lists = [(words.first, hashes(texts, words).view(np.int64)), (ends, size.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([*(pa.ListArray.from_arrays(pa.array(np.asarray(o, np.int32)), pa.array(v)) for o, v in lists), batch.column(1)], ["words", "chains", "toxic"])
+
+
+def _kinds(buckets: int):
+    """(word, feats): the features of each distinct word of a batch, by its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, "text", 1 << 19):
+        for _, texts in pieces(batches, "text", 1 << 19):
             words = split(texts)
-            if not len(words.start):
-                continue
-            bucket, first = features(texts, words, buckets)
-            mark = np.maximum.reduceat(odds[bucket], first[:-1]) > 0
-            y = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            lab = mark & (y[words.doc] == 1)
-            line = chains(texts, words)
-            chain = np.repeat(np.arange(len(line) - 1), np.diff(line))
-            centre = np.where(y[words.doc] == 1, lab, mix(np.arange(len(chain)).astype(np.uint64)) % np.uint64(97) == 0)
-            at = np.flatnonzero(centre)
-            at = at[np.argsort(mix(at.astype(np.uint64)), kind="stable")]
-            order = np.argsort(words.doc[at], kind="stable")
-            at = at[order]
-            turn = np.arange(len(at)) - np.searchsorted(words.doc[at], words.doc[at])
-            at = at[turn < most + (y[words.doc[at]] == 0)]
-            lo = np.maximum(at - reach, line[chain[at]])
-            hi = np.minimum(at + reach + 1, line[chain[at] + 1])
-            feats = [bucket[first[a] : first[b]].astype(np.int32) for a, b in zip(lo, hi, strict=True)]
-            sizes = [np.diff(first[a : b + 1]).astype(np.int32) for a, b in zip(lo, hi, strict=True)]
-            labels = [lab[a:b].astype(np.int32) for a, b in zip(lo, hi, strict=True)]
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x in (feats, sizes, labels)], ["feats", "sizes", "labels"])
+            word, at = np.unique(hashes(texts, words).view(np.int64), return_index=True)
+            bucket, first = features(texts, Words(words.start[at], words.end[at], words.doc, words.first), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bucket.astype(np.int32)))], ["word", "feats"])
 
     return run
 
 
-def _fit_chain(rows: pa.Table, buckets: int, steps: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood by Adam on the labelled windows."""
-    bucket, size, y = (rows.column(k).combine_chunks().flatten().to_numpy() for k in range(3))  # 32-bit; the driver holds little else
-    at = np.concatenate(([0], np.cumsum(size)))
-    first = np.concatenate(([0], np.cumsum(rows.column(2).combine_chunks().value_lengths().to_numpy())))
+def _fit_chain(token: np.ndarray, size: np.ndarray, y: np.ndarray, bucket: np.ndarray, first: np.ndarray, buckets: int, steps: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood by Adam on labelled chains.
+
+    token: the kind of each word, chain after chain; size: words of each chain; y: labels; kind k has the features bucket[first[k]:first[k + 1]].
+    """
+    begin = np.concatenate(([0], np.cumsum(size)))
     inner = np.ones(len(y), bool)
-    inner[first[:-1]] = False
+    inner[begin[:-1]] = False
     pairs = np.flatnonzero(inner)
     seen = np.zeros((2, 2))
     np.add.at(seen, (y[pairs - 1], y[pairs]), 1)
+    many = np.diff(first)
     x = np.zeros(buckets + 4)
     x[buckets:] = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True)).reshape(-1)
     x[0] = -5.0  # a word is clean unless its own features say otherwise, unseen words too
     m, v = np.zeros_like(x), np.zeros_like(x)
     for k in range(1, steps + 1):
-        e, trans = np.add.reduceat(x[:buckets].astype(np.float32)[bucket], at[:-1]).astype(np.float64), x[buckets:].reshape(2, 2)
-        f, b = forward_backward(e, first, trans)
+        of_kind, trans = np.add.reduceat(x[:buckets].astype(np.float32)[bucket], first[:-1]).astype(np.float64), x[buckets:].reshape(2, 2)
+        e = of_kind[token]
+        f, b = forward_backward(e, begin, trans)
         p = 1 / (1 + np.exp(-np.clip(f + b, -50, 50)))
         ahead = (b + e)[pairs]
         whole = np.stack([np.full(len(pairs), trans[0, 0]), trans[0, 1] + ahead, trans[1, 0] + f[pairs - 1], trans[1, 1] + f[pairs - 1] + ahead])
         joint = np.exp(whole - whole.max(axis=0))
         joint = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
         g = np.zeros_like(x)
-        g[:buckets] = np.bincount(bucket, weights=np.repeat((p - y).astype(np.float32), size), minlength=buckets)
+        pull = np.bincount(token, weights=p - y, minlength=len(many)).astype(np.float32)
+        g[:buckets] = np.bincount(bucket, weights=np.repeat(pull, many), minlength=buckets)
         g[buckets:] = (joint - seen).reshape(-1)
         g = g / len(y) * 50
         g[1:] += ridge * x[1:]
@@ -222,36 +219,47 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", most: int = 4000, buckets: int = 1 << 18, steps: int = 60) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", most: int = 2000, buckets: int = 1 << 18, steps: int = 40, chance: float = 1e-4, ratio: float = 10) -> Crf:
     """Fits on about ``most`` documents of each label, picked by a hash of the key; labels has (key, label in 0, 1).
 
-    The picked keys, bounded by ``most``, are broadcast to the documents.
-    Words of toxic texts are labelled first: a byte run that at least three toxic texts hold, and that is twenty times as
-    frequent in toxic as in clean texts (half an occurrence added), marks its words. A chain is then fitted to at most two
-    windows of 21 words of each toxic and three of each clean text, and a logistic map to the marginals of the same texts. The driver receives
-    windows and three numbers a text, never whole texts. The map weighs texts by how common their label is among all
-    labels. Without labels of both kinds every score is the smoothed share of label 1, below a half.
+    The picked keys, bounded by ``most``, are broadcast to the documents; of rows that repeat a key one counts.
+    Words of toxic texts are labelled first: a byte run marks its words if it is ``ratio`` times as frequent in toxic as in clean texts
+    (half an occurrence added), and if as many toxic ones among the texts that hold it have at most the probability ``chance`` where
+    labels are dealt at random (by the Chernoff bound). A chain is then fitted to the whole
+    texts, line by line, and a logistic map to the marginals of the same texts. The driver receives a hash of each word, and
+    the features of each distinct one: what it holds is bounded by ``most`` texts. The map weighs texts by how common their label
+    is among all labels. Without labels of both kinds every score is the smoothed share of label 1, below a half.
     """
     spark = docs.sparkSession
     ship(spark)
     some, sizes = picked(labels, label, most, key)
     rows = docs.select(key, F.col(text_col).alias("text")).filter("text is not null").join(F.broadcast(some), key)
-    picked_docs = stored(rows.select("text", F.col(label).cast("int").alias("toxic"), key))
+    picked_docs = stored(rows.select("text", F.col(label).cast("int").alias("toxic"), key).groupBy(key, "toxic").agg(F.min("text").alias("text")))  # a key names one text
     size = {r.toxic: r.n for r in picked_docs.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     none = np.array([np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 1.5)), 0.0, 0.0, 0.0])
     if len(size) < 2:
         return Crf(np.zeros(1, np.float32), np.zeros((2, 2)), np.minimum(none, -1e-6))
     n0, n1 = size[0], size[1]
     counted = picked_docs.select("text", "toxic").mapInArrow(_counts(buckets), "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    marked = counted.filter(F.col("toxic") >= 3).filter((F.col("toxic") / n1) > 20 * (F.col("clean") + 0.5) / n0)
-    odds = np.full(buckets, -1.0, np.float32)
-    for r in marked.collect():  # at most one row per bucket
-        odds[r.bucket] = 1.0
-    shared = spark.sparkContext.broadcast(odds)
-    rows = picked_docs.select("text", "toxic").mapInArrow(lambda b: _windows(buckets, shared.value, 2, 10)(b), "feats array<int>, sizes array<int>, labels array<int>").toArrow()
-    if not rows.num_rows:
+    k, c, share = F.col("toxic"), F.col("clean"), n1 / (n0 + n1)
+    surprise = k * F.log(k / (k + c) / share) + F.when(c > 0, c * F.log(c / (k + c) / (1 - share))).otherwise(0.0)
+    marked = counted.filter((k > 0) & (k / n1 > ratio * (c + 0.5) / n0) & (surprise >= -math.log(chance)))
+    odd = np.zeros(buckets, bool)
+    odd[[r.bucket for r in marked.collect()]] = True  # at most one row per bucket
+    rows = picked_docs.select("text", "toxic").mapInArrow(_tokens, "words array<long>, chains array<int>, toxic int").toArrow()
+    kinds = picked_docs.select("text").mapInArrow(_kinds(buckets), "word long, feats array<int>").dropDuplicates(["word"]).toArrow()
+    flat = lambda t, c: t.column(c).combine_chunks().flatten().to_numpy()
+    size = flat(rows, 1)
+    if not odd.any() or not len(size):
         return Crf(np.zeros(1, np.float32), np.zeros((2, 2)), np.minimum(none, -1e-6))
-    weights, trans = _fit_chain(rows, buckets, steps, 1e-4)
+    word, bucket = kinds.column(0).to_numpy(), flat(kinds, 1)
+    first = np.concatenate(([0], np.cumsum(kinds.column(1).combine_chunks().value_lengths().to_numpy())))
+    order = np.argsort(word)
+    token = order[np.searchsorted(word[order], flat(rows, 0))].astype(np.int32)
+    toxic = np.repeat(rows.column(2).to_numpy(), rows.column(0).combine_chunks().value_lengths().to_numpy()) == 1
+    y = (np.maximum.reduceat(odd[bucket], first[:-1])[token] & toxic).astype(np.int64)
+    del rows, kinds
+    weights, trans = _fit_chain(token, size, y, bucket, first, buckets, steps, 1e-4)
     model = Crf(weights.astype(np.float32), trans, np.array([0.0, 1.0, 0.0, 0.0]))
     seen = score(picked_docs.select(F.col(key), "text", "toxic"), model, keep=("toxic",), raw=True).select("raw", "toxic").toArrow()
     x = np.stack(seen.column(0).to_numpy())
@@ -264,8 +272,11 @@ def score(docs: DataFrame, model: Crf, text_col: str = "text", keep: tuple[str,
     """Columns ``keep``, then score and spans: byte ranges [start, end) of words whose marginal is at least span_at.
 
     Neighbouring marked words of a line make one span with their largest marginal. A null or empty text has no words, no
-    spans and the score of a text without toxic words. With raw, a column of the values that the logistic map reads.
+    spans and the score of a text without toxic words; repeated rows each have a row; an empty table gives none. Columns of docs
+    other than ``keep`` and the text are ignored; a kept column named score, spans or raw is refused. With raw, a column of the values that the logistic map reads.
     """
+    if {"score", "spans", "raw"} & set(keep):
+        raise ValueError("a kept column has the name of a result; keep it inside a struct")
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((model.weights, model.trans, model.map))
