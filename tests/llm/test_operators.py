@@ -54,10 +54,23 @@ def test_bounded_filter_lets_all_keys_through(spark):
         assert level.bits <= most and keys.filter(level.might_hold(F.col("key"))).count() == 5000
 
 
-def test_without(spark, odd):
-    twice = odd.union(odd.filter("doc_id = 5")).union(odd.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
-    left = rows.without(twice, spark.createDataFrame([(1,), (2,), (None,)], "id long"))
-    assert Counter(r.doc_id for r in left.collect()) == Counter([0, *range(3, 11), None])
+def test_without_removes_exactly_the_rows_judged(spark, odd):
+    both = [(1, "x"), (1, "y"), (2, "x"), (2, "x"), (None, "x"), (None, None), (3, None)]
+    docs = spark.createDataFrame(both, "doc_id long, text string").withColumn("exact", F.lit(1)).withColumn("id", F.lit("clash"))
+    gone = spark.createDataFrame([(1, "y"), (None, "x"), (3, None)], "id long, text string").select("id", rows.digest("text").alias("exact"))
+    left = rows.without(docs, gone)
+    assert left.columns == docs.columns and Counter((r.doc_id, r.text) for r in left.collect()) == Counter([(1, "x"), (2, "x"), (2, "x"), (None, None)])
+    assert rows.without(docs, empty(gone)).count() == 7 and rows.without(empty(docs), gone).count() == 0
+    once = rows.later_copies(docs)
+    assert once.columns == docs.columns and Counter((r.doc_id, r.text) for r in once.collect()) == Counter(set(both))
+
+
+def test_filter_of_several_arrays(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "ARRAY_BITS", 1 << 10)
+    keys = spark.range(3000).select(F.col("id").alias("key"))
+    level = bloom.exact_size(keys, 3000, 0.01, 4)
+    assert level.bits > 1 << 13 and keys.filter(level.might_hold(F.col("key"))).count() == 3000
+    assert spark.range(10_000, 20_000).filter(level.might_hold(F.col("id"))).count() < 300
 
 
 # 1 toxicity
@@ -111,6 +124,33 @@ def test_toxicity_without_labels(docs, labels):
     assert toxicity.score(empty(docs), model).count() == 0
 
 
+def auc(score, y):
+    rank = score.rank()
+    return (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum())
+
+
+@pytest.mark.parametrize(("sf", "least", "found"), [("sf0.01", 0.8, 0.6), ("sf0.1", 0.96, 0.88)])
+def test_toxicity_held_out(spark, sf, least, found):
+    """On the real labels; texts labelled toxic without any toxic word can't be found (README has the figures)."""
+    folder = f"/root/testdata/{sf}"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, queries.learned(spark, folder, "toxic"))
+    got = toxicity.score(docs.join(labels, "doc_id").filter(queries.held_out()), model, keep=("doc_id", "toxic")).toPandas()
+    y = got.toxic == 1
+    assert auc(got.score, y) > least and (got.score[y] >= 0.5).mean() > found and (got.score[~y] >= 0.5).mean() < 0.005
+
+
+def test_toxicity_of_repeated_and_clashing_rows(spark):
+    text = ["alpha beta gamma", "vile vile alpha", None]
+    d = spark.createDataFrame([(k % 90, text[k % 3], int(k % 3 == 1)) for k in range(180)], "doc_id long, text string, toxic int")
+    model = toxicity.fit(d, d.filter("text is not null").select("doc_id", "toxic"))
+    wide = d.withColumns({"score": F.lit("clash"), "spans": F.lit(1), "_t": F.lit(0)})
+    got = toxicity.score(wide, model).collect()
+    assert len(got) == 180 and len({(r.doc_id, r.score) for r in got}) == 90
+    with pytest.raises(ValueError):
+        toxicity.score(wide, model, keep=("doc_id", "score"))
+
+
 # 2 url filters
 
 
@@ -133,6 +173,30 @@ def test_url_rules(spark):
     ]
 
 
+def test_long_rule_list_gives_the_same_by_cascade_and_by_join(spark, monkeypatch):
+    rules = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("verdict"), F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".net")).alias("host"), F.when(F.col("id") % 2 == 0, "/a/").otherwise("/").alias("path"))
+    rules = rules.union(spark.createDataFrame([("block", None, "/"), ("block", "h0.net", "/a/")], "verdict string, host string, path string"))
+    pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), (F.col("id") * 11).cast("string"), F.lit(".net/a/b?c")).alias("url"), F.lit("mine").alias("rule"), F.lit(1).alias("key"))
+    pages = pages.union(pages.filter("page_id < 5")).union(spark.createDataFrame([(-1, None, "", 0), (-2, "x" * 100_000, "", 0)], "page_id long, url string, rule string, key int"))
+
+    def judged(most):
+        monkeypatch.setattr(url_filter, "PLAN_BITS", most)
+        made = url_filter.UrlFilter.fit(pages, rules)
+        assert (made.listed is None) == (most > 0)
+        assert made.judge(empty(pages)).count() == 0
+        return Counter((r.page_id, r.rule, r.verdict) for r in made.judge(pages).collect())
+
+    got = judged(1 << 23)
+    want = Counter()
+    for k in [*range(4000), *range(5)]:
+        n = k * 11
+        listed = n < 30_000
+        verdict = "block" if n == 0 or (listed and n % 3) else "allow"
+        want[(k, f"h{n}.net/" + "a/" * (n % 2 == 0) if listed else None, verdict)] += 1
+    want.update([(-1, None, "allow"), (-2, None, "allow")])
+    assert got == want and judged(0) == want
+
+
 # 3 near duplicates
 
 
@@ -170,6 +234,38 @@ def test_near_duplicates(spark, docs):
     assert minhash.near_duplicates(empty(d)).count() == 0
 
 
+def test_large_buckets_meet_in_blocks(spark):
+    big = [(1, k, 7) for k in range(900)] + [(1, 1000 + k, 1000 + k) for k in range(90)] + [(2, k, 7) for k in range(3)] + [(2, 5000, 9)]
+    made = minhash.met_in_blocks(spark.createDataFrame(big, "band long, node long, label long"), 64).collect()
+    label, cells = {n: v for _, n, v in big}, {}
+    for r in made:
+        for side in ("lo", "hi"):
+            if r.own == r[side]:
+                cells.setdefault((r.band, r.lo, r.hi), ([], []))[side == "hi"].append(r.node)
+    met = Counter()
+    for (band, lo, hi), (x, y) in cells.items():
+        assert len(x) <= 200 and len(y) <= 200
+        met.update((band, *sorted((a, b))) for a in x for b in y if label[a] != label[b] and (lo < hi or a < b))
+    want = {(g, *sorted((a, b))) for g, a, x in big for h, b, y in big if g == h and x != y}
+    assert set(met) == want and max(met.values()) == 1
+
+
+def test_near_duplicates_by_row(spark, monkeypatch):
+    base = " ".join(f"w{k}" for k in range(60))
+    data = [("b", base, 1), ("b", "another text of six words", 2), ("a", base + " end", 3), (None, base, 4), (None, None, 5), ("b", base, 6), ("z", "", 7), ("y", "", 8), ("long", "q r s t u " * 60_000, 9)]
+    d = spark.createDataFrame(data, "doc_id string, text string, node int").withColumns({"id": F.lit(1), "exact": F.lit("x"), "band": F.lit(0)})
+    got = {(r.id, r.exact): (r.component_id, r.kept) for r in minhash.classes(d).collect()}
+    h = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got == {
+        ("b", h(base)): ("a", False), ("b", h(data[1][1])): ("b", True), ("a", h(base + " end")): ("a", True), (None, h(base)): ("a", False), (None, "-"): (None, True), ("z", h("")): ("y", False), ("y", h("")): ("y", True), ("long", h(data[-1][1])): ("long", True),
+    }
+
+
+def test_op3_recall_on_the_table(spark, sf_dir):
+    got = {r.doc_id: r.component_id for r in queries.QUERIES["op3_dartminhash"](spark, sf_dir).collect()}
+    assert got == brute_classes([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()])
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(5)
     e = rng.integers(1, 2**43, 300).astype(np.uint64)
@@ -201,6 +297,33 @@ def test_shards(spark, docs):
     assert sharding.assign(empty(docs)).count() == 0
 
 
+def test_shards_cut_only_what_they_must(spark, monkeypatch):
+    """Against the optimum, 0: a shard's last place and its first free one may cut a group each. A group above a quota is cut."""
+    monkeypatch.setattr(sharding, "_RANK_ROWS", 50)
+    few = spark.range(480).select("id", F.concat(F.lit("g"), F.floor(F.col("id") / 4).cast("string")).alias("text"))
+    out = sharding.cut(sharding.assign(few, "id", shards=6, rounds=12)).first()
+    assert (out.groups, out.links) == (120, 720) and out.split <= 2 * 6
+    hot = spark.range(900).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    hot = hot.withColumns({"g": F.lit(1), "shard": F.lit(2), "row": F.lit(3), "many": F.lit(4), "copies": F.lit("clash")})
+    placed = sharding.assign(hot, "id", shards=6).toPandas()
+    n = placed.groupby("shard").size()
+    assert n.max() - n.min() <= 1 and all(sorted(g.slot) == list(range(len(g))) for _, g in placed.groupby("shard"))
+    held = placed[placed.doc_id % 3 == 0].groupby("shard").size()
+    assert held.max() == 150 and (held >= 150).sum() >= 1  # 300 copies, quota 150: two shards are the least
+    same = spark.createDataFrame([(1, "x" * 1_000_000), (1, "x" * 1_000_000), (None, None)], "doc_id long, text string")
+    got = sharding.assign(same, shards=2).collect()
+    assert len(got) == 3 and {r["size"] for r in got} == {8, 1_000_008}
+
+
+def test_op4_query(spark, sf_dir):
+    out = queries.QUERIES["op4_label_propagation"](spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    figures, pdf = sharding.cut(out).first(), out.toPandas()
+    assert sorted(pdf.doc_id) == sorted(r.doc_id for r in docs.collect())
+    n = pdf.groupby("shard").size()
+    assert n.max() - n.min() <= 1 and figures.split <= 0.05 * figures.groups + 1
+
+
 # 5 and 7 tokens
 
 
@@ -297,6 +420,21 @@ def test_containment(spark, docs):
         decontaminate.BROADCAST_ROWS = most
 
 
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_containment_of_null_and_repeated_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", most)
+    text = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([("i", text, 1), ("i", text, 2), (None, "solo word", 3)], "item_id string, text string, doc_id int")
+    data = [(1, text), (None, text), (1, text), (2, "nothing of it at all here"), (2, "x " + text), (3, "a solo word " * 20_000)]
+    d = spark.createDataFrame(data, "doc_id long, text string").withColumns({"item_id": F.lit("clash"), "w": F.lit(0), "t": F.lit(1), "n": F.lit(2)})
+    got = [(r.doc_id, r.item_id, r.n_found) for r in decontaminate.contained(d, items).collect()]
+    assert Counter(got) == Counter([(1, "i", 6), (None, "i", 6), (2, "i", 6), (3, None, 1)])
+    exact = {(r.doc_id, r.exact) for r in decontaminate.contained(d, items, exact=True).collect()}
+    assert (2, hashlib.md5(("x " + text).encode()).hexdigest()) in exact and len(exact) == 4
+    none = decontaminate.contained(d, empty(items))
+    assert none.count() == 0 and none.schema["item_id"].dataType.simpleString() == "string"
+
+
 # 8 chat
 
 
@@ -315,8 +453,46 @@ def test_long_conversation_comes_in_parts(spark):
     parts = chat.render(t).orderBy("part").collect()
     assert [r.part for r in parts] == [0, 1, 2, 3]
     assert "".join(r.text for r in parts) == "".join(f"<|im_start|>user\n{k}<|im_end|>\n" for k in range(1000))
-    rolled = {r.pos: (r.h1, r.h2) for r in chat.rolling(t, block=64).collect()}
-    assert rolled == {r.pos: (r.h1, r.h2) for r in chat.rolling(t, block=5000).collect()} and len(set(rolled.values())) == 1000
+    rolled = {r.pos: (r.h1, r.h2) for r in chat.rolling(t, block=64).prefixes.collect()}
+    assert rolled == {r.pos: (r.h1, r.h2) for r in chat.rolling(t, block=5000).prefixes.collect()} and len(set(rolled.values())) == 1000
+
+
+def brute_render(data):
+    """Maximal conversations by comparing whole lists of turns."""
+    low = lambda v: (v is not None, v if v is not None else 0)
+    turns = {}
+    for c, k, r, t in set(data):
+        turns.setdefault(c, []).append((low(k), low(r) if r is None else (True, r), (t is not None, t or "")))
+    talk = {c: [(r[1] if r[0] else None, t[1] if t[0] else None) for _, r, t in sorted(x, key=lambda y: (y[0], (y[1][0], str(y[1][1])), y[2]))] for c, x in turns.items()}
+    out = {}
+    for c, mine in talk.items():
+        longer = any(len(o) > len(mine) and o[: len(mine)] == mine for o in talk.values())
+        first = min((k for k, o in talk.items() if o == mine), key=lambda k: (k is None, k or 0))
+        if not longer and first == c:
+            out[c] = (len(mine), "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for r, t in mine))
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_snapshots_against_brute_force(spark, monkeypatch, most):
+    rng = np.random.default_rng(int(most > 0))
+    monkeypatch.setattr(chat, "BROADCAST_ROWS", most)
+    data = []
+    for c in [*range(40), None]:
+        for k in range(rng.integers(1, 9)):
+            turn = [k, k, k // 2, None, k * 2000][rng.integers(5)]
+            row = (c, turn, ["user", "bot", None][rng.integers(3)], ["x", "y", "", None][rng.integers(4)])
+            data += [row] * int(rng.integers(1, 3))
+    data += [(50, k // 3, "u", str(k % 7)) for k in range(60)] + [(51, k // 3, "u", str(k % 7)) for k in range(90)]
+    data += [(52 + j, None, "u", f"{k:02}") for j in range(2) for k in range(40 - 10 * j)] + [(60, 0, "u", "same")] * 500 + [(61, 0, "u", "z" * 300_000)]
+    t = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumns({"c": F.lit(1), "n": F.lit("clash"), "part": F.lit(2), "start": F.lit(3)})
+    got = {}
+    for r in chat.render(t, part_turns=16, block=4).orderBy("part").collect():
+        n, text = got.get(r.conv_id, (r.n_turns, ""))
+        got[r.conv_id] = (n, text + r.text)
+    assert got == brute_render(data)
+    texts = t.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", "role", "text")
+    assert {r.conv_id for r in chat.render(texts).collect()} == {None if c is None else str(c) for c in got}
 
 
 # 9 quality
@@ -334,6 +510,15 @@ def test_votes_match_brute_force():
         assert got == pytest.approx(((w * model.labels[near]).sum() + 0.35) / (w.sum() + 0.5))
 
 
+def test_votes_of_ties():
+    rng = np.random.default_rng(1)
+    model = quality.Neighbours(rng.normal(size=(quality.TERMS, 4)), np.zeros((0, 4)), np.array([1.0] * 30 + [0.0] * 10), np.ones(40), 0.5)
+    row = rng.normal(size=(1, quality.TERMS))
+    model.vectors = np.repeat(model.project(row), 40, axis=0)
+    got = model.vote(row, 25)[0]
+    assert got == pytest.approx((30 + 0.25) / (40 + 0.5)) and (model.vote(row[:, :] * 2, 25)[0] == got)
+
+
 def test_quality_held_out(spark):
     folder = "/root/testdata/sf0.01"
     got = queries.QUERIES["op9_neighbour_votes"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out").toPandas()
@@ -350,6 +535,9 @@ def test_quality_edges(odd, docs, labels):
     got = quality.score(odd, model).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     assert quality.score(empty(odd), model).count() == 0
+    twice = docs.union(docs).withColumns({"score": F.lit("clash"), "y": F.lit(1), "x": F.lit(2)})
+    got = quality.score(twice, quality.fit(twice, labels)).collect()
+    assert len(got) == 2 * docs.count() and len({(r.doc_id, round(r.score, 6)) for r in got}) == docs.count()
 
 
 # 10 vectors
@@ -375,3 +563,63 @@ def test_vectors(spark):
     assert got[406] == (1, 406, True) and got[407] == (1, 406, False)
     assert all(got[k] == (0, k, True) for k in (400, 401, 402, 403, 404, 405, 408))
     assert embedding_dedup.near_duplicates(empty(d)).count() == 0
+
+
+def brute_links(data, threshold=0.98):
+    """(n_links, component, kept) by exact cosines of scaled vectors."""
+    from fractions import Fraction
+
+    good = {i: (v, y) for i, v, y in data if y is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
+    dot = lambda a, b: sum(Fraction(x) * Fraction(y) for x, y in zip(a, b, strict=True))
+    same = lambda a, b: len(a) == len(b) and (d := dot(a, b)) > 0 and d * d >= Fraction(threshold) ** 2 * dot(a, a) * dot(b, b)
+    link = {i: [j for j in good if j != i and good[i][1] == good[j][1] and same(good[i][0], good[j][0])] for i in good}
+    label = {i: i for i, *_ in data}
+    for _ in data:
+        for i, js in link.items():
+            label[i] = min([label[i], *(label[j] for j in js)])
+    return {i: (len(link.get(i, [])), label[i], label[i] == i) for i, *_ in data}
+
+
+def test_vectors_of_any_scale(spark):
+    big, tiny, sub = 1e200, 1e-200, 5e-324
+    data = [(1, [1.0, 1.0], 1), (2, [1.0, 1.0], 1), (3, [tiny, tiny], 1), (4, [tiny, 0.0], 2), (5, [big, big], 1), (6, [big, big], 3), (7, [sub, sub], 1), (8, [-1.0, -1.0], 1), (9, [1e308, 1.0], 4), (10, [sub, 0.0], 4), (11, [0.0, -0.0], 1), (12, [3.0, 3.0], 1)]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumns({"x": F.lit(1), "id": F.lit("clash"), "width": F.lit(0)})
+    got = {r.id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(d).collect()}
+    assert got == brute_links(data)
+    assert got[1][0] == 5 and got[9][:2] == (1, 9)
+
+
+def test_copies_count_in_full_and_text_ids_work(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=8).astype(np.float32)
+    data = [(f"c{k:04}", [float(v) for v in base], 1) for k in range(700)] + [(f"n{k}", [float(v) for v in base + rng.normal(size=8).astype(np.float32) * 0.05], 1) for k in range(40)]
+    data += [(f"r{k}", [float(v) for v in rng.normal(size=8).astype(np.float32)], int(k % 2)) for k in range(60)]
+    d = spark.createDataFrame(data, "vec_id string, embedding array<float>, label int")
+    got = {r.id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(d, block=16, lists=8, codewords=8).collect()}
+    x = np.array([v for _, v, _ in data], np.float32).astype(float)
+    u = embedding_dedup.unit(x)
+    y = np.array([v for *_, v in data])
+    link = (u @ u.T >= 0.98) & (y[:, None] == y)
+    np.fill_diagonal(link, False)
+    assert all(got[i][0] == n for (i, *_), n in zip(data, link.sum(axis=1), strict=True))
+    assert {got[f"c{k:04}"][1] for k in range(700)} == {"c0000"} and sum(g[2] for g in got.values()) == len({g[1] for g in got.values()})
+
+
+def test_a_pair_links_both_ways_or_not():
+    rng = np.random.default_rng(9)
+    x = embedding_dedup.unit(rng.normal(size=(400, 24)))
+    near = np.ones((400, 400), bool)
+    t = float(np.sort((x @ x.T)[np.triu_indices(400, 1)])[-50])
+    hit = embedding_dedup.links(x, x, near, t)
+    assert (hit == hit.T).all()
+
+
+def test_op10_query(spark, sf_dir):
+    data = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.QUERIES["op10_product_quantisation"](spark, sf_dir).collect()}
+    u = {}
+    for i, v, y in data:
+        if y is not None and v and all(a is not None and np.isfinite(a) for a in v) and any(v):
+            u[i] = (embedding_dedup.unit(np.array([v], float))[0], y)
+    n = {i: sum(j != i and u[j][1] == u[i][1] and len(u[j][0]) == len(u[i][0]) and u[j][0] @ u[i][0] >= 0.98 for j in u) for i in u}
+    assert all(got[i][0] == n.get(i, 0) for i, *_ in data)

@@ -50,3 +50,17 @@ def test_tokens_are_decoded(spark, sf_dir):
     assert len(rows) == 43 and all(r.decoded == m.decode(list(r.ids)) for r in rows)
     assert {r.doc_id: r.decoded for r in rows}[9002] == ""
     assert sum(len(r.decoded) > 20 for r in rows) > 30
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 40").first().text
+    words = " ".join(f"word{k}" for k in range(40))
+    odd = [(1, words), (1, words + " more"), (1, "quite another text of some words here"), (1, item), (2, words), (None, words), (None, item), (None, "a text without an id for once"), (7, None), (7, None), (8, ""), (9, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], docs.schema)
+    left = sorted(((r.doc_id, r.text) for r in cp.distinct_texts(spark, d, sf_dir).collect()), key=str)
+    lead = [t for i, t in left if i == 1 and t.startswith(words)]
+    assert len(lead) == 1
+    assert left == sorted([(1, lead[0]), (1, odd[2][1]), (1, item), (None, odd[7][1]), (7, None), (8, "")], key=str)
+    clean = sorted(((r.doc_id, r.text) for r in cp.free_of_benchmark(spark, d, sf_dir).collect()), key=str)
+    assert clean == sorted([x for x in odd if x[1] != item], key=str)
