@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
+_local: dict[str, str] = {}
 
 
 #: Rows of an Arrow batch at most: texts of several kB each must fit in a task's share of memory, on both sides of the pipe.
@@ -18,7 +19,10 @@ ARROW_ROWS = 1500
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers of every executor, once per application, and bound Arrow batches of texts."""
+    """Send this package to the Python workers of every executor, once per application, and bound Arrow batches of texts.
+
+    The bound is a setting of the session: Spark reads it when a plan runs, after this function has returned. A smaller one stays.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     sc = spark.sparkContext
@@ -31,11 +35,22 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="pastcast-")
-    return f"{base.rstrip('/')}/pastcast/{uuid.uuid4().hex}"
+    """A new folder below this application's own in ``spark.checkpoint.dir``.
+
+    Where that is unset, the warehouse of the cluster is the shared folder; a local master, with one machine, uses a temporary one.
+    """
+    base, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not base and sc.master.startswith("local"):
+        base = _local.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
+    elif not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/pastcast/{sc.applicationId}/{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes what this application has stored; for the end of a job, since DataFrames made before may read it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.dirname(scratch(spark)))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, *keys: str) -> DataFrame:
