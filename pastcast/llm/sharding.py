@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pastcast.session import checkpointed, stored
 
 #: Rows of a window at most, about; and large groups that are broadcast at most: those with more than 1 / _HOT of all rows.
-_RANK_ROWS, _HOT = 20_000, 5_000
+_RANK_ROWS, _HOT = 4_000, 5_000
 
 
 def ranked(rows: DataFrame, key: list[str], bucket: Column, by: list[str], name: str) -> DataFrame:
