@@ -219,7 +219,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", most: int = 2000, buckets: int = 1 << 18, steps: int = 40, chance: float = 1e-4, ratio: float = 10) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", most: int = 1500, buckets: int = 1 << 18, steps: int = 40, chance: float = 1e-4, ratio: float = 10) -> Crf:
     """Fits on about ``most`` documents of each label, picked by a hash of the key; labels has (key, label in 0, 1).
 
     The picked keys, bounded by ``most``, are broadcast to the documents; of rows that repeat a key one counts.
