@@ -179,11 +179,15 @@ def _fit_chain(token: np.ndarray, size: np.ndarray, y: np.ndarray, bucket: np.nd
     token: the kind of each word, chain after chain; size: words of each chain; y: labels; kind k has the features bucket[first[k]:first[k + 1]].
     """
     begin = np.concatenate(([0], np.cumsum(size)))
-    inner = np.ones(len(y), bool)
-    inner[begin[:-1]] = False
-    pairs = np.flatnonzero(inner)
-    seen = np.zeros((2, 2))
-    np.add.at(seen, (y[pairs - 1], y[pairs]), 1)
+    # blocks of whole chains bound what a step holds
+    cuts = np.unique(np.append(np.searchsorted(begin, np.arange(0, begin[-1], 1 << 16)), len(size)))
+    blocks, seen = [], np.zeros((2, 2))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        inner = np.ones(begin[hi] - begin[lo], bool)
+        inner[begin[lo:hi] - begin[lo]] = False
+        blocks.append((slice(begin[lo], begin[hi]), begin[lo : hi + 1] - begin[lo], np.flatnonzero(inner).astype(np.int32)))
+        here = y[blocks[-1][0]]
+        np.add.at(seen, (here[blocks[-1][2] - 1], here[blocks[-1][2]]), 1)
     many = np.diff(first)
     x = np.zeros(buckets + 4)
     x[buckets:] = np.log((seen + 1) / (seen + 1).sum(axis=1, keepdims=True)).reshape(-1)
@@ -191,16 +195,18 @@ def _fit_chain(token: np.ndarray, size: np.ndarray, y: np.ndarray, bucket: np.nd
     m, v = np.zeros_like(x), np.zeros_like(x)
     for k in range(1, steps + 1):
         of_kind, trans = np.add.reduceat(x[:buckets].astype(np.float32)[bucket], first[:-1]).astype(np.float64), x[buckets:].reshape(2, 2)
-        e = of_kind[token]
-        f, b = forward_backward(e, begin, trans)
-        p = 1 / (1 + np.exp(-np.clip(f + b, -50, 50)))
-        ahead = (b + e)[pairs]
-        whole = np.stack([np.full(len(pairs), trans[0, 0]), trans[0, 1] + ahead, trans[1, 0] + f[pairs - 1], trans[1, 1] + f[pairs - 1] + ahead])
-        joint = np.exp(whole - whole.max(axis=0))
-        joint = (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
+        pull, joint = np.zeros(len(many)), np.zeros((2, 2))
+        for where, start, pairs in blocks:
+            e = of_kind[token[where]]
+            f, b = forward_backward(e, start, trans)
+            p = 1 / (1 + np.exp(-np.clip(f + b, -50, 50)))
+            ahead = (b + e)[pairs]
+            whole = np.stack([np.full(len(pairs), trans[0, 0]), trans[0, 1] + ahead, trans[1, 0] + f[pairs - 1], trans[1, 1] + f[pairs - 1] + ahead])
+            share = np.exp(whole - whole.max(axis=0))
+            joint += (share / share.sum(axis=0)).sum(axis=1).reshape(2, 2)
+            pull += np.bincount(token[where], weights=p - y[where], minlength=len(many))
         g = np.zeros_like(x)
-        pull = np.bincount(token, weights=p - y, minlength=len(many)).astype(np.float32)
-        g[:buckets] = np.bincount(bucket, weights=np.repeat(pull, many), minlength=buckets)
+        g[:buckets] = np.bincount(bucket, weights=np.repeat(pull.astype(np.float32), many), minlength=buckets)
         g[buckets:] = (joint - seen).reshape(-1)
         g = g / len(y) * 50
         g[1:] += ridge * x[1:]
@@ -219,7 +225,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", most: int = 1500, buckets: int = 1 << 18, steps: int = 40, chance: float = 1e-4, ratio: float = 10) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text_col: str = "text", most: int = 1000, buckets: int = 1 << 18, steps: int = 40, chance: float = 1e-4, ratio: float = 10) -> Crf:
     """Fits on about ``most`` documents of each label, picked by a hash of the key; labels has (key, label in 0, 1).
 
     The picked keys, bounded by ``most``, are broadcast to the documents; of rows that repeat a key one counts.
@@ -257,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     order = np.argsort(word)
     token = order[np.searchsorted(word[order], flat(rows, 0))].astype(np.int32)
     toxic = np.repeat(rows.column(2).to_numpy(), rows.column(0).combine_chunks().value_lengths().to_numpy()) == 1
-    y = (np.maximum.reduceat(odd[bucket], first[:-1])[token] & toxic).astype(np.int64)
+    y = (np.maximum.reduceat(odd[bucket], first[:-1])[token] & toxic).astype(np.int8)
     del rows, kinds
     weights, trans = _fit_chain(token, size, y, bucket, first, buckets, steps, 1e-4)
     model = Crf(weights.astype(np.float32), trans, np.array([0.0, 1.0, 0.0, 0.0]))
