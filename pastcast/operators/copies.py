@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def hashed(k: Column, n: Column, seed: int) -> Column:
-    """A repeatable pick from 0 to n - 1: a linear congruence, the same in any engine."""
-    return (k * 7919 + seed * 104729 + 13) % n
+def hashed(n: Column, *parts: Column | str) -> Column:
+    """A repeatable pick from 0 to n - 1 by 48 bits of the MD5 digest of the parts' text: any engine can draw it again."""
+    key = F.concat_ws("|", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
+    return F.pmod(F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long"), n)
 
 
 def block_bootstrap(rows: DataFrame, block: int, seed: int = 1) -> DataFrame:
@@ -20,29 +19,19 @@ def block_bootstrap(rows: DataFrame, block: int, seed: int = 1) -> DataFrame:
     """
     size = rows.groupBy("series_id").agg(F.count("*").alias("n"))
     blocks = size.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
-    blocks = blocks.withColumn("start", hashed(F.col("k"), F.greatest(F.col("n") - block + 1, F.lit(1)), seed))
+    blocks = blocks.withColumn("start", hashed(F.greatest(F.col("n") - block + 1, F.lit(1)), "series_id", "k", F.lit(seed)))
     at = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).select("series_id", "n", (F.col("k") * block + F.col("j")).alias("to"), (F.col("start") + F.col("j")).alias("pos")).filter("to < n")
     return at.join(rows.select("series_id", "pos", "value"), ["series_id", "pos"]).select("series_id", F.col("to").alias("pos"), "value")
 
 
-def congruent(n: Column, seed: int) -> Column:
-    """A pick for (k, r) that is linear in k: a permutation of all rows unless n shares a factor with 31 or 7919, so no resample of them."""
-    return hashed(F.col("k") * 31 + F.col("r") * F.col("r") * 17 + F.col("r"), n, seed)
-
-
-def drawn(n: Column, seed: int) -> Column:
-    """A pick for (id, k, r) with replacement, by hash."""
-    return F.pmod(F.xxhash64("id", "k", "r", F.lit(seed)), n)
-
-
-def paired_bootstrap(deltas: DataFrame, resamples: int = 200, seed: int = 1, pick: Callable[[Column, int], Column] = drawn) -> DataFrame:
+def paired_bootstrap(deltas: DataFrame, resamples: int = 200, seed: int = 1) -> DataFrame:
     """(id, mean, low, high, p) of paired differences (id, k, delta), k from 0: percentile interval and two-sided p of the mean over hashed resamples.
 
     Picks are joined back by (id, k) and summed by map-side combine per resample.
     """
     size = deltas.groupBy("id").agg(F.count("*").alias("n"), F.avg("delta").alias("mean"))
     picks = deltas.select("id", "k").join(size, "id").withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))))
-    picks = picks.select("id", "r", "mean", pick(F.col("n"), seed).alias("k"))
+    picks = picks.select("id", "r", "mean", hashed(F.col("n"), "id", "k", "r", F.lit(seed)).alias("k"))
     means = picks.join(deltas, ["id", "k"]).groupBy("id", "r", "mean").agg(F.avg("delta").alias("m"))
     at = lambda q: F.get(F.sort_array(F.collect_list("m")), F.lit(int(q * resamples - 1) if q * resamples >= 1 else 0))
     low = F.avg((F.col("m") <= 0).cast("double"))

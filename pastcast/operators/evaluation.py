@@ -64,11 +64,16 @@ def deltas(base: DataFrame, new: DataFrame, lower_better: list[str]) -> DataFram
 
 
 def gated(deltas_: DataFrame, gates: DataFrame) -> DataFrame:
-    """(id, keep, failed): keep if every required gate (metric, least_delta, required) passes; a missing metric fails."""
-    ids = deltas_.select("id").distinct()
-    rows = ids.crossJoin(F.broadcast(gates.limit(1000))).join(deltas_, ["id", "metric"], "left")  # gates: a table of at most 1000 rules
-    ok = F.coalesce(F.col("delta") >= F.col("least_delta"), F.lit(False))
-    return rows.groupBy("id").agg(F.bool_and(ok | ~F.col("required")).alias("keep"), F.count_if(~ok).alias("failed"))
+    """(id, keep, failed): keep if every required gate (metric, least_delta, required) passes; a missing metric fails.
+
+    Gates that pass are counted against how many there are, so any number of gates is one join on the metric.
+    """
+    whole = gates.agg(F.count("*").alias("_n"), F.count_if("required").alias("_must"))  # one row
+    met = deltas_.join(gates, "metric").filter(F.col("delta") >= F.col("least_delta"))
+    met = met.groupBy("id").agg(F.count("*").alias("_ok"), F.count_if("required").alias("_done"))
+    rows = deltas_.select("id").distinct().join(met, "id", "left").crossJoin(F.broadcast(whole))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return rows.select("id", (zero("_done") == F.col("_must")).alias("keep"), (F.col("_n") - zero("_ok")).alias("failed"))
 
 
 def by_regime(returns: DataFrame) -> DataFrame:

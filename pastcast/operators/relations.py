@@ -13,7 +13,7 @@ from pastcast.session import checkpointed
 from pastcast.sources.series import framed, in_chunk
 
 #: Fixed event types of the feature vector.
-EVENT_TYPES = ["view", "click", "purchase", "signup", "error", "login", "logout", "other"]
+EVENT_TYPES = ["rate_decision", "economic_data", "geopolitical", "earnings", "policy", "natural_disaster", "market_crash", "other"]
 
 
 def tail_returns(rows: DataFrame, most: int) -> DataFrame:
@@ -45,12 +45,12 @@ def information_flow(rows: DataFrame, most: int = 252, least: float = 0.05) -> D
     return one.join(two, ["a", "b"]).withColumns({"net": net, "direction": F.when(net > least, "a_leads").when(net < -least, "b_leads").otherwise("mutual")})
 
 
-def event_vector(kind: Column, ts: Column, magnitude: Column, direction: Column) -> Column:
-    """14 numbers: the type, month and weekday (Monday 0) on circles, magnitude in 0 to 1, direction."""
-    known = F.when(kind.isin(EVENT_TYPES), kind).otherwise("other")
+def event_vector(kind: Column, ts: Column, magnitude: Column, direction: Column, types: list[str] = EVENT_TYPES) -> Column:
+    """As many numbers as types and six: the type (unknown ones are the last), month and weekday (Monday 0) on circles, magnitude in 0 to 1, direction."""
+    known = F.when(kind.isin(types), kind).otherwise(types[-1])
     angle = lambda x, n: x * (2 * math.pi / n)
     month, weekday = angle(F.month(ts) - 1, 12), angle(F.weekday(ts), 7)
-    return F.array(*[F.when(known == t, 1.0).otherwise(0.0) for t in EVENT_TYPES], F.sin(month), F.cos(month), F.sin(weekday), F.cos(weekday), F.greatest(F.lit(0.0), F.least(F.lit(1.0), magnitude)), direction.cast("double"))
+    return F.array(*[F.when(known == t, 1.0).otherwise(0.0) for t in types], F.sin(month), F.cos(month), F.sin(weekday), F.cos(weekday), F.greatest(F.lit(0.0), F.least(F.lit(1.0), magnitude)), direction.cast("double"))
 
 
 def cosine(a: Column, b: Column) -> Column:

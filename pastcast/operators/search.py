@@ -90,12 +90,22 @@ def _packed(some: list, width: int) -> tuple:
     return q, [r["query_id"] for r in some], [r["series_id"] for r in some], np.array([r["q_start"] for r in some], dtype=np.int64), np.array([r["cut"] for r in some], dtype=np.int64)
 
 
-def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, methods: dict[str, float], stride: int = 1, ahead: int = 0, parts: int = 16, alphabet: int = 8, size: int = CHUNK, own: bool = False, most: int = MAX_QUERIES) -> DataFrame:
+def _drawing(width: int, length: int) -> np.ndarray:
+    """The matrix that draws a row of ``width`` values linearly to ``length`` values."""
+    x = np.linspace(0, width - 1, length)
+    k = np.minimum(x.astype(int), width - 2)
+    out = np.zeros((width, length))
+    out[k, np.arange(length)] = 1 - (x - k)
+    out[k + 1, np.arange(length)] += x - k
+    return out
+
+
+def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, methods: dict[str, float], stride: int = 1, ahead: int = 0, parts: int = 16, alphabet: int = 8, size: int = CHUNK, own: bool = False, most: int = MAX_QUERIES, target: int | None = None) -> DataFrame:
     """(query_id, series_id, start, score, correlation): per query the ``keep`` best windows of each stretch.
 
     queries: (query_id, series_id, q_start, cut, values), any number. A window that overlaps the query's own span, or that with the
     ``ahead`` values after it reaches beyond ``cut`` on the query's series, is no candidate; ``ahead`` values must follow it. With own,
-    only the query's series is searched.
+    only the query's series is searched. With target, the length of the queries' values, windows of another width are drawn to it linearly.
     Up to ``most`` queries are broadcast after a count, and one pass over stretches of positions serves all. More are dealt by hash into
     blocks, and each stretch meets each block. Windows are views and are never turned into rows.
     """
@@ -104,13 +114,15 @@ def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, metho
     queries = queries.select("query_id", "series_id", "q_start", "cut", "values")
     some = queries.limit(most + 1).collect()
     blocked = len(some) > most
-    shared = spark.sparkContext.broadcast(None if blocked else _packed(some, width))
+    length = target or width
+    drawn = None if length == width else _drawing(width, length)
+    shared = spark.sparkContext.broadcast(None if blocked else _packed(some, length))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                z, ids, series, begun, cut = _packed(row["_q"], width) if blocked else shared.value
+                z, ids, series, begun, cut = _packed(row["_q"], length) if blocked else shared.value
                 values = np.array(row["values"])
                 n = min(row["size"], len(values) - width - ahead + 1)
                 if n <= 0 or not len(ids):
@@ -121,9 +133,10 @@ def candidates(rows: DataFrame, queries: DataFrame, width: int, keep: int, metho
                 out = []
                 view = np.lib.stride_tricks.sliding_window_view(values, width)
                 for k in range(0, len(at), 1024):
-                    score, corr = _scores(view[at[k : k + 1024]], z, parts, alphabet, methods)
+                    some_ = view[at[k : k + 1024]]
+                    score, corr = _scores(some_ if drawn is None else some_ @ drawn, z, parts, alphabet, methods)
                     first = start[k : k + 1024][:, None]
-                    bad = mine[None] & (((first < begun + width) & (first + width > begun)) | (first + width + ahead > cut))
+                    bad = mine[None] & (((first < begun + length) & (first + width > begun)) | (first + width + ahead > cut))
                     if own:
                         bad = bad | ~mine[None]
                     score[bad] = -1

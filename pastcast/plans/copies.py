@@ -14,7 +14,7 @@ from pastcast.session import table
 QUERIES, ORACLES, query = registry()
 
 
-@query(f"""WITH {SERIES}, z AS (SELECT series_id, count(*) AS n FROM series GROUP BY 1), b AS (SELECT z.series_id, n, k.k, (k.k * 7919 + 104729 + 13) % greatest(n - 24, 1) AS start FROM z JOIN range(0, 1000000) k(k) ON k.k < ceil(n / 25.0)), a AS (SELECT series_id, k * 25 + j.j AS pos, start + j.j AS at, n FROM b JOIN range(0, 25) j(j) ON true)
+@query(f"""WITH {SERIES}, z AS (SELECT series_id, count(*) AS n FROM series GROUP BY 1), b AS (SELECT z.series_id, n, k.k, ('0x' || substr(md5(concat_ws('|', z.series_id, k.k, 1)), 1, 12))::BIGINT % greatest(n - 24, 1) AS start FROM z JOIN range(0, 1000000) k(k) ON k.k < ceil(n / 25.0)), a AS (SELECT series_id, k * 25 + j.j AS pos, start + j.j AS at, n FROM b JOIN range(0, 25) j(j) ON true)
   SELECT a.series_id, a.pos, s.value FROM a JOIN series s ON s.series_id = a.series_id AND s.pos = a.at WHERE a.pos < n""")
 def y1_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.block_bootstrap(event_series(spark, sf_dir), 25)
@@ -28,17 +28,10 @@ def _daily_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT o_orderpriority AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) - 1 AS k, avg(o_totalprice) / 1000 - 250 AS delta FROM orders GROUP BY o_orderpriority, o_orderdate), n AS (SELECT id, count(*) AS n, avg(delta) AS mean FROM d GROUP BY 1),
-  p AS (SELECT d.id, r.r, n.mean, ((d.k * 31 + r.r * r.r * 17 + r.r) * 7919 + 104729 + 13) % n.n AS k FROM d JOIN n USING (id) JOIN range(0, 40) r(r) ON true), m AS (SELECT p.id, r, mean, avg(delta) AS m FROM p JOIN d USING (id, k) GROUP BY 1, 2, 3)
-  SELECT id, round(mean, 6) + 0.0 AS mean, round(list_sort(list(m))[1], 6) + 0.0 AS low, round(list_sort(list(m))[39], 6) + 0.0 AS high, round(least(1.0, 2 * least(avg((m <= 0)::INT), 1 - avg((m <= 0)::INT))), 6) AS p FROM m GROUP BY id, mean""")
+  p AS (SELECT d.id, r.r, n.mean, ('0x' || substr(md5(concat_ws('|', d.id, d.k, r.r, 1)), 1, 12))::BIGINT % n.n AS k FROM d JOIN n USING (id) JOIN range(0, 200) r(r) ON true), m AS (SELECT p.id, r, mean, avg(delta) AS m FROM p JOIN d USING (id, k) GROUP BY 1, 2, 3)
+  SELECT id, round(mean, 6) + 0.0 AS mean, round(list_sort(list(m))[5], 6) + 0.0 AS low, round(list_sort(list(m))[195], 6) + 0.0 AS high, round(least(1.0, 2 * least(avg((m <= 0)::INT), 1 - avg((m <= 0)::INT))), 6) AS p FROM m GROUP BY id, mean""")
 def k13_paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 picks as the SQL states them, which are permutations of nearly all series; k13_resampled draws with replacement."""
-    out = copies.paired_bootstrap(_daily_deltas(spark, sf_dir), 40, pick=copies.congruent)
-    return out.select("id", *[rounded(c).alias(c) for c in ("mean", "low", "high")], F.round("p", 6).alias("p"))
-
-
-@query()
-def k13_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The paired bootstrap over 200 draws with replacement; held against brute force in the tests."""
+    """The paired bootstrap over 200 resamples drawn with replacement."""
     out = copies.paired_bootstrap(_daily_deltas(spark, sf_dir))
     return out.select("id", *[rounded(c).alias(c) for c in ("mean", "low", "high")], F.round("p", 6).alias("p"))
 

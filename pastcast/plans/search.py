@@ -48,9 +48,9 @@ def m10_analogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(spark, sf_dir)[1].select("query_id", "rank", "series_id", "start", F.round("score", 6).alias("score"), rounded("correlation").alias("correlation"))
 
 
-@query(f"""WITH {_WINS} SELECT series_id, start, array_to_string(word, '') AS word FROM w WHERE start % 20 = 0""")
+@query(f"""WITH {_WINS} SELECT series_id, start, array_to_string(word, '') AS word FROM w""")
 def m1_sax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir, 20)
+    return _words(spark, sf_dir, 1)
 
 
 def _words(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
@@ -58,9 +58,9 @@ def _words(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
     return w.select("series_id", "start", F.array_join(search.sax(F.col("normal"), WIDTH).cast("array<string>"), "").alias("word"))
 
 
-@query(f"""WITH {_WINS} SELECT c.series_id, c.start, q.series_id AS query_id, round(sqrt({WIDTH} / 16.0) * sqrt({_GAP}), 6) AS mindist, round(exp(-sqrt({WIDTH} / 16.0) * sqrt({_GAP}) / {WIDTH}), 6) AS score FROM w c JOIN q ON c.start % 20 = 0""")
+@query(f"""WITH {_WINS} SELECT c.series_id, c.start, q.series_id AS query_id, round(sqrt({WIDTH} / 16.0) * sqrt({_GAP}), 6) AS mindist, round(exp(-sqrt({WIDTH} / 16.0) * sqrt({_GAP}) / {WIDTH}), 6) AS score FROM w c JOIN q ON true""")
 def m2_mindist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mindists(spark, sf_dir, 20)
+    return _mindists(spark, sf_dir, 1)
 
 
 def _mindists(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
@@ -78,9 +78,9 @@ def m3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("query_id", "rank", "series_id", "start", F.round(F.sqrt(F.greatest(F.lit(0.0), 2 * WIDTH * (1 - F.col("correlation")))), 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {_WINS}, p AS (SELECT c.series_id, c.start, q.series_id AS query_id, list_inner_product(c.z, q.z) / {WIDTH} AS corr FROM w c JOIN q USING (series_id) WHERE c.start % 20 = 0) SELECT series_id, start, round((corr + 1) / 2, 6) AS score FROM p""")
+@query(f"""WITH {_WINS}, p AS (SELECT c.series_id, c.start, q.series_id AS query_id, list_inner_product(c.z, q.z) / {WIDTH} AS corr FROM w c JOIN q USING (series_id)) SELECT series_id, start, round((corr + 1) / 2, 6) AS score FROM p""")
 def m4_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _correlations(spark, sf_dir, 20)
+    return _correlations(spark, sf_dir, 1)
 
 
 def _correlations(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
@@ -90,22 +90,6 @@ def _correlations(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
     return w.select("series_id", "start", F.round(F.when(c.isNull(), 0.0).otherwise((c + 1) / 2), 6).alias("score"))
 
 
-@query(ORACLES["m1_sax"].replace(" WHERE start % 20 = 0", ""))
-def m1_sax_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The words of every window."""
-    return _words(spark, sf_dir, 1)
-
-
-@query(ORACLES["m2_mindist"].replace("c.start % 20 = 0", "true"))
-def m2_mindist_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _mindists(spark, sf_dir, 1)
-
-
-@query(ORACLES["m4_pearson"].replace(" WHERE c.start % 20 = 0", ""))
-def m4_pearson_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _correlations(spark, sf_dir, 1)
-
-
 _FAKE = "(event_id * {a} % 1000) / 999.0"
 _SC = ", ".join(f"{_FAKE.format(a=a)} AS {k}" for k, a in {"koopman": 7, "wavelet_spectrum": 13, "dtw": 17, "pearson_warped": 29, "transfer_entropy": 31}.items())
 

@@ -191,7 +191,7 @@ def b1_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PANEL}, g AS (SELECT series_id, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY series_id ORDER BY pos)) AS gap FROM panel)
-  SELECT series_id, floor(quantile_cont(gap, 0.5))::BIGINT AS seconds, '1d' AS timeframe FROM g WHERE gap IS NOT NULL GROUP BY 1""")
+  SELECT series_id, s AS seconds, CASE WHEN s % 604800 = 0 THEN s // 604800 || 'w' WHEN s % 86400 = 0 THEN s // 86400 || 'd' WHEN s % 3600 = 0 THEN s // 3600 || 'h' WHEN s % 60 = 0 THEN s // 60 || 'm' ELSE s || 's' END AS timeframe FROM (SELECT series_id, floor(quantile_cont(gap, 0.5))::BIGINT AS s FROM g WHERE gap IS NOT NULL GROUP BY 1)""")
 def b2_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candles.inferred(panel(spark, sf_dir))
 
