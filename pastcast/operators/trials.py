@@ -36,6 +36,22 @@ def walk_forward(rows: DataFrame, trials: DataFrame, width: int, bars: int, k: i
     return cone.join(real, ["query_id", "bar"]).join(best.groupBy("query_id").agg(F.count("*").alias("n_matches")), "query_id")
 
 
+def swept(rows: DataFrame, widths: tuple[int, ...], bars: int, k: int, stride: int, methods: dict[str, float]) -> DataFrame:
+    """(series_id, width, n, hit_rate, crps, trust): walk-forward trials of every series at every width; trust is the hit rate times one less the CRPS.
+
+    Trials of one width share one pass over all series; a hit and the CRPS are those of the last bar.
+    """
+    out = None
+    for width in widths:  # a grid of a few settings
+        ends = terminal(walk_forward(rows, positions(rows, width, bars, stride), width, bars, k, methods), bars)
+        some = ends.select(F.substring_index("query_id", "@", 1).alias("series_id"), F.lit(width).alias("width"), "actual", "p10", "p50", "p90")
+        out = some if out is None else out.unionByName(some)
+    crps = sum((F.pow((F.col("actual") <= F.col(f"p{p}")).cast("double") - p / 100, 2) for p in (10, 50, 90)), F.lit(0.0)) / 3
+    hit = ((F.col("p50") > 0) == (F.col("actual") > 0)).cast("double")
+    out = out.groupBy("series_id", "width").agg(F.count("*").alias("n"), F.avg(hit).alias("hit_rate"), F.avg(crps).alias("crps"))
+    return out.withColumn("trust", F.round(F.col("hit_rate") * (1 - F.least(F.col("crps"), F.lit(1.0))), 4))
+
+
 def bar_calibration(trial_bars: DataFrame) -> DataFrame:
     """(pct, error): mean over bars of the distance between how often the outcome lies below a curve and its level."""
     per = trial_bars.groupBy("pct", "bar").agg(F.avg((F.col("actual") <= F.col("value")).cast("double")).alias("below"))
@@ -124,3 +140,10 @@ def ranked_generators(scores: DataFrame) -> DataFrame:
     """Adds place: rows with an error last, then fidelity downwards, utility gap upwards, name."""
     w = Window.orderBy(F.col("error").isNotNull(), F.desc("fidelity"), F.asc("gap"), "name")  # one row per generator
     return scores.withColumn("place", F.row_number().over(w))
+
+
+def promoted(promotions: DataFrame, runs: DataFrame) -> DataFrame:
+    """(name, run_id, dangling): the run that each dataset name points to, the last one promoted; dangling if there is no such run."""
+    last = promotions.groupBy("name").agg(F.max_by("run_id", F.struct("at", "run_id")).alias("run_id"))
+    known = runs.select("run_id").distinct().withColumn("_known", F.lit(True))
+    return last.join(known, "run_id", "left").select("name", "run_id", F.col("_known").isNull().alias("dangling"))

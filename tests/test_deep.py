@@ -19,7 +19,7 @@ def test_stretched_copy_is_found_and_reranked(spark):
     s = line(spark, x)
     got = matching.matches(s, search.last_windows(s, 60), 60, k=30, ahead=10, keep=200, rerank=20).orderBy("rank").collect()
     best = max(got, key=lambda r: r.dtw)
-    assert (best.start, best.end, best.scale) == (200, 290, 1.5) and best.dtw > 0.99 and best.pearson_warped > 0.999
+    assert (best.start, best.end, best.scale) == (200, 290, 1.5) and best.dtw > 0.98 and best.pearson_warped > 0.99
     weights = {m: search.WEIGHTS[m] for m in ("dtw", "pearson_warped", "koopman", "wavelet_spectrum", "transfer_entropy")}
     a, b = np.diff(np.log(end)), np.diff(np.log(x[200:290]))
     assert best.koopman == pytest.approx(dynamics.koopman_score(a, b)) and best.wavelet_spectrum == pytest.approx(dynamics.wavelet_score(a, b))
@@ -188,3 +188,13 @@ def test_target_follows_source(spark):
     a, b = f(x), f(y)
     lags = [abs(np.corrcoef(a[: 12 - k], b[k:])[0, 1]) for k in range(7)]
     assert got.n == 3 and got.correlation == pytest.approx(np.corrcoef(a, b)[0, 1]) and got.lag == int(np.argmax(lags)) and 0 <= got.te <= 1
+
+
+def test_sweep_is_the_sum_of_its_settings(spark):
+    from pastcast.operators import trials
+
+    s = line(spark, 100 + np.cumsum(np.random.default_rng(3).normal(size=600)))
+    both = {(r.width, r.n, r.hit_rate, r.crps, r.trust) for r in trials.swept(s, (20, 30), 5, 4, 50, {"pearson": 1.0}).collect()}
+    one = {(r.width, r.n, r.hit_rate, r.crps, r.trust) for w in (20, 30) for r in trials.swept(s, (w,), 5, 4, 50, {"pearson": 1.0}).collect()}
+    assert both == one and len(both) == 2
+    assert all(t == round(h * (1 - min(c, 1)), 4) for _, _, h, c, t in both)
