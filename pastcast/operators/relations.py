@@ -59,23 +59,31 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(d == 0, 0.0).otherwise(pair_sum(a, b) / d)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 1000, digits: int = 12) -> DataFrame:
-    """(query_id, id, similarity, rank): the k most similar rows (id, vec) of each query (query_id, vec), itself left out; ties of so many ``digits`` by id.
+def met(rows: DataFrame, queries: DataFrame, key: list[str], block: int = 1000) -> tuple[DataFrame, list[str]]:
+    """Every row beside every query (query_id, ...), and the keys within which one task can rank the rows of a query.
 
     Any number of queries: up to ``block`` are broadcast. More are dealt by hash into blocks of about that many, and the rows
-    into parts; each part meets each block in one task, which keeps its k best per query, and those are ranked again.
+    into parts by ``key``; each part meets each block in one task.
     """
     n = queries.count()
     if n <= block:
-        met = rows.crossJoin(F.broadcast(queries.select("query_id", F.col("vec").alias("_q"))))
-        return _most_similar(met, k, digits, "query_id")
+        return rows.crossJoin(F.broadcast(queries)), ["query_id"]
     blocks = -(-n // block)
     parts = max(-(-rows.count() // (20 * block)), 1)
-    place = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    q = queries.select("query_id", F.col("vec").alias("_q"), place("query_id", blocks).alias("_b")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    r = rows.select("id", "vec", place("id", parts).alias("_p")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    best = _most_similar(r.join(q, ["_p", "_b"]), k, digits, "query_id", "_p")
-    return best.drop("rank").withColumn("rank", _place("query_id")).filter(F.col("rank") <= k)
+    place = lambda m, *c: F.pmod(F.xxhash64(*c), F.lit(m)).cast("int")
+    q = queries.withColumn("_b", place(blocks, "query_id")).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    r = rows.withColumn("_p", place(parts, *key)).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return r.join(q, ["_p", "_b"]), ["query_id", "_p"]
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 1000, digits: int = 12) -> DataFrame:
+    """(query_id, id, similarity, rank): the k most similar rows (id, vec) of each query (query_id, vec), itself left out; ties of so many ``digits`` by id.
+
+    Each task keeps its k best per query, and those are ranked again.
+    """
+    pairs, keys = met(rows.select("id", "vec"), queries.select("query_id", F.col("vec").alias("_q")), ["id"], block)
+    best = _most_similar(pairs, k, digits, *keys)
+    return best if keys == ["query_id"] else best.withColumn("rank", _place("query_id")).filter(F.col("rank") <= k)
 
 
 def _place(*keys: str) -> Column:

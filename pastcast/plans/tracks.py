@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import rounded
-from pastcast.operators import tracks
+from pastcast.operators import curves, tracks
 from pastcast.plans.registry import registry
-from pastcast.session import table
+from pastcast.session import stored, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -41,3 +41,39 @@ def t6_axis_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tracks.prepared(fixes(spark, sf_dir)).filter("idx <= 7")
     m = t.select((F.col("track_id") % 3).alias("q"), "track_id", F.lit(4).alias("end"), (F.lit(1.0) + F.col("track_id") % 5).alias("weight")).distinct()
     return tracks.axis_cone(m, t, 4, ["q"]).select("q", "axis", F.col("bar").cast("long").alias("bar"), "pct", rounded("value", 8).alias("value"))
+
+
+_POINTS = 50
+
+
+@query(f"""WITH {_FIX}, l AS (SELECT *, lag(x) OVER o AS x0, lag(y) OVER o AS y0, lag(z) OVER o AS z0 FROM t WINDOW o AS (PARTITION BY track_id ORDER BY idx)),
+  d AS (SELECT *, coalesce(sqrt((x - x0) ** 2 + (y - y0) ** 2 + (z - z0) ** 2), 0.0) AS d FROM l),
+  c AS (SELECT *, sum(d) OVER (PARTITION BY track_id ORDER BY idx) AS c, sum(d) OVER (PARTITION BY track_id) / {_POINTS - 1} AS step FROM d),
+  j AS (SELECT *, floor(round(c / step, 9)) AS upto, CASE WHEN round((c - d) / step, 9) <= 0 THEN 0 ELSE floor(round((c - d) / step, 9)) + 1 END AS lo FROM c WHERE step > 0 AND d > 0),
+  r AS (SELECT j.*, k.j, greatest(0.0, least(1.0, (k.j * step - (c - d)) / d)) AS f FROM j JOIN range(0, {_POINTS}) k(j) ON k.j >= lo AND k.j <= upto)
+  SELECT track_id, j, round(x0 + f * (x - x0), 5) + 0.0 AS x, round(y0 + f * (y - y0), 5) + 0.0 AS y, round(z0 + f * (z - z0), 4) + 0.0 AS z FROM r""")
+def t2_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = curves.resampled(tracks.prepared(fixes(spark, sf_dir)), _POINTS)
+    return out.select("track_id", "j", rounded("x", 5).alias("x"), rounded("y", 5).alias("y"), rounded("z", 4).alias("z"))
+
+
+@query()
+def t3_bends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curvature and torsion of every track at three scales; the numbers are held against loops in the tests."""
+    out = curves.multiscale(curves.resampled(tracks.prepared(fixes(spark, sf_dir)), _POINTS))
+    return out.select("track_id", "sigma", F.posexplode(F.arrays_zip("curvature", "torsion")).alias("j", "b")).select("track_id", "sigma", "j", F.round("b.curvature", 6).alias("curvature"), rounded("b.torsion").alias("torsion"))
+
+
+@query()
+def t4_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of fifty fixes at every fifth start that twenty fixes follow, with their symbols."""
+    out = curves.corpus(tracks.prepared(fixes(spark, sf_dir)))
+    return out.select("track_id", "start", "symbols", F.round(F.array_max("curvature"), 6).alias("sharpest"))
+
+
+@query()
+def t5_track_analogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest windows of other tracks to the last fifty fixes of every hundredth track; held against brute force in the tests."""
+    t = stored(tracks.prepared(fixes(spark, sf_dir)))
+    out = curves.curve_analogues(stored(curves.last_curves(t.filter("track_id % 100 = 0"))), stored(curves.corpus(t)))
+    return out.withColumns({c: F.round(c, 6) for c in ("distance", "similarity")})

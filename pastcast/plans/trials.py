@@ -101,7 +101,8 @@ def v2_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors within a cosine distance of the stated queries (every hundredth id)."""
     v = vectors(spark, sf_dir)
     q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("_q"))
-    met = v.join(F.broadcast(q) if q.limit(1001).count() <= 1000 else q, F.col("id") != F.col("query_id")).withColumn("d", 1 - cosine(F.col("vec"), F.col("_q")))
+    pairs = relations.met(v, q, ["id"])[0].filter(F.col("id") != F.col("query_id"))
+    met = pairs.withColumn("d", 1 - cosine(F.col("vec"), F.col("_q")))
     return met.filter(F.round("d", 9) <= 0.7).select("query_id", "id", F.round("d", 6).alias("distance"))
 
 
