@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from pastcast.operators.sampling import normal
+from pastcast.session import ship, stored
+from pastcast.sources.series import framed, in_chunk
 
 
 def hashed(n: Column, *parts: Column | str) -> Column:
@@ -24,6 +34,120 @@ def block_bootstrap(rows: DataFrame, block: int, seed: int = 1) -> DataFrame:
     return at.join(rows.select("series_id", "pos", "value"), ["series_id", "pos"]).select("series_id", F.col("to").alias("pos"), "value")
 
 
+def pure_starts(labelled: DataFrame, block: int, size: int = 1 << 16) -> DataFrame:
+    """(series_id, label, at, start): the starts of blocks whose rows all have one label, numbered from 0 per series and label.
+
+    labelled: (series_id, pos, label). Blocks are frames ahead inside chunks; numbers are ranks inside a chunk and offsets of chunks.
+    """
+    ahead = in_chunk().rowsBetween(0, block - 1)
+    cols = {"_lo": F.min("label").over(ahead), "_hi": F.max("label").over(ahead), "_n": F.count("label").over(ahead)}
+    pure = framed(labelled.select("series_id", "pos", "label"), cols, after=block - 1, size=size).filter((F.col("_n") == block) & (F.col("_lo") == F.col("_hi")))
+    pure = pure.select("series_id", "label", F.col("pos").alias("start"), F.floor(F.col("pos") / size).alias("_c"))
+    n = pure.groupBy("series_id", "label", "_c").agg(F.count("*").alias("_n"))
+    n = n.withColumn("_skip", F.sum("_n").over(Window.partitionBy("series_id", "label").orderBy("_c")) - F.col("_n")).drop("_n")
+    k = F.row_number().over(Window.partitionBy("series_id", "label", "_c").orderBy("start"))
+    return pure.withColumn("_k", k).join(n, ["series_id", "label", "_c"]).select("series_id", "label", (F.col("_skip") + F.col("_k") - 1).alias("at"), "start")
+
+
+def regime_bootstrap(labelled: DataFrame, block: int, seed: int = 1) -> DataFrame:
+    """(series_id, pos, value, label): each series rebuilt from blocks of one regime each, as long as the original.
+
+    labelled: (series_id, pos, value, label), label boolean. A block's regime is drawn as often as it occurs, then one of its pure starts;
+    a regime without any takes a start of the whole series. Label is the regime drawn.
+    """
+    size = labelled.groupBy("series_id").agg(F.count("*").alias("n"), F.count_if("label").alias("high"))
+    starts = pure_starts(labelled, block)
+    pool = starts.groupBy("series_id", "label").agg(F.count("*").alias("pool"))
+    blocks = size.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
+    blocks = blocks.withColumn("label", hashed(F.col("n"), "series_id", "k", F.lit(seed), F.lit("r")) < F.col("high")).join(pool, ["series_id", "label"], "left")
+    blocks = blocks.withColumn("at", hashed(F.coalesce("pool", F.greatest(F.col("n") - block + 1, F.lit(1))), "series_id", "k", F.lit(seed)))
+    blocks = blocks.join(starts, ["series_id", "label", "at"], "left").withColumn("start", F.coalesce("start", "at"))
+    at = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).select("series_id", "n", "label", (F.col("k") * block + F.col("j")).alias("to"), (F.col("start") + F.col("j")).alias("pos")).filter("to < n")
+    return at.join(labelled.select("series_id", "pos", "value"), ["series_id", "pos"]).select("series_id", F.col("to").alias("pos"), "value", "label")
+
+
+@F.pandas_udf(DoubleType())
+def _score(u: pd.Series) -> pd.Series:
+    """Normal scores of shares."""
+    inverse = NormalDist().inv_cdf
+    return u.map(lambda x: inverse(min(max(x, 1e-10), 1 - 1e-10)))
+
+
+@F.pandas_udf(DoubleType())
+def _share(z: pd.Series) -> pd.Series:
+    """Shares of normal scores."""
+    return z.map(lambda x: 0.5 * math.erfc(-x / math.sqrt(2)))
+
+
+def distribution(rows: DataFrame, columns: list[str], cuts: int = 255) -> DataFrame:
+    """(column, value, share): of each distinct value, the rows at or below it over one more than all rows.
+
+    Equal values are counted before they meet; running sums are taken between approximate quantiles and then over one row per stretch.
+    """
+    item = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("i")
+    count = rows.select(item).select("i.*").groupBy("column", "value").agg(F.count("*").alias("n"))
+    edge = count.groupBy("column").agg(F.percentile_approx("value", [k / (cuts + 1) for k in range(1, cuts + 1)]).alias("e"), F.sum("n").alias("whole"))
+    count = count.join(F.broadcast(edge), "column").withColumn("b", F.size(F.filter("e", lambda x: x < F.col("value")))).drop("e")  # a row per column
+    part = count.groupBy("column", "b").agg(F.sum("n").alias("_s"))
+    part = part.withColumn("_skip", F.sum("_s").over(Window.partitionBy("column").orderBy("b")) - F.col("_s")).drop("_s")
+    inside = F.sum("n").over(Window.partitionBy("column", "b").orderBy("value"))
+    return count.withColumn("_c", inside).join(part, ["column", "b"]).select("column", "value", ((F.col("_skip") + F.col("_c")) / (F.col("whole") + 1)).alias("share"))
+
+
+def root_of(correlation: np.ndarray) -> np.ndarray:
+    """A with A A' the nearest correlation matrix without negative eigenvalues."""
+    value, vector = np.linalg.eigh(correlation)
+    a = vector * np.sqrt(np.maximum(value, 1e-10))
+    return a / np.linalg.norm(a, axis=1, keepdims=True)
+
+
+def copula(rows: DataFrame, columns: list[str], n: int, seed: int = 1) -> DataFrame:
+    """(id, columns): n made rows, id from 0, with the columns' own distributions and the correlation of their normal scores.
+
+    Rows with a null in a column are left out; a column of one value keeps it. Scores are made once per distinct value; only the
+    matrix of the columns' correlations reaches the driver. Made shares meet the distribution's points in buckets that hold the
+    nearest point on either side too, so a bucket interpolates alone.
+    """
+    ship(rows.sparkSession)
+    rows = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    ends = rows.agg(*[F.struct(F.min(c), F.max(c)).alias(c) for c in columns]).first()
+    alive = [c for c in columns if ends[c][0] != ends[c][1]]
+    ids = rows.sparkSession.range(n)
+    fixed = [F.lit(ends[c][0]).cast("double").alias(c) for c in columns if c not in alive]
+    if not alive:
+        return ids.select("id", *fixed)
+    curve = stored(distribution(rows, alive).withColumn("score", _score("share")))
+    wide = rows
+    for c in alive:
+        wide = wide.join(curve.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("score").alias("_" + c)), c)
+    pairs = [(a, b) for a in range(len(alive)) for b in range(a)]
+    found = wide.agg(F.count("*"), *[F.corr("_" + alive[a], "_" + alive[b]).alias(f"{a}_{b}") for a, b in pairs]).first()
+    matrix = np.eye(len(alive))
+    for a, b in pairs:
+        matrix[a, b] = matrix[b, a] = found[f"{a}_{b}"]
+    root = root_of(matrix)
+    drawn = ids.withColumns({f"g{k}": normal("id", F.lit(k), F.lit(seed)) for k in range(len(alive))})
+    z = [sum((F.col(f"g{k}") * float(root[i, k]) for k in range(len(alive))), F.lit(0.0)) for i in range(len(alive))]
+    made = drawn.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), x.alias("z")) for c, x in zip(alive, z)])).alias("i")).select("id", "i.column", _share("i.z").alias("u"))
+    buckets = min(max(n // 5000, 1), 1 << 16)
+    bucket = lambda u: F.least(F.floor(F.col(u) * buckets), F.lit(buckets - 1)).cast("int").alias("b")
+    points = curve.select("column", bucket("share"), F.struct("share", "value").alias("p"))
+    side = points.groupBy("column", "b").agg(F.min("p").alias("first"), F.max("p").alias("last"))
+    grid = curve.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.explode(F.array(*[F.lit(c) for c in alive])).alias("column"))
+    w = Window.partitionBy("column").orderBy("b")
+    near = {"_lo": F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_hi": F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing))}
+    grid = grid.join(side, ["column", "b"], "left").withColumns(near).select("column", "b", F.explode(F.array_compact(F.array("_lo", "_hi"))).alias("p"))
+    points = points.unionByName(grid).select("column", "b", "p.share", "p.value")
+
+    def draw(some: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        near = near.sort_values("share")
+        value = np.interp(some["u"], near["share"], near["value"]) if len(some) else []
+        return some[["id", "column"]].assign(value=value)
+
+    out = made.withColumn("b", bucket("u")).groupBy("column", "b").cogroup(points.groupBy("column", "b")).applyInPandas(draw, "id long, column string, value double")
+    return out.groupBy("id").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in alive]).select("id", *alive, *fixed).select("id", *columns)
+
+
 def paired_bootstrap(deltas: DataFrame, resamples: int = 200, seed: int = 1) -> DataFrame:
     """(id, mean, low, high, p) of paired differences (id, k, delta), k from 0: percentile interval and two-sided p of the mean over hashed resamples.
 

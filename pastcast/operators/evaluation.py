@@ -36,12 +36,13 @@ def trial_metrics(trials: DataFrame, keys: list[str], alpha: float = 0.2, size:
 
 
 def accuracy(forecast: DataFrame, train: DataFrame, season: int) -> DataFrame:
-    """Per series: MAE, sMAPE, MASE (null for a zero scale), coverage. forecast: (series_id, step, actual, p10, p50, p90)."""
+    """Per series: MAE, sMAPE, MASE (null for a zero scale), coverage, CRPS of three curves. forecast: (series_id, step, actual, p10, p50, p90)."""
     gap = framed(train, {"g": F.abs(F.col("value") - F.lag("value", season).over(in_chunk()))}, before=season)
     scale = gap.groupBy("series_id").agg(F.avg("g").alias("scale"))
     size = F.abs("actual") + F.abs("p50")
     out = forecast.groupBy("series_id").agg(
-        F.avg(F.abs(F.col("actual") - F.col("p50"))).alias("mae"), F.avg(F.when(size == 0, 0.0).otherwise(2 * F.abs(F.col("actual") - F.col("p50")) / size)).alias("smape"), F.avg(F.col("actual").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage")
+        F.avg(F.abs(F.col("actual") - F.col("p50"))).alias("mae"), F.avg(F.when(size == 0, 0.0).otherwise(2 * F.abs(F.col("actual") - F.col("p50")) / size)).alias("smape"), F.avg(F.col("actual").between(F.col("p10"), F.col("p90")).cast("double")).alias("coverage"),
+        F.avg(sum((((F.col("actual") <= F.col(f"p{p}")).cast("double") - p / 100) ** 2 for p in (10, 50, 90)), F.lit(0.0)) / 3).alias("crps"),
     )
     return out.join(scale, "series_id").withColumn("mase", F.when(F.col("scale") != 0, F.col("mae") / F.col("scale"))).drop("scale")
 
@@ -107,3 +108,16 @@ def sized(decisions: DataFrame, sizes: tuple[float, ...] = (0.0, 0.2, 0.4, 0.6,
     item = lambda s: F.struct(F.round(F.col("mean") * s - aversion * F.col("variance") * s * s, 12).alias("u"), F.lit(-s).alias("o"))
     best = F.array_max(F.array(*[item(s) for s in sizes]))
     return decisions.withColumn("size", F.when(F.col("veto"), 0.0).otherwise(-best["o"]))
+
+
+def entered(decisions: DataFrame, threshold: float = 0.0, least: float = 0.0, most: float = 1.0) -> DataFrame:
+    """Replaces side and adds met and size: an entry stands if it is trusted and its adverse tail clears the threshold.
+
+    decisions: (side -1, 0 or 1, tail_low, tail_high, trusted, trust in 0 to 1, confidence in 0 to 100). A long entry is judged by
+    tail_low, a short one by tail_high; a missing tail fails. What fails is flat with size 0; the rest grow with trust and confidence.
+    """
+    tail = F.when(F.col("side") > 0, F.col("tail_low") >= threshold).when(F.col("side") < 0, -F.col("tail_high") >= threshold).otherwise(True)
+    rows = decisions.withColumn("met", F.coalesce(tail, F.lit(False)))
+    stands = F.col("met") & F.coalesce("trusted", F.lit(False))
+    size = F.when(stands & (F.col("side") != 0), least + (most - least) * F.col("trust") * F.col("confidence") / 100).otherwise(0.0)
+    return rows.withColumns({"size": size, "side": F.when(stands, F.col("side")).otherwise(0)})

@@ -88,11 +88,12 @@ def adverse(paths: DataFrame, keys: list[str], path: list[str], bars: int, radiu
     return paths.join(end, [*keys, *path]).withColumn("tilt", F.col("weight") * F.col("_f")).drop("_f")
 
 
-def conformal(paths: DataFrame, keys: list[str], path: list[str], coverage: float = 0.9) -> DataFrame:
-    """(keys, bar, lower, upper) around the mean path: per bar the quantile of deviations at min(ceil((n + 1) c) / n, 1), but half the
+def conformal(paths: DataFrame, keys: list[str], path: list[str], coverage: float = 0.9, base: DataFrame | None = None) -> DataFrame:
+    """(keys, bar, lower, upper) around the mean path, or the given base (keys, bar, base): per bar the quantile of deviations at min(ceil((n + 1) c) / n, 1), but half the
     quantile of the paths' largest deviations at least."""
     w = Window.partitionBy(*keys, "bar")
-    rows = paths.withColumn("base", F.avg("ret").over(w)).withColumn("dev", F.abs(F.col("ret") - F.col("base")))
+    rows = paths.withColumn("base", F.avg("ret").over(w)) if base is None else paths.join(base, [*keys, "bar"])
+    rows = rows.withColumn("dev", F.abs(F.col("ret") - F.col("base")))
     most = rows.groupBy(*keys, *path).agg(F.max("dev").alias("most"))
     level = lambda n: F.least(F.ceil((n + 1) * coverage) / n, F.lit(1.0))
     # percentile() takes a constant level, so the sorted array is interpolated here; one entry per path

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import micros, pair_sum, total
 from pastcast.operators.search import transfer_entropy
-from pastcast.session import checkpointed
+from pastcast.session import checkpointed, ship, with_fields
 from pastcast.sources.series import framed, in_chunk
 
 #: Fixed event types of the feature vector.
@@ -236,4 +238,43 @@ def autocorrelation(rows: DataFrame, lags: list[int]) -> DataFrame:
     w = in_chunk()
     back = framed(rows, {f"l{k}": F.lag("value", k).over(w) for k in lags}, before=max(lags)).join(stats, "series_id")
     item = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), ((F.col("value") - F.col("m")) * (F.col(f"l{k}") - F.col("m"))).alias("p")) for k in lags]))
-    return back.select("series_id", "v", item.alias("i")).groupBy("series_id", "i.lag").agg((F.sum("i.p") / F.first("v")).alias("acf"))
+    return back.select("series_id", "v", item.alias("i")).groupBy("series_id", "i.lag").agg(F.try_divide(F.sum("i.p"), F.first("v")).alias("acf"))
+
+
+def _partial(r: list[float]) -> list[float]:
+    """Partial autocorrelations of lags 1, 2, ... by the Durbin-Levinson recursion; r begins with lag 1. NaN from where it breaks down."""
+    out, phi, left = [], [], 1.0
+    for k, x in enumerate(r):
+        last = (x - sum(f * r[k - 1 - i] for i, f in enumerate(phi))) / left if left > 1e-12 else math.nan
+        phi = [f - last * phi[k - 1 - i] for i, f in enumerate(phi)] + [last]
+        left *= 1 - last * last
+        out.append(last)
+    return out
+
+
+def partial_autocorrelation(rows: DataFrame, lags: list[int]) -> DataFrame:
+    """(series_id, lag, acf, pacf); a series too short for a lag, or flat, has null there. One row per series is folded, its correlations."""
+    every = list(range(1, max(lags) + 1))
+    got = autocorrelation(rows, every).groupBy("series_id").agg(F.map_from_entries(F.collect_list(F.struct("lag", "acf"))).alias("m"))  # max(lags) each
+    got = got.select("series_id", F.array(*[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit(float("nan"))) for k in every]).alias("r"))
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(p=[_partial(list(r)) for r in pdf["r"]])
+
+    made = got.mapInPandas(run, with_fields(got.select("series_id"), "r array<double>, p array<double>")).withColumn("lag", F.explode(F.array(*[F.lit(k) for k in lags])))
+    return made.select("series_id", "lag", *[F.nanvl(F.get(c, F.col("lag") - 1), F.lit(None).cast("double")).alias(n) for c, n in (("r", "acf"), ("p", "pacf"))])
+
+
+def temporal_fidelity(real: DataFrame, copy: DataFrame, lags: list[int]) -> DataFrame:
+    """(series_id, lag, acf, pacf): how far a copy's (partial) autocorrelations are from the real ones, and their means as lag 0; null where one lacks."""
+    a, b = partial_autocorrelation(real, lags), partial_autocorrelation(copy, lags)
+    far = a.join(b.toDF("series_id", "lag", "_a", "_p"), ["series_id", "lag"], "left").select("series_id", "lag", F.abs(F.col("acf") - F.col("_a")).alias("acf"), F.abs(F.col("pacf") - F.col("_p")).alias("pacf"))
+    whole = far.groupBy("series_id").agg(F.avg("acf").alias("acf"), F.avg("pacf").alias("pacf")).withColumn("lag", F.lit(0))
+    return far.unionByName(whole)
+
+
+def rejected(directions: DataFrame, log: DataFrame) -> DataFrame:
+    """The directions (direction_id, ...) with the last of their entries in the log (direction_id, line, ...), the highest line; others are left out."""
+    return directions.join(latest(log, "direction_id", ["line"]), "direction_id")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastcast.operators.projection import PERCENTILES, cone
+from pastcast.operators.projection import COMPATIBLE, PERCENTILES, blended, cone, regime_weight
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -58,6 +58,22 @@ def joint_paths(paths: DataFrame, keys: list[str], path: str = "rank", draws: in
     return out.withColumn("value", F.max("value").over(Window.partitionBy(*keys, "bar").orderBy("pct")))
 
 
+def ensemble(paths: DataFrame, keys: list[str], path: str = "rank", draws: int = 1000, shares: tuple[float, float, float] = (0.4, 0.3, 0.3), soft: float = 0.5) -> DataFrame:
+    """(keys, bar, pct, value): the weighted mean of the plain cone, the sampled one and the one of fitting regimes.
+
+    paths: (keys, path, bar, ret, weight, query_regime, regime). Where no path fits the query's regime, the plain cone has that share too.
+    """
+    fits = F.lit(False)
+    for name, others in COMPATIBLE.items():
+        fits = fits | ((F.col("query_regime") == name) & F.col("regime").isin(others))
+    some = F.max(F.coalesce(fits, F.lit(False))).over(Window.partitionBy(*keys))
+    fitted = F.when(some, regime_weight(F.col("weight"), F.col("query_regime"), F.col("regime"), soft)).otherwise(F.col("weight"))
+    plain = paths.select(*keys, path, "bar", "ret", "weight")
+    by_regime = paths.withColumn("weight", fitted).select(*keys, path, "bar", "ret", "weight")
+    parts = [(cone(plain, keys), shares[0]), (monte_carlo(plain, keys, path, draws), shares[1]), (cone(by_regime, keys), shares[2])]
+    return blended([(c.select(*keys, "bar", "pct", "value"), w) for c, w in parts], keys)
+
+
 def _summary(sims: DataFrame, keys: list[str], percentiles: tuple[int, ...]) -> DataFrame:
     """Exact percentiles of a fixed number of draws per key and bar."""
     level = F.array(*[F.lit(p / 100) for p in percentiles])

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastcast.operators import projection, search
+from pastcast.operators import projection, regimes, sampling, search
 from pastcast.operators.windows import windows
-from pastcast.session import ship
+from pastcast.session import ship, stored
 
 
 def positions(rows: DataFrame, width: int, ahead: int, stride: int) -> DataFrame:
@@ -36,6 +36,39 @@ def walk_forward(rows: DataFrame, trials: DataFrame, width: int, bars: int, k: i
     return cone.join(real, ["query_id", "bar"]).join(best.groupBy("query_id").agg(F.count("*").alias("n_matches")), "query_id")
 
 
+def ensemble_walk_forward(rows: DataFrame, trials: DataFrame, width: int, bars: int, k: int, methods: dict[str, float], draws: int = 500, coverage: float = 0.9) -> DataFrame:
+    """(query_id, actual, basic, p50, lower, upper): the last bar of each trial by the plain cone, the blended one and the conformal interval about it.
+
+    The regimes are those of the trial's window and of the matched windows. A trial without matches, or with a zero anchor, has no row.
+    """
+    found = search.candidates(rows, trials, width, k, methods, ahead=bars, own=True)
+    best = search.top(found, k).select("query_id", "rank", F.col("score").alias("weight"), "series_id", "start")
+    best = with_regime(best.join(windows(rows, width), ["series_id", "start"]))
+    asked = with_regime(trials.select("query_id", "values")).withColumnRenamed("regime", "query_regime")
+    best = stored(best.join(asked, "query_id").withColumn("end", F.col("start") + width).drop("start"))
+    paths = stored(projection.forward_paths(best, rows, bars))
+    real = projection.forward_paths(trials.select("query_id", "series_id", (F.col("q_start") + width).alias("end")), rows, bars)
+    last = F.col("bar") == bars - 1
+    mid = lambda c, name: c.filter(last & (F.col("pct") == 50)).select("query_id", F.col("value").alias(name))
+    blend = stored(sampling.ensemble(paths, ["query_id"], draws=draws))
+    base = blend.filter("pct = 50").select("query_id", "bar", F.col("value").alias("base"))
+    band = projection.conformal(paths, ["query_id"], ["rank"], coverage, base).filter(last).drop("bar")
+    out = real.filter(last).select("query_id", F.col("ret").alias("actual"))
+    return out.join(mid(projection.cone(paths, ["query_id"]), "basic"), "query_id").join(mid(blend, "p50"), "query_id").join(band, "query_id")
+
+
+def with_regime(df: DataFrame) -> DataFrame:
+    """Adds the hard regime of each row's values, which are dropped."""
+    df = regimes.with_hurst(regimes.with_moves(df))
+    return df.withColumn("regime", regimes.hard_label(F.col("vol"), F.col("slope"), F.col("hurst"), F.size("values"))).drop("values", "vol", "slope", "hurst")
+
+
+def ensemble_report(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, basic_hit_rate, hit_rate, coverage): how often each median has the outcome's sign, or both are not positive, and the interval holds it."""
+    hit = lambda c: F.avg(((F.col(c) > 0) == (F.col("actual") > 0)).cast("double"))
+    return ends.groupBy(*keys).agg(F.count("*").alias("n"), hit("basic").alias("basic_hit_rate"), hit("p50").alias("hit_rate"), F.avg(F.col("actual").between(F.col("lower"), F.col("upper")).cast("double")).alias("coverage"))
+
+
 def swept(rows: DataFrame, widths: tuple[int, ...], bars: int, k: int, stride: int, methods: dict[str, float]) -> DataFrame:
     """(series_id, width, n, hit_rate, crps, trust): walk-forward trials of every series at every width; trust is the hit rate times one less the CRPS.
 

@@ -39,14 +39,15 @@ def k3_trial_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {SERIES}, n AS (SELECT series_id, count(*) AS n FROM series GROUP BY 1), f AS (SELECT s.series_id, s.pos, s.value AS actual, b.value AS p50 FROM series s JOIN n USING (series_id) JOIN series b ON b.series_id = s.series_id AND b.pos = s.pos - 14 WHERE s.pos >= n.n - 14),
   g AS (SELECT s.series_id, abs(s.value - lag(s.value, 7) OVER (PARTITION BY s.series_id ORDER BY s.pos)) AS g FROM series s JOIN n USING (series_id) WHERE s.pos < n.n - 14), c AS (SELECT series_id, avg(g) AS scale FROM g GROUP BY 1)
-  SELECT series_id, round(avg(abs(actual - p50)), 6) AS mae, round(avg(2 * abs(actual - p50) / (abs(actual) + abs(p50))), 6) AS smape, round(avg((actual BETWEEN p50 - 10 AND p50 + 10)::INT), 6) AS coverage, round(avg(abs(actual - p50)) / any_value(scale), 6) AS mase FROM f JOIN c USING (series_id) GROUP BY 1""")
+  SELECT series_id, round(avg(abs(actual - p50)), 6) AS mae, round(avg(2 * abs(actual - p50) / (abs(actual) + abs(p50))), 6) AS smape, round(avg((actual BETWEEN p50 - 10 AND p50 + 10)::INT), 6) AS coverage,
+  round(avg((((actual <= p50 - 10)::INT - 0.1) ** 2 + ((actual <= p50)::INT - 0.5) ** 2 + ((actual <= p50 + 10)::INT - 0.9) ** 2) / 3), 6) AS crps, round(avg(abs(actual - p50)) / any_value(scale), 6) AS mase FROM f JOIN c USING (series_id) GROUP BY 1""")
 def k8_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = event_series(spark, sf_dir)
     s = s.join(s.groupBy("series_id").agg(F.count("*").alias("n")), "series_id")
     back = s.select("series_id", (F.col("pos") + 14).alias("pos"), F.col("value").alias("p50"))
     f = s.filter("pos >= n - 14").join(back, ["series_id", "pos"]).select("series_id", F.col("pos").alias("step"), F.col("value").alias("actual"), "p50", (F.col("p50") - 10).alias("p10"), (F.col("p50") + 10).alias("p90"))
     out = ev.accuracy(f, s.filter("pos < n - 14").drop("n"), 7)
-    return out.select("series_id", *[F.round(c, 6).alias(c) for c in ("mae", "smape", "coverage", "mase")])
+    return out.select("series_id", *[F.round(c, 6).alias(c) for c in ("mae", "smape", "coverage", "crps", "mase")])
 
 
 @query("""WITH r AS (SELECT o_orderpriority AS dataset, o_orderstatus AS system, o_totalprice / 1000 AS mae, (o_custkey % 100) / 100.0 AS coverage FROM orders), i AS (SELECT dataset, system, 'mae' AS metric, mae AS x FROM r UNION ALL SELECT dataset, system, 'coverage', coverage FROM r),
@@ -292,3 +293,10 @@ def r4_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(last, "lane").select("lane", "entries", F.col("o_orderkey").alias("latest"), F.col("o_orderstatus").alias("status"))
 
 
+
+
+@query("""WITH l AS (SELECT o_custkey AS direction_id, arg_max(o_orderkey, o_orderkey) AS line, arg_max(o_orderpriority, o_orderkey) AS reason FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_custkey AS direction_id, l.line, l.reason FROM customer JOIN l ON l.direction_id = c_custkey""")
+def r5_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directions with a rejection, and the last one in the log's order."""
+    log = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("direction_id"), F.col("o_orderkey").alias("line"), F.col("o_orderpriority").alias("reason"))
+    return rel.rejected(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("direction_id")), log)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import rounded
-from pastcast.operators import regimes, relations, search, trials, windows
+from pastcast.operators import evaluation, regimes, relations, search, trials, windows
 from pastcast.operators.relations import cosine
 from pastcast.plans.data import SERIES, event_series
 from pastcast.plans.evaluation import _COS, _edges, _EDGES, vectors
 from pastcast.plans.registry import registry
 from pastcast.plans.search import _MATCHES, _WINS, BARS, TOP, WIDTH, _cone, matches
-from pastcast.session import table
+from pastcast.session import stored, table
 
 QUERIES, ORACLES, query = registry()
 _STRIDE = 150
@@ -141,3 +141,42 @@ def s14_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("r.query_id", F.size("r.matches").cast("long").alias("matches"), F.array_min("r.matches.rank").alias("first_rank"), F.array_max("r.matches.rank").alias("last_rank"))
 
 
+
+def ensemble_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = event_series(spark, sf_dir)
+    return trials.ensemble_walk_forward(s, trials.positions(s, WIDTH, BARS, _STRIDE), WIDTH, BARS, TOP, {"pearson": 1.0}, draws=200)
+
+
+@query()
+def k6_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain cone, ensemble and conformal interval over K2's trials; held against arithmetic in the tests."""
+    out = trials.ensemble_report(ensemble_ends(spark, sf_dir).withColumn("series_id", F.substring_index("query_id", "@", 1)), ["series_id"])
+    return out.select("series_id", "n", *[F.round(c, 6).alias(c) for c in ("basic_hit_rate", "hit_rate", "coverage")])
+
+
+@query(f"""WITH {_TRIAL}, l AS (SELECT query_id, any_value(actual) AS actual, max(value) FILTER (pct = 10) AS p10, max(value) FILTER (pct = 50) AS p50, max(value) FILTER (pct = 90) AS p90 FROM tb WHERE bar = {BARS - 1} GROUP BY 1),
+  g AS (SELECT split_part(query_id, '@', 1) AS series_id, count(*) AS n, avg(abs(p50 - actual)) AS mae, avg(p50) AS mean, stddev_pop(p50) AS sd, avg(((p50 > 0) = (actual > 0))::INT) AS regime_share FROM l GROUP BY 1),
+  t AS (SELECT series_id, 0.35 * n / (n + 5) + 0.25 * greatest(0.0, least(1.0, 1 - mae / 0.3)) + 0.15 * CASE WHEN mean = 0 THEN 0.0 ELSE 1 / (1 + sd / abs(mean)) END + 0.25 * regime_share AS trust FROM g),
+  d AS (SELECT l.*, trust, sign(round(p50, 9))::INT AS s, 100 * greatest(0.0, 1 - (p90 - p10)) AS confidence FROM l JOIN t ON t.series_id = split_part(query_id, '@', 1)), mt AS (SELECT *, CASE WHEN s > 0 THEN round(p10, 9) >= -0.5 WHEN s < 0 THEN -round(p90, 9) >= -0.5 ELSE true END AS met FROM d)
+  SELECT query_id, CASE WHEN met AND trust >= 0.4 THEN s ELSE 0 END AS side, met, round(CASE WHEN met AND trust >= 0.4 AND s <> 0 THEN trust * confidence / 100 ELSE 0.0 END, 6) AS size FROM mt""")
+def k20_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of K2's trials whose adverse tail stays above minus a half, sized by the trust in their series (K19) and the cone's width."""
+    ends = trials.terminal(trial_bars(spark, sf_dir), BARS).withColumn("series_id", F.substring_index("query_id", "@", 1))
+    miss, hit = F.abs(F.col("p50") - F.col("actual")), ((F.col("p50") > 0) == (F.col("actual") > 0)).cast("double")
+    g = ends.groupBy("series_id").agg(F.count("*").alias("n"), F.avg(miss).alias("mae"), F.avg("p50").alias("mean"), F.stddev_pop("p50").alias("sd"), F.avg(hit).alias("regime_share"))
+    t = trials.trust(g).select("series_id", "trust", (F.col("trust") >= 0.4).alias("trusted"))
+    d = ends.join(t, "series_id").withColumns({"side": F.signum(F.round("p50", 9)).cast("int"), "tail_low": F.round("p10", 9), "tail_high": F.round("p90", 9), "confidence": 100 * F.greatest(F.lit(0.0), 1 - (F.col("p90") - F.col("p10")))})
+    return evaluation.entered(d, -0.5).select("query_id", "side", "met", F.round("size", 6).alias("size"))
+
+
+@query()
+def p8_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain, sampled and regime cones of each series' last window (P2, P4, P5, P8), regimes of the windows themselves; held against its parts in the tests."""
+    from pastcast.operators import projection, sampling
+
+    s, m = matches(spark, sf_dir)
+    m = m.select("query_id", "rank", F.col("score").alias("weight"), "series_id", "start")
+    m = trials.with_regime(m.join(windows.windows(s, WIDTH), ["series_id", "start"])).withColumn("end", F.col("start") + WIDTH).drop("start")
+    asked = trials.with_regime(search.last_windows(s, WIDTH).select("query_id", "values")).withColumnRenamed("regime", "query_regime")
+    p = stored(projection.forward_paths(m.join(asked, "query_id"), s, BARS))
+    return sampling.ensemble(p, ["query_id"], draws=200).select("query_id", "bar", "pct", rounded("value").alias("value"))

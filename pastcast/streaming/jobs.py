@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pastcast.session import ship
+from pastcast.operators.search import correlation
+from pastcast.operators.windows import windows
+from pastcast.session import ship, with_fields
 from pastcast.sources.bars import write_upsert
+from pastcast.sources.series import framed, positions
 
 
 def candles(ticks: DataFrame, size: str, lateness: str = "10 minutes") -> DataFrame:
@@ -74,3 +78,49 @@ def alerts(scores: DataFrame, watchlists: DataFrame) -> DataFrame:
         yield found
 
     return hits.groupBy("watchlist_id").applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def watch(candles_: DataFrame, watches: DataFrame, every: int = 5, most: int = 500) -> DataFrame:
+    """(watch_id, n, ts, score, kind): after every so many candles, the best Pearson score of the watch's query over its last ``most`` values.
+
+    candles_: (series_id, ts, event_id, value); watches: (watch_id, series_id, query, threshold), queries of one length. The score is
+    50 (1 + r), 0 for flat windows; kind is alert from the threshold on, else scan. As a batch, windows are scored as rows and the best is a
+    bounded frame, so that no task folds a whole series. On a stream, the state holds the last ``most`` values and how many
+    came; candles must arrive in order.
+    """
+    lists = watches.select("watch_id", "series_id", F.col("query").alias("_q"), "threshold")
+    kind = F.when(F.col("score") >= F.col("threshold"), "alert").otherwise("scan").alias("kind")
+    if not candles_.isStreaming:
+        width = lists.select(F.size("_q").alias("n")).first()
+        rows = positions(candles_, "event_id")
+        at = rows.select("series_id", F.col("pos").alias("end"), "ts")
+        w = windows(rows, width.n if width else 2).withColumn("end", F.col("start") + F.size("values") - 1)
+        met = w.join(F.broadcast(lists) if lists.limit(1001).count() <= 1000 else lists, "series_id")
+        met = met.select("watch_id", "series_id", "threshold", F.col("end").alias("pos"), F.coalesce(50 * (1 + correlation(F.col("values"), F.col("_q"))), F.lit(0.0)).alias("s"))
+        frame = Window.partitionBy("watch_id", "chunk").orderBy("pos").rowsBetween(-(most - (width.n if width else 2)), 0)
+        best = framed(met, {"score": F.max("s").over(frame)}, before=most).filter((F.col("pos") + 1) % every == 0)
+        best = best.withColumnRenamed("pos", "end").join(at, ["series_id", "end"])
+        return best.select("watch_id", (F.col("end") + 1).alias("n"), F.col("ts").cast("timestamp").alias("ts"), "score", kind)
+    ship(candles_.sparkSession)
+    met = candles_.select("series_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").cast("double").alias("value")).join(lists, "series_id")
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        n, last = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+        q, out = np.asarray(pdf["_q"].iloc[0], dtype=float), []
+        for row in pdf.itertuples():
+            n, last = n + 1, [*last, row.value][-most:]
+            if n % every == 0 and len(last) >= len(q):
+                out.append((key[0], n, row.ts, _best_score(np.array(last), q), row.threshold))
+        state.update((n, last))
+        yield pd.DataFrame(out, columns=["watch_id", "n", "ts", "score", "threshold"])
+
+    found = met.groupBy("watch_id").applyInPandasWithState(step, with_fields(met.select("watch_id"), "n long, ts timestamp, score double, threshold double"), "n long, last array<double>", "append", GroupStateTimeout.NoTimeout)
+    return found.select("watch_id", "n", "ts", "score", kind)
+
+
+def _best_score(values: np.ndarray, q: np.ndarray) -> float:
+    w = np.lib.stride_tricks.sliding_window_view(values, len(q))
+    d = w.std(axis=1) * q.std()
+    r = np.divide((w - w.mean(axis=1, keepdims=True)) @ (q - q.mean()) / len(q), d, out=np.full(len(w), -1.0), where=d != 0)
+    return float(50 * (1 + r.max()))

@@ -1,5 +1,7 @@
 """Invariance, planted answers, edge cases and stream replay."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -182,3 +184,51 @@ def test_paired_bootstrap_draws_with_replacement(spark):
         assert r.mean == pytest.approx(d.mean()) and r.low < r.mean < r.high
         assert r.high - r.low == pytest.approx(want[1] - want[0], rel=0.25)
         assert 0 < r.p <= 1
+
+
+def test_watched_stream_finds_what_the_batch_finds(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = [(s, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i), i, float(v)) for s in "ab" for i, v in enumerate(np.cumsum(rng.normal(size=93)))]
+    ddl = "series_id string, ts timestamp, event_id long, value double"
+    watches = spark.createDataFrame([(f"w{k}", s, [float(x) for x in rng.normal(size=8)], 80.0) for k, s in enumerate("aab")], "watch_id string, series_id string, query array<double>, threshold double")
+    for k in range(3):
+        spark.createDataFrame([r for r in rows if k * 31 <= r[2] < (k + 1) * 31], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.watch(spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), watches, most=30)
+    run = stream.writeStream.format("memory").queryName("watched").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(240)
+    key = lambda df: sorted((r.watch_id, r.n, r.ts, round(r.score, 9), r.kind) for r in df.collect())
+    batch = key(jobs.watch(spark.createDataFrame(rows, ddl), watches, most=30))
+    assert len(batch) == 3 * 17 and {k[4] for k in batch} == {"scan", "alert"}
+    assert key(spark.table("watched")) == batch
+
+
+def test_entries_need_trust_and_a_clear_tail(spark):
+    from pastcast.operators import evaluation
+
+    rows = [(0, 1, 0.1, 0.5, True), (1, 1, -0.1, 0.5, True), (2, -1, -0.4, -0.1, True), (3, -1, -0.4, 0.1, True), (4, 0, None, None, True), (5, 1, None, 0.2, True), (6, 1, 0.1, 0.5, False), (7, 1, 0.1, 0.5, None)]
+    df = spark.createDataFrame(rows, "id int, side int, tail_low double, tail_high double, trusted boolean").selectExpr("*", "0.5D AS trust", "80.0D AS confidence")
+    got = {r.id: (r.side, r.met, round(r.size, 9)) for r in evaluation.entered(df, 0.05, 0.1, 0.6).collect()}
+    assert got == {0: (1, True, 0.3), 1: (0, False, 0), 2: (-1, True, 0.3), 3: (0, False, 0), 4: (0, True, 0), 5: (0, False, 0), 6: (0, True, 0), 7: (0, True, 0)}
+
+
+def test_ensemble_gives_the_regime_share_to_the_plain_cone_where_nothing_fits(spark):
+    from pastcast.operators import projection, sampling
+
+    rows = [(q, r, b, 0.01 * r * (b + 1), 1.0 + r, "high_vol", "low_vol" if q == "none" or r % 2 else "high_vol") for q in ("none", "some") for r in range(6) for b in range(3)]
+    p = spark.createDataFrame(rows, "query_id string, rank int, bar int, ret double, weight double, query_regime string, regime string")
+    value = lambda df: {(r.query_id, r.bar, r.pct): r.value for r in df.collect()}
+    plain, drawn, got = value(projection.cone(p, ["query_id"])), value(sampling.monte_carlo(p, ["query_id"], draws=50)), value(sampling.ensemble(p, ["query_id"], draws=50))
+    half = p.withColumn("weight", projection.regime_weight(p.weight, p.query_regime, p.regime))
+    fit = value(projection.cone(half, ["query_id"]))
+    for k in got:
+        regime = plain[k] if k[0] == "none" else fit[k]
+        assert abs(got[k] - (0.4 * plain[k] + 0.3 * drawn[k] + 0.3 * regime)) < 1e-9
+    assert any(abs(fit[k] - plain[k]) > 1e-6 for k in fit)
+
+
+def test_ensemble_report_counts(spark):
+    from pastcast.operators import trials
+
+    df = spark.createDataFrame([("a", 0.1, 0.2, -0.1, 0.0, 0.3), ("a", -0.1, -0.2, -0.1, 0.0, 0.3), ("a", 0.4, 0.1, 0.1, 0.0, 0.3)], "k string, actual double, basic double, p50 double, lower double, upper double")
+    r = trials.ensemble_report(df, ["k"]).first()
+    assert (r.n, round(r.basic_hit_rate, 9), round(r.hit_rate, 9), round(r.coverage, 9)) == (3, 1.0, round(2 / 3, 9), round(1 / 3, 9))
