@@ -51,10 +51,10 @@ _POINTS = 50
   c AS (SELECT *, sum(d) OVER (PARTITION BY track_id ORDER BY idx) AS c, sum(d) OVER (PARTITION BY track_id) / {_POINTS - 1} AS step FROM d),
   j AS (SELECT *, floor(round(c / step, 9)) AS upto, CASE WHEN round((c - d) / step, 9) <= 0 THEN 0 ELSE floor(round((c - d) / step, 9)) + 1 END AS lo FROM c WHERE step > 0 AND d > 0),
   r AS (SELECT j.*, k.j, greatest(0.0, least(1.0, (k.j * step - (c - d)) / d)) AS f FROM j JOIN range(0, {_POINTS}) k(j) ON k.j >= lo AND k.j <= upto)
-  SELECT track_id, j, round(x0 + f * (x - x0), 5) + 0.0 AS x, round(y0 + f * (y - y0), 5) + 0.0 AS y, round(z0 + f * (z - z0), 4) + 0.0 AS z FROM r""")
+  SELECT track_id, j, round(x0 + f * (x - x0), 2) + 0.0 AS x, round(y0 + f * (y - y0), 2) + 0.0 AS y, round(z0 + f * (z - z0), 2) + 0.0 AS z FROM r""")
 def t2_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curves.resampled(tracks.prepared(fixes(spark, sf_dir)), _POINTS)
-    return out.select("track_id", "j", rounded("x", 5).alias("x"), rounded("y", 5).alias("y"), rounded("z", 4).alias("z"))
+    return out.select("track_id", "j", rounded("x", 2).alias("x"), rounded("y", 2).alias("y"), rounded("z", 2).alias("z"))
 
 
 @query()
