@@ -24,6 +24,19 @@ def positions(rows: DataFrame, width: int, ahead: int, stride: int) -> DataFrame
     return w.select(F.concat_ws("@", "series_id", F.col("start").cast("string")).alias("query_id"), "series_id", F.col("start").alias("q_start"), F.col("start").alias("cut"), "values")
 
 
+def drawn_positions(rows: DataFrame, width: int, ahead: int, n: int, seed: int = 1) -> DataFrame:
+    """Like ``positions``, but for ``n`` places a series, drawn without replacement by hash; all of a series that has fewer.
+
+    The ranking keeps at most ``n`` places a series in each task before the shuffle.
+    """
+    end = rows.groupBy("series_id").agg((F.max("pos") + 1).alias("n"))
+    key = F.md5(F.concat_ws("|", "series_id", F.col("pos").cast("string"), F.lit(str(seed))))
+    places = rows.select("series_id", "pos").join(end, "series_id").filter((F.col("pos") >= 3 * width) & (F.col("pos") <= F.col("n") - width - ahead))
+    drawn = places.withColumn("k", F.row_number().over(Window.partitionBy("series_id").orderBy(key, "pos"))).filter(F.col("k") <= n)
+    w = windows(rows, width).join(drawn.select("series_id", F.col("pos").alias("start")), ["series_id", "start"])
+    return w.select(F.concat_ws("@", "series_id", F.col("start").cast("string")).alias("query_id"), "series_id", F.col("start").alias("q_start"), F.col("start").alias("cut"), "values")
+
+
 def walk_forward(rows: DataFrame, trials: DataFrame, width: int, bars: int, k: int, methods: dict[str, float]) -> DataFrame:
     """(query_id, bar, pct, value, actual, n_matches): the cone of each trial from matches in its series before it, beside what happened.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import rounded
-from pastcast.operators import projection, regimes, search, windows
+from pastcast.operators import light, projection, regimes, search, windows
 from pastcast.plans.data import SERIES, event_series
 from pastcast.plans.registry import registry
 
@@ -153,6 +153,14 @@ def m17_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("series_id", (-F.col("b.o")).alias("start"), F.round("b.s", 5).alias("score"))
 
 
+@query()
+def m17_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M17 in full: four scales, separation, first best, projected prices and returns; held against brute force in the tests."""
+    found = light.light_analogues(event_series(spark, sf_dir), WIDTH, BARS)
+    returns = [rounded(f"{k}_return").alias(f"{k}_return") for k in ("end", "min", "max")]
+    return found.select("series_id", "scale", "start", "end", F.round("score", 5).alias("score"), F.transform("prices", lambda x: F.round(x, 6)).alias("prices"), *returns)
+
+
 @query(f"""WITH {_topk("pearson", 0, 4)} SELECT query_id, rank, series_id, start, round(corr, 6) + 0.0 AS correlation FROM m""")
 def m18_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = event_series(spark, sf_dir)

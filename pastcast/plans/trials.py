@@ -30,6 +30,14 @@ def trial_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.walk_forward(s, trials.positions(s, WIDTH, BARS, _STRIDE), WIDTH, BARS, TOP, {"pearson": 1.0})
 
 
+@query(f"""WITH {_WINS}, d AS (SELECT w.*, row_number() OVER (PARTITION BY w.series_id ORDER BY md5(concat_ws('|', w.series_id, w.start, 1)), w.start) AS k FROM w JOIN ends USING (series_id) WHERE w.start >= {3 * WIDTH} AND w.start <= n - {WIDTH + BARS})
+  SELECT series_id || '@' || start AS query_id, start AS q_start, v[1] AS first_value, v[{WIDTH}] AS last_value FROM d WHERE k <= 50""")
+def k1_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty trial places a series, drawn by hash (K1)."""
+    t = trials.drawn_positions(event_series(spark, sf_dir), WIDTH, BARS, 50)
+    return t.select("query_id", "q_start", F.get("values", F.lit(0)).alias("first_value"), F.element_at("values", -1).alias("last_value"))
+
+
 @query(f"""WITH {_TRIAL} SELECT query_id, bar, pct, round(value, 6) + 0.0 AS value, round(actual, 6) + 0.0 AS actual FROM tb""")
 def k2_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trials at every 150th position (K1), searched strictly before themselves, projected and set beside the outcome."""
