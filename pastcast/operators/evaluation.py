@@ -97,6 +97,36 @@ def strategy(matches: DataFrame, rules: list[tuple[str, Column, int]]) -> DataFr
     return matches.withColumns({"rule": name, "side": side})
 
 
+def momentum(threshold: float = 0.02) -> list[tuple[str, Column, int]]:
+    """With the trend: the median beyond a threshold in a regime of the same direction."""
+    up, down = (F.col("p50") > threshold) & (F.col("regime") == "trending_up"), (F.col("p50") < -threshold) & (F.col("regime") == "trending_down")
+    return [("momentum_long", up, 1), ("momentum_short", down, -1)]
+
+
+def reversion(threshold: float = 0.03) -> list[tuple[str, Column, int]]:
+    """Against the median, where it and the spread of the cone are wide in a mean-reverting regime: a low median is bought."""
+    wide = (F.col("p90") - F.col("p10") > threshold) & (F.col("regime") == "mean_reverting")
+    return [("reversion_long", wide & (F.col("p50") < -threshold), 1), ("reversion_short", wide & (F.col("p50") > threshold), -1)]
+
+
+def breakout() -> list[tuple[str, Column, int]]:
+    """With the outer quartile in a regime of high volatility; long where both quartiles allow a trade."""
+    high = F.col("regime") == "high_vol"
+    return [("breakout_long", high & (F.col("p75") > 0), 1), ("breakout_short", high & (F.col("p25") < 0), -1)]
+
+
+def signals(matches: DataFrame, rules: list[tuple[str, Column, int]], least: float) -> DataFrame:
+    """Adds rule, side, entry, stop and target to matches with confidence, regime, price and the cone's last p10 to p90.
+
+    A match below ``least`` or without a rule that holds (nulls hold nowhere) has null and 0. Stops are the cone's p10 (short: p90),
+    targets its p75 (short: p25), as prices; a missing percentile gives null.
+    """
+    sure = F.coalesce(F.col("confidence") >= least, F.lit(False))
+    out = strategy(matches, [(name, sure & test, side) for name, test, side in rules])
+    level = lambda long, short: F.when(F.col("side") > 0, F.col("price") * (1 + F.col(long))).when(F.col("side") < 0, F.col("price") * (1 + F.col(short)))
+    return out.withColumns({"entry": F.when(F.col("side") != 0, F.col("price")), "stop": level("p10", "p90"), "target": level("p75", "p25")})
+
+
 def strategy_results(trades: DataFrame) -> DataFrame:
     """(rule, n, win_rate, mean_return, sharpe) of trades with rule, side and ret; sample deviation."""
     gain = F.col("side") * F.col("ret")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import rounded
-from pastcast.operators import evaluation, regimes, relations, search, trials, windows
+from pastcast.operators import evaluation, projection, regimes, relations, search, trials, windows
 from pastcast.operators.relations import cosine
 from pastcast.plans.data import SERIES, event_series
 from pastcast.plans.evaluation import _COS, _edges, _EDGES, vectors
@@ -58,6 +58,27 @@ def k10_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("arm", "n", (F.round("correlation", 5) + 0.0).alias("correlation"), F.round("calibration_error", 6).alias("calibration_error"), F.round("hit_rate", 6).alias("hit_rate"))
 
 
+@query()
+def k17_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rule strategies over the trials' best windows, with entry, stop and target from the trial's cone; the regime is the matched window's.
+
+    The confidence is the score in hundredths.
+    """
+    s = event_series(spark, sf_dir)
+    asked = trials.positions(s, WIDTH, BARS, _STRIDE)
+    best = stored(search.top(search.candidates(s, asked, WIDTH, TOP, {"pearson": 1.0}, ahead=BARS, own=True), TOP))
+    seen = trials.with_regime(best.select("query_id", "rank", "series_id", "start", (F.col("score") * 100).alias("confidence")).join(windows.windows(s, WIDTH), ["series_id", "start"]))
+    weighed = best.select("query_id", "rank", F.col("score").alias("weight"), "series_id", (F.col("start") + WIDTH).alias("end"))
+    cone = projection.cone(projection.forward_paths(weighed, s, BARS), ["query_id"]).filter(F.col("bar") == BARS - 1)
+    ends = cone.groupBy("query_id").agg(*[F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"p{p}") for p in (10, 25, 50, 75, 90)])
+    rows = stored(seen.select("query_id", "rank", "confidence", "regime").join(ends, "query_id").join(asked.select("query_id", F.element_at("values", -1).alias("price")), "query_id"))
+    out = None
+    for name, rules, least in (("momentum", evaluation.momentum(), 70.0), ("reversion", evaluation.reversion(), 65.0), ("breakout", evaluation.breakout(), 75.0)):
+        some = evaluation.signals(rows, rules, least).withColumn("strategy", F.lit(name))
+        out = some if out is None else out.unionByName(some)
+    return out.select("strategy", "query_id", "rank", "regime", "rule", "side", *[F.round(c, 6).alias(c) for c in ("entry", "stop", "target")])
+
+
 @query("""WITH g AS (SELECT o_custkey AS id, count(*) AS n, avg(o_totalprice) / 1e6 AS mae, avg(o_totalprice - 150000) AS mean, stddev_pop(o_totalprice) AS sd, avg((o_orderstatus = 'F')::INT) AS regime_share FROM orders GROUP BY 1)
   SELECT id, round(0.35 * n / (n + 5) + 0.25 * greatest(0.0, least(1.0, 1 - mae / 0.3)) + 0.15 / (1 + sd / abs(mean)) + 0.25 * regime_share, 6) AS trust FROM g""")
 def k19_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
