@@ -76,6 +76,23 @@ def with_regime(df: DataFrame) -> DataFrame:
     return df.withColumn("regime", regimes.hard_label(F.col("vol"), F.col("slope"), F.col("hurst"), F.size("values"))).drop("values", "vol", "slope", "hurst")
 
 
+def scanned(rows: DataFrame, queries: DataFrame, width: int, k: int, methods: dict[str, float], ahead: int) -> DataFrame:
+    """(query_id, instrument, n_matches, start, score, p10, p50, p90, note): each setup's best windows in every series, as a last bar's cone.
+
+    ``start`` and ``score`` are those of the best window. A series of fewer than ``width + ahead`` values has one row with a note and nulls.
+    """
+    best = stored(search.top(search.candidates(rows, queries, width, k, methods, ahead=ahead), k, "query_id", "series_id"))
+    weighed = best.select("query_id", F.col("series_id").alias("instrument"), "rank", F.col("score").alias("weight"), "series_id", (F.col("start") + width).alias("end"))
+    cone = projection.cone(projection.forward_paths(weighed, rows, ahead), ["query_id", "instrument"]).filter(F.col("bar") == ahead - 1)
+    keys = ["query_id", F.col("series_id").alias("instrument")]
+    first = F.col("rank") == 1
+    tops = best.groupBy(*keys).agg(F.count("*").alias("n_matches"), F.max(F.when(first, F.col("start"))).alias("start"), F.max(F.when(first, F.col("score"))).alias("score"))
+    ends = cone.groupBy("query_id", "instrument").agg(*[F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"p{p}") for p in (10, 50, 90)])
+    short = rows.groupBy(F.col("series_id").alias("instrument")).agg(F.count("*").alias("n")).filter(F.col("n") < width + ahead)
+    notes = short.select("instrument", F.lit("insufficient history").alias("note"))
+    return tops.join(ends, ["query_id", "instrument"], "left").withColumn("note", F.lit(None).cast("string")).unionByName(notes, allowMissingColumns=True)
+
+
 def ensemble_report(ends: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, basic_hit_rate, hit_rate, coverage): how often each median has the outcome's sign, or both are not positive, and the interval holds it."""
     hit = lambda c: F.avg(((F.col(c) > 0) == (F.col("actual") > 0)).cast("double"))

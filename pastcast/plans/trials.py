@@ -11,7 +11,7 @@ from pastcast.operators.relations import cosine
 from pastcast.plans.data import SERIES, event_series
 from pastcast.plans.evaluation import _COS, _edges, _EDGES, vectors
 from pastcast.plans.registry import registry
-from pastcast.plans.search import _MATCHES, _WINS, BARS, TOP, WIDTH, _cone, matches
+from pastcast.plans.search import _MATCHES, _WINS, BARS, TIER, TOP, WIDTH, _cone, matches
 from pastcast.session import stored, table
 
 QUERIES, ORACLES, query = registry()
@@ -79,6 +79,14 @@ def k17_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("strategy", "query_id", "rank", "regime", "rule", "side", *[F.round(c, 6).alias(c) for c in ("entry", "stop", "target")])
 
 
+@query()
+def m16_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every series scanned for every setup, with cones and notes of short histories."""
+    s = event_series(spark, sf_dir)
+    out = trials.scanned(s, search.last_windows(s, WIDTH), WIDTH, TOP, TIER, BARS)
+    return out.select("query_id", "instrument", "n_matches", "start", *[rounded(c).alias(c) for c in ("score", "p10", "p50", "p90")], "note")
+
+
 @query("""WITH g AS (SELECT o_custkey AS id, count(*) AS n, avg(o_totalprice) / 1e6 AS mae, avg(o_totalprice - 150000) AS mean, stddev_pop(o_totalprice) AS sd, avg((o_orderstatus = 'F')::INT) AS regime_share FROM orders GROUP BY 1)
   SELECT id, round(0.35 * n / (n + 5) + 0.25 * greatest(0.0, least(1.0, 1 - mae / 0.3)) + 0.15 / (1 + sd / abs(mean)) + 0.25 * regime_share, 6) AS trust FROM g""")
 def k19_trust(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from pastcast.operators import light, trials
+from pastcast.operators import light, search, trials
 
 
 def best_of(x, width, ahead, lookback, stride, separation):
@@ -55,3 +55,20 @@ def test_drawn_positions(spark):
     assert all(r["values"] == [float(r.q_start + k) for k in range(10)] for r in got)
     assert 110 < np.mean(of["a"]) < 205
     assert of["a"] != sorted(r.q_start for r in trials.drawn_positions(s, 10, 5, 40, seed=2).collect() if r.series_id == "a")
+
+
+def test_scan_keeps_short_series(spark):
+    rng, series = np.random.default_rng(5), {}
+    for name, n in (("a", 120), ("b", 90), ("short", 19)):
+        series[name] = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, n)))
+    s = spark.createDataFrame([(n, k, float(v)) for n, x in series.items() for k, v in enumerate(x)], "series_id string, pos long, value double")
+    asked = search.last_windows(s, 15).filter("query_id = 'a'")
+    got = {r.instrument: r for r in trials.scanned(s, asked, 15, 1, {"pearson": 1.0}, 5).collect()}
+    assert set(got) == {"a", "b", "short"}
+    assert got["short"].note == "insufficient history" and got["short"].query_id is None and got["short"].p50 is None
+    x, q = series["b"], series["a"][-15:]
+    corr = [np.corrcoef(q, x[k : k + 15])[0, 1] for k in range(90 - 20 + 1)]
+    r = got["b"]
+    assert r.start == int(np.argmax(corr)) and r.score == pytest.approx((max(corr) + 1) / 2) and r.n_matches == 1 and r.note is None
+    move = x[r.start + 19] / x[r.start + 14] - 1  # one match: every percentile is its return
+    assert (r.p10, r.p50, r.p90) == pytest.approx((move, move, move))
