@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastcast.llm import chat, decontaminate, embedding_dedup, minhash, quality, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
+from pastcast.llm import chat, decontaminate, embedding_dedup, minhash, phrases, quality, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
 from pastcast.session import table
 
 #: Fixed values of the rule list.
@@ -135,6 +135,28 @@ def op10_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op13_top_order_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of 2 to 3 words by their weakest cut."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, (VALUES (1), (2), (3)) AS s(size) WHERE len(w) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND f >= 10),
+k AS (SELECT c.lang, c.phrase, c.f AS a, l.f AS l, r.f AS r, k, ((1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) AS c JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT lang, phrase, max(f) AS longer FROM (SELECT lang, f, array_to_string(w[i:i + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE size = 3)) GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank, s.phrase, a, l, r, n, score
+FROM s JOIN t ON t.lang = s.lang LEFT JOIN d ON d.lang = s.lang AND d.phrase = s.phrase WHERE coalesce(100 * longer < 50 * a, true) QUALIFY rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_crf_toxicity": op1_crf_toxicity,
     "op2_bloom_cascade": op2_bloom_cascade,
@@ -146,10 +168,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_snapshot_collapse": op8_snapshot_collapse,
     "op9_neighbour_votes": op9_neighbour_votes,
     "op10_product_quantisation": op10_product_quantisation,
+    "op13_top_order_phrases": op13_top_order_phrases,
 }
 
 ORACLES: dict[str, str] = {
     "op2_bloom_cascade": OP2_SQL,
     "op6_containment": OP6_SQL,
     "op8_snapshot_collapse": OP8_SQL,
+    "op13_top_order_phrases": OP13_SQL,
 }
