@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastcast.llm import chat, decontaminate, embedding_dedup, minhash, phrases, quality, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
+from pastcast.llm import chat, decontaminate, embedding_dedup, hard_negatives, minhash, phrases, quality, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
 from pastcast.session import table
 
 #: Fixed values of the rule list.
@@ -135,6 +135,23 @@ def op10_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 50, with labels of every seventh id moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), moved.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+OP12_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM e AS a JOIN e AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id))::INT AS rank, s.id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score QUALIFY rank <= 3
+"""
+
+
 def op13_top_order_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's first 2000 phrases of 2 to 3 words by their weakest cut."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
@@ -168,6 +185,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_snapshot_collapse": op8_snapshot_collapse,
     "op9_neighbour_votes": op9_neighbour_votes,
     "op10_product_quantisation": op10_product_quantisation,
+    "op12_bond_negatives": op12_bond_negatives,
     "op13_top_order_phrases": op13_top_order_phrases,
 }
 
@@ -175,5 +193,6 @@ ORACLES: dict[str, str] = {
     "op2_bloom_cascade": OP2_SQL,
     "op6_containment": OP6_SQL,
     "op8_snapshot_collapse": OP8_SQL,
+    "op12_bond_negatives": OP12_SQL,
     "op13_top_order_phrases": OP13_SQL,
 }
