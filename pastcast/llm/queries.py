@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastcast.llm import chat, decontaminate, embedding_dedup, hard_negatives, minhash, phrases, quality, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
+from pastcast.llm import chat, decontaminate, embedding_dedup, hard_negatives, minhash, phrases, quality, secret_scan, sentencepiece_codec, sharding, token_counts, toxicity, url_filter
 from pastcast.session import table
 
 #: Fixed values of the rule list.
@@ -135,6 +135,15 @@ def op10_product_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op11_assignment_lexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base spans (whole matches), and all spans, the lexer's too."""
+    out = secret_scan.scan(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("base", lambda x: x.kind == secret_scan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    plain = F.transform("found", lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end")))
+    spans = secret_scan.joined(F.array_sort(F.concat("base", plain)))
+    return out.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"), spans.alias("spans"))
+
+
 def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every vector whose id is divisible by 50, with labels of every seventh id moved on by one."""
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -185,6 +194,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_snapshot_collapse": op8_snapshot_collapse,
     "op9_neighbour_votes": op9_neighbour_votes,
     "op10_product_quantisation": op10_product_quantisation,
+    "op11_assignment_lexing": op11_assignment_lexing,
     "op12_bond_negatives": op12_bond_negatives,
     "op13_top_order_phrases": op13_top_order_phrases,
 }
