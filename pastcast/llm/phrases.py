@@ -63,11 +63,15 @@ def _windows(column: pa.Array, longest: int) -> Iterator[tuple[list[pa.Array], n
 
 
 def counted_windows(docs: DataFrame, longest: int = 3, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, w0 .. , c): windows of each task's stretches of text with their counts there, not yet summed over tasks."""
+    """(head, w2 .. , c): windows of each task's stretches of text with their counts there, not yet summed over tasks.
+
+    The lang and the first two words are one text, with a line feed after the lang, which no word holds: rows
+    of fewer columns take less room in the shuffle.
+    """
     if not 2 <= longest <= 15:
         raise ValueError("phrases have 2 to 15 words")
     ship(docs.sparkSession)
-    names = ["lang", *[f"w{k}" for k in range(longest)], "c"]
+    names = ["head", *[f"w{k}" for k in range(2, longest)], "c"]
 
     def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(held).combine_chunks()
@@ -76,9 +80,9 @@ def counted_windows(docs: DataFrame, longest: int = 3, text_col: str = "text", l
             some = whole.filter(pa.compute.equal(langs, lang)).column("text")
             for places, count in _windows(some.combine_chunks() if isinstance(some, pa.ChunkedArray) else some, longest):
                 for at in range(0, len(count), 1 << 15):
-                    part = slice(at, at + (1 << 15))
-                    n = len(count[part])
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(n, np.int64))), *[p.slice(at, n) for p in places], pa.array(count[part])], names)
+                    first = pa.compute.binary_join_element_wise(*[p.slice(at, 1 << 15) for p in places[:2]], " ", null_handling="skip")
+                    head = pa.compute.binary_join_element_wise(pa.scalar(lang), first, "\n")
+                    yield pa.RecordBatch.from_arrays([head, *[p.slice(at, 1 << 15) for p in places[2:]], pa.array(count[at : at + (1 << 15)])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -92,7 +96,7 @@ def counted_windows(docs: DataFrame, longest: int = 3, text_col: str = "text", l
             yield from counted(held)
 
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "lang string, " + ", ".join(f"w{k} string" for k in range(longest)) + ", c long")
+    return rows.mapInArrow(run, "head string, " + "".join(f"w{k} string, " for k in range(2, longest)) + "c long")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -100,13 +104,16 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
 
     Windows are dealt by their first two words, so the sums of all prefixes of two words and more need no further shuffle.
     """
-    words = [f"w{k}" for k in range(longest)]
-    windows = counted_windows(docs, longest, text_col, lang_col).repartition("lang", *words[:2])
-    parts = []
+    level, parts = counted_windows(docs, longest, text_col, lang_col).repartition("head"), []
+    first = F.substring_index("head", "\n", -1)
+    lang = F.col("head").substr(F.lit(1), F.length("head") - F.length(first) - 1).alias("lang")
     for size in range(longest, 1, -1):
-        level = windows.groupBy("lang", *words[:size]).agg(F.sum("c").alias("c"), F.max(F.col(words[size - 1]).isNotNull()).alias("whole"))  # a filter of the key would go below the shuffle, which all levels share
-        parts.append(level.filter((F.col("c") >= least) & F.col("whole")).select("lang", F.concat_ws(" ", *words[:size]).alias("phrase"), F.lit(size).alias("size"), F.col("c").alias("f")))
-    sums = windows.groupBy("lang", *words[:2]).agg(F.sum("c").alias("c")).rollup("lang", "w0").agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
+        # each level comes from the one above and no key is filtered, so that all of them read one and the same shuffle
+        words = [f"w{k}" for k in range(2, size)]
+        last = F.col(words[-1]).isNotNull() if words else F.contains(first, F.lit(" "))
+        level = level.groupBy("head", *words).agg(F.sum("c").alias("c"), F.max(last).alias("whole"))
+        parts.append(level.filter((F.col("c") >= least) & F.col("whole")).select(lang, F.concat_ws(" ", first, *words).alias("phrase"), F.lit(size).alias("size"), F.col("c").alias("f")))
+    sums = level.select(lang, F.substring_index(first, " ", 1).alias("w0"), "c").rollup("lang", "w0").agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
     single = sums.filter((F.col("g") == 1) | ((F.col("g") == 0) & (F.col("f") >= least)))
     parts.append(single.select("lang", F.coalesce("w0", F.lit("")).alias("phrase"), F.when(F.col("g") == 1, 0).otherwise(1).alias("size"), "f"))
     out = parts[0]

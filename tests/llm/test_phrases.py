@@ -46,6 +46,7 @@ TEXTS = [
     (None, "en"),
     ("", None),
     (" \t\n", "x"),
+    ("two lines two lines two lines", "a\nb"),
     ("w " * 9000, "x"),
     ("Ünï ünï ünï 日本 日本 日本", "x"),
 ] * 4
@@ -53,7 +54,7 @@ TEXTS = [
 
 @pytest.mark.parametrize("longest, least, percent, most", [(3, 10, 50, 2000), (2, 2, 50, 3), (4, 3, 100, 5), (5, 1, 10, 2000)])
 def test_equals_brute_force(spark, longest, least, percent, most):
-    docs = spark.createDataFrame(TEXTS, "text string, lang string").withColumns({"phrase": F.lit("clash"), "c": F.lit(1), "w0": F.lit("x"), "score": F.lit(2)})
+    docs = spark.createDataFrame(TEXTS, "text string, lang string").withColumns({"phrase": F.lit("clash"), "c": F.lit(1), "w2": F.lit("x"), "head": F.lit(3), "score": F.lit(2)})
     got = rows_of(phrases.collocations(docs, longest, least, percent, most))
     want = brute(TEXTS, longest, least, percent, most)
     assert got == want
