@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import UNIT_SECONDS, micros, timeframe_seconds
+from pastcast.operators import order_stats
 from pastcast.sources.series import framed, in_chunk
 
 
@@ -41,10 +42,10 @@ def timeframe_code(s: Column) -> Column:
     return out
 
 
-def inferred(rows: DataFrame) -> DataFrame:
+def inferred(rows: DataFrame, few: int = order_stats.FEW) -> DataFrame:
     """(series_id, seconds, timeframe): the median spacing in whole seconds."""
     gaps = framed(rows, {"gap": (micros("ts") - micros(F.lag("ts").over(in_chunk()))) / 1e6}, before=1)
-    out = gaps.filter("gap is not null").groupBy("series_id").agg(F.floor(F.percentile("gap", F.lit(0.5))).alias("seconds"))
+    out = order_stats.per_key(gaps, ["series_id"], "gap", {"gap": 0.5}, few).select("series_id", F.floor("gap").alias("seconds"))
     return out.withColumn("timeframe", timeframe_code(F.col("seconds")))
 
 

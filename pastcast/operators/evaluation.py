@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pastcast.operators import order_stats
+from pastcast.session import stored
 from pastcast.sources.series import framed, in_chunk
 
 
@@ -47,11 +49,14 @@ def accuracy(forecast: DataFrame, train: DataFrame, season: int) -> DataFrame:
     return out.join(scale, "series_id").withColumn("mase", F.when(F.col("scale") != 0, F.col("mae") / F.col("scale"))).drop("scale")
 
 
-def report(results: DataFrame, keys: list[str], system: str, metrics: list[str], target: float = 0.8) -> DataFrame:
+def report(results: DataFrame, keys: list[str], system: str, metrics: list[str], target: float = 0.8, few: int = order_stats.FEW) -> DataFrame:
     """Mean, median and largest of each metric per key and system, NaN left out, and whether the mean is the best: the smallest, for coverage the one nearest the target."""
     item = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in metrics]))
     rows = results.select(*keys, system, item.alias("i")).select(*keys, system, "i.*").filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    out = rows.groupBy(*keys, system, "metric").agg(F.avg("x").alias("mean"), F.percentile("x", F.lit(0.5)).alias("median"), F.max("x").alias("largest"))
+    rows, by = stored(rows), [*keys, system, "metric"]
+    middle = order_stats.per_key(rows, by, "x", {"median": 0.5}, few).toDF(*[f"_{c}" for c in by], "median")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    out = rows.groupBy(*by).agg(F.avg("x").alias("mean"), F.max("x").alias("largest")).join(middle, same).select(*by, "mean", "median", "largest")
     far = F.when(F.col("metric") == "coverage", F.abs(F.col("mean") - target)).otherwise(F.col("mean"))
     return out.withColumn("best", F.rank().over(Window.partitionBy(*keys, "metric").orderBy(far)) == 1)
 

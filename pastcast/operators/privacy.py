@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pastcast.operators import order_stats
+from pastcast.operators.neighbours import Neighbours
 from pastcast.session import ship, stored
 from pastcast.sources.series import framed, in_chunk
 
@@ -16,45 +18,9 @@ from pastcast.sources.series import framed, in_chunk
 def nearest_blocks(left: DataFrame, right: DataFrame, k: int, block: int = 4096, metric: str = "euclidean") -> DataFrame:
     """(id, other, distance, rank): the k nearest rows of right (id, vec) to each row of left (id, vec), itself left out; ties by id.
 
-    Both sides are dealt by hash into blocks; each pair of blocks is one task's matrix product, of which k rows per left row leave the task, and
-    those are ranked again. Distances come from a matrix product to find the nearest and are then computed from the differences.
     metric: euclidean, or cosine (1 less the cosine; 1 for a zero vector).
     """
-    spark = left.sparkSession
-    ship(spark)
-    a, b = (-(-df.count() // block) or 1 for df in (left, right))
-    deal = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)).cast("int")
-    x = left.select("id", F.col("vec").cast("array<double>").alias("vec"), deal(a).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("q"))
-    y = right.select("id", F.col("vec").cast("array<double>").alias("vec"), F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("p"), deal(b).alias("q"))
-    kind = left.schema["id"].dataType.simpleString()
-
-    def match(one: pa.Table, two: pa.Table) -> pa.Table:
-        schema = pa.schema([("id", one.column(0).type), ("other", two.column(0).type if two.num_columns else one.column(0).type), ("distance", pa.float64())])
-        if not one.num_rows or not two.num_rows:
-            return schema.empty_table()
-        ids, others = (np.array(t.column(0).to_pylist(), dtype=object) for t in (one, two))
-        u, v = (np.stack(t.column(1).to_pylist()).astype(float) for t in (one, two))
-        if metric == "cosine":
-            u, v = (w / np.where(n == 0, 1, n) for w, n in ((w, np.linalg.norm(w, axis=1, keepdims=True)) for w in (u, v)))
-        out = []
-        for at in range(0, len(u), 512):
-            some = u[at : at + 512]
-            d = 1 - some @ v.T if metric == "cosine" else (some**2).sum(axis=1)[:, None] + (v**2).sum(axis=1)[None] - 2 * some @ v.T
-            d[ids[at : at + 512, None] == others[None]] = np.inf
-            top = min(k + 8, len(v))  # a few more, since the product rounds
-            near = np.argpartition(d, top - 1, axis=1)[:, :top]
-            i = np.repeat(np.arange(len(some)), top)
-            j = near.reshape(-1)
-            real = np.isfinite(d[i, j])
-            i, j = i[real], j[real]
-            exact = 1 - (some[i] * v[j]).sum(axis=1) if metric == "cosine" else np.sqrt(((some[i] - v[j]) ** 2).sum(axis=1))
-            out.append(pa.table([pa.array(ids[i + at], schema.field(0).type), pa.array(others[j], schema.field(1).type), pa.array(exact)], schema=schema))
-        return pa.concat_tables(out)
-
-    x, y = x.toDF("id_x", "vec_x", "p_x", "q_x"), y.toDF("id_y", "vec_y", "p_y", "q_y")
-    met = x.groupBy("p_x", "q_x").cogroup(y.groupBy("p_y", "q_y")).applyInArrow(match, f"id {kind}, other {right.schema['id'].dataType.simpleString()}, distance double")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 9), "other"))
-    return met.withColumn("rank", place).filter(F.col("rank") <= k)
+    return Neighbours(right, metric, block=block).nearest(left, k)
 
 
 def neighbour_graph(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
@@ -64,15 +30,12 @@ def neighbour_graph(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
 
 
 def across_kinds(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """(kind, other_kind, id, other, distance, rank): for every ordered pair of kinds the k nearest vectors (id, kind, vec) of the other kind. Kinds are few."""
-    out = None
-    kinds = sorted(r.kind for r in vectors.select("kind").distinct().toLocalIterator())
-    for a in kinds:
-        for b in kinds:
-            if a != b:
-                some = nearest_blocks(vectors.filter(F.col("kind") == a), vectors.filter(F.col("kind") == b), k, block, "cosine").select(F.lit(a).alias("kind"), F.lit(b).alias("other_kind"), "id", "other", "distance", "rank")
-                out = some if out is None else out.union(some)
-    return out
+    """(kind, other_kind, id, other, distance, rank): for every ordered pair of kinds the k nearest vectors (id, kind, vec) of the other kind. Kinds are few.
+
+    All pairs of kinds are one search.
+    """
+    near = Neighbours(vectors, "cosine", "kind", block).nearest(vectors, k).join(vectors.select("id", "kind"), "id")
+    return near.select("kind", F.col("to").cast(vectors.schema["kind"].dataType).alias("other_kind"), "id", "other", "distance", "rank")
 
 
 def components_2d(vectors: DataFrame, dims: int = 2) -> DataFrame:
@@ -120,7 +83,7 @@ def state_vector(kind: Column, summary: Column, width: int = 5) -> Column:
     return out
 
 
-def record_privacy(real: DataFrame, synthetic: DataFrame, block: int = 4096) -> DataFrame:
+def record_privacy(real: DataFrame, synthetic: DataFrame, block: int = 4096, few: int = order_stats.FEW) -> DataFrame:
     """One row of what synthetic records (id, vec) tell of real ones (id, vec, pos).
 
     dcr_median, dcr_p05, base_p05, ratio: distances to the closest real record against those among the real; exact, near: synthetic records
@@ -130,26 +93,27 @@ def record_privacy(real: DataFrame, synthetic: DataFrame, block: int = 4096) ->
     """
     real, synthetic = stored(real), stored(synthetic)
     n = real.count()
-    one = lambda a, b: nearest_blocks(a, b, 1, block).select("id", "distance")
-    own = stored(one(real, real))
+    known = Neighbours(real, block=block)
+    one = lambda a, b: (b if isinstance(b, Neighbours) else Neighbours(b, block=block)).nearest(a, 1).select("id", "distance")
+    own = stored(one(real, known))
     fake = synthetic.select((-F.col("id") - 1).alias("id"), "vec")  # no record is itself
-    dcr = stored(one(fake, real))
-    base = own.agg(F.percentile("distance", F.lit(0.5)).alias("m"), F.percentile("distance", F.lit(0.05)).alias("base_p05"))
-    head = dcr.crossJoin(base).agg(  # base is one row
-        F.percentile("distance", F.lit(0.5)).alias("dcr_median"), F.percentile("distance", F.lit(0.05)).alias("dcr_p05"), F.first("base_p05").alias("base_p05"), F.count_if(F.col("distance") < 1e-9).alias("exact"), F.count_if(F.col("distance") < F.greatest(F.col("m") * 0.01, F.lit(1e-8))).alias("near"), F.count("*").alias("records")
-    ).withColumn("ratio", F.col("dcr_p05") / F.greatest("base_p05", F.lit(1e-12)))
+    dcr = stored(one(fake, known))
+    base = stored(order_stats.one_row(own, "distance", {"m": 0.5, "base_p05": 0.05}, few))
+    head = dcr.crossJoin(F.broadcast(base)).agg(  # base is one row
+        F.first("base_p05").alias("base_p05"), F.count_if(F.col("distance") < 1e-9).alias("exact"), F.count_if(F.col("distance") < F.greatest(F.col("m") * 0.01, F.lit(1e-8))).alias("near"), F.count("*").alias("records")
+    ).crossJoin(order_stats.one_row(dcr, "distance", {"dcr_median": 0.5, "dcr_p05": 0.05}, few)).withColumn("ratio", F.col("dcr_p05") / F.greatest("base_p05", F.lit(1e-12)))
     back = stored(one(real, fake).join(real, "id"))
     half = n // 2
     seen = back.filter(F.col("pos") < 2 * half).groupBy("distance").agg(F.count_if(F.col("pos") < half).alias("a"), F.count_if(F.col("pos") >= half).alias("b"))
     auc = _auc(seen)
     split = int(n * 0.8)
-    halves = [one(fake, real.filter(c)).agg(F.percentile("distance", F.lit(0.5)).alias(name)) for c, name in ((F.col("pos") < split, "train_median"), (F.col("pos") >= split, "holdout_median"))]
-    width = real.select(F.max(F.size("vec"))).first()[0] or 0
-    ends = real.agg(*[F.percentile(F.get("vec", F.lit(c)), F.lit(p)).alias(f"q{c}_{int(p > 0.5)}") for c in range(width) for p in (0.01, 0.99)])
+    halves = [order_stats.one_row(one(fake, real.filter(c)), "distance", {name: 0.5}, few) for c, name in ((F.col("pos") < split, "train_median"), (F.col("pos") >= split, "holdout_median"))]
+    at = real.select(F.posexplode(F.col("vec").cast("array<double>")).alias("c", "x"))
+    ends = {r.c: (r.low, r.high) for r in order_stats.per_key(at, ["c"], "x", {"low": 0.01, "high": 0.99}, few).collect()}  # one row per component
     outer = F.lit(False)
-    for c in range(width):
-        outer = outer | (F.get("vec", F.lit(c)) <= F.col(f"q{c}_0")) | (F.get("vec", F.lit(c)) >= F.col(f"q{c}_1"))
-    tail = back.crossJoin(ends).filter(outer).crossJoin(base).agg(F.count("*").alias("tail_records"), F.count_if(F.col("distance") <= F.greatest("base_p05", F.lit(1e-12))).alias("exposed"))
+    for c, (low, high) in ends.items():
+        outer = outer | (F.get("vec", F.lit(c)) <= low) | (F.get("vec", F.lit(c)) >= high)
+    tail = back.filter(outer).crossJoin(base).agg(F.count("*").alias("tail_records"), F.count_if(F.col("distance") <= F.greatest("base_p05", F.lit(1e-12))).alias("exposed"))
     out = head
     for part in (auc, *halves, tail):
         out = out.crossJoin(part)  # one row each
@@ -238,8 +202,12 @@ def inferred_columns(real: DataFrame, synthetic: DataFrame, columns: list[str],
     from pyspark.ml.feature import VectorAssembler
 
     spark, out = real.sparkSession, []
+    item = synthetic.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])).alias("i")).select("i.*")
+    every: dict[str, set[float]] = {}
+    for r in order_stats.quantiles(item, ["c"], "x", [k / bins for k in range(1, bins)]).collect():  # a few per column
+        every.setdefault(r.c, set()).add(r.value)
     for c in columns:
-        cuts = sorted(set(synthetic.agg(*[F.percentile(c, F.lit(k / bins)) for k in range(1, bins)]).first()))
+        cuts = sorted(every.get(c, ()))
         flat = synthetic.agg(F.min(c) == F.max(c)).first()[0]
         if flat or flat is None:
             out.append((c, 0.0, 1.0, 0.0))

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import pair_sum, total
+from pastcast.operators import order_stats
 from pastcast.operators.windows import deviation, log_returns, mean, scaled, slope
-from pastcast.session import ship
+from pastcast.session import ship, stored
 from pastcast.sources.series import chunked, framed, in_chunk
 
 #: Fixed labels and next-step probabilities, rows from and columns to each label in this order.
@@ -107,13 +108,14 @@ def discount(score: Column, similarity: Column, weight: float = 0.25) -> Column:
     return score * (1 - weight + weight * similarity)
 
 
-def volatility_regime(rows: DataFrame, width: int = 20, quantile: float = 0.5, size: int = 1 << 16) -> DataFrame:
+def volatility_regime(rows: DataFrame, width: int = 20, quantile: float = 0.5, size: int = 1 << 16, few: int = order_stats.FEW) -> DataFrame:
     """Adds vol (trailing deviation of first differences, the first being 0) and high: whether it is at or above its series' quantile."""
     w = in_chunk()
     near = chunked(rows, before=width, size=size).withColumn("d", F.col("value") - F.lag("value").over(w))
     near = near.withColumn("d", F.when(F.col("pos") == 0, 0.0).otherwise(F.col("d")))
     near = near.withColumn("vol", F.stddev_pop("d").over(w.rowsBetween(-width + 1, 0))).filter("core").drop("chunk", "core", "d")
-    cut = near.groupBy("series_id").agg(F.percentile("vol", F.lit(quantile)).alias("cut"))
+    near = stored(near)
+    cut = order_stats.per_key(near, ["series_id"], "vol", {"cut": quantile}, few)
     return near.join(cut, "series_id").withColumn("high", F.col("vol") >= F.col("cut")).drop("cut")
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import micros, pair_sum, total
+from pastcast.operators import order_stats
+from pastcast.operators.neighbours import Neighbours
 from pastcast.operators.search import transfer_entropy
-from pastcast.session import checkpointed, ship, with_fields
+from pastcast.session import checkpointed, ship, stored, with_fields
 from pastcast.sources.series import framed, in_chunk
 
 #: Fixed event types of the feature vector.
@@ -78,24 +80,19 @@ def met(rows: DataFrame, queries: DataFrame, key: list[str], block: int = 1000)
     return r.join(q, ["_p", "_b"]), ["query_id", "_p"]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 1000, digits: int = 12) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 4096, digits: int = 12) -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar rows (id, vec) of each query (query_id, vec), itself left out; ties of so many ``digits`` by id.
 
-    Each task keeps its k best per query, and those are ranked again.
+    Any number of queries; each only meets the blocks of rows that can hold one of its nearest.
     """
-    pairs, keys = met(rows.select("id", "vec"), queries.select("query_id", F.col("vec").alias("_q")), ["id"], block)
-    best = _most_similar(pairs, k, digits, *keys)
-    return best if keys == ["query_id"] else best.withColumn("rank", _place("query_id")).filter(F.col("rank") <= k)
+    near = Neighbours(rows, "cosine", block=block).nearest(queries.select(F.col("query_id").alias("id"), "vec"), k, digits)
+    return near.select(F.col("id").alias("query_id"), F.col("other").alias("id"), (1 - F.col("distance")).alias("similarity"), "rank")
 
 
-def _place(*keys: str) -> Column:
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), "id"))
-
-
-def _most_similar(met: DataFrame, k: int, digits: int, *keys: str) -> DataFrame:
-    """The k best of the pairs (id, vec, query_id, _q) per key; each task ranks its rows before the shuffle through the window's group limit."""
-    pairs = met.filter(F.col("id") != F.col("query_id")).select("id", *keys, F.round(cosine(F.col("vec"), F.col("_q")), digits).alias("similarity"))
-    return pairs.withColumn("rank", _place(*keys)).filter(F.col("rank") <= k).select("query_id", "id", "similarity", "rank")
+def within(rows: DataFrame, queries: DataFrame, distance: float, block: int = 4096, digits: int = 9) -> DataFrame:
+    """(query_id, id, distance): all rows (id, vec) at a cosine distance, rounded to so many digits, of at most ``distance`` of each query (query_id, vec), itself left out."""
+    near = Neighbours(rows, "cosine", block=block).within(queries.select(F.col("query_id").alias("id"), "vec"), distance, digits)
+    return near.select(F.col("id").alias("query_id"), F.col("other").alias("id"), "distance")
 
 
 def around(events: DataFrame, anchors: DataFrame, days: int) -> DataFrame:
@@ -186,15 +183,27 @@ def correlation_gap(real: DataFrame, synthetic: DataFrame, columns: list[str]) -
     return both.select(F.sqrt(2 * sum((g * g for g in gap), F.lit(0.0))).alias("frobenius"), F.greatest(*gap, F.lit(0.0)).alias("largest"))
 
 
-def tail_fidelity(real: DataFrame, synthetic: DataFrame, column: str) -> DataFrame:
-    """(p01, p99, low_cvar, high_cvar): ratios of extreme quantiles and differences of mean tails beyond 5 % and 95 %."""
+def tails(real: DataFrame, synthetic: DataFrame, columns: list[str], few: int = order_stats.FEW) -> DataFrame:
+    """(column, p01, p99, low_cvar, high_cvar): ratios of extreme quantiles and differences of mean tails beyond 5 % and 95 %, per column.
+
+    A ratio whose real quantile is 0 is null. Quantiles are exact, found by narrowing; null and NaN values don't count.
+    """
+    marks = {"01": 0.01, "05": 0.05, "95": 0.95, "99": 0.99}
+
     def one(df: DataFrame, s: str) -> DataFrame:
-        q = df.agg(*[F.percentile(column, F.lit(p)).alias(f"{s}{n}") for n, p in (("01", 0.01), ("99", 0.99), ("05", 0.05), ("95", 0.95))])
-        t = df.crossJoin(F.broadcast(q)).agg(F.avg(F.when(F.col(column) <= F.col(f"{s}05"), F.col(column))).alias(f"{s}low"), F.avg(F.when(F.col(column) >= F.col(f"{s}95"), F.col(column))).alias(f"{s}high"))  # q is one row
-        return q.crossJoin(t)
+        item = stored(df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x")) for c in columns])).alias("i")).select("i.*").filter("x is not null and not isnan(x)"))
+        q = stored(order_stats.per_key(item, ["column"], "x", {f"{s}{n}": p for n, p in marks.items()}, few))
+        t = item.join(F.broadcast(q), "column").groupBy("column").agg(F.avg(F.when(F.col("x") <= F.col(f"{s}05"), F.col("x"))).alias(f"{s}low"), F.avg(F.when(F.col("x") >= F.col(f"{s}95"), F.col("x"))).alias(f"{s}high"))  # q has a row per column
+        return q.join(t, "column")
+
+    both = one(real, "a").join(one(synthetic, "b"), "column")
+    ratio = lambda n: F.try_divide(f"b{n}", f"a{n}").alias(f"p{n}")
+    return both.select("column", ratio("01"), ratio("99"), F.abs(F.col("alow") - F.col("blow")).alias("low_cvar"), F.abs(F.col("ahigh") - F.col("bhigh")).alias("high_cvar"))
 
-    both = one(real, "a").crossJoin(one(synthetic, "b"))
-    return both.select((F.col("b01") / F.col("a01")).alias("p01"), (F.col("b99") / F.col("a99")).alias("p99"), F.abs(F.col("alow") - F.col("blow")).alias("low_cvar"), F.abs(F.col("ahigh") - F.col("bhigh")).alias("high_cvar"))
+
+def tail_fidelity(real: DataFrame, synthetic: DataFrame, column: str) -> DataFrame:
+    """(p01, p99, low_cvar, high_cvar) of one column, as one row."""
+    return tails(real, synthetic, [column]).drop("column")
 
 
 def feedback(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pastcast.functions.common import rounded
 from pastcast.operators import evaluation, projection, regimes, relations, search, trials, windows
-from pastcast.operators.relations import cosine
 from pastcast.plans.data import SERIES, event_series
 from pastcast.plans.evaluation import _COS, _edges, _EDGES, vectors
 from pastcast.plans.registry import registry
@@ -137,10 +136,8 @@ def c2_regime_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v2_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors within a cosine distance of the stated queries (every hundredth id)."""
     v = vectors(spark, sf_dir)
-    q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("_q"))
-    pairs = relations.met(v, q, ["id"])[0].filter(F.col("id") != F.col("query_id"))
-    met = pairs.withColumn("d", 1 - cosine(F.col("vec"), F.col("_q")))
-    return met.filter(F.round("d", 9) <= 0.7).select("query_id", "id", F.round("d", 6).alias("distance"))
+    q = v.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vec")
+    return relations.within(v, q, 0.7).select("query_id", "id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, b AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), r(node, root) AS (SELECT u, u FROM b UNION SELECT b.v, r.root FROM r JOIN b ON r.node = b.u) SELECT node, min(root) AS component FROM r GROUP BY 1""")

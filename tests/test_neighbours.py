@@ -1,0 +1,106 @@
+"""Exact quantiles by narrowing and exact neighbours by pivots, against numpy."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pastcast.operators import order_stats, relations
+from pastcast.operators.neighbours import Neighbours
+
+PS = [0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0]
+
+
+@pytest.fixture(scope="module")
+def values():
+    rng = np.random.default_rng(0)
+    return {
+        "normal": rng.normal(size=3000), "mostly one": np.r_[np.zeros(900), rng.normal(size=100)], "one": np.ones(700), "many decades": 10.0 ** rng.uniform(-300, 300, 2000), "few": rng.integers(0, 5, 1500).astype(float),
+        None: rng.exponential(size=800), "single": np.array([3.0]), "two": np.array([2.0, 4.0]), "negative": -np.arange(1000.0),
+    }
+
+
+@pytest.mark.parametrize("few, steps", [(20, 50), (order_stats.FEW, order_stats.STEPS)])
+def test_quantiles(spark, values, few, steps):
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [("normal", None), ("none", None), ("none", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(3)
+    got = {(r.k, r.p): r.value for r in order_stats.quantiles(df, ["k"], "x", PS, few, steps).collect()}
+    want = {(k, p): float(np.quantile(v, p)) for k, v in values.items() for p in PS}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-12, abs=0) for k in want)
+
+
+def test_quantiles_without_keys(spark, values):
+    df = spark.createDataFrame([(float(x),) for x in values["normal"]], "x double")
+    row = order_stats.one_row(df, "x", {"m": 0.5, "low": 0.05}, 30).first()
+    assert (row.m, row.low) == tuple(pytest.approx(np.quantile(values["normal"], p), rel=1e-12) for p in (0.5, 0.05))
+    assert order_stats.one_row(df.filter("false"), "x", {"m": 0.5}).first().m is None
+
+
+N, KINDS = 1200, 3
+
+
+@pytest.fixture(scope="module")
+def cloud(spark):
+    rng = np.random.default_rng(1)
+    centres = 4 * rng.normal(size=(12, 8))
+    x = centres[rng.integers(0, 12, N)] + 0.3 * rng.normal(size=(N, 8))
+    x[100:160], x[7], x[8] = x[100], 0, 0  # copies and zero vectors
+    kind = rng.integers(0, KINDS, N)
+    rows = [(i, f"k{kind[i]}", [float(v) for v in x[i]]) for i in range(N)]
+    return x, kind, spark.createDataFrame(rows, "id long, kind string, vec array<double>").repartition(4)
+
+
+def distances(x, i, metric):
+    if metric == "euclidean":
+        return np.round(np.sqrt(((x - x[i]) ** 2).sum(axis=1)), 9)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    u = x / np.where(n == 0, 1, n)
+    return np.round(1 - u @ u[i], 9)
+
+
+@pytest.mark.parametrize("metric, radius", [("euclidean", 0.5), ("cosine", 0.05)])
+def test_neighbours(cloud, metric, radius):
+    x, _, df = cloud
+    search = Neighbours(df, metric, block=64)
+    got = sorted((r.id, r.other, r["rank"]) for r in search.nearest(df, 5).collect())
+    want = []
+    for i in range(N):
+        d = distances(x, i, metric)
+        want += [(i, j, k + 1) for k, j in enumerate(sorted((j for j in range(N) if j != i), key=lambda j: (d[j], j))[:5])]
+    assert got == sorted(want)
+    assert search.met[0] < 0.25 * search.met[1]  # rows meet few of the blocks
+    asked = df.filter("id % 50 = 0")
+    got = sorted((r.id, r.other) for r in search.within(asked, radius).collect())
+    assert got == [(i, j) for i in range(0, N, 50) for j in range(N) if j != i and distances(x, i, metric)[j] <= radius]
+    assert search.met[0] < 0.25 * search.met[1]
+
+
+def test_neighbours_of_other_kinds(cloud):
+    x, kind, df = cloud
+    got = sorted((r.id, r.to, r.other, r["rank"]) for r in Neighbours(df, "cosine", "kind", 64).nearest(df, 2).collect())
+    want = []
+    for i in range(N):
+        d = distances(x, i, "cosine")
+        for g in (g for g in range(KINDS) if g != kind[i]):
+            want += [(i, f"k{g}", j, k + 1) for k, j in enumerate(sorted(np.flatnonzero(kind == g), key=lambda j: (d[j], j))[:2])]
+    assert got == sorted(want)
+
+
+def test_neighbours_of_little(spark, cloud):
+    df = cloud[2]
+    few = df.filter("id < 3")
+    assert Neighbours(df.filter("false")).nearest(few, 3).count() == 0 and Neighbours(df).nearest(df.filter("false"), 3).count() == 0
+    assert Neighbours(few).nearest(few, 5).count() == 6
+    text = few.withColumn("id", F.concat(F.lit("n"), "id"))
+    assert {(r.id, r.other) for r in Neighbours(text).nearest(text, 1).collect()} <= {(f"n{a}", f"n{b}") for a in range(3) for b in range(3) if a != b}
+
+
+def test_tails_of_every_column(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(500, 2)), rng.exponential(size=(400, 2))
+    frame = lambda m: spark.createDataFrame([tuple(map(float, r)) for r in m], "x double, y double")
+    got = {r.column: r for r in relations.tails(frame(a), frame(b), ["x", "y"], few=40).collect()}
+    for k, c in enumerate("xy"):
+        q = [[np.quantile(m[:, k], p) for p in (0.01, 0.99, 0.05, 0.95)] for m in (a, b)]
+        low, high = ([m[:, k][m[:, k] <= w[2]].mean() for m, w in zip((a, b), q)], [m[:, k][m[:, k] >= w[3]].mean() for m, w in zip((a, b), q)])
+        want = (q[1][0] / q[0][0], q[1][1] / q[0][1], abs(low[0] - low[1]), abs(high[0] - high[1]))
+        assert (got[c].p01, got[c].p99, got[c].low_cvar, got[c].high_cvar) == pytest.approx(want, rel=1e-9)
