@@ -2,12 +2,14 @@
 
 Every word opens one window: itself and the words that follow it in its piece, padded where the piece ends. Only
 windows of the longest order are counted. A shorter phrase is a prefix of as many windows as it has occurrences, so
-its count is a sum over the windows that begin with it: sums of prefixes from the longest down, then Spark's ROLLUP.
+its count is a sum over the windows that begin with it: sums of long prefixes, then Spark's ROLLUP from pairs up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -104,22 +106,23 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
 
     Windows are dealt by their first two words, so the sums of all prefixes of two words and more need no further shuffle.
     """
-    level, parts = counted_windows(docs, longest, text_col, lang_col).repartition("head"), []
+    windows, parts = counted_windows(docs, longest, text_col, lang_col).repartition("head"), []
     first = F.substring_index("head", "\n", -1)
     lang = F.col("head").substr(F.lit(1), F.length("head") - F.length(first) - 1).alias("lang")
     for size in range(longest, 1, -1):
-        # each level comes from the one above and no key is filtered, so that all of them read one and the same shuffle
-        words = [f"w{k}" for k in range(2, size)]
-        last = F.col(words[-1]).isNotNull() if words else F.contains(first, F.lit(" "))
-        level = level.groupBy("head", *words).agg(F.sum("c").alias("c"), F.max(last).alias("whole"))
-        parts.append(level.filter((F.col("c") >= least) & F.col("whole")).select(lang, F.concat_ws(" ", first, *words).alias("phrase"), F.lit(size).alias("size"), F.col("c").alias("f")))
-    sums = level.select(lang, F.substring_index(first, " ", 1).alias("w0"), "c").rollup("lang", "w0").agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
-    single = sums.filter((F.col("g") == 1) | ((F.col("g") == 0) & (F.col("f") >= least)))
-    parts.append(single.select("lang", F.coalesce("w0", F.lit("")).alias("phrase"), F.when(F.col("g") == 1, 0).otherwise(1).alias("size"), "f"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        words = [f"w{k}" for k in range(2, longest)]
+        reached = [F.contains(first, F.lit(" ")), *[F.col(w).isNotNull() for w in words]][size - 2 :]  # by windows that are not padded before this length
+        # reading all later words and filtering no key, all lengths share one shuffle
+        level = windows.groupBy("head", *words[: size - 2]).agg(F.sum("c").alias("c"), F.max(reduce(or_, reached)).alias("whole"))
+        phrase = F.concat_ws(" ", first, *words[: size - 2])
+        often = (F.col("c") >= least) & F.col("whole")
+        if size > 2:
+            parts.append(level.filter(often).select(lang, phrase.alias("phrase"), F.lit(size).alias("size"), F.col("c").alias("f")))
+    # rare pairs are one group of their first word
+    sums = level.select(lang, F.substring_index(first, " ", 1).alias("w0"), F.when(often, phrase).alias("pair"), "c").rollup("lang", "w0", "pair").agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
+    size = F.when((F.col("g") == 0) & F.col("pair").isNotNull(), 2).when((F.col("g") == 1) & (F.col("f") >= least), 1).when(F.col("g") == 3, 0)
+    parts.append(sums.select("lang", F.coalesce("pair", "w0", F.lit("")).alias("phrase"), size.alias("size"), "f").filter("size is not null"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def exact_score(a: Column, left: Column, right: Column) -> Column:
