@@ -9,8 +9,9 @@ from pastcast.functions.common import micros, rounded
 from pastcast.operators import candles, warehouse
 from pastcast.plans.data import BARS, PANEL, SERIES, daily_bars, day, event_series, panel
 from pastcast.plans.registry import registry
-from pastcast.session import table
+from pastcast.session import scratch, stored, table
 from pastcast.sources import bars as bars_io
+from pastcast.sources import files
 from pastcast.sources import series as series_io
 
 QUERIES, ORACLES, query = registry()
@@ -72,6 +73,29 @@ def s7_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT asset_class, count(DISTINCT symbol) AS symbols, round(avg(close), 4) AS mean_close FROM ohlcv WHERE timeframe = '1d' GROUP BY asset_class")
 
 
+@query(f"""WITH {BARS} SELECT asset_class, symbol, timeframe, strftime("timestamp", '%Y-%m-%d') AS day, open, high, low, close, volume FROM bars""")
+def s6_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars written as dataset files, beside files at other depths, and read through the view."""
+    root = scratch(spark)
+    bars = stored(daily_bars(spark, sf_dir))
+    files.write(bars, root)
+    for place in ("stray.parquet", "stocks/stray.parquet", "stocks/1-URGENT/more/1d.parquet"):
+        bars.filter("day(timestamp) = 1").drop(*bars_io.DATASET).write.parquet(f"{root}/{place}")
+    files.register(spark, root)
+    return spark.sql("SELECT asset_class, symbol, timeframe, date_format(timestamp, 'yyyy-MM-dd') AS day, open, high, low, close, volume FROM ohlcv")
+
+
+@query(f"""WITH {BARS} SELECT symbol, strftime("timestamp", '%Y-%m-%d') AS day, close FROM bars""")
+def s4_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as bars, arriving in three batches of which the second is delivered twice, by two processes."""
+    path = scratch(spark)
+    bars = stored(daily_bars(spark, sf_dir).select("symbol", "timestamp", "open", "high", "low", "close", "volume"))
+    early = bars.filter("month(timestamp) <= 8").withColumn("close", F.lit(0.0))  # corrected by later batches
+    for batch_id, batch in ((0, early), (1, bars.filter("month(timestamp) <= 8")), (1, early), (2, bars.filter("month(timestamp) > 8"))):
+        bars_io.BarStore(spark, path, ["symbol"]).upsert(batch, batch_id)
+    return bars_io.BarStore(spark, path, ["symbol"]).read().select("symbol", day().alias("day"), "close")
+
+
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return e.groupBy((F.col("user_id") % 3).cast("string").alias("asset_class"), F.col("user_id").cast("string").alias("symbol"), F.col("event_type").alias("timeframe")).agg(

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from pastcast.functions.common import micros
 from pastcast.operators.search import correlation
 from pastcast.operators.windows import windows
-from pastcast.session import ship, with_fields
-from pastcast.sources.bars import write_upsert
+from pastcast.session import ship, stored, with_fields
+from pastcast.sources.bars import BarStore
 from pastcast.sources.series import framed, positions
 
 
@@ -31,53 +32,84 @@ def candles(ticks: DataFrame, size: str, lateness: str = "10 minutes") -> DataFr
 
 
 class BarTable:
-    """Bars under a path that moves to a new version with every micro-batch; the last arrival of a timestamp wins."""
+    """Bars that a stream upserts, for foreachBatch: a ``BarStore`` under a path that outlives the process.
 
-    def __init__(self, keys: list[str], path: str | None = None) -> None:
-        self.keys, self.path, self.last = keys, path, -1
+    A batch that is delivered again, by a restarted query too, is left out. Streams with checkpoints of their own need names of their own.
+    """
+
+    def __init__(self, keys: list[str], path: str, writer: str = "stream") -> None:
+        self.keys, self.path, self.writer = keys, path, writer
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        """For foreachBatch; a batch that is delivered again is left out."""
-        if batch_id <= self.last:
-            return
-        self.path, self.last = write_upsert(self.path, batch, self.keys), batch_id
+        BarStore(batch.sparkSession, self.path, self.keys, self.writer).upsert(batch, batch_id)
 
 
-def alerts(scores: DataFrame, watchlists: DataFrame) -> DataFrame:
+def _fired(hits: DataFrame) -> DataFrame:
+    """Hits (watchlist_id, ts, score, cooldown_seconds) that fire, as a batch of any size.
+
+    Hits of a list are numbered by (ts, score downwards). Each finds the number of the first hit at or after its cooldown, which is as many as
+    there are hits before that time; both come from running counts inside days that start from the days' totals. Those that fire are what the
+    first hit reaches by such jumps; every round doubles the length of the jumps that are followed.
+    """
+    us = micros("ts")
+    day = lambda x: F.floor(x / 86_400_000_000)
+    rows = stored(hits.withColumn("us", us))
+    inside = Window.partitionBy("watchlist_id", "day").orderBy("us", F.desc("score"))
+    own = rows.withColumn("day", day(F.col("us")))
+    totals = own.groupBy("watchlist_id", "day").agg(F.count("*").alias("n"))
+    before = totals.select("watchlist_id", "day", (F.sum("n").over(Window.partitionBy("watchlist_id").orderBy("day")) - F.col("n")).alias("skip"))  # a row per list and day
+    numbered = stored(own.withColumn("k", F.row_number().over(inside)).join(before, ["watchlist_id", "day"]).select("watchlist_id", "ts", "us", "score", "cooldown_seconds", (F.col("skip") + F.col("k") - 1).alias("k")))
+    # one union of hits and of the times when silences end, an end before the hits of its own time
+    ends = numbered.select("watchlist_id", (F.col("us") + F.ceil(F.col("cooldown_seconds") * 1e6).cast("long")).alias("us"), F.lit(0).alias("is_hit"), "k")
+    both = numbered.select("watchlist_id", "us", F.lit(1).alias("is_hit"), "k").unionByName(ends).withColumn("day", day(F.col("us")))
+    sums = both.groupBy("watchlist_id", "day").agg(F.sum("is_hit").alias("n"))
+    skips = sums.select("watchlist_id", "day", (F.sum("n").over(Window.partitionBy("watchlist_id").orderBy("day")) - F.col("n")).alias("skip"))
+    run = F.sum("is_hit").over(Window.partitionBy("watchlist_id", "day").orderBy("us", "is_hit").rowsBetween(Window.unboundedPreceding, 0))
+    jump = stored(both.withColumn("run", run).filter("is_hit = 0").join(skips, ["watchlist_id", "day"]).select("watchlist_id", "k", F.greatest(F.col("skip") + F.col("run"), F.col("k") + 1).alias("next")))
+    fired = stored(numbered.filter("k = 0").select("watchlist_id", "k"))
+    n = fired.count()
+    while n:
+        reached = fired.join(jump, ["watchlist_id", "k"]).select("watchlist_id", F.col("next").alias("k")).join(numbered.select("watchlist_id", "k"), ["watchlist_id", "k"], "left_semi")
+        fired = stored(fired.unionByName(reached).distinct())
+        now = fired.count()
+        if now == n:
+            break
+        n = now
+        ahead = jump.select(F.col("watchlist_id").alias("_w"), F.col("k").alias("_k"), F.col("next").alias("_n"))
+        jump = stored(jump.join(ahead, (F.col("watchlist_id") == F.col("_w")) & (F.col("next") == F.col("_k")), "left").select("watchlist_id", "k", F.coalesce("_n", "next").alias("next")))
+    return numbered.join(fired, ["watchlist_id", "k"]).select("watchlist_id", "ts", "score")
+
+
+def alerts(scores: DataFrame, watchlists: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     """(watchlist_id, ts, score) of scores (watchlist_id, ts, score) that reach their list's threshold; batch or stream.
 
-    A disabled list is silent, and so is a list for cooldown_seconds after an alert; the state is the time of the last one. Lists
-    that a day has not touched are forgotten.
+    A disabled list is silent, and so is a list for cooldown_seconds after an alert. On a stream the state is the time of the last alert and it is
+    forgotten once event time (the watermark, ``lateness`` behind) has passed the list's own cooldown.
     """
     ship(scores.sparkSession)
     lists = watchlists.filter("enabled").select("watchlist_id", "threshold", "cooldown_seconds")
-    hits = scores.join(F.broadcast(lists) if watchlists.limit(100_001).count() <= 100_000 else lists, "watchlist_id").filter("score >= threshold")
-    hits = hits.select("watchlist_id", F.col("ts").cast("timestamp").alias("ts"), "score", "cooldown_seconds")
-    schema = "watchlist_id string, ts timestamp, score double"
-
-    def fold(pdf: pd.DataFrame, last: pd.Timestamp | None) -> tuple[pd.DataFrame, pd.Timestamp | None]:
-        kept = []
-        for row in pdf.sort_values(["ts", "score"], ascending=[True, False]).itertuples():
-            if last is None or (row.ts - last).total_seconds() >= row.cooldown_seconds:
-                kept.append((row.watchlist_id, row.ts, row.score))
-                last = row.ts
-        return pd.DataFrame(kept, columns=["watchlist_id", "ts", "score"]), last
-
+    rows = scores.select("watchlist_id", F.col("ts").cast("timestamp").alias("ts"), "score")
+    rows = rows.withWatermark("ts", lateness) if scores.isStreaming else rows
+    hits = rows.join(F.broadcast(lists) if watchlists.limit(100_001).count() <= 100_000 else lists, "watchlist_id").filter("score >= threshold").select("watchlist_id", "ts", "score", "cooldown_seconds")
     if not scores.isStreaming:
-        return hits.groupBy("watchlist_id").applyInPandas(lambda pdf: fold(pdf, None)[0], schema)
+        return _fired(hits)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        found, last = fold(pd.concat(list(parts)), last)
-        if last is not None:
-            state.update((int(last.value // 1000),))
-        state.setTimeoutDuration(86_400_000)
-        yield found
-
-    return hits.groupBy("watchlist_id").applyInPandasWithState(step, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        last, kept, quiet = (pd.Timestamp(state.get[0], unit="us") if state.exists else None), [], 0.0
+        for row in pd.concat(list(parts)).sort_values(["ts", "score"], ascending=[True, False]).itertuples():
+            quiet = row.cooldown_seconds
+            if last is None or (row.ts - last).total_seconds() >= quiet:
+                kept.append((row.watchlist_id, row.ts, row.score))
+                last = row.ts
+        us = int(last.value // 1000)
+        state.update((us,))
+        state.setTimeoutTimestamp(max(us // 1000 + int(quiet * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(kept, columns=["watchlist_id", "ts", "score"])
+
+    return hits.groupBy("watchlist_id").applyInPandasWithState(step, "watchlist_id string, ts timestamp, score double", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def watch(candles_: DataFrame, watches: DataFrame, every: int = 5, most: int = 500) -> DataFrame:

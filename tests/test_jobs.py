@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pastcast.operators import candles, copies, regimes, relations, search, warehouse, windows
 from pastcast.plans.streams import ticks
 from pastcast.sources import bars, series
+from pastcast.sources.bars import BarStore
 from pastcast.streaming import jobs
 
 
@@ -115,13 +116,13 @@ def test_streams_replay_batches(spark, sf_dir, tmp_path):
     assert replay("live_alerts", lambda s: jobs.alerts(scores(s), lists)) == {tuple(r) for r in jobs.alerts(scores(rows), lists).collect()}
 
 
-def test_bar_table_keeps_the_last_arrival(spark):
+def test_bar_table_keeps_the_last_arrival(spark, tmp_path):
     row = lambda price: spark.createDataFrame([("a", "2024-01-01", price)], "symbol string, timestamp string, x double").select("symbol", "timestamp", *[F.col("x").alias(c) for c in ("open", "high", "low", "close")])
-    t = jobs.BarTable(["symbol"])
+    t = jobs.BarTable(["symbol"], str(tmp_path / "bars"))
     t(row(1.0), 0)
     t(row(2.0), 1)
     t(row(9.0), 1)
-    assert [r.close for r in spark.read.parquet(t.path).collect()] == [2.0]
+    assert [r.close for r in BarStore(spark, t.path, ["symbol"]).read().collect()] == [2.0]
 
 
 def test_warping_matches_brute_force():
