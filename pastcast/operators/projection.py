@@ -33,11 +33,11 @@ def cone(paths: DataFrame, keys: list[str], weight: str = "weight", value: str =
     """(keys, bar, pct, value): weighted quantiles of each bar.
 
     Sorted values stand at the middle of their weight in the running sum; a quantile is interpolated between neighbours and held at
-    the ends. Weights are normalised per bar, equal if all are 0.
+    the ends. Weights are normalised per bar, equal if all are 0. Equal values stand in the order of their rank, where paths have one, else by weight.
     """
     group = [*keys, "bar"]
     w = Window.partitionBy(*group)
-    order = w.orderBy(value, weight, "_id")
+    order = w.orderBy(value, "rank" if "rank" in paths.columns and "rank" not in group else weight, "_id")
     rows = paths.withColumn("_id", F.xxhash64(*[c for c in paths.columns if c not in group])).withColumns({"_t": F.sum(weight).over(w), "_n": F.count("*").over(w)})
     rows = rows.withColumn("_w", F.when(F.col("_t") > 0, F.col(weight) / F.col("_t")).otherwise(1 / F.col("_n")))
     rows = rows.withColumn("_c", F.sum("_w").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_w") / 2)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastcast.operators import projection, regimes, sampling, search
+from pastcast.operators import order_stats, projection, regimes, sampling, search
 from pastcast.operators.windows import windows
 from pastcast.session import ship, stored
 
@@ -37,6 +38,45 @@ def drawn_positions(rows: DataFrame, width: int, ahead: int, n: int, seed: int =
     return w.select(F.concat_ws("@", "series_id", F.col("start").cast("string")).alias("query_id"), "series_id", F.col("start").alias("q_start"), F.col("start").alias("cut"), "values")
 
 
+def input_checks(rows: DataFrame, width: int, bars: int, n: int) -> DataFrame:
+    """(series_id, n, reason): why a series can't be walked, null if it can: too short for three widths, a query and its outcome, or values that are null or not finite.
+
+    Raises ValueError for settings that no series can meet.
+    """
+    for name, value in (("width", width), ("bars", bars), ("n", n)):
+        if value <= 0:
+            raise ValueError(f"{name} must be positive, got {value}")
+    bad = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
+    out = rows.groupBy("series_id").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    return out.select("series_id", "n", F.when(F.col("bad") > 0, "values that are not finite").when(F.col("n") < 4 * width + bars, "history too short").alias("reason"))
+
+
+def accounted(rows: DataFrame, trials: DataFrame, width: int, bars: int, k: int, methods: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """(curves, account) of trials (query_id, series_id, q_start, cut, values).
+
+    curves are those of ``walk_forward``. account has one row for each trial, answered or not: (query_id, series_id, q_start, n_matches, n_paths,
+    top_score, mean_match, hit, p50_error, reason). A trial without a result says why: its anchor (the query's last value) is zero, no window of its look-back
+    could be matched, or no match has a path (its anchor is zero). hit and p50_error compare the last bar's median with the outcome; mean_match is the mean
+    of the matches' returns there.
+    """
+    anchored = trials.withColumn("_anchor", F.element_at("values", -1))
+    found = search.candidates(rows, trials, width, k, methods, ahead=bars, own=True)
+    best = stored(search.top(found, k).select("query_id", "rank", F.col("score").alias("weight"), "series_id", (F.col("start") + width).alias("end")))
+    paths = stored(projection.forward_paths(best, rows, bars))
+    real = projection.forward_paths(trials.select("query_id", "series_id", (F.col("q_start") + width).alias("end")), rows, bars).select("query_id", "bar", F.col("ret").alias("actual"))
+    matched = best.groupBy("query_id").agg(F.count("*").alias("n_matches"), F.max("weight").alias("top_score"))
+    curves = stored(projection.cone(paths, ["query_id"]).join(real, ["query_id", "bar"]).join(matched.select("query_id", "n_matches"), "query_id"))
+    last = F.col("bar") == bars - 1
+    ends = paths.filter(last).groupBy("query_id").agg(F.count("*").alias("n_paths"), F.avg("ret").alias("mean_match"))
+    mid = curves.filter(last & (F.col("pct") == 50)).select("query_id", ((F.col("value") > 0) == (F.col("actual") > 0)).alias("hit"), F.abs(F.col("value") - F.col("actual")).alias("p50_error"))
+    out = anchored.select("query_id", "series_id", "q_start", "_anchor").join(matched, "query_id", "left").join(ends, "query_id", "left").join(mid, "query_id", "left")
+    reason = F.when(F.col("_anchor") == 0, "anchor value is zero").when(F.col("n_matches").isNull(), "no matches found").when(F.col("n_paths").isNull(), "no valid forward paths")
+    none = F.col("_anchor") == 0  # such a trial isn't searched for
+    count = lambda c: F.when(none, 0).otherwise(F.coalesce(F.col(c), F.lit(0))).cast("long").alias(c)
+    kept = lambda c: F.when(~none, F.col(c)).alias(c)
+    return curves, out.select("query_id", "series_id", "q_start", count("n_matches"), count("n_paths"), kept("top_score"), kept("mean_match"), "hit", "p50_error", reason.alias("reason"))
+
+
 def walk_forward(rows: DataFrame, trials: DataFrame, width: int, bars: int, k: int, methods: dict[str, float]) -> DataFrame:
     """(query_id, bar, pct, value, actual, n_matches): the cone of each trial from matches in its series before it, beside what happened.
 
@@ -99,19 +139,20 @@ def ensemble_report(ends: DataFrame, keys: list[str]) -> DataFrame:
     return ends.groupBy(*keys).agg(F.count("*").alias("n"), hit("basic").alias("basic_hit_rate"), hit("p50").alias("hit_rate"), F.avg(F.col("actual").between(F.col("lower"), F.col("upper")).cast("double")).alias("coverage"))
 
 
-def swept(rows: DataFrame, widths: tuple[int, ...], bars: int, k: int, stride: int, methods: dict[str, float]) -> DataFrame:
-    """(series_id, width, n, hit_rate, crps, trust): walk-forward trials of every series at every width; trust is the hit rate times one less the CRPS.
+def swept(rows: DataFrame, widths: tuple[int, ...], bars: int, k: int, n: int, methods: dict[str, float], seeds: tuple[int, ...] = (1,)) -> DataFrame:
+    """(series_id, width, seed, n, hit_rate, crps, trust): walk-forward trials of every series at every width and seed; trust is the hit rate times one less the CRPS.
 
-    Trials of one width share one pass over all series; a hit and the CRPS are those of the last bar.
+    Each seed draws ``n`` trials a series. Those of one width, of all seeds, share one pass over all series; a hit and the CRPS are those of the last bar.
     """
     out = None
     for width in widths:  # a grid of a few settings
-        ends = terminal(walk_forward(rows, positions(rows, width, bars, stride), width, bars, k, methods), bars)
-        some = ends.select(F.substring_index("query_id", "@", 1).alias("series_id"), F.lit(width).alias("width"), "actual", "p10", "p50", "p90")
+        tries = [drawn_positions(rows, width, bars, n, seed).withColumn("query_id", F.concat_ws("@", "query_id", F.lit(str(seed)))) for seed in seeds]
+        ends = terminal(walk_forward(rows, stored(reduce(DataFrame.unionByName, tries)), width, bars, k, methods), bars)
+        some = ends.select(F.substring_index("query_id", "@", 1).alias("series_id"), F.lit(width).alias("width"), F.substring_index("query_id", "@", -1).cast("int").alias("seed"), "actual", "p10", "p50", "p90")
         out = some if out is None else out.unionByName(some)
     crps = sum((F.pow((F.col("actual") <= F.col(f"p{p}")).cast("double") - p / 100, 2) for p in (10, 50, 90)), F.lit(0.0)) / 3
     hit = ((F.col("p50") > 0) == (F.col("actual") > 0)).cast("double")
-    out = out.groupBy("series_id", "width").agg(F.count("*").alias("n"), F.avg(hit).alias("hit_rate"), F.avg(crps).alias("crps"))
+    out = out.groupBy("series_id", "width", "seed").agg(F.count("*").alias("n"), F.avg(hit).alias("hit_rate"), F.avg(crps).alias("crps"))
     return out.withColumn("trust", F.round(F.col("hit_rate") * (1 - F.least(F.col("crps"), F.lit(1.0))), 4))
 
 
@@ -127,11 +168,32 @@ def terminal(trial_bars: DataFrame, bars: int) -> DataFrame:
     return last.groupBy("query_id").agg(F.first("actual").alias("actual"), *[F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"p{p}") for p in (10, 50, 90)])
 
 
+def empirical_crps(actual: Column, values: Column, levels: list[float]) -> Column:
+    """The integral of the squared distance of a forecast's distribution and the outcome's step.
+
+    ``values`` are its quantiles at the levels, ascending. Between two of them the distribution stays at the lower one's level; below
+    the first it is 0, above the last 1.
+    """
+    at = lambda i: F.get(values, F.lit(i))
+    out = F.greatest(at(0) - actual, F.lit(0.0)) + F.greatest(actual - at(len(levels) - 1), F.lit(0.0))
+    for i, level in enumerate(levels[:-1]):
+        width = F.greatest(at(i + 1) - at(i), F.lit(0.0))
+        left = F.least(F.greatest(actual - at(i), F.lit(0.0)), width)  # of the stretch, where the step is still 0
+        out = out + level**2 * left + (level - 1) ** 2 * (width - left)
+    return out
+
+
+def runtimes(trials: DataFrame, few: int = order_stats.FEW) -> DataFrame:
+    """(arm, rt_median, rt_mean, rt_p95) of measured trials (arm, runtime)."""
+    middle = order_stats.per_key(trials, ["arm"], "runtime", {"rt_median": 0.5, "rt_p95": 0.95}, few)
+    return middle.join(trials.groupBy("arm").agg(F.avg("runtime").alias("rt_mean")), "arm").select("arm", "rt_median", "rt_mean", "rt_p95")
+
+
 def retrieval_metrics(found: DataFrame) -> DataFrame:
-    """(arm, n, correlation, calibration_error, hit_rate) from trials (arm, mean_match, actual, p10, p90); a flat side or fewer than three give 0."""
+    """(arm, n, correlation, [crps,] calibration_error, hit_rate) from trials (arm, mean_match, actual, p10, p90[, crps]); a flat side or fewer than three give 0."""
     flat = (F.count("*") < 3) | (F.stddev_pop("mean_match") == 0) | (F.stddev_pop("actual") == 0)
     return found.groupBy("arm").agg(
-        F.count("*").alias("n"), F.when(flat, 0.0).otherwise(F.corr("mean_match", "actual")).alias("correlation"), F.abs(F.avg(F.col("actual").between(F.col("p10"), F.col("p90")).cast("double")) - 0.8).alias("calibration_error"), F.avg((F.signum("mean_match") == F.signum("actual")).cast("double")).alias("hit_rate")
+        F.count("*").alias("n"), F.when(flat, 0.0).otherwise(F.corr("mean_match", "actual")).alias("correlation"), *([F.avg("crps").alias("crps")] if "crps" in found.columns else []), F.abs(F.avg(F.col("actual").between(F.col("p10"), F.col("p90")).cast("double")) - 0.8).alias("calibration_error"), F.avg((F.signum("mean_match") == F.signum("actual")).cast("double")).alias("hit_rate")
     )
 
 

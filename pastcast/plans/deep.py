@@ -12,7 +12,7 @@ from pastcast.plans.data import event_series
 from pastcast.plans.evaluation import vectors
 from pastcast.plans.registry import registry
 from pastcast.plans.search import _PATHS, BARS, TOP, WIDTH, _cone, paths
-from pastcast.plans.trials import _STRIDE, _TRIAL, trial_bars
+from pastcast.plans.trials import _TRIAL, DRAWN, trial_bars, trial_sql
 from pastcast.session import stored, table
 
 QUERIES, ORACLES, query = registry()
@@ -215,12 +215,16 @@ def y13_utility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.utility(s, stored(copies.block_bootstrap(s, 25)))
 
 
-@query(f"""WITH {_TRIAL}, l AS (SELECT split_part(query_id, '@', 1) AS series_id, query_id, any_value(actual) AS actual, max(value) FILTER (pct = 10) AS p10, max(value) FILTER (pct = 50) AS p50, max(value) FILTER (pct = 90) AS p90 FROM tb WHERE bar = {BARS - 1} GROUP BY 1, 2)
-  SELECT series_id, {WIDTH}::INT AS width, count(*) AS n, round(avg(((p50 > 0) = (actual > 0))::INT), 6) AS hit_rate, round(avg((((actual <= p10)::INT - 0.1) ** 2 + ((actual <= p50)::INT - 0.5) ** 2 + ((actual <= p90)::INT - 0.9) ** 2) / 3), 6) AS crps FROM l GROUP BY 1""")
+_GRID = [(w, seed) for w in (20, WIDTH) for seed in (1, 2)]
+
+
+@query(f"""WITH {trial_sql(_GRID, tagged=True)}, l AS (SELECT query_id, any_value(actual) AS actual, max(value) FILTER (pct = 10) AS p10, max(value) FILTER (pct = 50) AS p50, max(value) FILTER (pct = 90) AS p90 FROM tb WHERE bar = {BARS - 1} GROUP BY 1),
+  g AS (SELECT split_part(query_id, '@', 1) AS series_id, split_part(query_id, '@', 3)::INT AS width, split_part(query_id, '@', 4)::INT AS seed, count(*) AS n, avg(((p50 > 0) = (actual > 0))::INT) AS hit_rate, avg((((actual <= p10)::INT - 0.1) ** 2 + ((actual <= p50)::INT - 0.5) ** 2 + ((actual <= p90)::INT - 0.9) ** 2) / 3) AS crps FROM l GROUP BY 1, 2, 3)
+  SELECT series_id, width, seed, n, round(hit_rate, 6) AS hit_rate, round(crps, 6) AS crps, round(hit_rate * (1 - least(crps, 1.0)), 4) AS trust FROM g""")
 def k7_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One setting of the sweep, as SQL states it; the tests sweep several."""
-    out = walk.swept(event_series(spark, sf_dir), (WIDTH,), BARS, TOP, _STRIDE, {"pearson": 1.0})
-    return out.select("series_id", "width", "n", F.round("hit_rate", 6).alias("hit_rate"), F.round("crps", 6).alias("crps"))
+    """The sweep over widths and seeds of every series."""
+    out = walk.swept(event_series(spark, sf_dir), (20, WIDTH), BARS, TOP, DRAWN, {"pearson": 1.0}, (1, 2))
+    return out.select("series_id", "width", "seed", "n", F.round("hit_rate", 6).alias("hit_rate"), F.round("crps", 6).alias("crps"), "trust")
 
 
 @query("""WITH p AS (SELECT o_custkey AS name, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS run_id FROM orders GROUP BY 1) SELECT name, run_id, NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = run_id AND l_quantity > 45) AS dangling FROM p""")

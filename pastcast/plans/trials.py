@@ -10,23 +10,39 @@ from pastcast.operators import evaluation, projection, regimes, relations, searc
 from pastcast.plans.data import SERIES, event_series
 from pastcast.plans.evaluation import _COS, _edges, _EDGES, vectors
 from pastcast.plans.registry import registry
-from pastcast.plans.search import _MATCHES, _WINS, BARS, TIER, TOP, WIDTH, _cone, matches
+from pastcast.plans.search import _MATCHES, _WINS, _Z, BARS, TIER, TOP, WIDTH, _cone, matches
 from pastcast.session import stored, table
 
 QUERIES, ORACLES, query = registry()
-_STRIDE = 150
-
-_TRIAL = f"""{_WINS}, tr AS (SELECT w.series_id || '@' || w.start AS query_id, w.* FROM w JOIN ends USING (series_id) WHERE w.start % {_STRIDE} = 0 AND w.start >= {3 * WIDTH} AND w.start <= n - {WIDTH + BARS}),
-  s AS (SELECT t.query_id, t.series_id, t.start AS q_start, c.start, (list_inner_product(c.z, t.z) / {WIDTH} + 1) / 2 AS score FROM tr t JOIN w c ON c.series_id = t.series_id AND c.start + {WIDTH + BARS} <= t.start),
+#: Trials drawn per series (K1).
+DRAWN = 40
+
+
+def trial_sql(settings: list[tuple[int, int]] = [(WIDTH, 1)], series: str = SERIES, tagged: bool = False) -> str:  # noqa: B006
+    """CTEs of drawn trials of (width, seed) settings: w windows, tr trials, m matches, paths, cone, act outcomes, tb cone beside outcome."""
+    widths = sorted({w for w, _ in settings})
+    wins = ", ".join(f"""v{w} AS (SELECT series_id, pos AS start, list(value) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) AS v, {w} AS width FROM series)""" for w in widths)
+    whole = " UNION ALL ".join(f"SELECT * FROM v{w} WHERE len(v) = {w}" for w in widths)
+    name = "series_id || '@' || start" + (" || '@' || width || '@' || seed" if tagged else "")
+    return f"""{series}, ends AS (SELECT series_id, max(pos) + 1 AS n FROM series GROUP BY 1), {wins}, w AS (SELECT series_id, start, v, width, {_Z} AS z FROM ({whole})), cfg(width, seed) AS (VALUES {", ".join(map(str, settings))}),
+  tr AS (SELECT {name} AS query_id, * FROM (SELECT w.*, seed, row_number() OVER (PARTITION BY w.series_id, w.width, seed ORDER BY md5(concat_ws('|', w.series_id, w.start, seed)), w.start) AS k FROM w JOIN ends USING (series_id) JOIN cfg USING (width) WHERE w.start >= 3 * w.width AND w.start <= n - w.width - {BARS}) WHERE k <= {DRAWN}),
+  s AS (SELECT t.query_id, t.series_id, t.start AS q_start, t.width, c.start, (list_inner_product(c.z, t.z) / t.width + 1) / 2 * (list_stddev_pop(c.v) > 1e-10 AND list_stddev_pop(t.v) > 1e-10)::INT AS score FROM tr t JOIN w c ON c.series_id = t.series_id AND c.width = t.width AND c.start + t.width + {BARS} <= t.start),
   m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, start) AS rank FROM s) WHERE rank <= {TOP}),
-  paths AS (SELECT m.query_id, m.rank, m.score AS weight, b.bar, (f.value - a.value) / a.value AS ret FROM m JOIN range(0, {BARS}) b(bar) ON true JOIN series a ON a.series_id = m.series_id AND a.pos = m.start + {WIDTH - 1} JOIN series f ON f.series_id = m.series_id AND f.pos = m.start + {WIDTH} + b.bar), {_cone()},
-  act AS (SELECT t.query_id, b.bar, (f.value - a.value) / a.value AS actual FROM tr t JOIN range(0, {BARS}) b(bar) ON true JOIN series a ON a.series_id = t.series_id AND a.pos = t.start + {WIDTH - 1} JOIN series f ON f.series_id = t.series_id AND f.pos = t.start + {WIDTH} + b.bar),
+  paths AS (SELECT m.query_id, m.rank, m.score AS weight, b.bar, (f.value - a.value) / a.value AS ret FROM m JOIN range(0, {BARS}) b(bar) ON true JOIN series a ON a.series_id = m.series_id AND a.pos = m.start + m.width - 1 AND a.value <> 0 JOIN series f ON f.series_id = m.series_id AND f.pos = m.start + m.width + b.bar), {_cone()},
+  act AS (SELECT t.query_id, b.bar, (f.value - a.value) / a.value AS actual FROM tr t JOIN range(0, {BARS}) b(bar) ON true JOIN series a ON a.series_id = t.series_id AND a.pos = t.start + t.width - 1 AND a.value <> 0 JOIN series f ON f.series_id = t.series_id AND f.pos = t.start + t.width + b.bar),
   tb AS (SELECT cone.*, actual FROM cone JOIN act USING (query_id, bar))"""
 
 
+_TRIAL = trial_sql()
+
+
+def drawn(s: DataFrame) -> DataFrame:
+    return trials.drawn_positions(s, WIDTH, BARS, DRAWN)
+
+
 def trial_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = event_series(spark, sf_dir)
-    return trials.walk_forward(s, trials.positions(s, WIDTH, BARS, _STRIDE), WIDTH, BARS, TOP, {"pearson": 1.0})
+    return trials.walk_forward(s, drawn(s), WIDTH, BARS, TOP, {"pearson": 1.0})
 
 
 @query(f"""WITH {_WINS}, d AS (SELECT w.*, row_number() OVER (PARTITION BY w.series_id ORDER BY md5(concat_ws('|', w.series_id, w.start, 1)), w.start) AS k FROM w JOIN ends USING (series_id) WHERE w.start >= {3 * WIDTH} AND w.start <= n - {WIDTH + BARS})
@@ -39,7 +55,7 @@ def k1_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_TRIAL} SELECT query_id, bar, pct, round(value, 6) + 0.0 AS value, round(actual, 6) + 0.0 AS actual FROM tb""")
 def k2_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trials at every 150th position (K1), searched strictly before themselves, projected and set beside the outcome."""
+    """Drawn trials (K1), searched strictly before themselves, projected and set beside the outcome."""
     return trial_bars(spark, sf_dir).select("query_id", "bar", "pct", rounded("value").alias("value"), rounded("actual").alias("actual"))
 
 
@@ -48,13 +64,37 @@ def k4_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.bar_calibration(trial_bars(spark, sf_dir)).select("pct", F.round("error", 6).alias("error"))
 
 
-@query(f"""WITH {_TRIAL}, l AS (SELECT query_id, any_value(actual) AS actual, max(value) FILTER (pct = 10) AS p10, max(value) FILTER (pct = 50) AS p50, max(value) FILTER (pct = 90) AS p90 FROM tb WHERE bar = {BARS - 1} GROUP BY 1), x AS (SELECT split_part(query_id, '@', 1) AS arm, p50 AS mm, * FROM l)
-  SELECT arm, count(*) AS n, CASE WHEN count(*) < 3 OR stddev_pop(mm) = 0 OR stddev_pop(actual) = 0 THEN 0.0 ELSE round(corr(mm, actual), 5) + 0.0 END AS correlation, round(abs(avg((actual BETWEEN p10 AND p90)::INT) - 0.8), 6) AS calibration_error, round(avg((sign(mm) = sign(actual))::INT), 6) AS hit_rate FROM x GROUP BY 1""")
+_GAPS = SERIES.replace("greatest(value, 0.01) AS value", "CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE greatest(value, 0.01) END AS value")
+
+
+@query(f"""WITH {trial_sql(series=_GAPS)}, n AS (SELECT query_id, count(*) AS n_matches, max(score) AS top_score FROM m GROUP BY 1), p AS (SELECT query_id, count(*) AS n_paths, avg(ret) AS mean_match FROM paths WHERE bar = {BARS - 1} GROUP BY 1),
+  c AS (SELECT query_id, (value > 0) = (actual > 0) AS hit, abs(value - actual) AS e FROM tb WHERE bar = {BARS - 1} AND pct = 50), z AS (SELECT query_id, series_id, start AS q_start, v[{WIDTH}] = 0 AS zero FROM tr)
+  SELECT query_id, q_start, CASE WHEN zero THEN 0 ELSE coalesce(n_matches, 0) END AS n_matches, CASE WHEN zero THEN 0 ELSE coalesce(n_paths, 0) END AS n_paths, CASE WHEN NOT zero THEN round(top_score, 6) END AS top_score, CASE WHEN NOT zero THEN round(mean_match, 6) + 0.0 END AS mean_match, hit, round(e, 6) AS p50_error,
+  CASE WHEN zero THEN 'anchor value is zero' WHEN n_matches IS NULL THEN 'no matches found' WHEN n_paths IS NULL THEN 'no valid forward paths' END AS reason FROM z LEFT JOIN n USING (query_id) LEFT JOIN p USING (query_id) LEFT JOIN c USING (query_id)""")
+def k2_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every drawn trial with its result or the reason why it has none, over series in which every seventh event is a zero."""
+    s = event_series(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 7 == 0, 0.0).otherwise(F.col("value")))
+    fit = trials.input_checks(s, WIDTH, BARS, DRAWN).filter("reason is null").select("series_id")
+    s = stored(s.join(fit, "series_id", "left_semi"))
+    _, account = trials.accounted(s, drawn(s), WIDTH, BARS, TOP, {"pearson": 1.0})
+    return account.select("query_id", "q_start", "n_matches", "n_paths", F.round("top_score", 6).alias("top_score"), rounded("mean_match").alias("mean_match"), "hit", F.round("p50_error", 6).alias("p50_error"), "reason")
+
+
+_LEVELS = [p / 100 for p in projection.PERCENTILES]
+_CRPS = f"greatest(q[1] - actual, 0) + greatest(actual - q[{len(_LEVELS)}], 0) + " + " + ".join(f"{p * p} * least(greatest(actual - q[{i + 1}], 0), q[{i + 2}] - q[{i + 1}]) + {(p - 1) ** 2} * (q[{i + 2}] - q[{i + 1}] - least(greatest(actual - q[{i + 1}], 0), q[{i + 2}] - q[{i + 1}]))" for i, p in enumerate(_LEVELS[:-1]))
+
+
+@query(f"""WITH {_TRIAL}, l AS (SELECT query_id, any_value(actual) AS actual, list(value ORDER BY pct) AS q FROM tb WHERE bar = {BARS - 1} GROUP BY 1), p AS (SELECT query_id, avg(ret) AS mm FROM paths WHERE bar = {BARS - 1} GROUP BY 1), x AS (SELECT split_part(query_id, '@', 1) AS arm, *, {_CRPS} AS crps FROM l JOIN p USING (query_id))
+  SELECT arm, count(*) AS n, CASE WHEN count(*) < 3 OR stddev_pop(mm) = 0 OR stddev_pop(actual) = 0 THEN 0.0 ELSE round(corr(mm, actual), 5) + 0.0 END AS correlation, round(avg(crps), 6) AS crps, round(abs(avg((actual BETWEEN q[1] AND q[{len(_LEVELS)}])::INT) - 0.8), 6) AS calibration_error, round(avg((sign(mm) = sign(actual))::INT), 6) AS hit_rate FROM x GROUP BY 1""")
 def k10_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieval metrics per series as arm, over the trials' last bars."""
-    t = trials.terminal(trial_bars(spark, sf_dir), BARS).withColumns({"arm": F.split("query_id", "@")[0], "mean_match": F.col("p50")})
+    """Retrieval metrics per series as arm, over the trials' last bars: the mean of the matches' returns and the cone's distribution against what happened."""
+    s = event_series(spark, sf_dir)
+    curves, account = trials.accounted(s, drawn(s), WIDTH, BARS, TOP, {"pearson": 1.0})
+    last = curves.filter(F.col("bar") == BARS - 1).groupBy("query_id").agg(F.first("actual").alias("actual"), F.sort_array(F.collect_list(F.struct("pct", "value"))).alias("_q"))  # a few curves
+    t = last.withColumn("_q", F.transform("_q", lambda x: x.value)).join(account.filter("reason is null").select("query_id", F.col("series_id").alias("arm"), "mean_match"), "query_id")
+    t = t.withColumns({"p10": F.element_at("_q", 1), "p90": F.element_at("_q", -1), "crps": trials.empirical_crps(F.col("actual"), F.col("_q"), _LEVELS)})
     out = trials.retrieval_metrics(t)
-    return out.select("arm", "n", (F.round("correlation", 5) + 0.0).alias("correlation"), F.round("calibration_error", 6).alias("calibration_error"), F.round("hit_rate", 6).alias("hit_rate"))
+    return out.select("arm", "n", (F.round("correlation", 5) + 0.0).alias("correlation"), F.round("crps", 6).alias("crps"), F.round("calibration_error", 6).alias("calibration_error"), F.round("hit_rate", 6).alias("hit_rate"))
 
 
 @query()
@@ -64,7 +104,7 @@ def k17_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     The confidence is the score in hundredths.
     """
     s = event_series(spark, sf_dir)
-    asked = trials.positions(s, WIDTH, BARS, _STRIDE)
+    asked = stored(drawn(s))
     best = stored(search.top(search.candidates(s, asked, WIDTH, TOP, {"pearson": 1.0}, ahead=BARS, own=True), TOP))
     seen = trials.with_regime(best.select("query_id", "rank", "series_id", "start", (F.col("score") * 100).alias("confidence")).join(windows.windows(s, WIDTH), ["series_id", "start"]))
     weighed = best.select("query_id", "rank", F.col("score").alias("weight"), "series_id", (F.col("start") + WIDTH).alias("end"))
@@ -178,7 +218,7 @@ def s14_serialised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ensemble_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = event_series(spark, sf_dir)
-    return trials.ensemble_walk_forward(s, trials.positions(s, WIDTH, BARS, _STRIDE), WIDTH, BARS, TOP, {"pearson": 1.0}, draws=200)
+    return trials.ensemble_walk_forward(s, stored(drawn(s)), WIDTH, BARS, TOP, {"pearson": 1.0}, draws=200)
 
 
 @query()

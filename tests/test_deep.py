@@ -194,7 +194,7 @@ def test_sweep_is_the_sum_of_its_settings(spark):
     from pastcast.operators import trials
 
     s = line(spark, 100 + np.cumsum(np.random.default_rng(3).normal(size=600)))
-    both = {(r.width, r.n, r.hit_rate, r.crps, r.trust) for r in trials.swept(s, (20, 30), 5, 4, 50, {"pearson": 1.0}).collect()}
-    one = {(r.width, r.n, r.hit_rate, r.crps, r.trust) for w in (20, 30) for r in trials.swept(s, (w,), 5, 4, 50, {"pearson": 1.0}).collect()}
-    assert both == one and len(both) == 2
-    assert all(t == round(h * (1 - min(c, 1)), 4) for _, _, h, c, t in both)
+    both = {(r.width, r.seed, r.n, r.hit_rate, r.crps, r.trust) for r in trials.swept(s, (20, 30), 5, 4, 25, {"pearson": 1.0}, (1, 2)).collect()}
+    one = {(r.width, r.seed, r.n, r.hit_rate, r.crps, r.trust) for w in (20, 30) for z in (1, 2) for r in trials.swept(s, (w,), 5, 4, 25, {"pearson": 1.0}, (z,)).collect()}
+    assert both == one and len(both) == 4
+    assert all(t == round(h * (1 - min(c, 1)), 4) for _, _, _, h, c, t in both)
