@@ -104,18 +104,21 @@ def around(events: DataFrame, anchors: DataFrame, days: int) -> DataFrame:
 
 
 def best_periods(events: DataFrame, query: list[float], k: int, days: int = 30) -> DataFrame:
-    """(first_day, n, similarity): of the periods of so many days that start daily, those whose mean vector is nearest the query."""
+    """(start, n, similarity): of the periods of so many days that start daily from the first event on, those whose mean vector is nearest the query; ties by start.
+
+    Vectors are summed per day; a period is a frame over the days' sums, so that what is shuffled doesn't depend on its length.
+    """
     dims = len(query)
-    day = F.floor(micros("ts") / 86_400_000_000)
     ends = events.agg(F.min(micros("ts")).alias("lo"), F.max(micros("ts")).alias("hi")).first()
-    first, last = ends.lo, ends.hi + 86_400_000_000
-    offset = F.floor((micros("ts") - first) / 86_400_000_000)
-    del day
-    starts = int((last - first) // 86_400_000_000) - days
-    rows = events.select("vec", F.explode(F.sequence(F.greatest(F.lit(0), offset - days + 1), F.least(F.lit(max(starts, 0)), offset))).alias("start")) if starts >= 0 else events.select("vec", F.lit(0).alias("start")).limit(0)
-    mean = rows.groupBy("start").agg(F.count("*").alias("n"), F.array(*[F.avg(F.get("vec", F.lit(d))) for d in range(dims)]).alias("mean"))
+    starts = (ends.hi - ends.lo) // 86_400_000_000 + 1 - days if ends.lo is not None else -1
+    sums = [f"s{d}" for d in range(dims)]
+    offset = F.floor((micros("ts") - F.lit(ends.lo)) / 86_400_000_000).alias("start")
+    day = events.select(offset, "vec").groupBy("start").agg(F.count("*").alias("n"), *[F.sum(F.get("vec", F.lit(d))).alias(c) for d, c in enumerate(sums)])
+    every = events.sparkSession.range(0, max(starts + days, 0)).withColumnRenamed("id", "start").join(day, "start", "left")
+    frame = Window.orderBy("start").rowsBetween(0, days - 1)  # one row per day
+    whole = every.select("start", *[F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(c) for c in ("n", *sums)]).filter((F.col("n") > 0) & (F.col("start") <= starts))
     q = F.array(*[F.lit(float(x)) for x in query])
-    return mean.select("start", "n", F.round(cosine(F.col("mean"), q), 9).alias("similarity")).orderBy(F.desc("similarity"), "start").limit(k)
+    return whole.select("start", "n", F.round(cosine(F.array(*[F.col(c) / F.col("n") for c in sums]), q), 9).alias("similarity")).orderBy(F.desc("similarity"), "start").limit(k)
 
 
 def scorecard(predictions: DataFrame, outcomes: DataFrame, bins: int = 10) -> DataFrame:
@@ -128,26 +131,64 @@ def scorecard(predictions: DataFrame, outcomes: DataFrame, bins: int = 10) -> Da
     return rows.sparkSession.range(-1, bins).select(F.col("id").cast("int").alias("bin")).join(made, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def transitions(items: DataFrame, key: str, order: str) -> DataFrame:
-    """(key, from, to, distance) of consecutive items (id, vec) of each key."""
-    w = Window.partitionBy(key).orderBy(order)
-    rows = items.withColumns({"to": F.lead("id").over(w), "_v": F.lead("vec").over(w)}).filter("to is not null")
-    return rows.select(key, F.col("id").alias("from"), "to", F.sqrt(total(F.zip_with("vec", "_v", lambda x, y: (x - y) * (x - y)))).alias("distance"))
+def transitions(items: DataFrame, key: str, order: str, parts: int | None = None) -> DataFrame:
+    """(key, from, to, distance) of consecutive items (id, vec) of each key.
+
+    Items are dealt by ranges of (key, order); a range's last item of a key meets the first of the next range that has the key.
+    """
+    rows = items.select(key, "id", "vec", F.col(order).alias("_o"))
+    rows = stored((rows.repartitionByRange(parts, key, "_o") if parts else rows.repartitionByRange(key, "_o")).withColumn("_p", F.spark_partition_id()))
+    w = Window.partitionBy(key, "_p").orderBy("_o")
+    item = F.struct("id", "vec")
+    heads = rows.groupBy(key, "_p").agg(F.min_by(item, "_o").alias("_h"))
+    heads = heads.select(F.col(key).alias("_k"), F.col("_p").alias("_q"), F.lead("_h").over(Window.partitionBy(key).orderBy("_p")).alias("_n"))  # a row per range and key
+    rows = rows.withColumn("_l", F.lead(item).over(w)).join(heads, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_q")))
+    rows = rows.withColumn("_t", F.coalesce("_l", "_n")).filter("_t is not null")
+    return rows.select(key, F.col("id").alias("from"), F.col("_t.id").alias("to"), F.sqrt(total(F.zip_with("vec", "_t.vec", lambda x, y: (x - y) * (x - y)))).alias("distance"))
+
+
+def _relaxed(edges: DataFrame, source: int) -> tuple[DataFrame, list[int]]:
+    """(node, cost, hops, prev) of every node that the source reaches, and how many nodes had their edges relaxed in each round."""
+    both = stored(edges.select("u", "v", "w").union(edges.select("v", "u", "w")))
+    cost = edges.sparkSession.createDataFrame([(source, 0.0, 0, None)], "node long, cost double, hops int, prev long")
+    front, counts = cost, []
+    while n := front.count():
+        counts.append(n)
+        step = front.join(both, front.node == both.u).select(F.col("v").alias("node"), F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("u").alias("prev")).alias("s"))
+        step = step.groupBy("node").agg(F.min("s").alias("s")).select("node", "s.*")
+        old = cost.select(F.col("node").alias("_n"), F.col("cost").alias("_c"))
+        front = checkpointed(step.join(old, step.node == old._n, "left").filter("_c is null or cost < _c").select("node", "cost", "hops", "prev"))
+        cost = checkpointed(cost.join(front.select("node"), "node", "left_anti").union(front))
+    return cost, counts
+
+
+def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
+    """(node, cost) of every node that the source reaches over undirected edges (u, v, w) of non-negative weight.
+
+    In a round only the nodes whose cost fell in the last one relax their edges.
+    """
+    return _relaxed(edges, source)[0].select("node", "cost")
+
 
+def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """(step, node, cost): a cheapest path from source to target; no rows when there is none.
 
-def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 100) -> DataFrame:
-    """(node, cost) of every node that the source reaches over undirected edges (u, v, w) of non-negative weight, by relaxing to a fixpoint."""
-    both = checkpointed(edges.select("u", "v", "w").union(edges.select("v", "u", "w")))
-    cost = edges.sparkSession.createDataFrame([(source, 0.0)], "node long, cost double")
-    before = None
-    for _ in range(max_rounds):
-        step = cost.join(both, cost.node == both.u).select(F.col("v").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
-        cost = checkpointed(cost.union(step).groupBy("node").agg(F.min("cost").alias("cost")))
-        now = cost.agg(F.count("*"), F.round(F.sum("cost"), 9)).first()
-        if now == before:
-            return cost
-        before = now
-    raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+    The nodes before the target are found by predecessors' predecessors, each round twice as far.
+    """
+    cost, _ = _relaxed(edges, source)
+    jump = checkpointed(cost.filter("prev is not null").select("node", "prev"))
+    path = checkpointed(cost.filter(F.col("node") == target).select("node"))
+    n = path.count()
+    while n:
+        path = checkpointed(path.union(path.join(jump, "node").select(F.col("prev").alias("node"))).distinct())
+        now = path.count()
+        if now == n:
+            break
+        n = now
+        far = jump.select(F.col("node").alias("_n"), F.col("prev").alias("_p"))
+        jump = checkpointed(jump.join(far, jump.prev == far._n, "left").select("node", F.coalesce("_p", "prev").alias("prev")))
+    hops = path.join(cost, "node")
+    return hops.select(F.col("hops").alias("step"), "node", "cost")
 
 
 def marginal_fidelity(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pastcast.operators.projection import cone
+from pastcast.sources.series import known_around
 
 KM_PER_DEGREE = 111.32
 
 
-def prepared(fixes: DataFrame, least: int = 8, wind_scale: float = 5.0) -> DataFrame:
+def prepared(fixes: DataFrame, least: int = 8, wind_scale: float = 5.0, size: int = 1 << 16) -> DataFrame:
     """(track_id, idx, x, y, z) of tracks with enough winds: winds interpolated by index, ends held, then kilometres about the track's mean place.
 
-    fixes: (track_id, idx, lat, lon, wind). A track is a few hundred fixes.
+    fixes: (track_id, idx, lat, lon, wind). A track of any length is worked on in stretches of ``size`` fixes.
     """
     enough = fixes.groupBy("track_id").agg(F.count("wind").alias("n"), F.avg("lat").alias("lat0"), F.avg("lon").alias("lon0")).filter(F.col("n") >= least)
-    w = Window.partitionBy("track_id").orderBy("idx")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col("wind").isNotNull(), F.col("idx"))
-    rows = fixes.join(enough, "track_id").withColumns({"w0": F.last("wind", True).over(back), "i0": F.last(at, True).over(back), "w1": F.first("wind", True).over(ahead), "i1": F.first(at, True).over(ahead)})
-    mid = F.col("w0") + (F.col("w1") - F.col("w0")) * (F.col("idx") - F.col("i0")) / (F.col("i1") - F.col("i0"))
-    wind = F.when(F.col("wind").isNotNull(), F.col("wind")).when(F.col("w0").isNull(), F.col("w1")).when(F.col("w1").isNull(), F.col("w0")).otherwise(mid)
+    rows = known_around(fixes.join(enough, "track_id"), "track_id", "idx", "wind", size)
+    w0, i0, w1, i1 = F.col("before.value"), F.col("before.at"), F.col("after.value"), F.col("after.at")
+    mid = w0 + (w1 - w0) * (F.col("idx") - i0) / (i1 - i0)
+    wind = F.when(F.col("wind").isNotNull(), F.col("wind")).when(w0.isNull(), w1).when(w1.isNull(), w0).otherwise(mid)
     x = (F.col("lon") - F.col("lon0")) * KM_PER_DEGREE * F.cos(F.radians("lat0"))
     return rows.select("track_id", "idx", x.alias("x"), ((F.col("lat") - F.col("lat0")) * KM_PER_DEGREE).alias("y"), (wind * wind_scale).alias("z"))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import rounded
 from pastcast.operators import curves, tracks
 from pastcast.plans.registry import registry
 from pastcast.session import stored, table
+from pastcast.sources.series import positions
 
 QUERIES, ORACLES, query = registry()
 
@@ -20,10 +21,9 @@ _FIX = """fix AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY us
 
 
 def fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1  # a track is one user's rows
+    e = positions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")), "event_id", series="user_id")  # a track is one user's rows
     k = F.col("event_id")
-    return e.select(F.col("user_id").alias("track_id"), place.alias("idx"), (20 + k % 17).alias("lat"), (-60 - k % 23).alias("lon"), F.when(k % 4 > 0, F.col("value")).alias("wind"))
+    return e.select(F.col("user_id").alias("track_id"), F.col("pos").alias("idx"), (20 + k % 17).alias("lat"), (-60 - k % 23).alias("lon"), F.when(k % 4 > 0, F.col("value")).alias("wind"))
 
 
 @query(f"""WITH {_FIX} SELECT track_id, idx, round(x, 8) + 0.0 AS x, round(y, 8) + 0.0 AS y, round(z, 5) AS z FROM t""")
@@ -38,7 +38,7 @@ def t1_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
   n AS (SELECT *, row_number() OVER o AS k, lead(c) OVER o AS c2, lead(ret) OVER o AS r2 FROM c WINDOW o AS (PARTITION BY q, axis, bar ORDER BY ret, weight, track_id))
   SELECT q, axis, bar, pct.p AS pct, round(max(CASE WHEN k = 1 AND pct.p / 100.0 <= c THEN ret WHEN c2 IS NULL AND pct.p / 100.0 >= c THEN ret WHEN pct.p / 100.0 > c AND pct.p / 100.0 <= c2 THEN ret + (pct.p / 100.0 - c) / (c2 - c) * (r2 - ret) END), 8) + 0.0 AS value FROM n JOIN (SELECT unnest([10, 50, 90]) AS p) pct ON true GROUP BY ALL""")
 def t6_axis_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tracks.prepared(fixes(spark, sf_dir)).filter("idx <= 7")
+    t = tracks.prepared(fixes(spark, sf_dir))
     m = t.select((F.col("track_id") % 3).alias("q"), "track_id", F.lit(4).alias("end"), (F.lit(1.0) + F.col("track_id") % 5).alias("weight")).distinct()
     return tracks.axis_cone(m, t, 4, ["q"]).select("q", "axis", F.col("bar").cast("long").alias("bar"), "pct", rounded("value", 8).alias("value"))
 
@@ -51,10 +51,10 @@ _POINTS = 50
   c AS (SELECT *, sum(d) OVER (PARTITION BY track_id ORDER BY idx) AS c, sum(d) OVER (PARTITION BY track_id) / {_POINTS - 1} AS step FROM d),
   j AS (SELECT *, floor(round(c / step, 9)) AS upto, CASE WHEN round((c - d) / step, 9) <= 0 THEN 0 ELSE floor(round((c - d) / step, 9)) + 1 END AS lo FROM c WHERE step > 0 AND d > 0),
   r AS (SELECT j.*, k.j, greatest(0.0, least(1.0, (k.j * step - (c - d)) / d)) AS f FROM j JOIN range(0, {_POINTS}) k(j) ON k.j >= lo AND k.j <= upto)
-  SELECT track_id, j, round(x0 + f * (x - x0), 2) + 0.0 AS x, round(y0 + f * (y - y0), 2) + 0.0 AS y, round(z0 + f * (z - z0), 2) + 0.0 AS z FROM r""")
+  SELECT track_id, j, round(x0 + f * (x - x0), 4) + 0.0 AS x, round(y0 + f * (y - y0), 4) + 0.0 AS y, round(z0 + f * (z - z0), 4) + 0.0 AS z FROM r""")
 def t2_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curves.resampled(tracks.prepared(fixes(spark, sf_dir)), _POINTS)
-    return out.select("track_id", "j", rounded("x", 2).alias("x"), rounded("y", 2).alias("y"), rounded("z", 2).alias("z"))
+    return out.select("track_id", "j", rounded("x", 4).alias("x"), rounded("y", 4).alias("y"), rounded("z", 4).alias("z"))
 
 
 @query()

@@ -71,6 +71,22 @@ def chunked(rows: DataFrame, before: int = 0, after: int = 0, size: int = 1 << 1
     return rows.withColumn("chunk", F.explode(F.array_compact(F.array(*targets)))).withColumn("core", F.col("chunk") == own)
 
 
+def known_around(rows: DataFrame, key: str, idx: str, column: str, size: int = 1 << 16) -> DataFrame:
+    """Adds before and after: (value, at) of the nearest known values of a column at or before, and at or after, each row; null where there is none.
+
+    Rows are looked through inside stretches of ``size`` positions; what a stretch doesn't hold comes from the first or last known value of
+    the stretches beside it, one row each.
+    """
+    rows = rows.withColumn("_s", F.floor(F.col(idx) / size))
+    item = F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("value"), F.col(idx).alias("at")))
+    w = Window.partitionBy(key, "_s").orderBy(idx)
+    rows = rows.withColumn("_i", item).withColumns({"_b": F.last("_i", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_i", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    ends = rows.groupBy(key, "_s").agg(F.max_by("_i", F.when(F.col("_i").isNotNull(), F.col(idx))).alias("_l"), F.min_by("_i", F.when(F.col("_i").isNotNull(), F.col(idx))).alias("_f"))
+    over = Window.partitionBy(key).orderBy("_s")
+    ends = ends.select(key, "_s", F.last("_l", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_p"), F.first("_f", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_n"))
+    return rows.join(ends, [key, "_s"]).withColumns({"before": F.coalesce("_b", "_p"), "after": F.coalesce("_a", "_n")}).drop("_s", "_i", "_b", "_a", "_p", "_n")
+
+
 def in_chunk(series: str = "series_id") -> Window:
     return Window.partitionBy(series, "chunk").orderBy("pos")
 
