@@ -2,7 +2,7 @@
 
 Every word opens one window: itself and the words that follow it in its piece, padded where the piece ends. Only
 windows of the longest order are counted. A shorter phrase is a prefix of as many windows as it has occurrences, so
-its count is a sum over the windows that begin with it: sums of long prefixes, then Spark's ROLLUP from pairs up.
+its count is a sum over the windows that begin with it: sums of long prefixes, then Spark's ROLLUP from pairs to words and totals.
 """
 
 from __future__ import annotations
@@ -114,14 +114,12 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, text_col:
         reached = [F.contains(first, F.lit(" ")), *[F.col(w).isNotNull() for w in words]][size - 2 :]  # by windows that are not padded before this length
         # reading all later words and filtering no key, all lengths share one shuffle
         level = windows.groupBy("head", *words[: size - 2]).agg(F.sum("c").alias("c"), F.max(reduce(or_, reached)).alias("whole"))
-        phrase = F.concat_ws(" ", first, *words[: size - 2])
-        often = (F.col("c") >= least) & F.col("whole")
-        if size > 2:
-            parts.append(level.filter(often).select(lang, phrase.alias("phrase"), F.lit(size).alias("size"), F.col("c").alias("f")))
-    # rare pairs are one group of their first word
-    sums = level.select(lang, F.substring_index(first, " ", 1).alias("w0"), F.when(often, phrase).alias("pair"), "c").rollup("lang", "w0", "pair").agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
-    size = F.when((F.col("g") == 0) & F.col("pair").isNotNull(), 2).when((F.col("g") == 1) & (F.col("f") >= least), 1).when(F.col("g") == 3, 0)
-    parts.append(sums.select("lang", F.coalesce("pair", "w0", F.lit("")).alias("phrase"), size.alias("size"), "f").filter("size is not null"))
+        often = level.filter((F.col("c") >= least) & F.col("whole"))
+        parts.append(often.select(lang, F.concat_ws(" ", first, *words[: size - 2]).alias("phrase"), F.lit(size).alias("size"), F.col("c").alias("f")))
+    pairs = level.filter("whole is not null").select(lang, F.substring_index(first, " ", 1).alias("w0"), "c")  # all: the filter only has them read what the others read
+    sums = pairs.rollup("lang", "w0").agg(F.sum("c").alias("f"), F.grouping_id().alias("g"))
+    size = F.when(F.col("g") == 1, 0).when((F.col("g") == 0) & (F.col("f") >= least), 1)
+    parts.append(sums.select("lang", F.coalesce("w0", F.lit("")).alias("phrase"), size.alias("size"), "f").filter("size is not null"))
     return reduce(DataFrame.unionByName, parts)
 
 
