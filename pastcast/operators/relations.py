@@ -291,6 +291,12 @@ def autocorrelation(rows: DataFrame, lags: list[int]) -> DataFrame:
     return back.select("series_id", "v", item.alias("i")).groupBy("series_id", "i.lag").agg(F.try_divide(F.sum("i.p"), F.first("v")).alias("acf"))
 
 
+def temporal_gap(real: DataFrame, synthetic: DataFrame, lags: list[int]) -> DataFrame:
+    """One row (acf): the mean distance of the autocorrelations of two sets of series (series_id, pos, value) at the lags."""
+    a, b = autocorrelation(real, lags), autocorrelation(synthetic, lags).withColumnRenamed("acf", "other")
+    return a.join(b, ["series_id", "lag"]).agg(F.avg(F.abs(F.col("acf") - F.col("other"))).alias("acf"))
+
+
 def _partial(r: list[float]) -> list[float]:
     """Partial autocorrelations of lags 1, 2, ... by the Durbin-Levinson recursion; r begins with lag 1. NaN from where it breaks down."""
     out, phi, left = [], [], 1.0

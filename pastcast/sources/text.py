@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,45 @@ def write_events(events: DataFrame, path: str) -> None:
     events.write.json(path)
 
 
+def resumed(work: DataFrame, path: str, keys: list[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs the work (keys, ...) that has no result yet in the JSON lines under path, appends the results there, and returns all of them."""
+    spark = work.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    schema = run(work).schema
+    left = work.join(spark.read.schema(schema).json(path).select(*keys).distinct(), keys, "left_anti") if known else work
+    run(left).write.mode("append").json(path)
+    return spark.read.schema(schema).json(path)
+
+
+LEDGER = "run_id string, timestamp string, benchmark_id string, lane_id string, status string, decision string, metrics_after map<string,double>"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a ledger with one JSON object per line, with the line's place; blank and malformed lines are skipped, missing fields are null."""
+    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).filter(F.trim("value") != "")
+    read = F.from_json("value", f"{LEDGER}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return lines.select(read.alias("e"), "line").filter("e is not null and e._bad is null").select("e.*", "line").drop("_bad")
+
+
+def latest_runs(entries: DataFrame) -> DataFrame:
+    """(lane_id, entries, run_id, timestamp, status): how many entries each lane has and its latest one by timestamp, the later line of equal ones."""
+    last = F.max_by(F.struct("run_id", "timestamp", "status"), F.struct(F.coalesce("timestamp", F.lit("")), "line"))
+    return entries.groupBy("lane_id").agg(F.count("*").alias("entries"), last.alias("e")).select("lane_id", "entries", "e.*")
+
+
+def compared_runs(entries: DataFrame, a: str, b: str) -> DataFrame:
+    """(metric, a, b, delta): the metrics of two runs, each as its last line says, with the difference where both have one. LookupError for a run without a line."""
+
+    def side(run: str, name: str) -> DataFrame:
+        row = entries.filter(F.col("run_id") == run).agg(F.count("*").alias("n"), F.max_by("metrics_after", "line").alias("m"))
+        if not row.first().n:
+            raise LookupError(f"run_id not found: {run}")
+        return row.select(F.explode("m").alias("metric", name))
+
+    return side(a, "a").join(side(b, "b"), "metric", "full_outer").withColumn("delta", F.col("b") - F.col("a"))
+
+
 def event_problems(events: DataFrame, order: str, now: Column) -> DataFrame:
     """(event_id, place, problem) rows: empty required fields, stamps that are no time or more than a day ahead, repeated ids with their first place.
 

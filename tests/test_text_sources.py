@@ -51,3 +51,24 @@ def test_wide_series(spark, tmp_path):
     rows = text.read_wide(spark, str(p))
     assert sorted((r.series_id, r.pos, r.value) for r in rows.collect()) == [("D1", 0, 1.0), ("D1", 1, 2.0), ("D1", 2, 4.0), ("T1", 0, 7.0), ("T1", 1, 8.0), ("T1", 2, 9.0)]
     assert text.held_back(rows, 1).filter("test").count() == 2
+
+
+def test_ledger(spark, tmp_path):
+    path = tmp_path / "l.jsonl"
+    entry = lambda run, at, lane, **m: json.dumps({"run_id": run, "timestamp": at, "lane_id": lane, "status": "done", "metrics_after": m, "more": [1]})
+    path.write_text("\n".join([entry("a", "2024-01-01", "x", crps=1.0, hit=0.5), '{"run_id": "b", "timest', "", "not json", entry("b", "2024-01-03", "x", crps=0.5, new=2.0), entry("a", "2024-01-02", "y", crps=3.0, hit=0.25), entry("c", "2024-01-03", "x"), "   "]))
+    e = text.read_ledger(spark, str(path))
+    assert [r.run_id for r in e.orderBy("line").collect()] == ["a", "b", "a", "c"]
+    assert {r.lane_id: (r.entries, r.run_id) for r in text.latest_runs(e).collect()} == {"x": (3, "c"), "y": (1, "a")}
+    got = {r.metric: (r.a, r.b, r.delta) for r in text.compared_runs(e, "a", "b").collect()}
+    assert got == {"crps": (3.0, 0.5, -2.5), "hit": (0.25, None, None), "new": (None, 2.0, None)}
+    with pytest.raises(LookupError):
+        text.compared_runs(e, "a", "z")
+
+
+def test_resumed_work(spark, tmp_path):
+    work, path, ran = spark.createDataFrame([(1, "s"), (2, "s"), (3, "t")], "series long, system string"), str(tmp_path / "r"), []
+    run = lambda df: df.withColumn("mae", F.col("series") * 1.5)
+    assert text.resumed(work.filter("series < 3"), path, ["series", "system"], run).count() == 2
+    got = text.resumed(work, path, ["series", "system"], lambda df: (ran.append(df.count()), run(df))[1])
+    assert sorted((r.series, r.mae) for r in got.collect()) == [(1, 1.5), (2, 3.0), (3, 4.5)] and ran[-1] == 1
