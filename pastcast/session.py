@@ -37,13 +37,16 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession) -> str:
     """A new folder below this application's own in ``spark.checkpoint.dir``.
 
-    Where that is unset, the warehouse of the cluster is the shared folder; a local master, with one machine, uses a temporary one.
+    Where that is unset, the warehouse of the cluster is the shared folder, unless it is a folder of one machine, which is an error; a local
+    master, with one machine, uses a temporary one.
     """
     base, sc = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not base and sc.master.startswith("local"):
         base = _local.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
     elif not base:
         base = spark.conf.get("spark.sql.warehouse.dir")
+        if base.startswith(("file:", "/")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is a local one")
     return f"{base.rstrip('/')}/pastcast/{sc.applicationId}/{uuid.uuid4().hex}"
 
 
