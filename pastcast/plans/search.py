@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pastcast.functions.common import rounded
-from pastcast.operators import light, projection, regimes, search, windows
+from pastcast.operators import light, projection, regimes, relations, search, windows
 from pastcast.plans.data import SERIES, event_series
 from pastcast.plans.registry import registry
 
@@ -67,7 +67,7 @@ def _mindists(spark: SparkSession, sf_dir: str, stride: int) -> DataFrame:
     s = event_series(spark, sf_dir)
     w = windows.normalised(windows.windows(s, WIDTH, stride), "zscore").select("series_id", "start", search.sax(F.col("normal"), WIDTH).alias("a"))
     q = windows.normalised(search.last_windows(s, WIDTH), "zscore").select("query_id", search.sax(F.col("normal"), WIDTH).alias("b"))
-    d = w.crossJoin(F.broadcast(q)).withColumn("d", search.mindist(F.col("a"), F.col("b"), WIDTH))  # a stated query set of one row per series
+    d = relations.met(w, q, ["series_id", "start"])[0].withColumn("d", search.mindist(F.col("a"), F.col("b"), WIDTH))  # a stated query set of one row per series, broadcast after a count
     return d.select("series_id", "start", "query_id", F.round("d", 6).alias("mindist"), F.round(F.exp(-F.col("d") / WIDTH), 6).alias("score"))
 
 
@@ -147,7 +147,7 @@ def m17_light(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best light analogue of each series' last window inside its own history."""
     s = event_series(spark, sf_dir)
     q = search.last_windows(s, WIDTH).select("series_id", "q_start", F.col("values").alias("q"))
-    w = windows.windows(s, WIDTH, 5).join(F.broadcast(q), "series_id").filter(F.col("start") + WIDTH + BARS <= F.col("q_start"))
+    w = windows.windows(s, WIDTH, 5).join(q, "series_id").filter(F.col("start") + WIDTH + BARS <= F.col("q_start"))
     w = search.with_light_score(w, "q", "values")
     best = w.groupBy("series_id").agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("start")).alias("o"))).alias("b"))
     return best.select("series_id", (-F.col("b.o")).alias("start"), F.round("b.s", 5).alias("score"))
@@ -179,6 +179,21 @@ def m19_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", "rank", "method", F.round("score", 6).alias("score"), F.round("contribution", 6).alias("contribution"), "verdict")
 
 
+_SCORED = _topk("0.4 * sax + 0.4 * profile + 0.2 * pearson").replace("SELECT query_id, series_id, start, score, corr, rank FROM (SELECT *", "SELECT query_id, series_id, start, score, corr, rank, sax, profile, pearson FROM (SELECT *")
+
+
+@query(f"""WITH {_SCORED}, e AS (SELECT * FROM m), x AS ({" UNION ALL ".join(_E.format(k=k, w=w) for k, w in TIER.items())})
+  SELECT query_id, rank, method, round(score, 6) AS score, round(contribution, 6) AS contribution, CASE WHEN score >= 0.7 THEN 'strong' WHEN score >= 0.4 THEN 'moderate' WHEN score >= 0.15 THEN 'weak' ELSE 'negligible' END AS verdict FROM x""")
+def m19_all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the three methods adds to every match's score."""
+    s, m = matches(spark, sf_dir)
+    word = lambda w, name: windows.normalised(w, "zscore").withColumn(name, search.sax(F.col("normal"), WIDTH))
+    m = m.join(word(windows.windows(s, WIDTH), "_a").select("series_id", "start", "_a"), ["series_id", "start"]).join(word(search.last_windows(s, WIDTH), "_b").select("query_id", "_b"), "query_id")
+    far = F.sqrt(F.greatest(F.lit(0.0), 2 * (1 - F.col("correlation"))))
+    m = m.withColumns({"pearson": (F.col("correlation") + 1) / 2, "profile": F.exp(-far), "sax": F.exp(-search.mindist(F.col("_a"), F.col("_b"), WIDTH) / WIDTH)})
+    return search.explained(m, TIER).select("query_id", "rank", "method", F.round("score", 6).alias("score"), F.round("contribution", 6).alias("contribution"), "verdict")
+
+
 @query(f"""WITH {_topk("0.4 * sax + 0.4 * profile + 0.2 * pearson", BARS, 10)}, a AS (SELECT * FROM m), b AS (SELECT query_id, series_id, start, row_number() OVER (PARTITION BY query_id ORDER BY round(pearson, 12) DESC, series_id, start) AS rank FROM t QUALIFY rank <= 10),
   j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b ON a.query_id = b.query_id AND a.series_id = b.series_id AND a.start = b.start)
   SELECT query_id, round(count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) / count(*), 6) AS jaccard, round(count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) / count(ra), 6) AS recall, round(avg(coalesce(ra, 11) - coalesce(rb, 11)), 6) + 0.0 AS lift,
