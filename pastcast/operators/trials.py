@@ -10,9 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pastcast.operators import order_stats, projection, regimes, sampling, search
-from pastcast.operators.windows import windows
+from pastcast.operators import candles, order_stats, projection, regimes, sampling, search
+from pastcast.operators.windows import resampled, windows
 from pastcast.session import ship, stored
+from pastcast.sources import series
 
 
 def positions(rows: DataFrame, width: int, ahead: int, stride: int) -> DataFrame:
@@ -116,10 +117,10 @@ def with_regime(df: DataFrame) -> DataFrame:
     return df.withColumn("regime", regimes.hard_label(F.col("vol"), F.col("slope"), F.col("hurst"), F.size("values"))).drop("values", "vol", "slope", "hurst")
 
 
-def scanned(rows: DataFrame, queries: DataFrame, width: int, k: int, methods: dict[str, float], ahead: int) -> DataFrame:
-    """(query_id, instrument, n_matches, start, score, p10, p50, p90, note): each setup's best windows in every series, as a last bar's cone.
+def scanned(rows: DataFrame, queries: DataFrame, width: int, k: int, methods: dict[str, float], ahead: int, top_n: int = 10) -> DataFrame:
+    """(query_id, instrument, n_matches, start, score, p10, p50, p90, note, overall): each setup's best windows in every series, as a last bar's cone.
 
-    ``start`` and ``score`` are those of the best window. A series of fewer than ``width + ahead`` values has one row with a note and nulls.
+    ``start`` and ``score`` are those of the best window; ``overall`` is the place of the setup's ``top_n`` best series by it (ties by name), null beyond. A series of fewer than ``width + ahead`` values has one row with a note and nulls.
     """
     best = stored(search.top(search.candidates(rows, queries, width, k, methods, ahead=ahead), k, "query_id", "series_id"))
     weighed = best.select("query_id", F.col("series_id").alias("instrument"), "rank", F.col("score").alias("weight"), "series_id", (F.col("start") + width).alias("end"))
@@ -130,7 +131,31 @@ def scanned(rows: DataFrame, queries: DataFrame, width: int, k: int, methods: di
     ends = cone.groupBy("query_id", "instrument").agg(*[F.max(F.when(F.col("pct") == p, F.col("value"))).alias(f"p{p}") for p in (10, 50, 90)])
     short = rows.groupBy(F.col("series_id").alias("instrument")).agg(F.count("*").alias("n")).filter(F.col("n") < width + ahead)
     notes = short.select("instrument", F.lit("insufficient history").alias("note"))
-    return tops.join(ends, ["query_id", "instrument"], "left").withColumn("note", F.lit(None).cast("string")).unionByName(notes, allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "instrument"))
+    first = tops.select("query_id", "instrument", place.alias("overall")).filter(F.col("overall") <= top_n)
+    out = tops.join(ends, ["query_id", "instrument"], "left").join(first, ["query_id", "instrument"], "left")
+    return out.withColumn("note", F.lit(None).cast("string")).unionByName(notes, allowMissingColumns=True)
+
+
+def cross_timeframe(rows: DataFrame, queries: DataFrame, frames: list[str], width: int, k: int, methods: dict[str, float], ahead: int = 0, least: int = 10, share: float = 0.5) -> DataFrame:
+    """(query_id, source, start, end, score): each query's best windows at several timeframes, overlaps removed best first; at most k per query.
+
+    queries: (query_id, values) of ``width``. At each frame a series has the last value of each period, and the query is drawn to the width times the
+    share of rows that are left; a frame at which that is less than ``least`` is left out. Places are those of the frame named as source.
+    """
+    n, out = rows.count(), None
+    for frame in frames:  # a few
+        slow = stored(series.positions(candles.downsampled(rows, frame)))
+        size = max(1, round(width * slow.count() / n)) if n else 0
+        if size < least:
+            continue
+        asked = queries.select("query_id", F.lit("").alias("series_id"), F.lit(0).cast("long").alias("q_start"), F.lit(0).cast("long").alias("cut"), (resampled(F.col("values"), size) if size != width else F.col("values")).alias("values"))
+        found = search.top(search.candidates(slow, asked, size, k, methods, ahead=ahead), k)
+        some = found.select("query_id", F.concat_ws(":", "series_id", F.lit(frame)).alias("source"), "start", (F.col("start") + size).alias("end"), "score")
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "query_id string, source string, start long, end long, score double")
+    return without_overlaps(out, k, share)
 
 
 def ensemble_report(ends: DataFrame, keys: list[str]) -> DataFrame:

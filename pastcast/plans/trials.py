@@ -122,8 +122,8 @@ def k17_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m16_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every series scanned for every setup, with cones and notes of short histories."""
     s = event_series(spark, sf_dir)
-    out = trials.scanned(s, search.last_windows(s, WIDTH), WIDTH, TOP, TIER, BARS)
-    return out.select("query_id", "instrument", "n_matches", "start", *[rounded(c).alias(c) for c in ("score", "p10", "p50", "p90")], "note")
+    out = trials.scanned(s, search.last_windows(s, WIDTH), WIDTH, TOP, TIER, BARS, 3)
+    return out.select("query_id", "instrument", "n_matches", "start", *[rounded(c).alias(c) for c in ("score", "p10", "p50", "p90")], "note", "overall")
 
 
 @query("""WITH g AS (SELECT o_custkey AS id, count(*) AS n, avg(o_totalprice) / 1e6 AS mae, avg(o_totalprice - 150000) AS mean, stddev_pop(o_totalprice) AS sd, avg((o_orderstatus = 'F')::INT) AS regime_share FROM orders GROUP BY 1)
@@ -164,6 +164,14 @@ def m15_cross_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trials.without_overlaps(fine.select(*cols).union(half.select(*cols)), TOP).withColumn("score", F.round("score", 6))
 
 
+@query()
+def m15_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each series' last window searched at three frames of all series (M15); held against numpy in the tests."""
+    s = event_series(spark, sf_dir)
+    out = trials.cross_timeframe(s, search.last_windows(s, WIDTH), ["1m", "5m", "15m"], WIDTH, TOP, {"pearson": 1.0}, BARS, 5)
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query()
 def c2_regime_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regime of each series' last 60 bars, the most volatile first."""

@@ -72,3 +72,25 @@ def test_runtimes(spark):
     df = spark.createDataFrame([("a", float(x)) for x in range(101)] + [("b", 3.0)], "arm string, runtime double")
     got = {r.arm: (r.rt_median, r.rt_mean, r.rt_p95) for r in trials.runtimes(df).collect()}
     assert got == {"a": (50.0, 50.0, 95.0), "b": (3.0, 3.0, 3.0)}
+
+
+def test_cross_timeframe(spark):
+    rng = np.random.default_rng(6)
+    v = 100 + np.cumsum(rng.normal(size=400))
+    at = np.datetime64("2024-01-01") + np.arange(400) * np.timedelta64(10, "m")
+    rows = spark.createDataFrame([("s", i, str(at[i]).replace("T", " "), float(v[i])) for i in range(400)], "series_id string, pos long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    q = [float(x) for x in np.sin(np.arange(40) / 5)]
+    asked = spark.createDataFrame([("q", q)], "query_id string, values array<double>")
+    got = sorted((r.source, r.start, r.end, round(r.score, 9)) for r in trials.cross_timeframe(rows, asked, ["10m", "20m", "1h", "1d"], 40, 6, {"pearson": 1.0}, 0, 5).collect())
+    every = []
+    for frame, step in (("10m", 1), ("20m", 2), ("1h", 6)):  # a day leaves too few values
+        slow = v[step - 1 :: step] if len(v) % step == 0 else np.append(v[step - 1 :: step], v[-1])
+        size = round(40 * len(slow) / 400)
+        drawn = np.interp(np.linspace(0, 1, size), np.linspace(0, 1, 40), q)
+        score = [((np.corrcoef(drawn, slow[i : i + size])[0, 1] + 1) / 2, i) for i in range(len(slow) - size + 1)]
+        every += [(-s, f"s:{frame}", i, i + size) for s, i in sorted(score, key=lambda x: (-x[0], x[1]))[:6]]
+    kept = []
+    for s, source, a, b in sorted(every):
+        if len(kept) < 6 and all(min(b, d) - max(a, c) <= 0.5 * (b - a) for _, _, c, d in kept):
+            kept.append((s, source, a, b))
+    assert got == sorted((source, a, b, round(-s, 9)) for s, source, a, b in kept)
