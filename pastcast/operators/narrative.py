@@ -24,6 +24,7 @@ INTENSITY = {
     "dramatically": 0.8, "severely": 0.85, "catastrophically": 1.0, "completely": 1.0, "totally": 0.95, "historically": 0.9, "unprecedented": 0.95,
 }
 SHARPNESS = {"suddenly": 0.9, "abruptly": 0.9, "immediately": 0.95, "instantly": 1.0, "quickly": 0.8, "rapidly": 0.8, "gradually": 0.2, "slowly": 0.2, "eventually": 0.3, "over time": 0.3, "then": 0.5, "before": 0.5, "after": 0.5}
+# Fixed value: how a duration is said.
 DURATION = r"(?i)(?:for|over|lasting|lasted|about|around|approximately)\s+(\d+)\s+(?:days?|bars?|weeks?|months?|hours?|sessions?|periods?)"
 #: The event types of a vector, in order.
 TYPES = ["earnings", "election", "financial_crisis", "geopolitical", "natural_disaster", "pandemic", "rate_cut", "rate_hike", "regulatory", "technology"]

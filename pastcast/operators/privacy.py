@@ -139,6 +139,7 @@ def privacy_score(measures: DataFrame, inference: Column | None = None, least: f
         "nn_risk": clip(1 - F.col("ratio")), "memory_risk": clip(F.when(F.col("exact") > 0, 1.0).otherwise(F.col("near") / F.col("records"))), "member_risk": clip(2 * (F.col("auc") - 0.5)),
         "attribute_risk": clip(inference if inference is not None else F.lit(0.0)), "holdout_risk": clip(F.col("holdout_ratio") - 1), "tail_risk": clip(F.col("tail_rate")),
     }
+    # fixed values: how much each risk counts
     weights = {"nn_risk": 0.25, "memory_risk": 0.25, "member_risk": 0.20, "attribute_risk": 0.10, "holdout_risk": 0.10, "tail_risk": 0.10}
     out = measures.withColumns(risks)
     mean = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))

