@@ -194,20 +194,22 @@ def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
 def marginal_fidelity(real: DataFrame, synthetic: DataFrame, columns: list[str]) -> DataFrame:
     """(column, ks, wasserstein, mean, std, skew, kurtosis): distances of each column's distributions; absolute differences of moments.
 
-    Counts are summed per distinct value; running counts inside a hashed stretch of the value order start from the stretch totals, so no
-    task holds a column.
+    Counts are summed per distinct value; running counts inside a stretch of the value order start from the stretch totals, so no
+    task holds a column. Stretches are cut by approximate quantiles of the distinct values: a skewed column fills them evenly.
     """
     item = lambda df, s: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("i"), F.lit(s).alias("s")).select("i.column", "i.x", "s").filter("x is not null")
     rows = item(real, 0).union(item(synthetic, 1))
-    stats = rows.groupBy("column", "s").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    a, b = (stats.filter(F.col("s") == k).select("column", *[F.col(c).alias(f"{c}{k}") for c in ("n", "mean", "std", "skew", "kurt", "lo", "hi")]) for k in (0, 1))
+    stats = rows.groupBy("column", "s").agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"))
+    a, b = (stats.filter(F.col("s") == k).select("column", *[F.col(c).alias(f"{c}{k}") for c in ("n", "mean", "std", "skew", "kurt")]) for k in (0, 1))
     both = a.join(b, "column")
-    value = rows.groupBy("column", "x").agg(F.count_if(F.col("s") == 0).alias("c0"), F.count_if(F.col("s") == 1).alias("c1")).join(both.select("column", "n0", "n1", F.least("lo0", "lo1").alias("lo"), F.greatest("hi0", "hi1").alias("hi")), "column")
-    value = value.withColumn("k", F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 256), F.lit(255))).cast("int"))
+    value = stored(rows.groupBy("column", "x").agg(F.count_if(F.col("s") == 0).alias("c0"), F.count_if(F.col("s") == 1).alias("c1")))
+    edge = value.groupBy("column").agg(F.percentile_approx("x", [i / 64 for i in range(1, 64)], 1000).alias("e"))
+    value = value.join(F.broadcast(edge.join(both.select("column", "n0", "n1"), "column")), "column")  # a row per column
+    value = value.withColumn("k", F.size(F.filter("e", lambda c: c < F.col("x")))).drop("e")
     inside = Window.partitionBy("column", "k").orderBy("x")
     run = value.withColumns({"r0": F.sum("c0").over(inside), "r1": F.sum("c1").over(inside), "next": F.lead("x").over(inside)})
     part = value.groupBy("column", "k").agg(F.sum("c0").alias("p0"), F.sum("c1").alias("p1"), F.min("x").alias("first"))
-    over = Window.partitionBy("column").orderBy("k")  # 256 rows at most
+    over = Window.partitionBy("column").orderBy("k")  # 64 rows at most
     part = part.select("column", "k", (F.sum("p0").over(over) - F.col("p0")).alias("q0"), (F.sum("p1").over(over) - F.col("p1")).alias("q1"), F.lead("first").over(over).alias("after"))
     run = run.join(part, ["column", "k"]).withColumn("gap", F.abs((F.col("r0") + F.col("q0")) / F.col("n0") - (F.col("r1") + F.col("q1")) / F.col("n1")))
     dist = run.groupBy("column").agg(F.max("gap").alias("ks"), F.sum(F.col("gap") * (F.coalesce("next", "after", "x") - F.col("x"))).alias("wasserstein"))
