@@ -20,6 +20,8 @@ from pastcast.session import ship, stored, with_fields
 
 #: Vectors, picked by a hash of the id, among which pivots are chosen; blocks of the searched side at most (their rows grow with the table beyond).
 SAMPLE, MAX_BLOCKS = 4096, 4096
+#: Bytes of a searched side, counted, up to which it is broadcast whole instead.
+DIRECT_BYTES = 16 << 20
 _SLACK, _GRID = 1e-7, 256
 
 
@@ -62,14 +64,24 @@ class Neighbours:
 
     metric: euclidean, or cosine (1 less the cosine; 1 for a zero vector). Vectors of one side and the other have one length; null vectors take no
     part; a row is no neighbour of the row with its own id. With ``group``, the name of a column of both sides, a row asks each
-    group but its own by itself; groups are few. ``met`` counts (meetings of a row and a block, all there could be).
+    group but its own by itself; groups are few. ``met`` counts (meetings of a row and a block, all there could be). A searched side of at most
+    ``direct`` bytes is broadcast and has no blocks; the results are the same.
     """
 
-    def __init__(self, right: DataFrame, metric: str = "euclidean", group: str | None = None, block: int = 4096, pivots: int = 32) -> None:
+    def __init__(self, right: DataFrame, metric: str = "euclidean", group: str | None = None, block: int = 4096, pivots: int = 32, direct: int = DIRECT_BYTES) -> None:
         self.spark, self.metric, self.group, self.met = right.sparkSession, metric, group, (0, 0)
         ship(self.spark)
         rows = self._plain(right)
-        n = rows.count()
+        n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+        self.small = None
+        if n * width * 8 <= direct:
+            whole = rows.toArrow().combine_chunks()
+            part = lambda name: whole.column(name).combine_chunks() if n else whole.column(name)
+            y = units(_matrix(part("vec")), metric) if n else np.zeros((0, 1))
+            g = whole.column("g").to_pandas().to_numpy()
+            self.groups = sorted(set(g))
+            self.small = (y, whole.column("id").to_pandas().to_numpy(), [np.flatnonzero(g == x) for x in self.groups])
+            return
         share = F.lit(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)).cast("long")
         some = sorted(rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < share).select("id", "vec").limit(8 * SAMPLE).collect())
         sample = np.array([r.vec for r in some], float) if some else np.zeros((1, 1))
@@ -203,11 +215,33 @@ class Neighbours:
     def _named(self, out: DataFrame) -> DataFrame:
         return out.withColumn("to", F.element_at(F.array(*[F.lit(g) for g in self.groups] or [F.lit("")]), F.col("to") + 1)) if self.group else out.drop("to")
 
+    def _at_once(self, left: DataFrame, k: int | None, radius: float, digits: int) -> DataFrame:
+        """(id, to, other, distance, rank) against the whole searched side in every task."""
+        rows, shared, metric, groups, grouped = self._plain(left), self.spark.sparkContext.broadcast(self.small), self.metric, self.groups, bool(self.group)
+        kind = left.schema["id"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            y, others, members = shared.value
+            for batch in batches:
+                own, ids = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_pandas().to_numpy()
+                x = units(_matrix(batch.column(2)), metric)
+                for g, mine in enumerate(members):
+                    at = np.flatnonzero(own != groups[g]) if grouped else np.arange(len(ids))
+                    if not len(at):
+                        continue
+                    for some, (i, j, d) in best_pairs(x[at], y[mine], ids[at], others[mine], np.full(len(at), radius), k, digits, metric == "cosine"):
+                        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[i])), pa.array(np.full(len(i), g, np.int32)), pa.array(others[mine[j]], batch.column(0).type), pa.array(d), pa.array(rank.astype(np.int32))], ["id", "to", "other", "distance", "rank"])
+
+        return rows.mapInArrow(run, with_fields(rows.select("id"), f"to int, other {kind}, distance double, rank int"))
+
     def nearest(self, left: DataFrame, k: int, digits: int = 9) -> DataFrame:
         """(id, [to,] other, distance, rank): the k nearest of each row of left (id, vec[, group]); ties of so many ``digits`` by id.
 
         Any number of rows may ask. A row whose first block holds fewer than k others has no bound and meets all blocks of its group.
         """
+        if self.small:
+            return self._named(self._at_once(left, k, np.inf, digits))
         asking = self._asking(left)
         first = stored(self._first_meeting(asking))
         seen = stored(self._meet(first, k, digits, True))
@@ -222,6 +256,8 @@ class Neighbours:
 
     def within(self, left: DataFrame, radius: float, digits: int = 9) -> DataFrame:
         """(id, [to,] other, distance): all pairs at a distance, rounded to so many digits, of at most the radius."""
+        if self.small:
+            return self._named(self._at_once(left, None, float(radius) + 10.0**-digits, digits).drop("rank").filter(F.round("distance", digits) <= radius))
         asking = self._asking(left)
         to = F.explode(F.sequence(F.lit(0), F.lit(max(len(self.groups), 1) - 1)))
         asked = asking.withColumns({"to": to, "u": F.lit(float(radius) + 10.0**-digits), "seen": F.lit(-1)})
