@@ -220,7 +220,7 @@ _GRID = [(w, seed) for w in (20, WIDTH) for seed in (1, 2)]
 
 @query(f"""WITH {trial_sql(_GRID, tagged=True)}, l AS (SELECT query_id, any_value(actual) AS actual, max(value) FILTER (pct = 10) AS p10, max(value) FILTER (pct = 50) AS p50, max(value) FILTER (pct = 90) AS p90 FROM tb WHERE bar = {BARS - 1} GROUP BY 1),
   g AS (SELECT split_part(query_id, '@', 1) AS series_id, split_part(query_id, '@', 3)::INT AS width, split_part(query_id, '@', 4)::INT AS seed, count(*) AS n, avg(((p50 > 0) = (actual > 0))::INT) AS hit_rate, avg((((actual <= p10)::INT - 0.1) ** 2 + ((actual <= p50)::INT - 0.5) ** 2 + ((actual <= p90)::INT - 0.9) ** 2) / 3) AS crps FROM l GROUP BY 1, 2, 3)
-  SELECT series_id, width, seed, n, round(hit_rate, 6) AS hit_rate, round(crps, 6) AS crps, round(hit_rate * (1 - least(crps, 1.0)), 4) AS trust FROM g""")
+  SELECT series_id, width, seed, n, round(hit_rate, 6) AS hit_rate, round(crps, 6) AS crps, round(round(hit_rate * (1 - least(crps, 1.0)), 9), 4) AS trust FROM g""")
 def k7_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sweep over widths and seeds of every series."""
     out = walk.swept(event_series(spark, sf_dir), (20, WIDTH), BARS, TOP, DRAWN, {"pearson": 1.0}, (1, 2))
