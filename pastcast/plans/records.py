@@ -131,7 +131,7 @@ def _fidelity_sql() -> str:
         made.append(f"{c}_v AS (SELECT x, sum(a) AS a, sum(b) AS b FROM (SELECT {c} AS x, 1 AS a, 0 AS b FROM r UNION ALL SELECT {c}, 0, 1 FROM s) GROUP BY 1)")
         made.append(f"{c}_g AS (SELECT sum(a) OVER w / (SELECT count(*) FROM r) AS a, sum(b) OVER w / (SELECT count(*) FROM s) AS b FROM {c}_v WINDOW w AS (ORDER BY x))")
         for t in "rs":
-            made.append(f"{c}_{t}p AS (SELECT {c} AS v, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS p FROM {t})")
+            made.append(f"{c}_{t}p AS (SELECT {c} AS v, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_quantity, l_extendedprice) AS p FROM {t})")
             made.append(f"{c}_{t}m AS (SELECT avg(v) AS m, var_pop(v) * count(*) AS s FROM {c}_{t}p)")
             made.append(f"{c}_{t}a AS (SELECT k, sum((a.v - m) * (b.v - m)) / any_value(z.s) AS acf FROM {c}_{t}p a JOIN (SELECT unnest([1, 5, 10]) AS k) ON true JOIN {c}_{t}p b ON b.p = a.p + k JOIN {c}_{t}m z ON true GROUP BY 1)")
     ks = " + ".join(f"(SELECT max(abs(a - b)) FROM {c}_g)" for c in _PARTS)
@@ -149,7 +149,8 @@ def y8_one_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (stored(li.filter(F.col("l_orderkey") % 2 == k)) for k in (1, 0))
     ks = relations.marginal_fidelity(a, b, _PARTS).agg(F.avg("ks").alias("mean_ks"))
     item = F.explode(F.array(*[F.struct(F.lit(c).alias("series_id"), F.col(c).cast("double").alias("value")) for c in _PARTS])).alias("i")
-    line = lambda df: positions(df.select("ts", "l_orderkey", "l_linenumber", item).select("ts", "l_orderkey", "l_linenumber", "i.*"), "l_orderkey", "l_linenumber")
+    order = ["ts", "l_orderkey", "l_linenumber", *_PARTS]  # line numbers repeat
+    line = lambda df: positions(df.select(*order, item).select(*order, "i.*"), *order[1:])
     acf = relations.temporal_gap(line(a), line(b), [1, 5, 10])
     tail = relations.tails(a, b, _PARTS).agg(F.avg((F.abs(F.col("p01") - 1) + F.abs(F.col("p99") - 1)) / 2).alias("tail"))
     out = privacy.fidelity_score(ks.crossJoin(acf).crossJoin(relations.correlation_gap(a, b, _PARTS)).crossJoin(tail))  # one row each
