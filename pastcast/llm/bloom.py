@@ -23,22 +23,34 @@ class Level:
     seed: int
 
     def might_hold(self, key: Column) -> Column:
+        """Whether all bits of the key are set, as one test per probe; the plan has the words once per probe."""
+        out = F.lit(True)
+        for at in positions(key, self.bits, self.probes, self.seed):
+            out = out & self._set(at)
+        return out
+
+    def holds(self, key: Column) -> Column:
+        """The same answer from one loop over the probes; the plan has the words once, so they may be many."""
+        one, two = _hashes(key, self.bits, self.seed)
+        return F.forall(F.sequence(F.lit(0), F.lit(self.probes - 1)), lambda j: self._set((one + j * two) % self.bits))
+
+    def _set(self, at: Column) -> Column:
         size = ARRAY_BITS // 64
         parts = [self.words[k : k + size] for k in range(0, len(self.words), size)]
         texts = [F.split(F.lit(",".join(map(str, part))), ",").cast("array<bigint>") for part in parts]  # fold to literals
         words = F.array(*texts) if len(texts) > 1 else texts[0]
-        out = F.lit(True)
-        for at in positions(key, self.bits, self.probes, self.seed):
-            place = F.shiftright(at, 6).cast("int")
-            word = F.get(F.get(words, F.floor(place / size).cast("int")), place % size) if len(texts) > 1 else F.get(words, place)
-            out = out & (F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-        return out
+        place = F.shiftright(at, 6).cast("int")
+        word = F.get(F.get(words, F.floor(place / size).cast("int")), place % size) if len(texts) > 1 else F.get(words, place)
+        return F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _hashes(key: Column, bits: int, seed: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(2 * seed + k)), F.lit(bits)) for k in (0, 1)]
 
 
 def positions(key: Column, bits: int, probes: int, seed: int) -> list[Column]:
     """Double hashing: the bits of a key."""
-    one = F.pmod(F.xxhash64(key, F.lit(2 * seed)), F.lit(bits))
-    two = F.pmod(F.xxhash64(key, F.lit(2 * seed + 1)), F.lit(bits))
+    one, two = _hashes(key, bits, seed)
     return [(one + j * two) % bits for j in range(probes)]
 
 

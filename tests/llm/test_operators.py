@@ -71,6 +71,7 @@ def test_filter_of_several_arrays(spark, monkeypatch):
     level = bloom.exact_size(keys, 3000, 0.01, 4)
     assert level.bits > 1 << 13 and keys.filter(level.might_hold(F.col("key"))).count() == 3000
     assert spark.range(10_000, 20_000).filter(level.might_hold(F.col("id"))).count() < 300
+    assert spark.range(20_000).filter(level.might_hold(F.col("id")) != level.holds(F.col("id"))).count() == 0
 
 
 # 1 toxicity
@@ -173,7 +174,7 @@ def test_url_rules(spark):
     ]
 
 
-def test_long_rule_list_gives_the_same_by_cascade_and_by_join(spark, monkeypatch):
+def test_long_rule_list_gives_the_same_in_one_pass_and_in_several(spark, monkeypatch):
     rules = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, "allow").otherwise("block").alias("verdict"), F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".net")).alias("host"), F.when(F.col("id") % 2 == 0, "/a/").otherwise("/").alias("path"))
     rules = rules.union(spark.createDataFrame([("block", None, "/"), ("block", "h0.net", "/a/")], "verdict string, host string, path string"))
     pages = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://www.h"), (F.col("id") * 11).cast("string"), F.lit(".net/a/b?c")).alias("url"), F.lit("mine").alias("rule"), F.lit(1).alias("key"))
@@ -182,7 +183,8 @@ def test_long_rule_list_gives_the_same_by_cascade_and_by_join(spark, monkeypatch
     def judged(most):
         monkeypatch.setattr(url_filter, "PLAN_BITS", most)
         made = url_filter.UrlFilter.fit(pages, rules)
-        assert (made.listed is None) == (most > 0)
+        assert (len(made.shares) == 1) == (most == 1 << 23)
+        assert all(sum(x.bits for c in share.values() for x in c) <= most for share in made.shares)
         assert made.judge(empty(pages)).count() == 0
         return Counter((r.page_id, r.rule, r.verdict) for r in made.judge(pages).collect())
 
@@ -194,7 +196,24 @@ def test_long_rule_list_gives_the_same_by_cascade_and_by_join(spark, monkeypatch
         verdict = "block" if n == 0 or (listed and n % 3) else "allow"
         want[(k, f"h{n}.net/" + "a/" * (n % 2 == 0) if listed else None, verdict)] += 1
     want.update([(-1, None, "allow"), (-2, None, "allow")])
-    assert got == want and judged(0) == want
+    assert got == want and judged(1 << 18) == want
+
+
+def test_plan_does_not_grow_with_the_kinds_of_rules(spark):
+    pages = spark.createDataFrame([(k, f"http://a{k}.b.c.net/" + "p" * k) for k in range(40)], "page_id long, url string")
+
+    def judged(most):
+        made = url_filter.UrlFilter.fit(pages, [("block", "c.net", "/" + "p" * k) for k in range(1, most)])
+        return made.judge(pages)
+
+    def nodes(df):
+        plan = df._jdf.queryExecution().optimizedPlan()
+        return plan.expressions().mkString().count("substring_index")
+
+    few, many = judged(3), judged(39)
+    assert nodes(few) == nodes(many) and not {"Join", "Exchange"} & set(many._jdf.queryExecution().executedPlan().toString().split())
+    got = {r.page_id: r.rule for r in many.collect()}
+    assert got == {k: "c.net/" + "p" * min(k, 38) if k else None for k in range(40)}
 
 
 # 3 near duplicates
