@@ -82,7 +82,15 @@ def b10_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("series_id", "start", F.round("vol", 6).alias("vol"), rounded("slope").alias("slope"), label.alias("label_at_half"))
 
 
-@query()
+_BOXES = "4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15"  # 20 even steps in the logarithm from 4 to 63 // 4, whole numbers
+
+
+@query(f"""WITH {_win(64, 40)}, z AS (SELECT series_id, start, list_stddev_pop({_R}) * sqrt(252) AS vol, {_z("v")} AS x, {_R} AS r FROM win), m AS (SELECT series_id, start, vol, {_SLOPE} AS slope FROM z),
+  e AS (SELECT series_id, start, unnest(r) AS r, unnest(range(63)) AS i, list_avg(r) AS mean FROM z), y AS (SELECT series_id, start, i, sum(r - mean) OVER (PARTITION BY series_id, start ORDER BY i) AS y FROM e),
+  b AS (SELECT series_id, start, s, sqrt(greatest(0.0, var_pop(y) - covar_pop(i, y) ** 2 / var_pop(i))) AS f FROM y JOIN (SELECT unnest([{_BOXES}]) AS s) ON i < 63 // s * s GROUP BY series_id, start, s, i // s),
+  f AS (SELECT series_id, start, s, avg(f) AS f FROM b GROUP BY 1, 2, 3), h AS (SELECT series_id, start, CASE WHEN count(*) FILTER (f > 0) < 2 THEN 0.5 ELSE least(1.0, greatest(0.0, regr_slope(ln(f), ln(s)) FILTER (f > 0))) END AS hurst FROM f GROUP BY 1, 2)
+  SELECT series_id, start, round(hurst, 6) AS hurst, CASE WHEN vol = 0 THEN 'low_vol' WHEN vol > 0.4 THEN 'high_vol' WHEN vol < 0.1 THEN 'low_vol' WHEN hurst < 0.4 THEN 'mean_reverting'
+  WHEN hurst > 0.6 OR abs(slope) > 0.01 THEN CASE WHEN slope > 0 THEN 'trending_up' ELSE 'trending_down' END ELSE 'mean_reverting' END AS label FROM h JOIN m USING (series_id, start)""")
 def b10_hurst(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = regimes.with_hurst(regimes.with_moves(windows.windows(event_series(spark, sf_dir), 64, 40)))
     label = regimes.hard_label(F.col("vol"), F.col("slope"), F.col("hurst"), F.size("values"))

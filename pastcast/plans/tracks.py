@@ -46,18 +46,33 @@ def t6_axis_cone(spark: SparkSession, sf_dir: str) -> DataFrame:
 _POINTS = 50
 
 
-@query(f"""WITH {_FIX}, l AS (SELECT *, lag(x) OVER o AS x0, lag(y) OVER o AS y0, lag(z) OVER o AS z0 FROM t WINDOW o AS (PARTITION BY track_id ORDER BY idx)),
+_ALONG = f"""l AS (SELECT *, lag(x) OVER o AS x0, lag(y) OVER o AS y0, lag(z) OVER o AS z0 FROM t WINDOW o AS (PARTITION BY track_id ORDER BY idx)),
   d AS (SELECT *, coalesce(sqrt((x - x0) ** 2 + (y - y0) ** 2 + (z - z0) ** 2), 0.0) AS d FROM l),
   c AS (SELECT *, sum(d) OVER (PARTITION BY track_id ORDER BY idx) AS c, sum(d) OVER (PARTITION BY track_id) / {_POINTS - 1} AS step FROM d),
   j AS (SELECT *, floor(round(c / step, 9)) AS upto, CASE WHEN round((c - d) / step, 9) <= 0 THEN 0 ELSE floor(round((c - d) / step, 9)) + 1 END AS lo FROM c WHERE step > 0 AND d > 0),
-  r AS (SELECT j.*, k.j, greatest(0.0, least(1.0, (k.j * step - (c - d)) / d)) AS f FROM j JOIN range(0, {_POINTS}) k(j) ON k.j >= lo AND k.j <= upto)
+  r AS (SELECT j.*, k.j, greatest(0.0, least(1.0, (k.j * step - (c - d)) / d)) AS f FROM j JOIN range(0, {_POINTS}) k(j) ON k.j >= lo AND k.j <= upto)"""
+
+
+@query(f"""WITH {_FIX}, {_ALONG}
   SELECT track_id, j, round(x0 + f * (x - x0), 4) + 0.0 AS x, round(y0 + f * (y - y0), 4) + 0.0 AS y, round(z0 + f * (z - z0), 4) + 0.0 AS z FROM r""")
 def t2_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = curves.resampled(tracks.prepared(fixes(spark, sf_dir)), _POINTS)
     return out.select("track_id", "j", rounded("x", 4).alias("x"), rounded("y", 4).alias("y"), rounded("z", 4).alias("z"))
 
 
-@query()
+@query(f"""WITH {_FIX}, {_ALONG}, q AS (SELECT track_id, j, x0 + f * (x - x0) AS x, y0 + f * (y - y0) AS y, z0 + f * (z - z0) AS z FROM r),
+  s AS (SELECT track_id, j, lead(x) OVER o - x AS dx, lead(y) OVER o - y AS dy, lead(z) OVER o - z AS dz FROM q WINDOW o AS (PARTITION BY track_id ORDER BY j)),
+  n AS (SELECT *, sqrt(dx ** 2 + dy ** 2 + dz ** 2) AS n FROM s WHERE dx IS NOT NULL),
+  u AS (SELECT track_id, j, avg(n) OVER (PARTITION BY track_id) AS step, CASE WHEN n > 1e-12 THEN dx / n ELSE 0.0 END AS ax, CASE WHEN n > 1e-12 THEN dy / n ELSE 0.0 END AS ay, CASE WHEN n > 1e-12 THEN dz / n ELSE 0.0 END AS az FROM n),
+  v AS (SELECT *, lead(ax) OVER o AS bx, lead(ay) OVER o AS by_, lead(az) OVER o AS bz FROM u WINDOW o AS (PARTITION BY track_id ORDER BY j)),
+  w AS (SELECT track_id, j, CASE WHEN step > 0 THEN step ELSE 1 END AS step, bx - ax AS ix, by_ - ay AS iy, bz - az AS iz, ay * bz - az * by_ AS cx, az * bx - ax * bz AS cy, ax * by_ - ay * bx AS cz FROM v WHERE bx IS NOT NULL),
+  a AS (SELECT *, sqrt(ix ** 2 + iy ** 2 + iz ** 2) AS turn, sqrt(cx ** 2 + cy ** 2 + cz ** 2) AS sine FROM w),
+  tw AS (SELECT track_id, j, step, turn, sine, CASE WHEN turn > 1e-12 THEN ix / turn ELSE 0.0 END AS ix, CASE WHEN turn > 1e-12 THEN iy / turn ELSE 0.0 END AS iy, CASE WHEN turn > 1e-12 THEN iz / turn ELSE 0.0 END AS iz, CASE WHEN sine > 1e-12 THEN cx / sine ELSE 0.0 END AS cx, CASE WHEN sine > 1e-12 THEN cy / sine ELSE 0.0 END AS cy, CASE WHEN sine > 1e-12 THEN cz / sine ELSE 0.0 END AS cz FROM a),
+  k AS (SELECT track_id, j, turn / step AS curvature, CASE WHEN sine < 0.02 THEN 0.0 ELSE -((lead(cx) OVER o - cx) * ix + (lead(cy) OVER o - cy) * iy + (lead(cz) OVER o - cz) * iz) / step END AS torsion FROM tw WINDOW o AS (PARTITION BY track_id ORDER BY j)),
+  ga AS (SELECT s.sigma, i.i AS j, CASE WHEN m.m < {_POINTS} THEN m.m ELSE {2 * _POINTS - 1} - m.m END AS p, sum(exp(-0.5 * (o.o / s.sigma) ** 2)) AS w FROM (SELECT unnest([1.0, 4.0, 16.0])::DOUBLE AS sigma) s JOIN range(0, {_POINTS}) i(i) ON true JOIN range(-64, 65) o(o) ON abs(o.o) <= 4 * s.sigma,
+    LATERAL (SELECT (i.i + o.o + {4 * _POINTS}) % {2 * _POINTS} AS m) m GROUP BY 1, 2, 3),
+  h AS (SELECT sigma, j, p, w / sum(w) OVER (PARTITION BY sigma, j) AS w FROM ga)
+  SELECT kc.track_id, sigma, h.j::INT AS j, round(sum(h.w * kc.curvature), 6) + 0.0 AS curvature, round(sum(h.w * kt.torsion), 6) + 0.0 AS torsion FROM h JOIN k kc ON kc.j = least(h.p, {_POINTS - 3}) JOIN k kt ON kt.track_id = kc.track_id AND kt.j = least(h.p, {_POINTS - 4}) GROUP BY 1, 2, 3""")
 def t3_bends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Curvature and torsion of every track at three scales; the numbers are held against loops in the tests."""
     out = curves.multiscale(curves.resampled(tracks.prepared(fixes(spark, sf_dir)), _POINTS))

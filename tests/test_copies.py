@@ -5,6 +5,7 @@ import math
 from statistics import NormalDist
 
 import numpy as np
+import pytest
 
 from pastcast.operators import copies, relations
 
@@ -72,3 +73,12 @@ def test_partial_autocorrelation_solves_the_same_equations(spark):
     assert got["flat", 1] == (None, None) and got["short", 10] == (None, None) and got["short", 5][0] is not None
     same = relations.temporal_fidelity(df, df, [1, 5]).collect()
     assert all(abs(r.acf or 0) < 1e-12 and abs(r.pacf or 0) < 1e-12 for r in same) and sum(r.lag == 0 for r in same) == 4
+
+
+def test_normal_scores_and_shares_by_table():
+    z = np.concatenate([np.random.default_rng(1).normal(size=5000) * 2, np.linspace(-8.9, 8.9, 1001), [0.0]])
+    want = np.array([0.5 * math.erfc(-x / math.sqrt(2)) for x in z])
+    assert np.abs(copies.share_of(z) - want).max() < 1e-12 and np.abs(copies.share_of(z) / want - 1).max() < 1e-8
+    u = np.concatenate([np.random.default_rng(2).random(5000), 10.0 ** -np.arange(1, 12), 1 - 10.0 ** -np.arange(1, 12), [0.0, 0.5, 1.0]])
+    assert np.abs(copies.score_of(u) - [NormalDist().inv_cdf(min(max(x, 1e-10), 1 - 1e-10)) for x in u]).max() < 1e-8
+    assert copies.share_of(np.array([-40.0, 40.0])) == pytest.approx([0, 1]) and len(copies.score_of(np.array([]))) == 0
