@@ -267,21 +267,31 @@ def latest(entries: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) of undirected edges (u, v): each round nodes take the smallest label around them, then their label's label.
+    """(node, component) of undirected edges (u, v): each round every node moves onto the first of itself and its neighbours, in an order hashed anew.
 
-    Labels are a table per round; a hub's neighbours are aggregated before the shuffle and never gathered.
+    What were neighbours stay neighbours or become one, and about half of the nodes go, whatever their numbers: rounds grow with the logarithm
+    of the table. A hub's neighbours are aggregated before the shuffle and never gathered. Moves are then followed from the last round back.
     """
-    both = checkpointed(edges.select("u", "v").union(edges.select("v", "u")).filter("u is not null and v is not null").distinct())
-    label = checkpointed(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("component")))
-    for _ in range(max_rounds):
-        near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("component").alias("m"))
-        low = label.join(near, label.node == near.u).select("node", F.least("component", "m").alias("component"))
-        jump = low.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        new = checkpointed(low.join(jump, F.col("component") == F.col("_n")).select("node", F.least("component", "_c").alias("component")))
-        if new.join(label, ["node", "component"], "left_anti").isEmpty():
-            return new
-        label = new
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    known = edges.select("u", "v").filter("u is not null and v is not null")
+    line = stored(known.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u < v").distinct())
+    moves: list[DataFrame] = []
+    while not line.isEmpty():
+        if len(moves) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(moves))).alias("h"), F.col(c).alias("to"))
+        both = line.unionByName(line.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        first = both.groupBy(F.col("u").alias("node")).agg(F.min(order("v")).alias("m"))
+        moves.append(stored(first.select("node", F.least("m", order("node"))["to"].alias("to"))))
+        ends = line.join(moves[-1].toDF("u", "a"), "u").join(moves[-1].toDF("v", "b"), "v")
+        line = stored(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u < v").distinct())
+    alone = known.filter("u = v").select(F.col("u").alias("node")).distinct()
+    if not moves:
+        return alone.withColumn("component", F.col("node"))
+    root = moves.pop()
+    while moves:
+        root = stored(moves.pop().join(root.toDF("to", "_r"), "to", "left").select("node", F.coalesce("_r", "to").alias("to")))
+    out = root.join(root.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
+    return out.unionByName(alone.join(root, "node", "left_anti").withColumn("component", F.col("node")))
 
 
 def autocorrelation(rows: DataFrame, lags: list[int]) -> DataFrame:

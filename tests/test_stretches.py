@@ -84,3 +84,12 @@ def test_paths_with_a_frontier(spark):
     for a, b in zip(path, path[1:]):
         assert any(v == b[1] and abs(a[2] + w - b[2]) < 1e-9 for v, w in near[a[1]])
     assert relations.shortest_path(df, 0, 101).count() == 0 and [tuple(x) for x in relations.shortest_path(df, 0, 0).collect()] == [(0, 0, 0.0)]
+
+
+def test_components_of_a_long_chain_in_few_rounds(spark):
+    nodes = list(range(400))
+    random.Random(5).shuffle(nodes)
+    edges = list(zip(nodes, nodes[1:])) + [(500, 501), (501, 502), (502, 500), (600, 600), (500, 500), (None, 7)]
+    got = dict(relations.components(spark.createDataFrame(edges, "u long, v long"), max_rounds=16).collect())
+    assert got == {**dict.fromkeys(range(400), 0), 500: 500, 501: 500, 502: 500, 600: 600}
+    assert relations.components(spark.createDataFrame([], "u long, v long")).count() == 0
