@@ -21,16 +21,22 @@ def hashed(n: Column, *parts: Column | str) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long"), n)
 
 
+def _numbered(size: DataFrame, block: int) -> DataFrame:
+    """A row per block of each series (series_id, n, ...), numbered k from 0, dealt to tasks."""
+    return size.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1))).repartition("series_id", "k")
+
+
 def block_bootstrap(rows: DataFrame, block: int, seed: int = 1) -> DataFrame:
     """(series_id, pos, value): each series rebuilt from blocks of its own values at hashed starts, as long as the original.
 
-    Blocks are exploded from one row each and joined to the values by position.
+    Blocks are exploded from one row each and joined to the values by position, never by a broadcast: Spark takes exploded rows for as
+    few as they come from.
     """
     size = rows.groupBy("series_id").agg(F.count("*").alias("n"))
-    blocks = size.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
+    blocks = _numbered(size, block)
     blocks = blocks.withColumn("start", hashed(F.greatest(F.col("n") - block + 1, F.lit(1)), "series_id", "k", F.lit(seed)))
     at = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).select("series_id", "n", (F.col("k") * block + F.col("j")).alias("to"), (F.col("start") + F.col("j")).alias("pos")).filter("to < n")
-    return at.join(rows.select("series_id", "pos", "value"), ["series_id", "pos"]).select("series_id", F.col("to").alias("pos"), "value")
+    return at.hint("merge").join(rows.select("series_id", "pos", "value"), ["series_id", "pos"]).select("series_id", F.col("to").alias("pos"), "value")
 
 
 def pure_starts(labelled: DataFrame, block: int, size: int = 1 << 16) -> DataFrame:
@@ -57,12 +63,12 @@ def regime_bootstrap(labelled: DataFrame, block: int, seed: int = 1) -> DataFram
     size = labelled.groupBy("series_id").agg(F.count("*").alias("n"), F.count_if("label").alias("high"))
     starts = pure_starts(labelled, block)
     pool = starts.groupBy("series_id", "label").agg(F.count("*").alias("pool"))
-    blocks = size.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
+    blocks = _numbered(size, block)
     blocks = blocks.withColumn("label", hashed(F.col("n"), "series_id", "k", F.lit(seed), F.lit("r")) < F.col("high")).join(pool, ["series_id", "label"], "left")
     blocks = blocks.withColumn("at", hashed(F.coalesce("pool", F.greatest(F.col("n") - block + 1, F.lit(1))), "series_id", "k", F.lit(seed)))
     blocks = blocks.join(starts, ["series_id", "label", "at"], "left").withColumn("start", F.coalesce("start", "at"))
     at = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).select("series_id", "n", "label", (F.col("k") * block + F.col("j")).alias("to"), (F.col("start") + F.col("j")).alias("pos")).filter("to < n")
-    return at.join(labelled.select("series_id", "pos", "value"), ["series_id", "pos"]).select("series_id", F.col("to").alias("pos"), "value", "label")
+    return at.hint("merge").join(labelled.select("series_id", "pos", "value"), ["series_id", "pos"]).select("series_id", F.col("to").alias("pos"), "value", "label")
 
 
 _STEP = 1 / 256

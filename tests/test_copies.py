@@ -82,3 +82,12 @@ def test_normal_scores_and_shares_by_table():
     u = np.concatenate([np.random.default_rng(2).random(5000), 10.0 ** -np.arange(1, 12), 1 - 10.0 ** -np.arange(1, 12), [0.0, 0.5, 1.0]])
     assert np.abs(copies.score_of(u) - [NormalDist().inv_cdf(min(max(x, 1e-10), 1 - 1e-10)) for x in u]).max() < 1e-8
     assert copies.share_of(np.array([-40.0, 40.0])) == pytest.approx([0, 1]) and len(copies.score_of(np.array([]))) == 0
+
+
+def test_blocks_are_never_broadcast(spark):
+    rows = spark.createDataFrame([("a", i, float(i), i % 40 < 20) for i in range(500)], "series_id string, pos long, value double, label boolean")
+    for made in (copies.block_bootstrap(rows, 25), copies.regime_bootstrap(rows, 10)):
+        assert made.count() == 500
+        made.collect()
+        last = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "Broadcast" not in last.split("SortMergeJoin")[0] and "SortMergeJoin" in last  # the last join, of every row
