@@ -147,36 +147,85 @@ def transitions(items: DataFrame, key: str, order: str, parts: int | None = None
     return rows.select(key, F.col("id").alias("from"), F.col("_t.id").alias("to"), F.sqrt(total(F.zip_with("vec", "_t.vec", lambda x, y: (x - y) * (x - y)))).alias("distance"))
 
 
-def _relaxed(edges: DataFrame, source: int) -> tuple[DataFrame, list[int]]:
-    """(node, cost, hops, prev) of every node that the source reaches, and how many nodes had their edges relaxed in each round."""
-    both = stored(edges.select("u", "v", "w").union(edges.select("v", "u", "w")))
+def _relaxed(edges: DataFrame, source: int, most: int | None = None) -> tuple[DataFrame, list[int]]:
+    """(node, cost, hops, prev) of every node that the source reaches in at most so many rounds, and how many nodes had their edges relaxed in each round.
+
+    An edge counts as one hop, or as many as its column ``hops`` says.
+    """
+    hops = F.col("hops") if "hops" in edges.columns else F.lit(1)
+    both = stored(edges.select("u", "v", "w", hops.alias("_s")).union(edges.select("v", "u", "w", hops.alias("_s"))))
     cost = edges.sparkSession.createDataFrame([(source, 0.0, 0, None)], "node long, cost double, hops int, prev long")
     front, counts = cost, []
-    while n := front.count():
+    while (most is None or len(counts) < most) and (n := front.count()):
         counts.append(n)
-        step = front.join(both, front.node == both.u).select(F.col("v").alias("node"), F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("u").alias("prev")).alias("s"))
+        step = front.join(both, front.node == both.u).select(F.col("v").alias("node"), F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + F.col("_s")).alias("hops"), F.col("u").alias("prev")).alias("s"))
         step = step.groupBy("node").agg(F.min("s").alias("s")).select("node", "s.*")
-        old = cost.select(F.col("node").alias("_n"), F.col("cost").alias("_c"))
-        front = checkpointed(step.join(old, step.node == old._n, "left").filter("_c is null or cost < _c").select("node", "cost", "hops", "prev"))
+        old = cost.select(F.col("node").alias("_n"), F.col("cost").alias("_c"), F.col("hops").alias("_h"))
+        front = checkpointed(step.join(old, step.node == old._n, "left").filter("_c is null or cost < _c or (cost = _c and hops < _h)").select("node", "cost", "hops", "prev"))
         cost = checkpointed(cost.join(front.select("node"), "node", "left_anti").union(front))
     return cost, counts
 
 
-def shortest_paths(edges: DataFrame, source: int) -> DataFrame:
-    """(node, cost) of every node that the source reaches over undirected edges (u, v, w) of non-negative weight.
+def _without_chains(edges: DataFrame, source: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (u, v, w, hops) without nodes of one or two neighbours but the source, and the nodes taken out, round by round: (node, a, z), each neighbour a struct (v, w, hops).
+
+    In a round no two neighbours go, the first of them in an order hashed anew does; a third of a chain goes, so rounds grow with the logarithm of its length.
+    """
+    best = lambda df: df.groupBy("u", "v").agg(F.min(F.struct("w", "hops")).alias("s")).select("u", "v", "s.*")
+    line = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.col("w").cast("double").alias("w"), F.lit(1).alias("hops"))
+    line, out = stored(best(line.filter("u < v and w is not null"))), []
+    while True:
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(len(out))), F.col(c))
+        both = line.unionByName(line.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", "hops"))
+        item = F.struct("v", "w", "hops")
+        light = both.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("n"), F.min(item).alias("a"), F.max(item).alias("z"))
+        light = stored(light.filter((F.col("n") <= 2) & (F.col("node") != source)))
+        beside = light.select("node", F.explode(F.array("a.v", "z.v")).alias("v")).join(light.select(F.col("node").alias("v")), "v")
+        held = beside.filter(order("v") < order("node")).select("node").distinct()
+        gone = stored(light.join(held, "node", "left_anti").select("node", "a", F.when(F.col("n") == 2, F.col("z")).alias("z")))
+        if gone.isEmpty():
+            return line, out
+        out.append(gone)
+        name = gone.select("node")
+        rest = line.join(name.toDF("u"), "u", "left_anti").join(name.toDF("v"), "v", "left_anti").select("u", "v", "w", "hops")
+        over = gone.filter("z is not null").select(F.least("a.v", "z.v").alias("u"), F.greatest("a.v", "z.v").alias("v"), (F.col("a.w") + F.col("z.w")).alias("w"), (F.col("a.hops") + F.col("z.hops")).alias("hops"))
+        line = stored(best(rest.unionByName(over)))
+
+
+def _costs(edges: DataFrame, source: int) -> DataFrame:
+    """(node, cost, hops) of every node that the source reaches: the cheapest way, and of those the shortest.
+
+    Chains are drawn together first, so rounds don't grow with a path's length; the nodes of a chain then get their costs from its ends.
+    """
+    core, gone = _without_chains(edges, source)
+    cost = _relaxed(core, source)[0].select("node", "cost", "hops")
+    for some in reversed(gone):
+        for end in ("a", "z"):
+            far = cost.toDF("_n", "_c", "_h")
+            some = some.join(far, F.col(f"{end}.v") == F.col("_n"), "left").withColumn(f"_{end}", F.when(F.col("_c").isNotNull(), F.struct((F.col("_c") + F.col(f"{end}.w")).alias("cost"), (F.col("_h") + F.col(f"{end}.hops")).alias("hops")))).drop("_n", "_c", "_h")
+        cost = stored(cost.unionByName(some.select("node", F.least("_a", "_z").alias("s")).filter("s is not null").select("node", "s.*")))
+    return cost
+
+
+def shortest_paths(edges: DataFrame, source: int, most: int | None = None) -> DataFrame:
+    """(node, cost) of every node that the source reaches over undirected edges (u, v, w) of non-negative weight, or over at most so many of them.
 
-    In a round only the nodes whose cost fell in the last one relax their edges.
+    With a limit, only the nodes whose cost fell in the last round relax their edges in the next.
     """
-    return _relaxed(edges, source)[0].select("node", "cost")
+    return (_costs(edges, source) if most is None else _relaxed(edges, source, most)[0]).select("node", "cost")
 
 
-def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
-    """(step, node, cost): a cheapest path from source to target; no rows when there is none.
+def shortest_path(edges: DataFrame, source: int, target: int | None = None) -> DataFrame:
+    """(step, node, cost): a cheapest path from source to target, or to the node of the largest cost; no rows when there is none.
 
     The nodes before the target are found by predecessors' predecessors, each round twice as far.
     """
-    cost, _ = _relaxed(edges, source)
-    jump = checkpointed(cost.filter("prev is not null").select("node", "prev"))
+    cost = _costs(edges, source)
+    if target is None:
+        target = cost.orderBy(F.desc("cost"), "node").first().node
+    both = edges.select("u", "v", "w").union(edges.select("v", "u", "w"))
+    both = both.join(cost.toDF("u", "_c", "_h"), "u").join(cost.toDF("v", "_d", "_g"), "v").filter("_c < _d or (_c = _d and _h < _g)")
+    jump = checkpointed(both.groupBy(F.col("v").alias("node")).agg(F.min(F.struct(F.col("_c") + F.col("w"), F.col("_h"), F.col("u").alias("prev")))["prev"].alias("prev")))
     path = checkpointed(cost.filter(F.col("node") == target).select("node"))
     n = path.count()
     while n:

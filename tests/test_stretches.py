@@ -93,3 +93,18 @@ def test_components_of_a_long_chain_in_few_rounds(spark):
     got = dict(relations.components(spark.createDataFrame(edges, "u long, v long"), max_rounds=16).collect())
     assert got == {**dict.fromkeys(range(400), 0), 500: 500, 501: 500, 502: 500, 600: 600}
     assert relations.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_path_along_a_long_ring(spark):
+    n = 300
+    nodes = list(range(n))
+    random.Random(6).shuffle(nodes)
+    edges = [(nodes[i], nodes[(i + 1) % n], float(1 + i % 5)) for i in range(n)] + [(nodes[9], 1000, 2.0), (1000, 1001, 3.0)]
+    df = spark.createDataFrame(edges, "u long, v long, w double")
+    place = np.cumsum([0.0] + [e[2] for e in edges[:n]])
+    want = {nodes[i]: min(place[i], place[n] - place[i]) for i in range(n)} | {1000: place[9] + 2, 1001: place[9] + 5}
+    core, gone = relations._without_chains(df, nodes[0])
+    assert core.count() == 0 and len(gone) < 30
+    assert {r.node: r.cost for r in relations.shortest_paths(df, nodes[0]).collect()} == want
+    path = sorted(tuple(r) for r in relations.shortest_path(df, nodes[0]).collect())
+    assert path[-1][2] == max(want.values()) and [p[0] for p in path] == list(range(len(path))) and all(want[p[1]] == p[2] for p in path)
