@@ -103,6 +103,31 @@ def around(events: DataFrame, anchors: DataFrame, days: int) -> DataFrame:
     return met.filter(F.abs(micros("ts") - micros("_t")) <= days * 86_400_000_000).select("anchor", "id")
 
 
+def around_counts(events: DataFrame, anchors: DataFrame, days: int, parts: int = 64) -> DataFrame:
+    """(anchor, n, first_id, last_id): how many events (id, ts) are at most so many days, one at least, before or after each anchor (anchor, ts), both ends inclusive, and their smallest and largest id; anchors without any are left out.
+
+    No event meets an anchor. Time is cut into stretches, ``parts`` to a period: running counts inside the stretches of a period's two ends are
+    taken from that end on, and what lies between is a frame over one row per stretch. The work grows with the events and the anchors.
+    """
+    wide = days * 86_400_000_000
+    size = 2 * wide // parts
+    none = lambda kind: F.lit(None).cast(kind)
+    kind, name = events.schema["id"].dataType, anchors.schema["anchor"].dataType
+    rows = events.select(micros("ts").alias("t"), "id", none(name).alias("anchor"), none("int").alias("side"))
+    ends = anchors.select("anchor", micros("ts").alias("t"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    rows = rows.unionByName(ends.select((F.col("t") + F.col("side") * F.lit(wide)).alias("t"), none(kind).alias("id"), "anchor", "side"))
+    rows = rows.filter("t is not null").withColumn("b", F.expr(f"(t - pmod(t, {size}L)) div {size}L"))
+    found = {"n": F.count("id"), "first_id": F.min("id"), "last_id": F.max("id")}
+    up, down = Window.partitionBy("b").orderBy("t"), Window.partitionBy("b").orderBy(F.desc("t"))  # equal times count as one place
+    near = rows.withColumns({c: F.when(F.col("side") == 1, x.over(up)).otherwise(x.over(down)) for c, x in found.items()}).filter("side is not null")
+    whole = rows.groupBy("b").agg(*[x.alias(c) for c, x in found.items()])
+    between = Window.orderBy("b").rangeBetween(1, parts - 1)  # a row per stretch of time
+    mid = whole.select("b", F.sum("n").over(between).alias("n"), F.min("first_id").over(between).alias("first_id"), F.max("last_id").over(between).alias("last_id"))
+    near = near.select("anchor", "side", "b", *found)
+    part = near.select("anchor", *found).unionByName(near.filter("side = -1").select("anchor", "b").join(mid, "b").select("anchor", *found))
+    return part.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id")).filter("n > 0")
+
+
 def best_periods(events: DataFrame, query: list[float], k: int, days: int = 30) -> DataFrame:
     """(start, n, similarity): of the periods of so many days that start daily from the first event on, those whose mean vector is nearest the query; ties by start.
 

@@ -110,3 +110,15 @@ def test_path_along_a_long_ring(spark):
     assert {r.node: r.cost for r in relations.shortest_paths(df, nodes[0], 12).collect()} == near
     path = sorted(tuple(r) for r in relations.shortest_path(df, nodes[0]).collect())
     assert path[-1][2] == max(want.values()) and [p[0] for p in path] == list(range(len(path))) and all(want[p[1]] == p[2] for p in path)
+
+
+def test_counts_around_anchors_meet_no_pairs(spark):
+    r = random.Random(7)
+    start, day = datetime.datetime(1969, 12, 25), 86_400_000_000
+    times = [r.choice([r.randrange(20 * day), r.randrange(20) * day, 7 * day]) for _ in range(400)]
+    df = spark.createDataFrame([(i, start + datetime.timedelta(microseconds=t)) for i, t in enumerate(times)] + [(400, None)], "id long, ts timestamp_ntz")
+    a = df.filter("id % 9 = 0").select(F.col("id").alias("anchor"), "ts").union(spark.createDataFrame([(1000, datetime.datetime(2000, 1, 1))], "anchor long, ts timestamp_ntz"))
+    for days in (1, 2):
+        want = {i: (len(x), min(x), max(x)) for i in range(0, 400, 9) if (x := [j for j, t in enumerate(times) if abs(t - times[i]) <= days * day])}
+        got = relations.around_counts(df, a, days)
+        assert {x.anchor: (x.n, x.first_id, x.last_id) for x in got.collect()} == want
