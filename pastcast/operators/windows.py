@@ -61,6 +61,16 @@ def deviation(v: Column) -> Column:
     return F.sqrt(total(F.zip_with(v, F.array_repeat(mean(v), F.size(v)), lambda x, m: (x - m) * (x - m))) / F.size(v))
 
 
+def running_deviation(v: Column) -> Column:
+    """The population standard deviation, value by value (Welford): exactly 0 where all are equal, and the last digit is that of SQL."""
+
+    def step(a: Column, x: Column) -> Column:
+        mean = a["m"] + (x - a["m"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("m"), (a["s"] + (x - mean) * (x - a["m"])).alias("s"))
+
+    return F.aggregate(v, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s")), step, lambda a: F.sqrt(F.try_divide(a["s"], a["n"])))
+
+
 def scaled(v: Column, low: Column, span: Column) -> Column:
     """(x - low) / span, zeros where the span is 0."""
     by = F.array_repeat(F.struct(low.alias("low"), span.alias("span")), F.size(v))  # an argument is evaluated once, a lambda's body for each element
@@ -79,7 +89,7 @@ def normalised(df: DataFrame, method: str, values: str = "values", out: str = "n
     if method in ("raw", "logreturn"):
         return df.withColumn(out, v).drop("_r")
     if method in ("zscore", "logreturn_zscore"):
-        return df.withColumns({"_m": mean(v), "_s": deviation(v)}).withColumn(out, scaled(v, F.col("_m"), F.col("_s"))).drop("_m", "_s", "_r")
+        return df.withColumns({"_m": mean(v), "_s": running_deviation(v)}).withColumn(out, scaled(v, F.col("_m"), F.col("_s"))).drop("_m", "_s", "_r")
     if method == "minmax":
         return df.withColumn(out, scaled(v, F.array_min(v), F.array_max(v) - F.array_min(v)))
     raise ValueError(f"not a normalisation: {method!r}")

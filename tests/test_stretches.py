@@ -122,3 +122,11 @@ def test_counts_around_anchors_meet_no_pairs(spark):
         want = {i: (len(x), min(x), max(x)) for i in range(0, 400, 9) if (x := [j for j, t in enumerate(times) if abs(t - times[i]) <= days * day])}
         got = relations.around_counts(df, a, days)
         assert {x.anchor: (x.n, x.first_id, x.last_id) for x in got.collect()} == want
+
+
+def test_flat_windows_are_zeros_to_the_last_digit(spark):
+    from pastcast.operators import windows
+
+    df = spark.createDataFrame([([0.1] * 30,), ([1e6 / 3] * 30,), ([1.0, 2.0, 3.0],)], "values array<double>")
+    got = [r.normal for r in windows.normalised(df, "zscore").collect()]
+    assert got[0] == got[1] == [0.0] * 30 and got[2] == pytest.approx([-np.sqrt(1.5), 0.0, np.sqrt(1.5)])
