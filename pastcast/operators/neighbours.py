@@ -22,6 +22,8 @@ from pastcast.session import ship, stored, with_fields
 SAMPLE, MAX_BLOCKS = 4096, 4096
 #: Bytes of a searched side, counted, up to which it is broadcast whole instead.
 DIRECT_BYTES = 16 << 20
+#: A broadcast side of more rows than ``BOXED`` and at most ``FLAT`` numbers a row is cut into boxes; rows that ask beside each other go to few of them. Rows asked at a time.
+BOXED, FLAT, ASKED = 1024, 8, 1 << 16
 _SLACK, _GRID = 1e-7, 256
 
 
@@ -80,7 +82,9 @@ class Neighbours:
             y = units(_matrix(part("vec")), metric) if n else np.zeros((0, 1))
             g = whole.column("g").to_pandas().to_numpy()
             self.groups = sorted(set(g))
-            self.small = (y, whole.column("id").to_pandas().to_numpy(), [np.flatnonzero(g == x) for x in self.groups])
+            members = [np.flatnonzero(g == x) for x in self.groups]
+            boxes = [boxes_of(y[m]) if metric == "euclidean" and len(m) > BOXED and y.shape[1] <= FLAT else None for m in members]
+            self.small = (y, whole.column("id").to_pandas().to_numpy(), members, boxes)
             return
         share = F.lit(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)).cast("long")
         some = sorted(rows.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < share).select("id", "vec").limit(8 * SAMPLE).collect())
@@ -221,16 +225,19 @@ class Neighbours:
         kind = left.schema["id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            y, others, members = shared.value
-            for batch in batches:
+            y, others, members, boxes = shared.value
+            for batch in larger(batches, ASKED) if any(boxes) else batches:
                 own, ids = batch.column(1).to_numpy(zero_copy_only=False), batch.column(0).to_pandas().to_numpy()
                 x = units(_matrix(batch.column(2)), metric)
                 for g, mine in enumerate(members):
                     at = np.flatnonzero(own != groups[g]) if grouped else np.arange(len(ids))
                     if not len(at):
                         continue
-                    for some, (i, j, d) in best_pairs(x[at], y[mine], ids[at], others[mine], np.full(len(at), radius), k, digits, metric == "cosine"):
-                        rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+                    asked, limit = (x[at], y[mine], ids[at], others[mine]), np.full(len(at), radius)
+                    found = boxed_pairs(*asked, limit, k, digits, boxes[g]) if k and boxes[g] else (p for _, p in best_pairs(*asked, limit, k, digits, metric == "cosine"))
+                    for i, j, d in found:
+                        new = np.r_[True, i[1:] != i[:-1]][: len(i)]
+                        rank = np.arange(len(i)) - np.flatnonzero(new)[np.cumsum(new) - 1] + 1
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[i])), pa.array(np.full(len(i), g, np.int32)), pa.array(others[mine[j]], batch.column(0).type), pa.array(d), pa.array(rank.astype(np.int32))], ["id", "to", "other", "distance", "rank"])
 
         return rows.mapInArrow(run, with_fields(rows.select("id"), f"to int, other {kind}, distance double, rank int"))
@@ -297,3 +304,64 @@ def best_pairs(x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray
             keep = np.arange(len(i)) - first[i] < k
             i, j, exact = i[keep], j[keep], exact[keep]
         yield some, (i + at, j, exact)
+
+
+def larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many, but the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def leaves_of(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """The places of x in leaves of at most so many rows: halves of halves, each cut across its longest side."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        at = todo.pop()
+        if len(at) > size:
+            half = len(at) // 2
+            at = at[np.argpartition(x[at, np.ptp(x[at], axis=0).argmax()], half)]
+            todo += [at[:half], at[half:]]
+        elif len(at):
+            out.append(at)
+    return out
+
+
+def boxes_of(y: np.ndarray, size: int = 128) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(leaves, low, high): the finite rows of y in boxes."""
+    finite = np.flatnonzero(np.isfinite(y).all(axis=1))
+    leaves = [finite[at] for at in leaves_of(y[finite], size)]
+    low, high = (np.array([f(y[at], axis=0) for at in leaves]).reshape(len(leaves), y.shape[1]) for f in (np.min, np.max))
+    return leaves, low, high
+
+
+def boxed_pairs(x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray, limit: np.ndarray, k: int, digits: int, boxes: tuple[list[np.ndarray], np.ndarray, np.ndarray], together: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``best_pairs`` finds by the euclidean distance, for rows of x beside each other at a time, from the boxes of y that may hold it.
+
+    The rows of the first boxes around a group of rows bound how far its k nearest can be; boxes beyond that are left out.
+    """
+    leaves, low, high = boxes
+    if not leaves:
+        return
+    sizes, middle = np.array([len(at) for at in leaves]), (low + high) / 2
+    slack = 4e-6 * (1 + np.abs(np.r_[low, high]).max() * np.sqrt(y.shape[1]))
+    finite = np.flatnonzero(np.isfinite(x).all(axis=1))
+    for group in leaves_of(x[finite], together):
+        at = finite[group]
+        u, least, most = x[at], x[at].min(axis=0), x[at].max(axis=0)
+        gap = np.sqrt((np.maximum(0, np.maximum(low - most, least - high)) ** 2).sum(axis=1))
+        order = np.argsort(((middle - (least + most) / 2) ** 2).sum(axis=1), kind="stable")
+        near = np.concatenate([leaves[b] for b in order[: np.searchsorted(np.cumsum(sizes[order]), k + 1) + 1]])  # one more, since a row isn't its own neighbour
+        d = np.sqrt(((u[:, None] - y[near][None]) ** 2).sum(axis=2))
+        d[ids[at][:, None] == others[near][None]] = np.inf
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1].max() if k <= len(near) else np.inf
+        may = np.flatnonzero(gap <= min(bound, limit[at].max()) + slack)
+        if len(may):
+            near = np.concatenate([leaves[b] for b in may])
+            for _, (i, j, exact) in best_pairs(u, y[near], ids[at], others[near], limit[at], k, digits, False):
+                yield at[i], near[j], exact

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pastcast.operators import order_stats, relations
-from pastcast.operators.neighbours import DIRECT_BYTES, Neighbours
+from pastcast.operators.neighbours import DIRECT_BYTES, Neighbours, best_pairs, boxed_pairs, boxes_of
 
 PS = [0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0]
 
@@ -98,6 +98,19 @@ def test_neighbours_of_little(spark, cloud, direct):
     assert {(r.id, r.other) for r in made(text).nearest(text, 1).collect()} <= {(f"n{a}", f"n{b}") for a in range(3) for b in range(3) if a != b}
 
 
+@pytest.mark.parametrize("width, k", [(1, 1), (2, 1), (2, 5), (5, 3)])
+def test_boxes_give_the_same_neighbours(width, k):
+    rng = np.random.default_rng(9)
+    y = np.round(rng.normal(size=(3000, width)), 2)
+    y[:300], y[300:310], y[310] = y[0], 50.0, np.nan  # copies, some far off, one that is no place
+    x = np.r_[y[:700], rng.normal(size=(200, width)) * 30, np.full((1, width), np.inf)]
+    ids, others, limit = np.r_[np.arange(700), np.arange(5000, 5201)], np.arange(3000), np.full(901, np.inf)
+    far = np.where(np.isnan(y), 1e4, y)
+    want = sorted((int(i), int(j), round(float(d), 9)) for _, found in best_pairs(x[:-1], far, ids[:-1], others, limit, k, 9, False) for i, j, d in zip(*found, strict=True))
+    got = sorted((int(i), int(j), round(float(d), 9)) for found in boxed_pairs(x, y, ids, others, limit, k, 9, boxes_of(y, 32), 16) for i, j, d in zip(*found, strict=True))
+    assert got == want and len(want) == 899 * k
+
+
 def test_tails_of_every_column(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(500, 2)), rng.exponential(size=(400, 2))
