@@ -111,6 +111,15 @@ def test_boxes_give_the_same_neighbours(width, k):
     assert got == want and len(want) == 899 * k
 
 
+def test_flat_vectors_in_boxes(spark):
+    y = np.round(np.random.default_rng(10).normal(size=(1500, 2)), 2)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(y)], "id long, vec array<double>").repartition(3)
+    search = Neighbours(df)
+    assert search.small[3][0] is not None
+    got = sorted((r.id, r["rank"], r.other) for r in search.nearest(df, 2).collect())
+    assert got == [(i, n + 1, j) for i in range(1500) for n, j in enumerate(sorted((j for j in range(1500) if j != i), key=lambda j, d=distances(y, i, "euclidean"): (d[j], j))[:2])]
+
+
 def test_tails_of_every_column(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(500, 2)), rng.exponential(size=(400, 2))
