@@ -24,6 +24,8 @@ SAMPLE, MAX_BLOCKS = 4096, 4096
 DIRECT_BYTES = 16 << 20
 #: A broadcast side of more rows than ``BOXED`` and at most ``FLAT`` numbers a row is cut into boxes; rows that ask beside each other go to few of them. Rows asked at a time.
 BOXED, FLAT, ASKED = 1024, 8, 1 << 16
+#: Distances that a task holds at a time.
+CELLS = 1 << 21
 _SLACK, _GRID = 1e-7, 256
 
 
@@ -285,8 +287,9 @@ def best_pairs(x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray
     rank = np.empty(len(others), np.int64)
     rank[np.argsort(others, kind="stable")] = np.arange(len(others))
     square = (y**2).sum(axis=1)
-    for at in range(0, len(x), 512):
-        some = slice(at, min(at + 512, len(x)))
+    few = max(1, min(512, CELLS // max(len(y), 1)))
+    for at in range(0, len(x), few):
+        some = slice(at, min(at + few, len(x)))
         u = x[some]
         d = 1 - u @ y.T if cosine else np.sqrt(np.maximum((u**2).sum(axis=1)[:, None] + square[None] - 2 * u @ y.T, 0))
         slack = 1e-6 if cosine else 1e-6 * (1 + np.sqrt(square.max(initial=0)))

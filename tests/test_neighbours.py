@@ -120,6 +120,13 @@ def test_flat_vectors_in_boxes(spark):
     assert got == [(i, n + 1, j) for i in range(1500) for n, j in enumerate(sorted((j for j in range(1500) if j != i), key=lambda j, d=distances(y, i, "euclidean"): (d[j], j))[:2])]
 
 
+def test_distances_held_at_a_time_are_bounded():
+    x = np.random.default_rng(11).normal(size=(600, 4))
+    y = np.tile(x, (20, 1)) + np.arange(20).repeat(600)[:, None]
+    steps = [some.stop - some.start for some, _ in best_pairs(x, y, np.arange(600), np.arange(12000), np.full(600, np.inf), 2, 9, False)]
+    assert sum(steps) == 600 and max(steps) * len(y) <= 1 << 21
+
+
 def test_tails_of_every_column(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(500, 2)), rng.exponential(size=(400, 2))
