@@ -72,3 +72,16 @@ def test_scan_keeps_short_series(spark):
     assert r.start == int(np.argmax(corr)) and r.score == pytest.approx((max(corr) + 1) / 2) and r.n_matches == 1 and r.note is None
     move = x[r.start + 19] / x[r.start + 14] - 1  # one match: every percentile is its return
     assert (r.p10, r.p50, r.p90) == pytest.approx((move, move, move))
+
+
+def test_light_scores_of_many_windows_at_once():
+    rng = np.random.default_rng(12)
+    x = 100 * np.exp(np.cumsum(rng.normal(0, 0.01, 200)))
+    past = np.lib.stride_tricks.sliding_window_view(x, 24)
+    c = light.resampled_rows(past, 20)
+    assert c == pytest.approx(np.array([np.interp(np.linspace(0, 23, 20), np.arange(24), r) for r in past]))
+    z = lambda v: (lambda r: (r - r.mean()) / r.std())(np.diff(np.log(v)))
+    q = x[-20:]
+    want = [100 * (0.65 * max(0, ((z(q) * z(r)).mean() + 1) / 2) + 0.2 * np.exp(-np.abs(z(q) - z(r)).mean()) + 0.15 * np.exp(-2 * abs(np.log(q[-1] / q[0]) - np.log(r[-1] / r[0])))) for r in c]
+    assert light.light_scores(q, c) == pytest.approx(want)
+    assert light.light_scores(np.full(20, 5.0), np.full((1, 20), 7.0)) == pytest.approx([67.5])  # flat shapes are zeros
