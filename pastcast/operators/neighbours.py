@@ -223,7 +223,8 @@ class Neighbours:
 
     def _at_once(self, left: DataFrame, k: int | None, radius: float, digits: int) -> DataFrame:
         """(id, to, other, distance, rank) against the whole searched side in every task."""
-        rows, shared, metric, groups, grouped = self._plain(left), self.spark.sparkContext.broadcast(self.small), self.metric, self.groups, bool(self.group)
+        tasks = 2 * self.spark.sparkContext.defaultParallelism  # a small table comes in one part, but its rows ask for much work
+        rows, shared, metric, groups, grouped = self._plain(left).repartition(tasks, "id"), self.spark.sparkContext.broadcast(self.small), self.metric, self.groups, bool(self.group)
         kind = left.schema["id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pastcast.operators import order_stats, relations
+from pastcast.operators import order_stats, privacy, relations
 from pastcast.operators.neighbours import DIRECT_BYTES, Neighbours, best_pairs, boxed_pairs, boxes_of
 
 PS = [0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0]
@@ -120,6 +120,33 @@ def test_flat_vectors_in_boxes(spark):
     assert got == [(i, n + 1, j) for i in range(1500) for n, j in enumerate(sorted((j for j in range(1500) if j != i), key=lambda j, d=distances(y, i, "euclidean"): (d[j], j))[:2])]
 
 
+def test_rows_of_one_part_ask_in_many_tasks(spark, cloud):
+    near = Neighbours(cloud[2]).nearest(cloud[2].coalesce(1), 1)
+    assert near.count() == N and near.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_copies_of_records_ask_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    some, asked = np.round(rng.normal(size=(40, 2)), 1), []
+    some[5], some[6] = np.nan, some[7]
+    real, fake = np.tile(some, (3, 1))[:110], np.tile(rng.normal(size=(30, 2)), (4, 1))
+
+    class Counted(Neighbours):
+        def nearest(self, left, k, digits=9):
+            asked.append(left.count())
+            return super().nearest(left, k, digits)
+
+    monkeypatch.setattr(privacy, "Neighbours", Counted)
+    frame = lambda m: spark.createDataFrame([(i, [float(v) for v in r], i) for i, r in enumerate(m)], "id long, vec array<double>, pos long")
+    got = privacy.record_privacy(frame(real), frame(fake).drop("pos")).first()
+    assert max(asked) <= 40
+    known = real[~np.isnan(real).any(axis=1)]
+    gap = lambda a, b: np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    own = gap(known, known)
+    np.fill_diagonal(own, np.inf)
+    assert got.records == 120 and got.base_p05 == pytest.approx(np.percentile(own.min(axis=1), 5)) and got.dcr_median == pytest.approx(np.median(gap(fake, known).min(axis=1)))
+
+
 def test_distances_held_at_a_time_are_bounded():
     x = np.random.default_rng(11).normal(size=(600, 4))
     y = np.tile(x, (20, 1)) + np.arange(20).repeat(600)[:, None]
