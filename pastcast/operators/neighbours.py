@@ -3,7 +3,8 @@
 Every vector keeps its distances to a few pivots. A block of the searched side is a ring around its nearest pivot and
 keeps, for every pivot, the range of its members' distances. By the triangle inequality a row is no nearer to a
 member than to that range, for each pivot. A first meeting with the most alike block gives each row a bound;
-after that it only travels to blocks within the bound.
+after that rows of one first block, packed, only meet the packed blocks that may hold something within the bound of one of them. Packs
+meet where Spark reads both tables, so neither rows nor blocks are shuffled once more for each other.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ SAMPLE, MAX_BLOCKS = 4096, 4096
 DIRECT_BYTES = 16 << 20
 #: A broadcast side of more rows than ``BOXED`` and at most ``FLAT`` numbers a row is cut into boxes; rows that ask beside each other go to few of them. Rows asked at a time.
 BOXED, FLAT, ASKED = 1024, 8, 1 << 16
-#: Distances that a task holds at a time.
-CELLS = 1 << 21
+#: Distances that a task holds at a time; bytes of a pack of asking rows, about.
+CELLS, PACKED = 1 << 21, 2 << 20
 _SLACK, _GRID = 1e-7, 256
 
 
@@ -50,6 +51,10 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.reshape(-1)))
 
 
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1) if len(x) else np.zeros((0, len(pivots)))
+
+
 def units(x: np.ndarray, metric: str) -> np.ndarray:
     """Rows of length 1 for the cosine, zero rows as they are; the rows themselves for other metrics."""
     if metric != "cosine":
@@ -77,7 +82,7 @@ class Neighbours:
         ship(self.spark)
         rows = self._plain(right)
         n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
-        self.small = None
+        self.small, self.packed, self.pack = None, None, max(64, PACKED // (8 * max(width, 1)))
         if n * width * 8 <= direct:
             whole = rows.toArrow().combine_chunks()
             part = lambda name: whole.column(name).combine_chunks() if n else whole.column(name)
@@ -121,7 +126,7 @@ class Neighbours:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = units(_matrix(batch.column(2)), metric)
-                d = np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1) if len(x) else np.zeros((0, len(pivots)))
+                d = _to_pivots(x, pivots)
                 more = [pa.array(cell(d).astype(np.int32))] if cell else []
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(x), _lists(d), *more], ["id", "g", "vec", "d", *(["cell"] if cell else [])])
 
@@ -215,6 +220,94 @@ class Neighbours:
         right = right.toDF(*[f"r_{c}" for c in right.columns])
         return left.groupBy("block", "part").cogroup(right.groupBy("r_block", "r_part")).applyInArrow(match, schema)
 
+    def _packs(self, rows: DataFrame) -> DataFrame:
+        """(pack, to, ids, vecs, us, may): rows (id, to, vec, seen, u) of one first block, beside each other in the table, packed; may: the blocks that may hold something for one of them."""
+        low, high, of_block, pivots, metric, size = self.low, self.high, self.of_block, self.pivots, self.metric, self.pack
+
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            x, u, to, seen = _matrix(one.column(2)), one.column(4).to_numpy(), one.column(1)[0].as_py(), one.column(3)[0].as_py()
+            d = _to_pivots(x, pivots)
+            least = np.maximum(low - d.max(axis=0), d.min(axis=0) - high).max(axis=1)
+            may = np.flatnonzero((least <= reach(u.max(), metric)) & (of_block == to))
+            ids = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), one.column(0))
+            return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), ids, pa.array([x.tobytes()]), pa.array([u.tobytes()]), pa.array([may[may != seen].tolist()], pa.list_(pa.int32()))], ["to", "ids", "vecs", "us", "may"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, key = [], None
+            for batch in batches:
+                of = np.stack((batch.column(1).to_numpy(), batch.column(3).to_numpy()), axis=1)
+                cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1), len(of)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if held and (key != tuple(of[a]) or sum(x.num_rows for x in held) >= size):
+                        yield packed(held)
+                        held = []
+                    held, key = [*held, batch.slice(a, b - a)], tuple(of[a])
+            if held:
+                yield packed(held)
+
+        kind = rows.schema["id"].dataType.simpleString()
+        return stored(rows.select("id", "to", "vec", "seen", "u").mapInArrow(run, f"to int, ids array<{kind}>, vecs binary, us binary, may array<int>").withColumn("pack", F.monotonically_increasing_id()))
+
+    def _blocks(self) -> DataFrame:
+        """(r_block, r_ids, r_vecs): the searched side, a row per block; made once."""
+        if self.packed is None:
+            kind = self.rows.schema["id"].dataType.simpleString()
+
+            def pack(one: pa.Table) -> pa.Table:
+                ids = one.column("id").combine_chunks()
+                ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+                x = np.concatenate([_matrix(c) for c in one.column("vec").chunks])
+                return pa.table({"r_block": one.column("block").slice(0, 1), "r_ids": pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), ids), "r_vecs": pa.array([x.tobytes()])})
+
+            self.packed = stored(self.rows.groupBy("block").applyInArrow(pack, f"r_block int, r_ids array<{kind}>, r_vecs binary"))
+        return self.packed
+
+    def _packs_meet(self, packs: DataFrame, k: int, digits: int) -> DataFrame:
+        """(to, met, found): per pack and part of the blocks, the k best of each of its rows within its bound, and how often a row met a block."""
+        low, high, pivots, metric = self.low, self.high, self.pivots, self.metric
+        both = packs.join(self._blocks().hint("shuffle_replicate_nl"), F.array_contains("may", F.col("r_block"))).select("pack", "to", "ids", "vecs", "us", "r_block", "r_ids", "r_vecs")
+        kind, other = packs.schema["ids"].dataType.elementType.simpleString(), self._blocks().schema["r_ids"].dataType.elementType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = None  # the pack at hand; its blocks follow each other
+
+            def told() -> pa.RecordBatch:
+                i, j, d = now["found"]
+                items = pa.StructArray.from_arrays([now["ids"].take(pa.array(i)), pa.array(j, now["kind"]), pa.array(d), pa.array(np.round(d, digits))], ["id", "other", "distance", "place"])
+                return pa.RecordBatch.from_arrays([pa.array([now["to"]], pa.int32()), pa.array([now["met"]]), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], ["to", "met", "found"])
+
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    at = lambda c: batch.column(c)[r]  # noqa: E731, B023
+                    y_ids, b = at(6).values, at(5).as_py()
+                    if now is None or now["pack"] != at(0).as_py():
+                        if now:
+                            yield told()
+                        ids = at(2).values
+                        x = np.frombuffer(at(3).as_buffer()).reshape(len(ids), -1)
+                        plain = ids.to_pandas().to_numpy()
+                        none = np.zeros(0, np.int64)
+                        now = {"pack": at(0).as_py(), "to": at(1).as_py(), "ids": ids, "plain": plain, "x": x, "d": _to_pivots(x, pivots), "cap": np.frombuffer(at(4).as_buffer()).copy(), "met": 0, "kind": y_ids.type, "found": (none, y_ids.to_pandas().to_numpy()[:0], np.zeros(0))}
+                    least = np.maximum(low[b] - now["d"], now["d"] - high[b]).max(axis=1)
+                    some = np.flatnonzero(least <= reach(now["cap"], metric))
+                    now["met"] += len(some)
+                    if not len(some):
+                        continue
+                    y, others = np.frombuffer(at(7).as_buffer()).reshape(len(y_ids), -1), y_ids.to_pandas().to_numpy()
+                    for i, j, d in pairs_within(now["x"][some], y, now["cap"][some] + 2 * 10.0**-digits, metric == "cosine"):
+                        i = some[i]
+                        new = (now["plain"][i] != others[j]) & (d <= now["cap"][i] + 2 * 10.0**-digits)
+                        if new.any():
+                            now["found"] = merged(now["found"], (i[new], others[j[new]], d[new]), k, digits)
+                    i, _, d = now["found"]
+                    full = np.flatnonzero(i[: len(i) - k + 1] == i[k - 1 :]) + k - 1 if len(i) >= k else np.zeros(0, np.int64)  # a row's k-th
+                    now["cap"][i[full]] = np.minimum(now["cap"][i[full]], d[full] + 10.0**-digits)
+            if now:
+                yield told()
+
+        return stored(both.mapInArrow(run, f"to int, met long, found array<struct<id:{kind},other:{other},distance:double,place:double>>"))
+
     def _flat(self, found: DataFrame) -> DataFrame:
         return found.select("id", "to", F.explode("found").alias("f")).select("id", "to", "f.other", "f.distance", "f.place")
 
@@ -255,12 +348,11 @@ class Neighbours:
         asking = self._asking(left)
         first = stored(self._first_meeting(asking))
         seen = stored(self._meet(first, k, digits, True))
-        dealt = stored(self._further_meetings(seen.select("id", "to", "vec", "d", "u", "seen")))
-        n = first.count()
+        further = self._packs_meet(self._packs(seen), k, digits)
         sizes = np.bincount(self.of_block, minlength=len(self.groups))
-        total = sum(r["count"] * int(sizes[r.to]) for r in first.groupBy("to").count().collect())
-        self.met = (n + dealt.count(), total)
-        out = self._flat(seen).unionByName(self._flat(self._meet(dealt, k, digits, False)))
+        asked = {r.to: r["count"] for r in first.groupBy("to").count().collect()}
+        self.met = (sum(asked.values()) + (further.agg(F.sum("met")).first()[0] or 0), sum(n * int(sizes[to]) for to, n in asked.items()))
+        out = self._flat(seen).unionByName(further.select("to", F.explode("found").alias("f")).select("f.id", "to", "f.other", "f.distance", "f.place"))
         place = F.row_number().over(Window.partitionBy("id", "to").orderBy("place", "other"))
         return self._named(out.withColumn("rank", place).drop("place").filter(F.col("rank") <= k))
 
@@ -310,6 +402,40 @@ def best_pairs(x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray
         yield some, (i + at, j, exact)
 
 
+def pairs_within(x: np.ndarray, y: np.ndarray, cap: np.ndarray, cosine: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows of x at a time: (i, j, distance) of at least all pairs within each row's cap, and none far beyond.
+
+    A product in single precision, with room for its error, finds who may be near; the distances given are computed from the vectors.
+    """
+    middle = np.zeros(x.shape[1]) if cosine else y.mean(axis=0)
+    u, v = x - middle, y - middle
+    su, sv = (u**2).sum(axis=1), (v**2).sum(axis=1)
+    most = max(su.max(initial=0), sv.max(initial=0))
+    kind = np.float32 if most < 1e30 else np.float64
+    slack = (x.shape[1] + 8) * 4 * float(np.finfo(kind).eps) * most
+    least = 1 - cap if cosine else (su - np.where(np.isfinite(cap), cap, 1e300).clip(max=1e150) ** 2) / 2
+    if not cosine:  # u v >= (|u|^2 + |v|^2 - cap^2) / 2
+        u, v = np.c_[u, np.ones(len(u))], np.c_[v, -sv / 2]
+    u, v, least = u.astype(kind), np.ascontiguousarray(v.astype(kind).T), np.maximum(least - slack, -1e37 if kind is np.float32 else -1e307).astype(kind)
+    few = max(1, CELLS // max(len(y), 1))
+    for at in range(0, len(x), few):
+        cell = np.flatnonzero(u[at : at + few] @ v >= least[at : at + few, None])
+        for a in range(0, len(cell), 1 << 16):
+            i, j = np.divmod(cell[a : a + (1 << 16)], len(y))
+            i = i + at
+            yield i, j, 1 - (x[i] * y[j]).sum(axis=1) if cosine else np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
+
+
+def merged(found: tuple, more: tuple, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row of both (row, other, distance), by row and place; ties of so many digits by other."""
+    i, j, d = (np.concatenate(p) for p in zip(found, more, strict=True))
+    order = np.lexsort((pd.factorize(j, sort=True)[0] if j.dtype == object else j, np.round(d, digits), i))
+    i, j, d = i[order], j[order], d[order]
+    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
+    keep = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k
+    return i[keep], j[keep], d[keep]
+
+
 def larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at least so many, but the last."""
     held: list[pa.RecordBatch] = []

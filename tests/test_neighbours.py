@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pastcast.operators import order_stats, privacy, relations
-from pastcast.operators.neighbours import DIRECT_BYTES, Neighbours, best_pairs, boxed_pairs, boxes_of
+from pastcast.operators.neighbours import DIRECT_BYTES, Neighbours, best_pairs, boxed_pairs, boxes_of, merged, pairs_within
 
 PS = [0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0]
 
@@ -154,6 +154,26 @@ def test_distances_held_at_a_time_are_bounded():
     assert sum(steps) == 600 and max(steps) * len(y) <= 1 << 21
 
 
+@pytest.mark.parametrize("cosine", [False, True])
+@pytest.mark.parametrize("scale, off", [(1.0, 0.0), (1e-30, 0.0), (1.0, 1e6), (1e20, 0.0)])
+def test_pairs_within_a_cap(cosine, scale, off):
+    rng = np.random.default_rng(13)
+    x, y = (scale * rng.normal(size=(n, 16)) + off for n in (300, 500))
+    if cosine:
+        x, y = (a / np.linalg.norm(a, axis=1, keepdims=True) for a in (x, y))
+        x[3] = y[4] = 0
+    d = 1 - x @ y.T if cosine else np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    cap = np.quantile(d, 0.02, axis=1)
+    cap[5] = np.inf
+    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    for i, j, got in pairs_within(x, y, cap * (1 + 1e-9), cosine):
+        assert np.allclose(got, d[i, j], rtol=1e-9, atol=1e-12)
+        found = merged(found, (i, j, got), 4, 9)
+    if scale >= 1:
+        assert set(zip(found[0], found[1])) == {(i, j) for i in range(300) for j in sorted(range(500), key=lambda j, i=i: (np.round(d[i, j], 9), j))[:4]}
+    assert (np.bincount(found[0], minlength=300) == 4).all()
+
+
 def test_tails_of_every_column(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(500, 2)), rng.exponential(size=(400, 2))
