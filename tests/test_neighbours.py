@@ -174,6 +174,17 @@ def test_pairs_within_a_cap(cosine, scale, off):
     assert (np.bincount(found[0], minlength=300) == 4).all()
 
 
+def test_rows_are_not_sent_to_blocks_one_by_one(cloud, monkeypatch):
+    df = cloud[2]
+    want = {(r.id, r.other) for r in Neighbours(df).nearest(df, 5).collect()}
+    monkeypatch.setattr(Neighbours, "_further_meetings", None)  # a row for each block that a row asks
+    search = Neighbours(df, block=64, direct=0)
+    near = search.nearest(df, 5)
+    assert {(r.id, r.other) for r in near.collect()} == want
+    packs = search._blocks()
+    assert packs.count() == len(search.low) and packs.agg(F.sum(F.size("r_ids"))).first()[0] == N
+
+
 def test_tails_of_every_column(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(500, 2)), rng.exponential(size=(400, 2))
