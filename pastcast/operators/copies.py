@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -137,12 +139,31 @@ def root_of(correlation: np.ndarray) -> np.ndarray:
     return a / np.linalg.norm(a, axis=1, keepdims=True)
 
 
-def copula(rows: DataFrame, columns: list[str], n: int, seed: int = 1) -> DataFrame:
+#: Points of all columns' distributions, counted, that are broadcast.
+POINTS = 1 << 21
+
+
+def _curves(curve: DataFrame, columns: list[str], most: int) -> dict[str, tuple[np.ndarray, ...]]:
+    """(value, share, score) of the columns with the fewest points, of at most so many together."""
+    size = {r.column: r["count"] for r in curve.groupBy("column").count().collect()}  # a row per column
+    order = sorted(columns, key=lambda c: size[c])
+    few = [c for c, n in zip(order, np.cumsum([size[c] for c in order]), strict=True) if n <= most]
+    if not few:
+        return {}
+    got = curve.filter(F.col("column").isin(few)).select(F.array_position(F.array(*map(F.lit, few)), F.col("column")).cast("int").alias("c"), "value", "share", "score").toArrow()
+    at, *parts = (got.column(c).to_numpy() for c in ("c", "value", "share", "score"))
+    order = np.lexsort((parts[0], at))
+    cuts = np.searchsorted(at[order], np.arange(1, len(few) + 2))
+    return {c: tuple(p[order[cuts[k] : cuts[k + 1]]] for p in parts) for k, c in enumerate(few)}
+
+
+def copula(rows: DataFrame, columns: list[str], n: int, seed: int = 1, points: int = POINTS) -> DataFrame:
     """(id, columns): n made rows, id from 0, with the columns' own distributions and the correlation of their normal scores.
 
     Rows with a null in a column are left out; a column of one value keeps it. Scores are made once per distinct value; only the
-    matrix of the columns' correlations reaches the driver. Made shares meet the distribution's points in buckets that hold the
-    nearest point on either side too, so a bucket interpolates alone.
+    matrix of the columns' correlations and distributions of at most ``points`` points together reach the driver; those are broadcast,
+    and neither rows nor made rows are shuffled for them. Made shares of other columns meet their distribution's points in buckets that
+    hold the nearest point on either side too, so a bucket interpolates alone.
     """
     ship(rows.sparkSession)
     rows = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
@@ -153,8 +174,19 @@ def copula(rows: DataFrame, columns: list[str], n: int, seed: int = 1) -> DataFr
     if not alive:
         return ids.select("id", *fixed)
     curve = stored(distribution(rows, alive).withColumn("score", _score("share")))
-    wide = rows
-    for c in alive:
+    known = _curves(curve, alive, points)
+    few, many, shared = [c for c in alive if c in known], [c for c in alive if c not in known], rows.sparkSession.sparkContext.broadcast(known)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for k, c in enumerate(few):
+                value, _, score = shared.value[c]
+                found.append(pa.array(score[np.searchsorted(value, batch.column(k).to_numpy())]))
+            yield pa.RecordBatch.from_arrays([*found, *batch.columns[len(few) :]], ["_" + c for c in few] + many)
+
+    wide = rows.select(*few, *many).mapInArrow(scored, ", ".join([f"`_{c}` double" for c in few] + [f"`{c}` double" for c in many])) if few else rows
+    for c in many:
         wide = wide.join(curve.filter(F.col("column") == c).select(F.col("value").alias(c), F.col("score").alias("_" + c)), c)
     pairs = [(a, b) for a in range(len(alive)) for b in range(a)]
     found = wide.agg(F.count("*"), *[F.corr("_" + alive[a], "_" + alive[b]).alias(f"{a}_{b}") for a, b in pairs]).first()
@@ -164,12 +196,23 @@ def copula(rows: DataFrame, columns: list[str], n: int, seed: int = 1) -> DataFr
     root = root_of(matrix)
     drawn = ids.withColumns({f"g{k}": normal("id", F.lit(k), F.lit(seed)) for k in range(len(alive))})
     z = [sum((F.col(f"g{k}") * float(root[i, k]) for k in range(len(alive))), F.lit(0.0)) for i in range(len(alive))]
-    made = drawn.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), x.alias("z")) for c, x in zip(alive, z)])).alias("i")).select("id", "i.column", _share("i.z").alias("u"))
+    z = dict(zip(alive, z, strict=True))
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pa.array(np.interp(share_of(batch.column(k + 1).to_numpy()), shared.value[c][1], shared.value[c][0])) for k, c in enumerate(few)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], ["id", *few])
+
+    direct = drawn.select("id", *[z[c].alias(c) for c in few]).mapInArrow(valued, ", ".join(["id long", *[f"`{c}` double" for c in few]]))
+    if not many:
+        return direct.select("id", *few, *fixed).select("id", *columns)
+    curve = curve.filter(F.col("column").isin(many))
+    made = drawn.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), z[c].alias("z")) for c in many])).alias("i")).select("id", "i.column", _share("i.z").alias("u"))
     buckets = min(max(n // 5000, 1), 1 << 16)
     bucket = lambda u: F.least(F.floor(F.col(u) * buckets), F.lit(buckets - 1)).cast("int").alias("b")
     points = curve.select("column", bucket("share"), F.struct("share", "value").alias("p"))
     side = points.groupBy("column", "b").agg(F.min("p").alias("first"), F.max("p").alias("last"))
-    grid = curve.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.explode(F.array(*[F.lit(c) for c in alive])).alias("column"))
+    grid = curve.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b"), F.explode(F.array(*[F.lit(c) for c in many])).alias("column"))
     w = Window.partitionBy("column").orderBy("b")
     near = {"_lo": F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_hi": F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing))}
     grid = grid.join(side, ["column", "b"], "left").withColumns(near).select("column", "b", F.explode(F.array_compact(F.array("_lo", "_hi"))).alias("p"))
@@ -181,7 +224,8 @@ def copula(rows: DataFrame, columns: list[str], n: int, seed: int = 1) -> DataFr
         return some[["id", "column"]].assign(value=value)
 
     out = made.withColumn("b", bucket("u")).groupBy("column", "b").cogroup(points.groupBy("column", "b")).applyInPandas(draw, "id long, column string, value double")
-    return out.groupBy("id").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in alive]).select("id", *alive, *fixed).select("id", *columns)
+    out = out.groupBy("id").agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in many])
+    return (out.join(direct, "id") if few else out).select("id", *alive, *fixed).select("id", *columns)
 
 
 def paired_bootstrap(deltas: DataFrame, resamples: int = 200, seed: int = 1) -> DataFrame:

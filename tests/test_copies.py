@@ -42,6 +42,18 @@ def test_copula_is_that_of_numpy(spark):
     assert np.allclose(np.diag(a @ a.T), 1) and np.linalg.eigvalsh(a @ a.T).min() > -1e-9
 
 
+def test_copula_by_broadcast_and_by_buckets(spark):
+    rng = np.random.default_rng(4)
+    data = np.stack([rng.normal(size=300), rng.integers(0, 9, 300) / 4.0, -rng.integers(0, 2, 300) * 0.0], axis=1)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in data], "a double, b double, k double")
+    got = []
+    for points, shuffled in ((0, True), (20, True), (copies.POINTS, False)):
+        out = copies.copula(df, ["a", "b", "k"], 10_500, points=points)
+        assert ("Exchange" in out._jdf.queryExecution().executedPlan().toString()) == shuffled  # made rows stay where they are made
+        got.append(np.array(sorted(tuple(r) for r in out.collect())))
+    assert got[0].shape == (10_500, 4) and all(np.allclose(got[0], x, atol=1e-6) for x in got[1:])
+
+
 def test_pure_starts_for_any_chunk_and_a_regime_without_any(spark):
     rng = np.random.default_rng(5)
     label = [bool(x) for x in np.repeat(rng.random(40) < 0.5, 7)] + [True, False] * 10
