@@ -41,6 +41,19 @@ def family(sentence: Column, families: list[tuple[str, list[str]]] = FAMILIES) -
     return out
 
 
+def names_any(text: Column, families: list[tuple[str, list[str]]] = FAMILIES) -> Column:
+    """Whether a lower-case text holds a word or a phrase of any family, in one look: words by their first letter, phrases anywhere."""
+    every = [w for _, words in families for w in words]
+    ends: dict[str, list[str]] = {}
+    for w in (w for w in every if " " not in w):
+        ends.setdefault(w[0], []).append(re.escape(w[1:]))
+    start = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(ends.items()))
+    out = text.rlike(f"\\b(?=[{re.escape(''.join(sorted(ends)))}])(?:{start})\\b") if ends else F.lit(False)
+    for w in (w for w in every if " " in w):
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
 def strongest(sentence: Column, table: dict[str, float]) -> Column:
     """The value farthest from a half of the modifiers that a lower-case sentence holds; of equals the first named; a half if none."""
     out = F.lit(0.5)
@@ -55,10 +68,11 @@ def tagged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Sentences end at a full stop, a semicolon or a line's end. Sharpness, of the sentence itself, belongs to the step from the tagged sentence
     before it; null for the first. Sentences are rows before any window, and only tagged ones, so a text's length doesn't matter.
+    Texts, then sentences, that name no family at all are left out first, in one look each.
     """
-    parts = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "[.;\n]")).alias("place", "s"))
+    parts = docs.filter(names_any(F.lower(text_col))).select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "[.;\n]")).alias("place", "s"))
     s = F.lower("s")
-    rows = parts.withColumn("family", family(s)).filter("family is not null")
+    rows = parts.filter(names_any(s)).withColumn("family", family(s)).filter("family is not null")
     days = F.regexp_extract("s", DURATION, 1)
     rows = rows.withColumns({"intensity": strongest(s, INTENSITY), "duration": F.when(days != "", F.greatest(F.lit(1), F.coalesce(days.try_cast("int"), F.lit(1)))).otherwise(1), "_sharp": strongest(s, SHARPNESS)})
     before = F.lag("family").over(Window.partitionBy("id").orderBy("place"))

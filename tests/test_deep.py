@@ -117,6 +117,16 @@ def test_every_gate_counts(spark):
     assert evaluation.gated(d, gates.filter("false")).filter("keep and failed = 0").count() == 3
 
 
+def test_one_look_finds_what_a_family_names(spark):
+    every = [w for _, words in narrative.FAMILIES for w in words]
+    said = [x for w in every for x in (w, f"the {w}, again", f"x{w}", f"{w}s", f"é{w}", f"re-{w}", w[:-1])]
+    df = spark.createDataFrame([(x,) for x in said], "s string")
+    rows = df.select("s", narrative.names_any(F.col("s")).alias("any"), narrative.family(F.col("s")).isNotNull().alias("named")).collect()
+    assert all(r["any"] == r.named for r in rows) and 0 < sum(r.named for r in rows) < len(rows)
+    plan = narrative.tagged(df.selectExpr("1L AS doc_id", "s AS text"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") > 1 and "Filter" in plan[plan.index("Generate") :]  # texts that name nothing are never split
+
+
 def test_narratives(spark):
     text = "The market crashed sharply for 3 days; then it drifted sideways. Nothing here\nPrices rallied a bit and fell over time, lasting 12 weeks. Flatten the bank."
     docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "It BROKE OUT historically")], "doc_id long, text string")
