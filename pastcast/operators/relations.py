@@ -377,6 +377,19 @@ def autocorrelation(rows: DataFrame, lags: list[int]) -> DataFrame:
     return back.select("series_id", "v", item.alias("i")).groupBy("series_id", "i.lag").agg(F.try_divide(F.sum("i.p"), F.first("v")).alias("acf"))
 
 
+def column_autocorrelations(rows: DataFrame, columns: list[str], lags: list[int]) -> DataFrame:
+    """(series_id, lag, acf) of each column of rows (pos, columns), placed once for all columns, about the column's mean; series_id: the column's name."""
+    w = in_chunk()
+    one = rows.select(F.lit("").alias("series_id"), "pos", *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    of = range(len(columns))
+    stats = one.agg(*[F.avg(f"_v{i}").alias(f"_m{i}") for i in of], *[(F.var_pop(f"_v{i}") * F.count("*")).alias(f"_s{i}") for i in of])
+    back = framed(one, {f"_b{i}_{k}": F.lag(f"_v{i}", k).over(w) for i in of for k in lags}, before=max(lags)).crossJoin(F.broadcast(stats))  # one row
+    gap = lambda c, i: F.col(c) - F.col(f"_m{i}")
+    sums = back.agg(*[F.sum(gap(f"_v{i}", i) * gap(f"_b{i}_{k}", i)).alias(f"_p{i}_{k}") for i in of for k in lags], *[F.first(f"_s{i}").alias(f"_s{i}") for i in of])
+    item = [F.struct(F.lit(c).alias("series_id"), F.lit(k).alias("lag"), F.try_divide(f"_p{i}_{k}", f"_s{i}").alias("acf")) for i, c in enumerate(columns) for k in lags]
+    return sums.select(F.explode(F.array(*item)).alias("i")).select("i.*")
+
+
 def temporal_gap(real: DataFrame, synthetic: DataFrame, lags: list[int]) -> DataFrame:
     """One row (acf): the mean distance of the autocorrelations of two sets of series (series_id, pos, value) at the lags."""
     a, b = autocorrelation(real, lags), autocorrelation(synthetic, lags).withColumnRenamed("acf", "other")

@@ -42,6 +42,20 @@ def test_copula_is_that_of_numpy(spark):
     assert np.allclose(np.diag(a @ a.T), 1) and np.linalg.eigvalsh(a @ a.T).min() > -1e-9
 
 
+def test_autocorrelations_of_columns_placed_once(spark):
+    rng = np.random.default_rng(6)
+    x = np.stack([np.cumsum(rng.normal(size=500)), rng.normal(size=500), np.full(500, 2.0)], axis=1)
+    rows = [(k, *(None if i == 1 and k % 50 == 7 else float(v) for i, v in enumerate(r))) for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "pos long, a double, b double, c double").repartition(3)
+    out = relations.column_autocorrelations(df, ["a", "b", "c"], [1, 5])
+    got = {(r.series_id, r.lag): r.acf for r in out.collect()}
+    long = df.selectExpr("pos", "stack(3, 'a', a, 'b', b, 'c', c) AS (series_id, value)")
+    want = {(r.series_id, r.lag): r.acf for r in relations.autocorrelation(long, [1, 5]).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-9) if v is not None else None for k, v in want.items()} and len(got) == 6 and got["c", 1] is None
+    m = x[:, 0] - x[:, 0].mean()
+    assert got["a", 5] == pytest.approx((m[5:] * m[:-5]).sum() / (m * m).sum())
+
+
 def test_copula_by_broadcast_and_by_buckets(spark):
     rng = np.random.default_rng(4)
     data = np.stack([rng.normal(size=300), rng.integers(0, 9, 300) / 4.0, -rng.integers(0, 2, 300) * 0.0], axis=1)
