@@ -125,18 +125,22 @@ def delays(rows: DataFrame, max_lag: int) -> DataFrame:
     """(series_id, lag): the first local minimum of mutual information between a series and itself so much later, else the
     first lag whose autocorrelation is not positive, else the longest.
 
-    Pairs are an equi-join on position; bins are max(4, floor(sqrt(n / 5))) equal parts of each side's range.
+    Pairs are frames over stretches of positions, made once; what is shuffled of them are counts per cell. Bins are max(4, floor(sqrt(n / 5))) equal
+    parts of each side's range.
     """
+    rows = rows.select("series_id", "pos", F.col("value").cast("double").alias("value"))
     size = rows.groupBy("series_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"))
     upper = F.greatest(F.lit(1), F.least(F.lit(max_lag), F.floor(F.col("n") / 4)))
-    size = size.withColumns({"upper": upper, "bins": F.greatest(F.lit(4), F.floor(F.sqrt(F.col("n") / 5)))})
-    x = rows.join(size, "series_id").select("series_id", "n", "m", "upper", "bins", "value", "pos", F.explode(F.sequence(F.lit(1).cast("long"), "upper")).alias("lag"))
-    y = rows.select("series_id", F.col("pos").alias("_p"), F.col("value").alias("y"))
-    both = x.withColumn("_p", F.col("pos") + F.col("lag")).join(y, ["series_id", "_p"])
+    size = stored(size.withColumns({"upper": upper, "bins": F.greatest(F.lit(4), F.floor(F.sqrt(F.col("n") / 5)))}))
+    lags = range(1, max_lag + 1)
+    last = {f"_b{k}": F.lag("value", k).over(in_chunk()) for k in lags}  # the earlier side of each pair; a row is the later one
+    back = stored(framed(rows, last, before=max_lag).select("series_id", F.col("value").alias("y"), "pos", *last))
+    pair = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"_b{k}").alias("x")) for k in lags])).alias("p")
+    both = back.join(size, "series_id").select("series_id", "m", "upper", "bins", "y", "pos", pair).select("*", "p.lag", "p.x").drop("p").filter("lag <= pos and lag <= upper")
     key = ["series_id", "lag"]
-    edge = both.groupBy(*key).agg(F.min("value").alias("x0"), F.max("value").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum((F.col("value") - F.col("m")) * (F.col("y") - F.col("m"))).alias("acf"), F.first("upper").alias("upper"))
+    edge = stored(both.groupBy(*key).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.sum((F.col("x") - F.col("m")) * (F.col("y") - F.col("m"))).alias("acf"), F.first("upper").alias("upper")))
     place = lambda v, lo, hi: F.when(F.col(hi) == F.col(lo), 0).otherwise(F.least(F.floor((F.col(v) - F.col(lo)) / (F.col(hi) - F.col(lo)) * F.col("bins")), F.col("bins") - 1))
-    cell = both.join(edge.drop("acf", "upper"), key).groupBy(*key, place("value", "x0", "x1").alias("bx"), place("y", "y0", "y1").alias("by")).agg(F.count("*").alias("c"))
+    cell = both.select(*key, "bins", "x", "y").join(edge.drop("acf", "upper"), key).groupBy(*key, place("x", "x0", "x1").alias("bx"), place("y", "y0", "y1").alias("by")).agg(F.count("*").alias("c"))
     part = lambda *k: Window.partitionBy(*key, *k)
     cell = cell.withColumns({"cx": F.sum("c").over(part("bx")), "cy": F.sum("c").over(part("by")), "all": F.sum("c").over(part())})
     mi = cell.groupBy(*key).agg(F.sum(F.col("c") / F.col("all") * F.log(F.col("c") * F.col("all") / (F.col("cx") * F.col("cy")))).alias("mi"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pastcast.operators import relations, tracks
+from pastcast.operators import regimes, relations, tracks
 
 
 def test_tracks_in_stretches(spark):
@@ -129,3 +129,32 @@ def test_flat_windows_are_zeros_to_the_last_digit(spark):
     df = spark.createDataFrame([([0.1] * 30,), ([1e6 / 3] * 30,), ([1.0, 2.0, 3.0],)], "values array<double>")
     got = [r.normal for r in windows.normalised(df, "zscore").collect()]
     assert got[0] == got[1] == [0.0] * 30 and got[2] == pytest.approx([-np.sqrt(1.5), 0.0, np.sqrt(1.5)])
+
+
+def test_delays_are_those_of_pairs(spark):
+    rng = np.random.default_rng(14)
+    series = {"wave": np.sin(np.arange(400) / 3) + 0.1 * rng.normal(size=400), "noise": rng.normal(size=300), "walk": np.cumsum(rng.normal(size=250)), "short": rng.normal(size=6), "flat": np.ones(50), "one": np.ones(1)}
+    df = spark.createDataFrame([(s, k, float(x)) for s, v in series.items() for k, x in enumerate(v)], "series_id string, pos long, value double").repartition(3)
+    out = regimes.delays(df, 8)
+    plan = out._jdf.queryExecution().toString()
+    assert "_p#" not in plan and "sequence(" not in plan  # a row doesn't travel once for each lag
+    got = {r.series_id: r.lag for r in out.collect()}
+
+    def cells(v, bins):
+        return np.zeros(len(v), int) if v.max() == v.min() else np.minimum(np.floor((v - v.min()) / (v.max() - v.min()) * bins), bins - 1).astype(int)
+
+    def delay(v):
+        n, bins = len(v), max(4, int(np.sqrt(len(v) / 5)))
+        upper, mi, acf = max(1, min(8, n // 4)), [], []
+        for k in range(1, upper + 1):
+            x, y = v[:-k], v[k:]
+            c = np.zeros((bins, bins))
+            np.add.at(c, (cells(x, bins), cells(y, bins)), 1)
+            p = c / c.sum()
+            at = p > 0
+            mi.append((p[at] * np.log(p[at] / np.outer(p.sum(axis=1), p.sum(axis=0))[at])).sum())
+            acf.append(((x - v.mean()) * (y - v.mean())).sum())
+        low = [k + 1 for k in range(1, upper - 1) if mi[k] < mi[k - 1] and mi[k] <= mi[k + 1]]
+        return low[0] if low else next((k + 1 for k, a in enumerate(acf) if a <= 0), upper)
+
+    assert got == {s: delay(v) for s, v in series.items() if len(v) > 1} and len(set(got.values())) > 2
