@@ -3,8 +3,8 @@
 Every vector keeps its distances to a few pivots. A block of the searched side is a ring around its nearest pivot and
 keeps, for every pivot, the range of its members' distances. By the triangle inequality a row is no nearer to a
 member than to that range, for each pivot. A first meeting with the most alike block gives each row a bound;
-after that rows of one first block, packed, only meet the packed blocks that may hold something within the bound of one of them. Packs
-meet where Spark reads both tables, so neither rows nor blocks are shuffled once more for each other.
+after that rows beside each other, packed, only meet the bundled blocks that may hold something within the bound of one of them. Packs
+and bundles meet where Spark reads both tables, so neither rows nor blocks are shuffled once more for each other.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ SAMPLE, MAX_BLOCKS = 4096, 4096
 DIRECT_BYTES = 16 << 20
 #: A broadcast side of more rows than ``BOXED`` and at most ``FLAT`` numbers a row is cut into boxes; rows that ask beside each other go to few of them. Rows asked at a time.
 BOXED, FLAT, ASKED = 1024, 8, 1 << 16
-#: Distances that a task holds at a time; bytes of a pack of asking rows, about.
-CELLS, PACKED = 1 << 21, 2 << 20
+#: Distances that a task holds at a time; of a product in single precision, which stay in a core's cache; pairs computed from the vectors at a time.
+CELLS, TILE, PAIRS = 1 << 21, 1 << 19, 1 << 16
+#: Bytes of a pack of asking rows or a bundle of blocks, about (each pack is sent to a task with each bundle); packs or bundles of a table, at least, if its rows or blocks are so many.
+PACKED, PACKS = 16 << 20, 16
 _SLACK, _GRID = 1e-7, 256
 
 
@@ -82,7 +84,7 @@ class Neighbours:
         ship(self.spark)
         rows = self._plain(right)
         n, width = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
-        self.small, self.packed, self.pack = None, None, max(64, PACKED // (8 * max(width, 1)))
+        self.small, self.bundled, self.n, self.most = None, None, n, max(64, PACKED // (8 * max(width, 1)))
         if n * width * 8 <= direct:
             whole = rows.toArrow().combine_chunks()
             part = lambda name: whole.column(name).combine_chunks() if n else whole.column(name)
@@ -220,89 +222,101 @@ class Neighbours:
         right = right.toDF(*[f"r_{c}" for c in right.columns])
         return left.groupBy("block", "part").cogroup(right.groupBy("r_block", "r_part")).applyInArrow(match, schema)
 
-    def _packs(self, rows: DataFrame) -> DataFrame:
-        """(pack, to, ids, vecs, us, may): rows (id, to, vec, seen, u) of one first block, beside each other in the table, packed; may: the blocks that may hold something for one of them."""
-        low, high, of_block, pivots, metric, size = self.low, self.high, self.of_block, self.pivots, self.metric, self.pack
+    def _packs(self, rows: DataFrame, n: int) -> DataFrame:
+        """(pack, to, ids, vecs, us, seen, may): n rows (id, to, vec, seen, u), beside each other in the table, packed; may: the blocks that may hold something for one of them."""
+        low, high, of_block, pivots, metric, size = self.low, self.high, self.of_block, self.pivots, self.metric, min(self.most, max(64, -(-n // PACKS)))
 
-        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        def packed(held: list[pa.RecordBatch], to: int) -> pa.RecordBatch:
             one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            x, u, to, seen = _matrix(one.column(2)), one.column(4).to_numpy(), one.column(1)[0].as_py(), one.column(3)[0].as_py()
-            d = _to_pivots(x, pivots)
-            least = np.maximum(low - d.max(axis=0), d.min(axis=0) - high).max(axis=1)
-            may = np.flatnonzero((least <= reach(u.max(), metric)) & (of_block == to))
+            x, u, seen = _matrix(one.column(2)), one.column(4).to_numpy(), one.column(3).to_numpy()
+            d, may = _to_pivots(x, pivots), np.zeros(len(low), bool)
+            cuts = [0, *(np.flatnonzero(seen[1:] != seen[:-1]) + 1), len(seen)]
+            for a, b in zip(cuts, cuts[1:], strict=False):  # rows of one first block
+                least = np.maximum(low - d[a:b].max(axis=0), d[a:b].min(axis=0) - high).max(axis=1)
+                may |= (least <= reach(u[a:b].max(), metric)) & (of_block == to) & (np.arange(len(low)) != seen[a])
             ids = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), one.column(0))
-            return pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), ids, pa.array([x.tobytes()]), pa.array([u.tobytes()]), pa.array([may[may != seen].tolist()], pa.list_(pa.int32()))], ["to", "ids", "vecs", "us", "may"])
+            columns = [pa.array([to], pa.int32()), ids, *(pa.array([c.tobytes()]) for c in (x, u, seen)), pa.array([np.flatnonzero(may).tolist()], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, ["to", "ids", "vecs", "us", "seen", "may"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, key = [], None
+            held, n, key = [], 0, None
             for batch in batches:
-                of = np.stack((batch.column(1).to_numpy(), batch.column(3).to_numpy()), axis=1)
-                cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(axis=1)) + 1), len(of)]
+                to = batch.column(1).to_numpy()
+                cuts = sorted({0, *(np.flatnonzero(to[1:] != to[:-1]) + 1), *range(0, len(to), size), len(to)})
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    if held and (key != tuple(of[a]) or sum(x.num_rows for x in held) >= size):
-                        yield packed(held)
-                        held = []
-                    held, key = [*held, batch.slice(a, b - a)], tuple(of[a])
+                    if held and (key != to[a] or n + b - a > size):
+                        yield packed(held, int(key))
+                        held, n = [], 0
+                    held, n, key = [*held, batch.slice(a, b - a)], n + b - a, to[a]
             if held:
-                yield packed(held)
+                yield packed(held, int(key))
 
         kind = rows.schema["id"].dataType.simpleString()
-        return stored(rows.select("id", "to", "vec", "seen", "u").mapInArrow(run, f"to int, ids array<{kind}>, vecs binary, us binary, may array<int>").withColumn("pack", F.monotonically_increasing_id()))
+        return stored(rows.select("id", "to", "vec", "seen", "u").mapInArrow(run, f"to int, ids array<{kind}>, vecs binary, us binary, seen binary, may array<int>").withColumn("pack", F.monotonically_increasing_id()))
 
     def _blocks(self) -> DataFrame:
-        """(r_block, r_ids, r_vecs): the searched side, a row per block; made once."""
-        if self.packed is None:
-            kind = self.rows.schema["id"].dataType.simpleString()
+        """(r_block, r_ids, r_vecs): the searched side, a row per block."""
+        kind = self.rows.schema["id"].dataType.simpleString()
 
-            def pack(one: pa.Table) -> pa.Table:
-                ids = one.column("id").combine_chunks()
-                ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-                x = np.concatenate([_matrix(c) for c in one.column("vec").chunks])
-                return pa.table({"r_block": one.column("block").slice(0, 1), "r_ids": pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), ids), "r_vecs": pa.array([x.tobytes()])})
+        def pack(one: pa.Table) -> pa.Table:
+            ids = one.column("id").combine_chunks()
+            ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+            x = np.concatenate([_matrix(c) for c in one.column("vec").chunks])
+            return pa.table({"r_block": one.column("block").slice(0, 1), "r_ids": pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), ids), "r_vecs": pa.array([x.tobytes()])})
 
-            self.packed = stored(self.rows.groupBy("block").applyInArrow(pack, f"r_block int, r_ids array<{kind}>, r_vecs binary"))
-        return self.packed
+        return self.rows.groupBy("block").applyInArrow(pack, f"r_block int, r_ids array<{kind}>, r_vecs binary")
+
+    def _bundles(self) -> DataFrame:
+        """(r_blocks, r_rows): blocks beside each other, together; made once."""
+        if self.bundled is None:
+            together = max(1, min(self.most * len(self.low) // max(self.n, 1), len(self.low) // PACKS))
+            rows = self._blocks().groupBy(F.floor(F.col("r_block") / together)).agg(F.collect_list(F.struct("r_block", "r_ids", "r_vecs")).alias("r_rows"))
+            self.bundled = stored(rows.select(F.col("r_rows.r_block").alias("r_blocks"), "r_rows"))
+        return self.bundled
 
     def _packs_meet(self, packs: DataFrame, k: int, digits: int) -> DataFrame:
-        """(to, met, found): per pack and part of the blocks, the k best of each of its rows within its bound, and how often a row met a block."""
+        """(to, met, found): per pack and part of the bundles, the k best of each of its rows within its bound, and how often a row met a block."""
         low, high, pivots, metric = self.low, self.high, self.pivots, self.metric
-        both = packs.join(self._blocks().hint("shuffle_replicate_nl"), F.array_contains("may", F.col("r_block"))).select("pack", "to", "ids", "vecs", "us", "r_block", "r_ids", "r_vecs")
-        kind, other = packs.schema["ids"].dataType.elementType.simpleString(), self._blocks().schema["r_ids"].dataType.elementType.simpleString()
+        both = packs.join(self._bundles().hint("shuffle_replicate_nl"), F.arrays_overlap("may", "r_blocks")).select("pack", "to", "ids", "vecs", "us", "seen", "may", "r_rows")
+        kind, other = packs.schema["ids"].dataType.elementType.simpleString(), self.rows.schema["id"].dataType.simpleString()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            now = None  # the pack at hand; its blocks follow each other
+            now = None  # the pack at hand; its bundles follow each other
 
             def told() -> pa.RecordBatch:
-                i, j, d = now["found"]
+                held = np.arange(k) < now["held"][:, None]
+                i, j, d = np.nonzero(held)[0], now["who"][held], now["near"][held]
                 items = pa.StructArray.from_arrays([now["ids"].take(pa.array(i)), pa.array(j, now["kind"]), pa.array(d), pa.array(np.round(d, digits))], ["id", "other", "distance", "place"])
                 return pa.RecordBatch.from_arrays([pa.array([now["to"]], pa.int32()), pa.array([now["met"]]), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items)], ["to", "met", "found"])
 
+            def ask(b: int, y: np.ndarray, others: np.ndarray) -> None:
+                least = np.maximum(low[b] - now["d"], now["d"] - high[b]).max(axis=1)
+                some = np.flatnonzero((least <= reach(now["cap"], metric)) & (now["seen"] != b))
+                now["met"] += len(some)
+                if not len(some):
+                    return
+                for i, j, d in pairs_within(now["x"][some], y, now["cap"][some] + 2 * 10.0**-digits, metric == "cosine"):
+                    i = some[i]
+                    new = (now["plain"][i] != others[j]) & (d <= now["cap"][i] + 2 * 10.0**-digits)
+                    if new.any():
+                        take_in(now["near"], now["who"], now["held"], (i[new], others[j[new]], d[new]), digits)
+                full = now["held"] == k
+                now["cap"][full] = np.minimum(now["cap"][full], now["near"][full, k - 1] + 10.0**-digits)
+
             for batch in batches:
                 for r in range(batch.num_rows):
                     at = lambda c: batch.column(c)[r]  # noqa: E731, B023
-                    y_ids, b = at(6).values, at(5).as_py()
+                    blocks, many, vecs = (at(7).values.field(c) for c in ("r_block", "r_ids", "r_vecs"))
                     if now is None or now["pack"] != at(0).as_py():
                         if now:
                             yield told()
                         ids = at(2).values
                         x = np.frombuffer(at(3).as_buffer()).reshape(len(ids), -1)
-                        plain = ids.to_pandas().to_numpy()
-                        none = np.zeros(0, np.int64)
-                        now = {"pack": at(0).as_py(), "to": at(1).as_py(), "ids": ids, "plain": plain, "x": x, "d": _to_pivots(x, pivots), "cap": np.frombuffer(at(4).as_buffer()).copy(), "met": 0, "kind": y_ids.type, "found": (none, y_ids.to_pandas().to_numpy()[:0], np.zeros(0))}
-                    least = np.maximum(low[b] - now["d"], now["d"] - high[b]).max(axis=1)
-                    some = np.flatnonzero(least <= reach(now["cap"], metric))
-                    now["met"] += len(some)
-                    if not len(some):
-                        continue
-                    y, others = np.frombuffer(at(7).as_buffer()).reshape(len(y_ids), -1), y_ids.to_pandas().to_numpy()
-                    for i, j, d in pairs_within(now["x"][some], y, now["cap"][some] + 2 * 10.0**-digits, metric == "cosine"):
-                        i = some[i]
-                        new = (now["plain"][i] != others[j]) & (d <= now["cap"][i] + 2 * 10.0**-digits)
-                        if new.any():
-                            now["found"] = merged(now["found"], (i[new], others[j[new]], d[new]), k, digits)
-                    i, _, d = now["found"]
-                    full = np.flatnonzero(i[: len(i) - k + 1] == i[k - 1 :]) + k - 1 if len(i) >= k else np.zeros(0, np.int64)  # a row's k-th
-                    now["cap"][i[full]] = np.minimum(now["cap"][i[full]], d[full] + 10.0**-digits)
+                        now = {"pack": at(0).as_py(), "to": at(1).as_py(), "ids": ids, "plain": ids.to_pandas().to_numpy(), "x": x, "d": _to_pivots(x, pivots), "cap": np.frombuffer(at(4).as_buffer()).copy(), "seen": np.frombuffer(at(5).as_buffer(), np.int32), "met": 0, "kind": many.type.value_type}
+                        now |= {"may": set(at(6).as_py()), "near": np.zeros((len(x), k)), "who": np.empty((len(x), k), many.flatten().to_pandas().to_numpy().dtype), "held": np.zeros(len(x), np.int64)}
+                    for t, b in enumerate(blocks.to_pylist()):
+                        if b in now["may"]:
+                            ask(b, np.frombuffer(vecs[t].as_buffer()).reshape(len(many[t].values), -1), many[t].values.to_pandas().to_numpy())
             if now:
                 yield told()
 
@@ -348,9 +362,9 @@ class Neighbours:
         asking = self._asking(left)
         first = stored(self._first_meeting(asking))
         seen = stored(self._meet(first, k, digits, True))
-        further = self._packs_meet(self._packs(seen), k, digits)
-        sizes = np.bincount(self.of_block, minlength=len(self.groups))
         asked = {r.to: r["count"] for r in first.groupBy("to").count().collect()}
+        further = self._packs_meet(self._packs(seen, sum(asked.values())), k, digits)
+        sizes = np.bincount(self.of_block, minlength=len(self.groups))
         self.met = (sum(asked.values()) + (further.agg(F.sum("met")).first()[0] or 0), sum(n * int(sizes[to]) for to, n in asked.items()))
         out = self._flat(seen).unionByName(further.select("to", F.explode("found").alias("f")).select("f.id", "to", "f.other", "f.distance", "f.place"))
         place = F.row_number().over(Window.partitionBy("id", "to").orderBy("place", "other"))
@@ -417,15 +431,28 @@ def pairs_within(x: np.ndarray, y: np.ndarray, cap: np.ndarray, cosine: bool) ->
     if not cosine:  # u v >= (|u|^2 + |v|^2 - cap^2) / 2
         u, v = np.c_[u, np.ones(len(u))], np.c_[v, -sv / 2]
     u, v, least = u.astype(kind), np.ascontiguousarray(v.astype(kind).T), np.maximum(least - slack, -1e37 if kind is np.float32 else -1e307).astype(kind)
-    few = max(1, CELLS // max(len(y), 1))
+    few = max(1, TILE // max(len(y), 1))
+    cells, n = [], 0
     for at in range(0, len(x), few):
-        cell = np.flatnonzero(u[at : at + few] @ v >= least[at : at + few, None])
-        for a in range(0, len(cell), 1 << 16):
-            i, j = np.divmod(cell[a : a + (1 << 16)], len(y))
-            i = i + at
+        cells.append(places(u[at : at + few] @ v >= least[at : at + few, None]) + at * len(y))
+        n += len(cells[-1])
+        if n < PAIRS and at + few < len(x):
+            continue
+        cell, cells, n = np.concatenate(cells), [], 0
+        for a in range(0, len(cell), PAIRS):
+            i, j = np.divmod(cell[a : a + PAIRS], len(y))
             yield i, j, 1 - (x[i] * y[j]).sum(axis=1) if cosine else np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))
 
 
+def places(true: np.ndarray) -> np.ndarray:
+    """``np.flatnonzero`` of a table of bools of which few are true: eight are looked at as one number."""
+    flat = true.reshape(-1)
+    whole = len(flat) // 8 * 8
+    eight = np.flatnonzero(flat[:whole].view(np.uint64))
+    at, one = np.nonzero(flat[:whole].reshape(-1, 8)[eight])
+    return np.concatenate((eight[at] * 8 + one, whole + np.flatnonzero(flat[whole:])))
+
+
 def merged(found: tuple, more: tuple, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each row of both (row, other, distance), by row and place; ties of so many digits by other."""
     i, j, d = (np.concatenate(p) for p in zip(found, more, strict=True))
@@ -436,6 +463,16 @@ def merged(found: tuple, more: tuple, k: int, digits: int) -> tuple[np.ndarray,
     return i[keep], j[keep], d[keep]
 
 
+def take_in(near: np.ndarray, who: np.ndarray, held: np.ndarray, more: tuple, digits: int) -> None:
+    """Puts more (row, other, distance) among the best of their rows (as wide as ``near`` and ``who``, of which ``held`` are filled); other rows aren't looked at."""
+    rows, at = np.unique(more[0], return_inverse=True)
+    old = np.arange(near.shape[1]) < held[rows, None]
+    i, j, d = merged((np.nonzero(old)[0], who[rows][old], near[rows][old]), (at, *more[1:]), near.shape[1], digits)
+    n = np.bincount(i, minlength=len(rows))
+    place = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+    near[rows[i], place], who[rows[i], place], held[rows] = d, j, n
+
+
 def larger(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at least so many, but the last."""
     held: list[pa.RecordBatch] = []

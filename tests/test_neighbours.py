@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pastcast.operators import order_stats, privacy, relations
-from pastcast.operators.neighbours import DIRECT_BYTES, Neighbours, best_pairs, boxed_pairs, boxes_of, merged, pairs_within
+from pastcast.operators.neighbours import DIRECT_BYTES, Neighbours, best_pairs, boxed_pairs, boxes_of, merged, pairs_within, places, take_in
 
 PS = [0.0, 0.01, 0.25, 0.5, 0.95, 0.99, 1.0]
 
@@ -185,6 +185,50 @@ def test_rows_are_not_sent_to_blocks_one_by_one(cloud, monkeypatch):
     assert packs.count() == len(search.low) and packs.agg(F.sum(F.size("r_ids"))).first()[0] == N
 
 
+def test_packs_hold_rows_of_many_first_blocks(cloud, monkeypatch):
+    x, _, df = cloud
+    packs, meet = [], Neighbours._packs_meet
+
+    def counted(self, some, *more):
+        packs.extend(len(r.ids) for r in some.collect())
+        return meet(self, some, *more)
+
+    monkeypatch.setattr(Neighbours, "_packs_meet", counted)
+    search = Neighbours(df, block=12, direct=0)
+    got = {(r.id, r.other) for r in search.nearest(df, 5).collect()}
+    assert got == {(i, j) for i in range(N) for j in sorted((j for j in range(N) if j != i), key=lambda j, d=distances(x, i, "euclidean"): (d[j], j))[:5]}
+    assert sum(packs) == N and 2 * len(packs) < len(search.low)  # each pack is sent with every bundle that it asks
+    assert 3 * search._bundles().count() < len(search.low)
+    assert search.met[0] < 0.25 * search.met[1]
+
+
+def test_pairs_of_a_block_come_together():
+    rng = np.random.default_rng(14)
+    x, y = rng.normal(size=(5000, 8)), rng.normal(size=(1001, 8))
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    found = list(pairs_within(x, y, np.full(5000, 0.9), False))
+    assert len(found) == 1 and {(a, b) for a, b in np.argwhere(d <= 0.9)} <= set(zip(found[0][0], found[0][1], strict=True))
+
+
+def test_places_of_few_and_many():
+    rng = np.random.default_rng(15)
+    for shape in ((3, 5), (7, 8), (1, 1), (0, 4), (33, 101)):
+        for share in (0, 0.02, 1):
+            true = rng.random(shape) < share
+            assert (places(true) == np.flatnonzero(true)).all()
+
+
+def test_pairs_taken_in_by_and_by_are_the_best():
+    rng = np.random.default_rng(16)
+    i, j, d = rng.integers(0, 30, 900), rng.permutation(900), np.round(rng.random(900), 1)  # many ties
+    near, who, held = np.zeros((40, 4)), np.empty((40, 4), np.int64), np.zeros(40, np.int64)
+    for a in range(0, 900, 70):
+        take_in(near, who, held, (i[a : a + 70], j[a : a + 70], d[a : a + 70]), 9)
+    for row in range(40):
+        want = sorted(zip(d[i == row], j[i == row], strict=True))[:4]
+        assert list(zip(near[row], who[row], strict=True))[: held[row]] == want
+
+
 def test_tails_of_every_column(spark):
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(500, 2)), rng.exponential(size=(400, 2))
