@@ -222,9 +222,9 @@ class Neighbours:
         right = right.toDF(*[f"r_{c}" for c in right.columns])
         return left.groupBy("block", "part").cogroup(right.groupBy("r_block", "r_part")).applyInArrow(match, schema)
 
-    def _packs(self, rows: DataFrame, n: int) -> DataFrame:
+    def _packs(self, rows: DataFrame, n: int, k: int) -> DataFrame:
         """(pack, to, ids, vecs, us, seen, may): n rows (id, to, vec, seen, u), beside each other in the table, packed; may: the blocks that may hold something for one of them."""
-        low, high, of_block, pivots, metric, size = self.low, self.high, self.of_block, self.pivots, self.metric, min(self.most, max(64, -(-n // PACKS)))
+        low, high, of_block, pivots, metric, size = self.low, self.high, self.of_block, self.pivots, self.metric, max(64, min(self.most, -(-n // PACKS), PACKED // (16 * k)))  # so are the k best of its rows
 
         def packed(held: list[pa.RecordBatch], to: int) -> pa.RecordBatch:
             one = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -363,7 +363,7 @@ class Neighbours:
         first = stored(self._first_meeting(asking))
         seen = stored(self._meet(first, k, digits, True))
         asked = {r.to: r["count"] for r in first.groupBy("to").count().collect()}
-        further = self._packs_meet(self._packs(seen, sum(asked.values())), k, digits)
+        further = self._packs_meet(self._packs(seen, sum(asked.values()), k), k, digits)
         sizes = np.bincount(self.of_block, minlength=len(self.groups))
         self.met = (sum(asked.values()) + (further.agg(F.sum("met")).first()[0] or 0), sum(n * int(sizes[to]) for to, n in asked.items()))
         out = self._flat(seen).unionByName(further.select("to", F.explode("found").alias("f")).select("f.id", "to", "f.other", "f.distance", "f.place"))
